@@ -103,7 +103,7 @@ def _avg_half_even(total: str, n: str) -> str:
     c = f"CAST(ROUND({total} * 100) AS BIGINT)"
     return (f"CASE WHEN {n} = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST((({c}) // {n} + "
             f"CASE WHEN 2 * (({c}) % {n}) > {n} OR (2 * (({c}) % {n}) = {n} AND (({c}) // {n}) % 2 = 1) "
-            f"THEN 1 ELSE 0 END) AS DECIMAL(18,0)) / 100 END")
+            f"THEN 1 ELSE 0 END) * 0.01 AS DECIMAL(18,2)) END")
 
 
 def _pct(p: str, o: str) -> str:
@@ -244,4 +244,110 @@ FROM fm_staff s JOIN fm_permission p ON s.username = p.username""")
 SELECT {FLIGHT_COLS} FROM fm_flight
 WHERE depart_time >= {ts(AS_OF)} AND arrive_time <= {ts(AS_OF + dt.timedelta(days=30))}""")
 
+    up_pairs = """
+  SELECT DISTINCT customer_email, flight_num, airline_name, airplane_id, depart_name, arrive_name,
+         depart_time, arrive_time, price, flight_status
+  FROM fm_sales WHERE flight_status = 'upcoming'"""
+
+    q["public_upcoming_flights"] = _q(f"SELECT {FLIGHT_COLS} FROM fm_flight WHERE flight_status = 'upcoming'")
+
+    q["flight_search"] = _q(f"""
+SELECT {FLIGHT_COLS} FROM fm_flight
+WHERE depart_name IN (SELECT name FROM fm_airport WHERE city = 'ASIA')
+  AND arrive_name IN (SELECT name FROM fm_airport WHERE city = 'EUROPE')""")
+
+    q["flight_search_by_day"] = _q(f"""
+SELECT {FLIGHT_COLS} FROM fm_flight
+WHERE TIMESTAMP '2000-11-29 00:00:00' <= depart_time AND depart_time <= TIMESTAMP '2000-11-30 00:00:00'""")
+
+    q["customer_upcoming_flights"] = _q(up_pairs)
+
+    q["customer_upcoming_search"] = _q(f"""
+SELECT * FROM ({up_pairs}) x
+WHERE depart_time >= TIMESTAMP '2001-08-01 00:00:00'
+  AND arrive_name IN (SELECT name FROM fm_airport WHERE city = 'AMERICA')""")
+
+    q["customer_year_spend"] = _q(f"""
+SELECT c.email AS customer_email, CAST(COALESCE(SUM(f.price), 0) AS DECIMAL(18,2)) AS year_spend
+FROM fm_customer c
+LEFT JOIN (SELECT DISTINCT customer_email, flight_num FROM fm_sales
+           WHERE p_date BETWEEN {d(365)} AND {d()}) b ON b.customer_email = c.email
+LEFT JOIN fm_flight f ON f.flight_num = b.flight_num
+GROUP BY c.email""")
+
+    q["customer_monthly_spend_6m"] = _q(f"""
+WITH months AS (
+  SELECT CAST(m AS DATE) AS month_start
+  FROM generate_series(DATE '2001-02-01', DATE '2001-07-01', INTERVAL 1 MONTH) t(m)),
+spend AS (
+  SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
+  FROM fm_sales
+  WHERE p_date BETWEEN DATE '2001-02-01' AND {d()} AND p_date >= {d(183)}
+  GROUP BY 1, 2)
+SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM fm_customer c CROSS JOIN months m
+LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+
+    q["customer_monthly_spend_range"] = _q("""
+WITH months AS (
+  SELECT CAST(m AS DATE) AS month_start
+  FROM generate_series(DATE '2000-10-01', DATE '2001-03-01', INTERVAL 1 MONTH) t(m)),
+spend AS (
+  SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
+  FROM fm_sales
+  WHERE p_date >= DATE '2000-10-15' AND p_date < DATE '2001-03-31'
+  GROUP BY 1, 2)
+SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM fm_customer c CROSS JOIN months m
+LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+
+    agent_rows = """
+SELECT a.booking_agent_email, s.flight_num, s.airline_name, s.airplane_id, s.depart_name, s.arrive_name,
+       s.depart_time, s.arrive_time, s.price, s.flight_status, s.customer_email
+FROM fm_sales s
+JOIN (SELECT DISTINCT booking_agent_email, flight_num FROM fm_sales
+      WHERE booking_agent_email IS NOT NULL) a ON a.flight_num = s.flight_num
+WHERE s.flight_status = 'upcoming'"""
+
+    q["agent_upcoming_bookings"] = _q(agent_rows)
+
+    q["agent_upcoming_search"] = _q(agent_rows + """
+  AND s.depart_name = 'NATION_2' AND s.arrive_time <= TIMESTAMP '2002-06-30 00:00:00'""")
+
+    def commission(lo: str, hi: str) -> str:
+        return f"""
+SELECT a.email AS booking_agent_email,
+       CAST(COALESCE(SUM(s.price), 0) AS DECIMAL(18,2)) AS commission,
+       CAST(COUNT(s.ticket_id) AS BIGINT) AS tickets
+FROM fm_agent a
+LEFT JOIN fm_sales s ON s.booking_agent_email = a.email AND s.p_date BETWEEN {lo} AND {hi}
+GROUP BY a.email"""
+
+    q["agent_commission"] = _q(f"""
+SELECT booking_agent_email, commission, tickets, {_avg_half_even('commission', 'tickets')} AS avg_commission
+FROM ({commission(d(30), d())}) x""")
+
+    q["agent_commission_range"] = _q(commission("DATE '2001-01-01'", "DATE '2001-03-31'"))
+
+    def agent_top(measure: str, expr: str, days: int) -> str:
+        return f"""
+SELECT booking_agent_email, rank, customer_email, {measure} FROM (
+  SELECT booking_agent_email, customer_email, {measure},
+         CAST(ROW_NUMBER() OVER (PARTITION BY booking_agent_email
+                                 ORDER BY {measure} DESC, customer_email) AS INTEGER) AS rank
+  FROM (
+    SELECT booking_agent_email, customer_email, {expr} AS {measure}
+    FROM fm_sales
+    WHERE booking_agent_email IS NOT NULL AND p_date BETWEEN {d(days)} AND {d()}
+    GROUP BY 1, 2) g) r
+WHERE rank <= 5"""
+
+    q["agent_top_customers_by_tickets"] = _q(agent_top("tickets", "COUNT(flight_num)", 183))
+    q["agent_top_customers_by_spend"] = _q(agent_top("spend", "CAST(SUM(price) AS DECIMAL(18,2))", 365))
+
+    q["airline_flight_search"] = _q(f"""
+SELECT {FLIGHT_COLS} FROM fm_flight
+WHERE depart_time >= TIMESTAMP '2000-01-01 00:00:00' AND arrive_time <= TIMESTAMP '2000-12-31 00:00:00'
+  AND depart_name IN (SELECT name FROM fm_airport WHERE city = 'ASIA')""")
+
     return q

@@ -11,7 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flightmart.operators import agent as ag
 from flightmart.operators import airline as al
+from flightmart.operators import customer as cu
+from flightmart.operators import search as se
 from flightmart.operators import facts
 from flightmart.sources import fixtures
 
@@ -45,4 +48,27 @@ QUERIES: dict[str, Query] = {
     "flight_passenger_list": lambda s, d: al.flight_passenger_list(_sales(s, d)),
     "staff_permissions": lambda s, d: al.staff_permissions(_t(s, d).airline_staff, _t(s, d).permission),
     "airline_flights_next_30_days": lambda s, d: al.airline_flights_next_30_days(_t(s, d).flight, AS_OF),
+    "public_upcoming_flights": lambda s, d: se.public_upcoming_flights(_t(s, d).flight),
+    "flight_search": lambda s, d: se.flight_search(
+        _t(s, d).flight, _t(s, d).airport, {"departure_city": "ASIA", "arrival_city": "EUROPE"}),
+    "flight_search_by_day": lambda s, d: se.flight_search(
+        _t(s, d).flight, _t(s, d).airport, {"departure_date": "2000-11-29"}),
+    "customer_upcoming_flights": lambda s, d: cu.customer_upcoming_flights(_sales(s, d)),
+    "customer_upcoming_search": lambda s, d: cu.customer_upcoming_search(
+        _sales(s, d), _t(s, d).airport, {"departure_date": "2001-08-01", "arrival_city": "AMERICA"}),
+    "customer_year_spend": lambda s, d: cu.customer_year_spend(_sales(s, d), _t(s, d).customer, AS_OF),
+    "customer_monthly_spend_6m": lambda s, d: cu.customer_monthly_spend_6m(_sales(s, d), _t(s, d).customer, AS_OF),
+    "customer_monthly_spend_range": lambda s, d: cu.customer_monthly_spend_range(
+        _sales(s, d), _t(s, d).customer, dt.date(2000, 10, 15), dt.date(2001, 3, 31), AS_OF),
+    "agent_upcoming_bookings": lambda s, d: ag.agent_upcoming_bookings(_sales(s, d)),
+    "agent_upcoming_search": lambda s, d: ag.agent_upcoming_search(
+        _sales(s, d), _t(s, d).airport, {"departure_airport": "NATION_2", "arrival_date": "2002-06-30"}),
+    "agent_commission": lambda s, d: ag.agent_commission(_sales(s, d), _t(s, d).booking_agent, AS_OF),
+    "agent_commission_range": lambda s, d: ag.agent_commission_range(
+        _sales(s, d), _t(s, d).booking_agent, AS_OF, "2001-01-01", "2001-03-31"),
+    "agent_top_customers_by_tickets": lambda s, d: ag.agent_top_customers_by_tickets(_sales(s, d), AS_OF),
+    "agent_top_customers_by_spend": lambda s, d: ag.agent_top_customers_by_spend(_sales(s, d), AS_OF),
+    "airline_flight_search": lambda s, d: al.airline_flight_search(
+        _t(s, d).flight, _t(s, d).airport,
+        {"departure_date": "2000-01-01", "arrival_date": "2000-12-31", "departure_city": "ASIA"}),
 }

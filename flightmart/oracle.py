@@ -350,4 +350,85 @@ SELECT {FLIGHT_COLS} FROM fm_flight
 WHERE depart_time >= TIMESTAMP '2000-01-01 00:00:00' AND arrive_time <= TIMESTAMP '2000-12-31 00:00:00'
   AND depart_name IN (SELECT name FROM fm_airport WHERE city = 'ASIA')""")
 
+    q["seat_availability"] = _q("""
+SELECT f.flight_num, f.airline_name, CAST(a.seats AS BIGINT) AS seats,
+       CAST(COALESCE(t.sold, 0) AS BIGINT) AS sold,
+       CAST(GREATEST(a.seats - COALESCE(t.sold, 0), 0) AS BIGINT) AS remaining
+FROM fm_flight f
+LEFT JOIN fm_airplane a ON a.id = f.airplane_id AND a.airline_name = f.airline_name
+LEFT JOIN (SELECT flight_num, COUNT(*) AS sold FROM fm_ticket GROUP BY flight_num) t
+  ON t.flight_num = f.flight_num""")
+
+    q["duplicate_bookings"] = _q("""
+SELECT p.customer_email, t.flight_num, COUNT(*) AS tickets
+FROM fm_purchases p JOIN fm_ticket t ON p.ticket_id = t.ticket_id
+GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+
+    q["book_tickets_direct"] = _q("WITH " + _booking_sql(agent=False) + """
+SELECT request_id, customer_email, flight_num, status FROM decided""")
+
+    q["book_tickets_agent"] = _q("WITH " + _booking_sql(agent=True) + """
+SELECT request_id, booking_agent_email, customer_email, flight_num, status FROM decided""")
+
+    q["assign_ticket_ids"] = _q("WITH " + _booking_sql(agent=False) + """
+SELECT request_id,
+       CAST((SELECT COALESCE(MAX(TRY_CAST(ticket_id AS BIGINT)), 0) FROM fm_ticket)
+            + ROW_NUMBER() OVER (ORDER BY flight_num, before) AS VARCHAR) AS ticket_id
+FROM decided WHERE status = 1""")
+
     return q
+
+
+def _booking_sql(agent: bool) -> str:
+    """Requests -> ``decided`` (request columns, status, before) as CTEs."""
+    if agent:
+        req = """req AS (
+  SELECT e.event_id AS request_id, e.ts, s.s_name AS booking_agent_email,
+         CASE WHEN e.event_id % 11 = 0 THEN 'unknown-' || CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS customer_email,
+         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN supplier s ON e.event_id % 7 = s.s_suppkey
+  WHERE e.event_type = 'click'),
+pre AS (
+  SELECT r.*,
+         CASE WHEN f.airline_name IS NULL OR a.airline_name IS NULL OR f.airline_name <> a.airline_name THEN -1
+              WHEN r.customer_email NOT IN (SELECT email FROM fm_customer) THEN -2 END AS pre_status
+  FROM req r
+  LEFT JOIN fm_flight f ON f.flight_num = r.flight_num
+  LEFT JOIN fm_agent a ON a.email = r.booking_agent_email),"""
+    else:
+        req = """req AS (
+  SELECT e.event_id AS request_id, e.ts, c.c_name AS customer_email,
+         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey
+  WHERE e.event_type = 'purchase'),
+pre AS (SELECT r.*, CAST(NULL AS INTEGER) AS pre_status FROM req r),"""
+    return req + """
+cap AS (
+  SELECT f.flight_num, GREATEST(a.seats - COALESCE(t.sold, 0), 0) AS remaining
+  FROM fm_flight f
+  LEFT JOIN fm_airplane a ON a.id = f.airplane_id AND a.airline_name = f.airline_name
+  LEFT JOIN (SELECT flight_num, COUNT(*) AS sold FROM fm_ticket GROUP BY flight_num) t
+    ON t.flight_num = f.flight_num),
+held AS (
+  SELECT DISTINCT p.customer_email, t.flight_num
+  FROM fm_purchases p JOIN fm_ticket t ON p.ticket_id = t.ticket_id),
+r1 AS (
+  SELECT pre.*, COALESCE(cap.remaining, 0) AS remaining,
+         (h.customer_email IS NOT NULL) AS is_held, (pre.pre_status IS NULL) AS ok
+  FROM pre
+  LEFT JOIN cap ON cap.flight_num = pre.flight_num
+  LEFT JOIN held h ON h.customer_email = pre.customer_email AND h.flight_num = pre.flight_num),
+r2 AS (
+  SELECT *, CASE WHEN ok AND NOT is_held
+                  AND ROW_NUMBER() OVER (PARTITION BY customer_email, flight_num, ok ORDER BY ts, request_id) = 1
+            THEN 1 ELSE 0 END AS cand
+  FROM r1),
+r3 AS (
+  SELECT *, COALESCE(SUM(cand) OVER (PARTITION BY flight_num ORDER BY ts, request_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM r2),
+decided AS (
+  SELECT *, CAST(CASE WHEN NOT ok THEN pre_status WHEN before >= remaining THEN 3
+                      WHEN cand = 0 THEN 2 ELSE 1 END AS INTEGER) AS status
+  FROM r3)
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flightmart.operators import agent as ag
 from flightmart.operators import airline as al
+from flightmart.operators import booking as bk
 from flightmart.operators import customer as cu
 from flightmart.operators import search as se
 from flightmart.operators import facts
@@ -71,4 +72,27 @@ QUERIES: dict[str, Query] = {
     "airline_flight_search": lambda s, d: al.airline_flight_search(
         _t(s, d).flight, _t(s, d).airport,
         {"departure_date": "2000-01-01", "arrival_date": "2000-12-31", "departure_city": "ASIA"}),
+    "seat_availability": lambda s, d: bk.seat_availability(_t(s, d).flight, _t(s, d).airplane, _t(s, d).ticket),
+    "duplicate_bookings": lambda s, d: bk.duplicate_bookings(_t(s, d).purchases, _t(s, d).ticket),
+    "book_tickets_direct": lambda s, d: _book_direct(s, d),
+    "book_tickets_agent": lambda s, d: _book_agent(s, d),
+    "assign_ticket_ids": lambda s, d: _ticket_ids(s, d),
 }
+
+
+def _book_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return bk.book_tickets_direct(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket,
+                                  t.purchases)
+
+
+def _book_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return bk.book_tickets_agent(fixtures.agent_booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket,
+                                 t.purchases, t.booking_agent, t.customer)
+
+
+def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir)
+    decided = bk.decide(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket, t.purchases)
+    return bk.assign_ticket_ids(decided, t.ticket)

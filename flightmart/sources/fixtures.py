@@ -156,3 +156,39 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         airline_staff=airline_staff,
         permission=permission,
     )
+
+
+# ---------------------------------------------------------------- request tables
+# Batch-job inputs derived from the ``events`` table (and others), so that the
+# batch jobs' work grows with the data like the reports'.
+
+N_REQUEST_FLIGHTS = 200
+
+
+def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct booking requests: purchase events; customer of key user_id; flight event_id % 200."""
+    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return events.join(customer, events.user_id == customer.c_custkey).select(
+        F.col("event_id").alias("request_id"),
+        "ts",
+        F.col("c_name").alias("customer_email"),
+        (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+    )
+
+
+def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent booking requests: click events; agent of key event_id % 7; every 11th customer unknown."""
+    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return (events.join(customer, events.user_id == customer.c_custkey)
+            .join(supplier, (events.event_id % 7) == supplier.s_suppkey)
+            .select(
+                F.col("event_id").alias("request_id"),
+                "ts",
+                F.col("s_name").alias("booking_agent_email"),
+                F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("unknown-"), F.col("user_id").cast("string")))
+                .otherwise(F.col("c_name")).alias("customer_email"),
+                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+            ))

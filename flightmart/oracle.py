@@ -376,9 +376,215 @@ SELECT request_id,
             + ROW_NUMBER() OVER (ORDER BY flight_num, before) AS VARCHAR) AS ticket_id
 FROM decided WHERE status = 1""")
 
+    q["load_new_flights"] = _q("WITH " + _NEW_FLIGHTS + """
+SELECT request_id, flight_num,
+       CASE WHEN in_table OR late THEN 'existing_flight_num' WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
+FROM nf4""")
+
+    q["flight_status_outcomes"] = _q("WITH " + _STATUS_CHANGES + """
+SELECT request_id, flight_num, CASE WHEN prev = flight_status THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM sc3
+UNION ALL
+SELECT request_id, flight_num, pre FROM sc2 WHERE pre IS NOT NULL""")
+
+    q["apply_flight_status"] = _q("WITH " + _STATUS_CHANGES + """,
+latest AS (
+  SELECT flight_num, flight_status FROM (
+    SELECT flight_num, flight_status,
+           ROW_NUMBER() OVER (PARTITION BY flight_num ORDER BY ts DESC, request_id DESC) AS rn
+    FROM sc2 WHERE pre IS NULL) x WHERE rn = 1)
+SELECT f.flight_num, f.airline_name, f.airplane_id, f.depart_name, f.arrive_name, f.depart_time, f.arrive_time,
+       f.price, COALESCE(l.flight_status, f.flight_status) AS flight_status
+FROM fm_flight f LEFT JOIN latest l ON l.flight_num = f.flight_num""")
+
+    q["load_new_airplanes"] = _q("""
+WITH na AS (
+  SELECT s_suppkey AS request_id,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'x' || CAST(s_suppkey * 50 AS VARCHAR)
+              ELSE CAST(s_suppkey * 50 AS VARCHAR) END AS airplane_id,
+         CAST(s_suppkey % 50 + 1 AS VARCHAR) AS seats
+  FROM supplier),
+na2 AS (
+  SELECT na.*, CAST(TRY_CAST(airplane_id AS BIGINT) AS VARCHAR) AS id_norm,
+         TRY_CAST(seats AS INTEGER) AS seats_n
+  FROM na),
+na3 AS (
+  SELECT na2.*, (id_norm IS NOT NULL AND seats_n IS NOT NULL) AS is_int,
+         COALESCE(id_norm IN (SELECT id FROM fm_airplane), FALSE) AS ex
+  FROM na2),
+na4 AS (SELECT *, (is_int AND NOT ex) AS valid FROM na3)
+SELECT request_id, airplane_id,
+       CASE WHEN NOT is_int THEN 'not_an_integer'
+            WHEN ex OR EXISTS (SELECT 1 FROM na4 b WHERE b.valid AND b.id_norm = na4.id_norm
+                                 AND b.request_id < na4.request_id) THEN 'existing_id'
+            ELSE 'ok' END AS outcome
+FROM na4""")
+
+    q["load_new_airports"] = _q("""
+WITH ap AS (
+  SELECT CAST(n.n_nationkey AS BIGINT) AS request_id,
+         UPPER(CASE WHEN n.n_nationkey % 2 = 0 THEN lower(n.n_name) ELSE 'New ' || n.n_name END) AS name,
+         UPPER(lower(r.r_name)) AS city
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+ap2 AS (SELECT ap.*, COALESCE(name IN (SELECT name FROM fm_airport), FALSE) AS ex FROM ap)
+SELECT request_id, name, city,
+       CASE WHEN ex OR EXISTS (SELECT 1 FROM ap2 b WHERE NOT b.ex AND b.name = ap2.name
+                                 AND b.request_id < ap2.request_id) THEN 'existing' ELSE 'ok' END AS outcome
+FROM ap2""")
+
+    q["permission_grant_outcomes"] = _q("WITH " + _GRANTS + """
+SELECT request_id, username, permission, outcome FROM gr4""")
+
+    q["apply_permission_grants"] = _q("WITH " + _GRANTS + """,
+added AS (SELECT username, permission FROM gr4 WHERE outcome = 'ok')
+SELECT username, permission FROM fm_permission WHERE permission IS DISTINCT FROM ''
+UNION ALL
+SELECT username, permission FROM fm_permission
+WHERE permission = '' AND username NOT IN (SELECT username FROM added)
+UNION ALL
+SELECT username, permission FROM added""")
+
+    q["agent_move_outcomes"] = _q("WITH " + _MOVES + """
+SELECT request_id, email, airline_name, CASE WHEN prev = airline_name THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM mv3
+UNION ALL
+SELECT request_id, email, airline_name, pre FROM mv2 WHERE pre IS NOT NULL""")
+
+    q["assign_agents_to_airline"] = _q("WITH " + _MOVES + """,
+latest AS (
+  SELECT email, airline_name FROM (
+    SELECT email, airline_name, ROW_NUMBER() OVER (PARTITION BY email ORDER BY request_id DESC) AS rn
+    FROM mv2 WHERE pre IS NULL) x WHERE rn = 1)
+SELECT a.email, a.b_id, COALESCE(l.airline_name, a.airline_name) AS airline_name
+FROM fm_agent a LEFT JOIN latest l ON l.email = a.email""")
+
+    q["load_registrations"] = _q("""
+WITH rg AS (
+  SELECT event_id AS request_id, ts,
+         CASE event_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'agent' ELSE 'staff' END AS kind,
+         CASE event_id % 3
+           WHEN 0 THEN 'Customer#' || lpad(CAST(user_id * 20 AS VARCHAR), 9, '0')
+           WHEN 1 THEN 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0')
+           ELSE 'staff-Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') END AS key,
+         CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Brand#' || CAST(event_id % 30 + 1 AS VARCHAR) END AS airline_name,
+         CASE WHEN event_id % 3 = 1 THEN CAST(user_id + 50 AS VARCHAR) END AS b_id
+  FROM events WHERE event_type = 'signup'),
+rg2 AS (
+  SELECT rg.*,
+         CASE WHEN kind = 'agent' AND b_id IN (SELECT b_id FROM fm_agent) THEN 'existing_b_id'
+              WHEN kind IN ('agent', 'staff')
+                   AND (airline_name IS NULL OR airline_name NOT IN (SELECT name FROM fm_airline)) THEN 'unknown_airline'
+              WHEN (kind = 'customer' AND key IN (SELECT email FROM fm_customer))
+                OR (kind = 'agent' AND key IN (SELECT email FROM fm_agent))
+                OR (kind = 'staff' AND key IN (SELECT username FROM fm_staff)) THEN 'existing' END AS pre
+  FROM rg),
+rg3 AS (SELECT rg2.*, pre IS NULL AS valid FROM rg2),
+rg4 AS (
+  SELECT rg3.*, EXISTS (SELECT 1 FROM rg3 b WHERE b.valid AND b.kind = rg3.kind AND b.key = rg3.key
+                          AND (b.ts < rg3.ts OR (b.ts = rg3.ts AND b.request_id < rg3.request_id))) AS late_key
+  FROM rg3),
+rg5 AS (SELECT rg4.*, (valid AND NOT late_key AND kind = 'agent') AS valid2 FROM rg4),
+rg6 AS (
+  SELECT rg5.*, EXISTS (SELECT 1 FROM rg5 b WHERE b.valid2 AND b.b_id = rg5.b_id
+                          AND (b.ts < rg5.ts OR (b.ts = rg5.ts AND b.request_id < rg5.request_id))) AS late_bid
+  FROM rg5)
+SELECT request_id, kind, key,
+       CASE WHEN pre IS NOT NULL THEN pre WHEN late_key THEN 'existing'
+            WHEN kind = 'agent' AND late_bid THEN 'existing_b_id' ELSE 'ok' END AS outcome
+FROM rg6""")
+
     return q
 
 
+_NEW_FLIGHTS = """nf AS (
+  SELECT o.o_orderkey AS request_id, o.o_orderdate AS ts, CAST(o.o_orderkey AS VARCHAR) AS flight_num,
+         CASE WHEN o.o_orderkey % 30 = 0 THEN 'Brand#1' ELSE p.p_brand END AS airline_name,
+         CAST(o.o_custkey AS VARCHAR) AS airplane_id, dn.n_name AS depart_name, an.n_name AS arrive_name,
+         o.o_orderdate + to_hours(CAST(o.o_orderkey % 24 AS BIGINT)) AS depart_time,
+         o.o_orderdate + to_hours(CAST(o.o_orderkey % 24 AS BIGINT))
+           + to_hours(CAST(o.o_orderkey % 7 - 1 AS BIGINT)) AS arrive_time
+  FROM orders o
+  LEFT JOIN part p ON p.p_partkey = o.o_custkey
+  JOIN nation dn ON dn.n_nationkey = o.o_custkey % 25
+  JOIN nation an ON an.n_nationkey = o.o_orderkey % 25
+  WHERE o.o_orderkey % 10 = 0),
+nf2 AS (
+  SELECT nf.*, COALESCE(nf.flight_num IN (SELECT flight_num FROM fm_flight), FALSE) AS in_table,
+         CASE WHEN depart_name = arrive_name THEN 'same_airport'
+              WHEN arrive_time <= depart_time THEN 'bad_time'
+              WHEN NOT EXISTS (SELECT 1 FROM fm_airplane a
+                               WHERE a.id = nf.airplane_id AND a.airline_name = nf.airline_name) THEN 'airplane_not_owned'
+              WHEN depart_name NOT IN (SELECT name FROM fm_airport)
+                OR arrive_name NOT IN (SELECT name FROM fm_airport) THEN 'unknown_airport' END AS other
+  FROM nf),
+nf3 AS (SELECT nf2.*, (NOT in_table AND other IS NULL) AS valid FROM nf2),
+nf4 AS (
+  SELECT nf3.*, EXISTS (SELECT 1 FROM nf3 b WHERE b.valid AND b.flight_num = nf3.flight_num
+                          AND (b.ts < nf3.ts OR (b.ts = nf3.ts AND b.request_id < nf3.request_id))) AS late
+  FROM nf3)
+"""
+
+_STATUS_CHANGES = """sc AS (
+  SELECT e.event_id AS request_id, e.ts,
+         CASE WHEN e.event_id % 13 = 0 THEN 'Brand#0' ELSE p.p_brand END AS airline_name,
+         CAST(e.event_id % 200 AS VARCHAR) AS flight_num,
+         CASE e.event_id % 3 WHEN 0 THEN 'upcoming' WHEN 1 THEN 'in-progress' ELSE 'delayed' END AS flight_status
+  FROM events e LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  WHERE e.event_type = 'view'),
+sc2 AS (
+  SELECT sc.*, f.flight_status AS base_status,
+         CASE WHEN f.airline_name IS NULL OR f.airline_name <> sc.airline_name THEN 'unknown_flight'
+              WHEN sc.flight_status NOT IN ('upcoming', 'in-progress', 'delayed') THEN 'bad_status' END AS pre
+  FROM sc LEFT JOIN fm_flight f ON f.flight_num = sc.flight_num),
+sc3 AS (
+  SELECT *, COALESCE(LAG(flight_status) OVER (PARTITION BY flight_num ORDER BY ts, request_id), base_status) AS prev
+  FROM sc2 WHERE pre IS NULL)
+"""
+
+_GRANTS = """gr AS (
+  SELECT s_suppkey AS request_id,
+         CASE WHEN s_suppkey % 13 = 7 THEN 'staff-nobody-' || CAST(s_suppkey AS VARCHAR)
+              ELSE 'staff-' || s_name END AS username,
+         CASE WHEN s_suppkey % 11 = 5 THEN 'Root' WHEN s_suppkey % 2 = 0 THEN 'Admin' ELSE 'Operator' END AS permission
+  FROM supplier),
+gr2 AS (
+  SELECT gr.*,
+         CASE WHEN gr.username NOT IN (SELECT username FROM fm_staff) THEN 'unknown_user'
+              WHEN gr.permission NOT IN ('Admin', 'Operator') THEN 'bad_permission' END AS pre,
+         EXISTS (SELECT 1 FROM fm_permission p WHERE p.username = gr.username AND p.permission = gr.permission) AS held
+  FROM gr),
+gr3 AS (SELECT gr2.*, (pre IS NULL AND NOT held) AS valid FROM gr2),
+gr4 AS (
+  SELECT gr3.*,
+         CASE WHEN pre IS NOT NULL THEN pre
+              WHEN held OR EXISTS (SELECT 1 FROM gr3 b WHERE b.valid AND b.username = gr3.username
+                                     AND b.permission = gr3.permission AND b.request_id < gr3.request_id)
+              THEN 'already_granted' ELSE 'ok' END AS outcome
+  FROM gr3)
+"""
+
+_MOVES = """mv AS (
+  SELECT s_suppkey AS request_id,
+         CASE WHEN s_suppkey % 9 = 4 THEN 'Unknown#' || CAST(s_suppkey AS VARCHAR) ELSE s_name END AS email,
+         CASE WHEN s_suppkey % 17 = 3 THEN 'Brand#99'
+              ELSE 'Brand#' || CAST((s_suppkey + s_suppkey % 2) % 25 + 1 AS VARCHAR) END AS airline_name
+  FROM supplier
+  UNION ALL
+  SELECT s_suppkey + 1000000,
+         CASE WHEN s_suppkey % 9 = 4 THEN 'Unknown#' || CAST(s_suppkey AS VARCHAR) ELSE s_name END,
+         'Brand#' || CAST((s_suppkey + 1) % 25 + 1 AS VARCHAR)
+  FROM supplier),
+mv2 AS (
+  SELECT mv.*, a.airline_name AS base_airline,
+         CASE WHEN a.email IS NULL THEN 'unknown_agent'
+              WHEN mv.airline_name NOT IN (SELECT name FROM fm_airline) THEN 'unknown_airline' END AS pre
+  FROM mv LEFT JOIN fm_agent a ON a.email = mv.email),
+mv3 AS (
+  SELECT *, COALESCE(LAG(airline_name) OVER (PARTITION BY email ORDER BY request_id), base_airline) AS prev
+  FROM mv2 WHERE pre IS NULL)
+"""
+
+
 def _booking_sql(agent: bool) -> str:
     """Requests -> ``decided`` (request columns, status, before) as CTEs."""
     if agent:

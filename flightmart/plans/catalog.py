@@ -15,6 +15,7 @@ from flightmart.operators import agent as ag
 from flightmart.operators import airline as al
 from flightmart.operators import booking as bk
 from flightmart.operators import customer as cu
+from flightmart.operators import maintain as mt
 from flightmart.operators import search as se
 from flightmart.operators import facts
 from flightmart.sources import fixtures
@@ -77,6 +78,23 @@ QUERIES: dict[str, Query] = {
     "book_tickets_direct": lambda s, d: _book_direct(s, d),
     "book_tickets_agent": lambda s, d: _book_agent(s, d),
     "assign_ticket_ids": lambda s, d: _ticket_ids(s, d),
+    "load_new_flights": lambda s, d: mt.load_new_flights(
+        fixtures.new_flights(s, d), _t(s, d).flight, _t(s, d).airplane, _t(s, d).airport),
+    "apply_flight_status": lambda s, d: mt.apply_flight_status(fixtures.status_changes(s, d), _t(s, d).flight),
+    "flight_status_outcomes": lambda s, d: mt.flight_status_outcomes(fixtures.status_changes(s, d), _t(s, d).flight),
+    "load_new_airplanes": lambda s, d: mt.load_new_airplanes(fixtures.new_airplanes(s, d), _t(s, d).airplane),
+    "load_new_airports": lambda s, d: mt.load_new_airports(fixtures.new_airports(s, d), _t(s, d).airport),
+    "permission_grant_outcomes": lambda s, d: mt.permission_grant_outcomes(
+        fixtures.grants(s, d), _t(s, d).permission, _t(s, d).airline_staff),
+    "apply_permission_grants": lambda s, d: mt.apply_permission_grants(
+        fixtures.grants(s, d), _t(s, d).permission, _t(s, d).airline_staff),
+    "agent_move_outcomes": lambda s, d: mt.agent_move_outcomes(
+        fixtures.agent_moves(s, d), _t(s, d).booking_agent, _t(s, d).airline),
+    "assign_agents_to_airline": lambda s, d: mt.assign_agents_to_airline(
+        fixtures.agent_moves(s, d), _t(s, d).booking_agent, _t(s, d).airline),
+    "load_registrations": lambda s, d: mt.load_registrations(
+        fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
+        _t(s, d).airline),
 }
 
 

@@ -192,3 +192,118 @@ def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(F.col("c_name")).alias("customer_email"),
                 (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
             ))
+
+
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status change requests: view events; flight event_id % 200 with its airline
+    (a wrong airline every 13th); status by event_id % 3, with the creation
+    spelling ``delay`` for 2."""
+    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    m = F.col("event_id") % 3
+    return (events.join(part, (events.event_id % N_REQUEST_FLIGHTS) == part.p_partkey, "left")
+            .select(
+                F.col("event_id").alias("request_id"),
+                "ts",
+                F.when(F.col("event_id") % 13 == 0, F.lit("Brand#0")).otherwise(F.col("p_brand")).alias("airline_name"),
+                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+                F.when(m == 0, F.lit("upcoming")).when(m == 1, F.lit("in-progress")).otherwise(F.lit("delay"))
+                .alias("flight_status"),
+            ))
+
+
+def new_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-flight requests from every 10th order."""
+    orders = _read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 10 == 0)
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    nation = _read(spark, sf_dir, "nation")
+    dep = nation.select(F.col("n_nationkey").alias("_dk"), F.col("n_name").alias("depart_name"))
+    arr = nation.select(F.col("n_nationkey").alias("_ak"), F.col("n_name").alias("arrive_name"))
+    depart = F.timestamp_add("HOUR", F.col("o_orderkey") % 24, F.col("o_orderdate"))
+    return (orders.join(part, orders.o_custkey == part.p_partkey, "left")
+            .join(dep, (orders.o_custkey % 25) == dep._dk)
+            .join(arr, (orders.o_orderkey % 25) == arr._ak)
+            .select(
+                F.col("o_orderkey").alias("request_id"),
+                F.col("o_orderdate").alias("ts"),
+                F.col("o_orderkey").cast("string").alias("flight_num"),
+                F.when(F.col("o_orderkey") % 30 == 0, F.lit("Brand#1")).otherwise(F.col("p_brand")).alias("airline_name"),
+                F.col("o_custkey").cast("string").alias("airplane_id"),
+                "depart_name",
+                "arrive_name",
+                depart.alias("depart_time"),
+                F.timestamp_add("HOUR", F.col("o_orderkey") % 7 - 1, depart).alias("arrive_time"),
+                (F.col("o_totalprice") / 100).cast("decimal(10,2)").alias("price"),
+                F.lit("upcoming").alias("flight_status"),
+            ))
+
+
+def new_airplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-airplane requests from suppliers; every 7th id is not an integer."""
+    s = _read(spark, sf_dir, "supplier")
+    plain = (F.col("s_suppkey") * 50).cast("string")
+    return s.select(
+        F.col("s_suppkey").alias("request_id"),
+        _agent_airline(F.col("s_suppkey")).alias("airline_name"),
+        F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("x"), plain)).otherwise(plain).alias("airplane_id"),
+        (F.col("s_suppkey") % 50 + 1).cast("string").alias("seats"),
+    )
+
+
+def new_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-airport requests: lower-case existing names (even keys) and new names (odd keys)."""
+    nation = _read(spark, sf_dir, "nation")
+    region = _read(spark, sf_dir, "region")
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.col("n_nationkey").cast("long").alias("request_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name"))
+        .otherwise(F.concat(F.lit("New "), F.col("n_name"))).alias("name"),
+        F.lower("r_name").alias("city"),
+    )
+
+
+def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permission grants: Admin for even suppliers, Operator for odd; some bad names and users."""
+    s = _read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        k.alias("request_id"),
+        F.when(k % 13 == 7, F.concat(F.lit("staff-nobody-"), k.cast("string")))
+        .otherwise(F.concat(F.lit("staff-"), F.col("s_name"))).alias("username"),
+        F.when(k % 11 == 5, F.lit("Root")).when(k % 2 == 0, F.lit("Admin")).otherwise(F.lit("Operator"))
+        .alias("permission"),
+    )
+
+
+def agent_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent moves, two rounds per agent: odd agents move to the next airline and
+    are then asked to move there again (unchanged); some unknown agents and airlines."""
+    s = _read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    email = F.when(k % 9 == 4, F.concat(F.lit("Unknown#"), k.cast("string"))).otherwise(F.col("s_name"))
+    first = s.select(
+        k.alias("request_id"), email.alias("email"),
+        F.when(k % 17 == 3, F.lit("Brand#99"))
+        .otherwise(F.concat(F.lit("Brand#"), ((k + k % 2) % N_AIRLINES + 1).cast("string"))).alias("airline_name"))
+    second = s.select(
+        (k + 1_000_000).alias("request_id"), email.alias("email"),
+        F.concat(F.lit("Brand#"), ((k + 1) % N_AIRLINES + 1).cast("string")).alias("airline_name"))
+    return first.unionByName(second)
+
+
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups from signup events: kind by event_id % 3; about half the keys exist."""
+    e = _read(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    kind = F.when(F.col("event_id") % 3 == 0, F.lit("customer")) \
+        .when(F.col("event_id") % 3 == 1, F.lit("agent")).otherwise(F.lit("staff"))
+    uid = F.col("user_id")
+    key = (F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Customer#"), F.lpad((uid * 20).cast("string"), 9, "0")))
+           .when(F.col("event_id") % 3 == 1, F.concat(F.lit("Supplier#"), F.lpad(uid.cast("string"), 9, "0")))
+           .otherwise(F.concat(F.lit("staff-Supplier#"), F.lpad(uid.cast("string"), 9, "0"))))
+    is_cust = F.col("event_id") % 3 == 0
+    return e.select(
+        F.col("event_id").alias("request_id"), "ts", kind.alias("kind"), key.alias("key"), key.alias("name"),
+        F.when(is_cust, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("Brand#"), (F.col("event_id") % 30 + 1).cast("string"))).alias("airline_name"),
+        F.when(F.col("event_id") % 3 == 1, (uid + 50).cast("string")).alias("b_id"),
+    )

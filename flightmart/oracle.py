@@ -64,14 +64,23 @@ fm_purchases AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN supplier s ON l.l_suppkey = s.s_suppkey),
-fm_customer AS (SELECT c_name AS email, c_custkey FROM customer),
+fm_customer AS (
+  SELECT c.c_name AS email, c.c_name AS name, CAST(c.c_custkey AS BIGINT) AS building_number,
+         'Street ' || CAST(c.c_custkey AS VARCHAR) AS street, n.n_name AS city, r.r_name AS state,
+         CAST(c.c_custkey + 10000000000 AS DECIMAL(20,0)) AS phone_number,
+         'P' || CAST(c.c_custkey AS VARCHAR) AS passport_number,
+         CAST(DATE '2030-01-01' + CAST(c.c_custkey AS INTEGER) AS DATE) AS passport_expiration,
+         n.n_name AS passport_country,
+         CAST(DATE '1950-01-01' + CAST(c.c_custkey AS INTEGER) AS DATE) AS date_of_birth
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
 fm_agent AS (
   SELECT s_name AS email, CAST(s_suppkey AS VARCHAR) AS b_id,
-         'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS airline_name, s_suppkey
+         'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS airline_name
   FROM supplier),
 fm_staff AS (
   SELECT 'staff-' || s_name AS username, 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS airline_name,
-         s_suppkey
+         'First' || CAST(s_suppkey AS VARCHAR) AS first_name, 'Last' || CAST(s_suppkey AS VARCHAR) AS last_name,
+         CAST(DATE '1960-01-01' + CAST(s_suppkey AS INTEGER) AS DATE) AS date_of_birth
   FROM supplier),
 fm_permission AS (
   SELECT 'staff-' || s_name AS username,
@@ -493,9 +502,60 @@ SELECT request_id, kind, key,
             WHEN kind = 'agent' AND late_bid THEN 'existing_b_id' ELSE 'ok' END AS outcome
 FROM rg6""")
 
+    q["integrity_audit"] = _q(_audit_sql())
+
     return q
 
 
+def _audit_sql() -> str:
+    pks = [("airline", "fm_airline", "name"), ("airline_staff", "fm_staff", "username"), ("airplane", "fm_airplane", "id"),
+           ("airport", "fm_airport", "name"), ("flight", "fm_flight", "flight_num"), ("ticket", "fm_ticket", "ticket_id"),
+           ("customer", "fm_customer", "email"), ("booking_agent", "fm_agent", "email")]
+    fks = [("airline_staff.airline_name", "fm_staff", "airline_name", "fm_airline", "name"),
+           ("permission.username", "fm_permission", "username", "fm_staff", "username"),
+           ("airplane.airline_name", "fm_airplane", "airline_name", "fm_airline", "name"),
+           ("flight.airline_name", "fm_flight", "airline_name", "fm_airline", "name"),
+           ("flight.airplane_id", "fm_flight", "airplane_id", "fm_airplane", "id"),
+           ("flight.depart_name", "fm_flight", "depart_name", "fm_airport", "name"),
+           ("flight.arrive_name", "fm_flight", "arrive_name", "fm_airport", "name"),
+           ("ticket.flight_num", "fm_ticket", "flight_num", "fm_flight", "flight_num"),
+           ("booking_agent.airline_name", "fm_agent", "airline_name", "fm_airline", "name"),
+           ("purchases.ticket_id", "fm_purchases", "ticket_id", "fm_ticket", "ticket_id"),
+           ("purchases.customer_email", "fm_purchases", "customer_email", "fm_customer", "email"),
+           ("purchases.booking_agent_email", "fm_purchases", "booking_agent_email", "fm_agent", "email")]
+    strings = {
+        "airline": ("fm_airline", ["name"]),
+        "airline_staff": ("fm_staff", ["username", "airline_name", "first_name", "last_name"]),
+        "permission": ("fm_permission", ["username", "permission"]),
+        "airplane": ("fm_airplane", ["airline_name", "id"]),
+        "airport": ("fm_airport", ["name", "city"]),
+        "flight": ("fm_flight", ["flight_num", "airline_name", "airplane_id", "depart_name", "arrive_name",
+                                 "flight_status"]),
+        "ticket": ("fm_ticket", ["ticket_id", "flight_num"]),
+        "customer": ("fm_customer", ["email", "name", "street", "city", "state", "passport_number",
+                                     "passport_country"]),
+        "booking_agent": ("fm_agent", ["email", "b_id", "airline_name"]),
+        "purchases": ("fm_purchases", ["ticket_id", "customer_email", "booking_agent_email"]),
+    }
+    parts = []
+    for name, view, col in pks:
+        parts.append(f"SELECT 'pk' AS rule, '{name}' AS table_name, CAST({col} AS VARCHAR) AS key, "
+                     f"CAST(COUNT(*) AS BIGINT) AS n FROM {view} GROUP BY {col} HAVING COUNT(*) > 1")
+    for label, child, col, parent, pcol in fks:
+        parts.append(f"SELECT 'fk', '{label}', CAST({col} AS VARCHAR), CAST(COUNT(*) AS BIGINT) FROM {child} "
+                     f"WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT {pcol} FROM {parent} WHERE {pcol} IS NOT NULL) "
+                     f"GROUP BY {col}")
+    for label, view, col in [("airline_staff.username", "fm_staff", "username"),
+                             ("permission.username", "fm_permission", "username")]:
+        parts.append(f"SELECT 'not_null', '{label}', CAST(NULL AS VARCHAR), CAST(COUNT(*) AS BIGINT) FROM {view} "
+                     f"WHERE {col} IS NULL HAVING COUNT(*) > 0")
+    for name, (view, cols) in strings.items():
+        for col in cols:
+            parts.append(f"SELECT 'length', '{name}.{col}', {col}, CAST(COUNT(*) AS BIGINT) FROM {view} "
+                         f"WHERE length({col}) > 20 GROUP BY {col}")
+    return "\nUNION ALL\n".join(parts)
+
+
 _NEW_FLIGHTS = """nf AS (
   SELECT o.o_orderkey AS request_id, o.o_orderdate AS ts, CAST(o.o_orderkey AS VARCHAR) AS flight_num,
          CASE WHEN o.o_orderkey % 30 = 0 THEN 'Brand#1' ELSE p.p_brand END AS airline_name,

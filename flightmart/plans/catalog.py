@@ -16,6 +16,7 @@ from flightmart.operators import airline as al
 from flightmart.operators import booking as bk
 from flightmart.operators import customer as cu
 from flightmart.operators import maintain as mt
+from flightmart.operators import quality as qa
 from flightmart.operators import search as se
 from flightmart.operators import facts
 from flightmart.sources import fixtures
@@ -95,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "load_registrations": lambda s, d: mt.load_registrations(
         fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
         _t(s, d).airline),
+    "integrity_audit": lambda s, d: qa.integrity_audit(_t(s, d)),
 }
 
 

@@ -42,5 +42,9 @@ def make_tables(spark, **rows):
     """Micro Tables from row tuples in schema order; missing tables are empty."""
     from flightmart.sources.schemas import SCHEMAS
     from flightmart.sources.tables import Tables
-    frames = {name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in SCHEMAS.items()}
+    from pyspark.sql import DataFrame
+    frames = {}
+    for name, schema in SCHEMAS.items():
+        given = rows.get(name, [])
+        frames[name] = given if isinstance(given, DataFrame) else spark.createDataFrame(given, schema)
     return Tables(**frames)

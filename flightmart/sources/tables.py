@@ -37,8 +37,10 @@ class Tables:
 
 def read_tables(spark: SparkSession, root: str) -> Tables:
     """Scan ``root/<table>`` Parquet folders with the fixed schemas."""
+    # Partition folders (purchases by p_month) add their column on read;
+    # the declared columns are selected so every table has its fixed schema.
     frames = {
-        name: spark.read.schema(schema).parquet(f"{root}/{name}")
+        name: spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.fieldNames())
         for name, schema in schemas.SCHEMAS.items()
     }
     return Tables(**frames)

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightmart.functions.ordering import id_chunk, previous_value
 from flightmart.sources.schemas import (PERMISSION_ADMIN, PERMISSION_OPERATOR, PERMISSION_PLACEHOLDER,
                                         STATUSES)
 
@@ -140,20 +141,11 @@ def _status_decisions(changes: DataFrame, flight: DataFrame, permission, airline
     r = r.withColumn("_pre", F.when(~F.col("_permitted"), F.lit(NOT_PERMITTED))
                      .when(~known, F.lit(UNKNOWN_FLIGHT))
                      .when(~good_status, F.lit(BAD_STATUS)))
-    valid = r.filter(F.col("_pre").isNull())
-    # previous status of each valid change, two-level: lag inside a
-    # (flight, time chunk) piece, and the chunk's incoming status from the
-    # last change of the previous chunk (one row per chunk).
-    valid = valid.withColumn("_chunk", F.date_trunc(chunk_unit, F.col("ts")))
-    last_of_chunk = (valid.groupBy("flight_num", "_chunk")
-                     .agg(F.max_by("flight_status", F.struct("ts", "request_id")).alias("_last")))
-    incoming = last_of_chunk.withColumn(
-        "_incoming", F.lag("_last").over(Window.partitionBy("flight_num").orderBy("_chunk"))
-    ).select("flight_num", "_chunk", "_incoming")
-    w = Window.partitionBy("flight_num", "_chunk").orderBy("ts", "request_id")
-    valid = (valid.join(incoming, ["flight_num", "_chunk"])
-             .withColumn("_prev", F.coalesce(F.lag("flight_status").over(w), F.col("_incoming"),
-                                             F.col("_base_status"))))
+    # previous status of each valid change: lag inside (flight, time chunk)
+    # pieces, carried across chunks (see functions.ordering)
+    valid = previous_value(r.filter(F.col("_pre").isNull()), ["flight_num"], "flight_status",
+                           ["ts", "request_id"], F.date_trunc(chunk_unit, F.col("ts")), "_lag")
+    valid = valid.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_base_status")))
     decided = valid.select("request_id", "flight_num", "ts", "flight_status",
                            F.when(F.col("_prev") == F.col("flight_status"), F.lit(UNCHANGED))
                            .otherwise(F.lit(UPDATED)).alias("outcome"))
@@ -271,16 +263,17 @@ def apply_permission_grants(grants: DataFrame, permission: DataFrame, airline_st
 
 # ---------------------------------------------------------------- O40 agents
 
-def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame) -> DataFrame:
+def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
+                     chunk_rows: int = 1_000_000) -> DataFrame:
     base = booking_agent.select("email", F.col("airline_name").alias("_base_airline"), F.lit(True).alias("_known"))
     names = airline.select(F.col("name").alias("airline_name")).distinct().withColumn("_airline_ok", F.lit(True))
     r = (moves.join(base, "email", "left").join(names, "airline_name", "left")
          .withColumn("_pre", F.when(F.col("_known").isNull(), F.lit(UNKNOWN_AGENT))
                      .when(F.col("_airline_ok").isNull(), F.lit(UNKNOWN_AIRLINE))))
     order = _order_cols(moves)
-    valid = r.filter(F.col("_pre").isNull())
-    w = Window.partitionBy("email").orderBy(*order)
-    valid = valid.withColumn("_prev", F.coalesce(F.lag("airline_name").over(w), F.col("_base_airline")))
+    chunk = (F.date_trunc("day", F.col("ts")) if "ts" in order else id_chunk("request_id", chunk_rows))
+    valid = previous_value(r.filter(F.col("_pre").isNull()), ["email"], "airline_name", order, chunk, "_lag")
+    valid = valid.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_base_airline")))
     decided = valid.select("request_id", "email", "airline_name", *[c for c in order if c != "request_id"],
                            F.when(F.col("_prev") == F.col("airline_name"), F.lit(UNCHANGED))
                            .otherwise(F.lit(UPDATED)).alias("outcome"))

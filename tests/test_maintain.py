@@ -164,3 +164,15 @@ def test_integrity_audit(spark):
     assert got[("not_null", "airline_staff.username", None)] == 1
     assert got[("length", "airline_staff.username", "a-very-long-user-name-here")] == 1
     assert ("fk", "purchases.booking_agent_email", None) not in got
+
+
+def test_previous_value_carries_across_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from flightmart.functions.ordering import id_chunk, previous_value
+    rows = [(1, "k", "a"), (2, "k", "b"), (7, "k", "c"), (8, "j", "x"), (9, "k", "d"), (12, "j", "y")]
+    df = spark.createDataFrame(rows, "request_id long, key string, v string")
+    out = previous_value(df, ["key"], "v", ["request_id"], id_chunk("request_id", 3), "prev")
+    got = {r.request_id: r.prev for r in out.collect()}
+    assert got == {1: None, 2: "a", 7: "b", 9: "c", 8: None, 12: "x"}
+    assert out.filter(F.col("prev").isNull()).count() == 2

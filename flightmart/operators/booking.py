@@ -86,30 +86,32 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
     """
     if "pre_status" not in requests.columns:
         requests = requests.withColumn("pre_status", F.lit(None).cast("int"))
+    req = requests
+    if require_upcoming:
+        fstatus = flight.select("flight_num", F.col("flight_status").alias("_fstatus"))
+        req = req.join(fstatus, "flight_num", "left").withColumn(
+            "pre_status", F.when(F.col("pre_status").isNull()
+                                 & (F.coalesce(F.col("_fstatus"), F.lit("")) != "upcoming"),
+                                 F.lit(NOT_UPCOMING)).otherwise(F.col("pre_status"))).drop("_fstatus")
+    req = req.withColumn("_ok", F.col("pre_status").isNull())
+    # The first valid request of each (customer, flight) pair: a min()
+    # aggregate (partial per task, then one row per pair) rather than a
+    # window, so a pair with a huge number of repeats is reduced map-side.
+    # It only needs the request table, so it is taken before the joins.
+    firsts = (req.filter(F.col("_ok")).groupBy("customer_email", "flight_num")
+              .agg(F.min(F.struct("ts", "request_id")).alias("_first"))
+              .select("customer_email", "flight_num", F.col("_first.request_id").alias("_first_id")))
+    req = req.join(firsts, ["customer_email", "flight_num"], "left")
+
     req_flights = requests.select("flight_num").distinct()
     cap = seat_availability(flight.join(req_flights, "flight_num", "left_semi"), airplane,
                             ticket.join(req_flights, "flight_num", "left_semi"))
-    status_of_flight = flight.select("flight_num", F.col("flight_status").alias("_fstatus"))
     held = existing_pairs(purchases, ticket, requests).withColumn("_held", F.lit(True))
-
-    r = (requests
+    r = (req
          .join(cap.select("flight_num", "remaining"), "flight_num", "left")
-         .join(status_of_flight, "flight_num", "left")
          .join(held, ["customer_email", "flight_num"], "left")
          .withColumn("remaining", F.coalesce("remaining", F.lit(0)))
-         .withColumn("_ok", F.col("pre_status").isNull()))
-    if require_upcoming:
-        r = r.withColumn("pre_status", F.when(F.col("_ok") & (F.coalesce(F.col("_fstatus"), F.lit("")) != "upcoming"),
-                                              F.lit(NOT_UPCOMING)).otherwise(F.col("pre_status")))
-        r = r.withColumn("_ok", F.col("pre_status").isNull())
-    # The first valid request of each (customer, flight) pair.  A min()
-    # aggregate (partial per task, then one row per pair) rather than a
-    # window, so a pair with a huge number of repeats is reduced map-side.
-    firsts = (r.filter(F.col("_ok")).groupBy("customer_email", "flight_num")
-              .agg(F.min(F.struct("ts", "request_id")).alias("_first"))
-              .select("customer_email", "flight_num", F.col("_first.request_id").alias("_first_id")))
-    r = (r.join(firsts, ["customer_email", "flight_num"], "left")
-         .withColumn("_cand", (F.col("_ok") & (F.col("request_id") == F.col("_first_id"))
+         .withColumn("_cand", (F.col("_ok") & F.coalesce(F.col("request_id") == F.col("_first_id"), F.lit(False))
                                & F.col("_held").isNull()).cast("int")))
 
     # two-level running count of candidates per flight

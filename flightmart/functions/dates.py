@@ -57,6 +57,22 @@ def last_months(as_of: dt.date, n: int) -> tuple[dt.date, dt.date]:
     return add_months(last, -(n - 1)), last
 
 
+# The month labels of the reference's charts, January to December.
+MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "June", "July", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def month_label(col: str | Column) -> Column:
+    """Chart label of a date's month (``Jan`` ... ``Dec``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.element_at(F.array(*[F.lit(m) for m in MONTH_LABELS]), F.month(c))
+
+
+def month_key(col: str | Column) -> Column:
+    """``'YYYY-M'`` key of a date's month, month without zero padding."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.concat_ws("-", F.year(c).cast("string"), F.month(c).cast("string"))
+
+
 def month_spine(keys: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
     """One row per key and calendar month in [first, last].
 

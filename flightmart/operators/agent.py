@@ -17,7 +17,7 @@ AGENT = "booking_agent_email"
 
 
 def agent_upcoming_bookings(sales: DataFrame, own_only: bool = False, airport: DataFrame | None = None,
-                            criteria=None) -> DataFrame:
+                            criteria=None, agents: DataFrame | None = None) -> DataFrame:
     """Per agent, every purchase on upcoming flights the agent sold at least one ticket of.
 
     All buyers and channels are listed (Q5); ``own_only=True`` keeps the
@@ -25,15 +25,21 @@ def agent_upcoming_bookings(sales: DataFrame, own_only: bool = False, airport: D
     of the flight, purchase of the flight): it is an equi-join of the
     distinct (agent, flight) pairs with the flight's purchases on
     flight_num, not a cross product.  Flights are cut to upcoming ones
-    (and to the search criteria, O08) before the join.
+    (and to the search criteria, O08) before the join.  ``agents`` (a frame
+    with a booking_agent_email column) restricts the output to those agents.
     """
     up = sales.filter(F.col("flight_status") == F.lit(STATUS_UPCOMING))
     if criteria is not None:
         up = apply_criteria(up, airport, criteria, "bound")
     cols = [AGENT, *FLIGHT_COLUMNS, "customer_email"]
     if own_only:
-        return up.filter(F.col(AGENT).isNotNull()).select(*cols)
+        own = up.filter(F.col(AGENT).isNotNull())
+        if agents is not None:
+            own = own.join(agents.select(AGENT).distinct(), AGENT, "left_semi")
+        return own.select(*cols)
     agent_flights = up.filter(F.col(AGENT).isNotNull()).select(AGENT, "flight_num").distinct()
+    if agents is not None:
+        agent_flights = agent_flights.join(agents.select(AGENT).distinct(), AGENT, "left_semi")
     passengers = up.select(*FLIGHT_COLUMNS, "customer_email")
     return agent_flights.join(passengers, "flight_num").select(*cols)
 

@@ -431,10 +431,11 @@ FROM na4""")
 
     q["load_new_airports"] = _q("""
 WITH ap AS (
-  SELECT CAST(n.n_nationkey AS BIGINT) AS request_id,
-         UPPER(CASE WHEN n.n_nationkey % 2 = 0 THEN lower(n.n_name) ELSE 'New ' || n.n_name END) AS name,
+  SELECT CAST(c.c_custkey AS BIGINT) AS request_id,
+         UPPER(CASE WHEN c.c_custkey % 2 = 0 THEN lower(n.n_name)
+                    ELSE 'Port ' || CAST(c.c_custkey % 97 AS VARCHAR) END) AS name,
          UPPER(lower(r.r_name)) AS city
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
 ap2 AS (SELECT ap.*, COALESCE(name IN (SELECT name FROM fm_airport), FALSE) AS ex FROM ap)
 SELECT request_id, name, city,
        CASE WHEN ex OR EXISTS (SELECT 1 FROM ap2 b WHERE NOT b.ex AND b.name = ap2.name

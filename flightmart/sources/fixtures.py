@@ -251,15 +251,21 @@ def new_airplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New-airport requests: lower-case existing names (even keys) and new names (odd keys)."""
+    """New-airport requests, one per customer: the lower-cased name of the
+    customer's nation (already an airport) for even keys, ``Port <k % 97>``
+    (new, repeated across customers) for odd keys; city = lower-cased region."""
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").cast("long").alias("request_id"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name"))
-        .otherwise(F.concat(F.lit("New "), F.col("n_name"))).alias("name"),
-        F.lower("r_name").alias("city"),
-    )
+    k = F.col("c_custkey")
+    return (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+            .join(region, nation.n_regionkey == region.r_regionkey)
+            .select(
+                k.cast("long").alias("request_id"),
+                F.when(k % 2 == 0, F.lower("n_name"))
+                .otherwise(F.concat(F.lit("Port "), (k % 97).cast("string"))).alias("name"),
+                F.lower("r_name").alias("city"),
+            ))
 
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,16 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
+
+
+SPARK_TO_DUCK = {"StringType()": "VARCHAR", "LongType()": "BIGINT", "IntegerType()": "INTEGER",
+                 "DoubleType()": "DOUBLE", "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_column_types_match_oracle(spark, duck, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    spark_types = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType).replace("DecimalType", "DECIMAL"))
+                   for f in df.schema.fields}
+    rel = duck.sql(entry.oracle_sql()[name])
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))

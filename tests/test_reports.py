@@ -189,3 +189,25 @@ def test_top_destinations_counts_flights_for_all_airlines(spark):
     t = make_tables(spark, flight=flights, airport=[("X", "CX"), ("Y", "CY"), ("Z", "CZ")])
     rows = al.top_destinations(t.flight, t.airport, d("2001-07-01")).filter("window_days = 92").orderBy("rank")
     assert [(r.rank, r.city, r.flights) for r in rows.collect()] == [(1, "CY", 2), (2, "CZ", 1)]
+
+
+def test_month_labels_and_keys(spark):
+    from flightmart.functions.dates import month_key, month_label
+    df = spark.createDataFrame([(d("2001-06-15"),), (d("2002-12-01"),)], "x date")
+    rows = df.select(month_label("x").alias("l"), month_key("x").alias("k")).collect()
+    assert [(r.l, r.k) for r in rows] == [("June", "2001-6"), ("Dec", "2002-12")]
+
+
+def test_revenue_share_zero_revenue_is_null(spark):
+    flights = [flight_row(1, price="0.00")]
+    t = make_tables(spark, flight=flights, ticket=[("1", "1")], purchases=[("1", "c", None, d("2001-06-25"))])
+    rows = al.airline_revenue_share(sales_of(t), d("2001-07-01")).collect()
+    assert {(r.window_days, r.pct_direct, r.pct_agent) for r in rows} == {(30, None, None), (365, None, None)}
+
+
+def test_agent_list_key_filter(spark):
+    tk, pu = purchases_on(1, [("1", "c1", "ag", "2001-06-01"), ("2", "c2", "other", "2001-06-01")])
+    t = make_tables(spark, flight=[flight_row(1)], ticket=tk, purchases=pu)
+    agents = spark.createDataFrame([("ag",)], "booking_agent_email string")
+    rows = ag.agent_upcoming_bookings(sales_of(t), agents=agents).collect()
+    assert {(r.booking_agent_email, r.customer_email) for r in rows} == {("ag", "c1"), ("ag", "c2")}

@@ -21,12 +21,6 @@ from flightmart.functions.predicates import apply_criteria
 from flightmart.sources.schemas import FLIGHT_COLUMNS
 
 
-def _windows_of(p_date: str, as_of: dt.date, windows: Sequence[int]):
-    """Array of the window widths whose ``as_of - w <= p_date`` holds (upper bound checked by caller)."""
-    return F.array(*[F.when(F.col(p_date) >= F.lit(days_before(as_of, w)), F.lit(int(w)))
-                     for w in windows])
-
-
 def _unpivot_windows(df: DataFrame, keys: Sequence[str], windows: Sequence[int],
                      measures: dict[str, str]) -> DataFrame:
     """Turn per-window columns ``{measure}_{w}`` into rows (keys, window_days, measures)."""

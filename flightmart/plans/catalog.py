@@ -19,6 +19,7 @@ from flightmart.operators import maintain as mt
 from flightmart.operators import quality as qa
 from flightmart.operators import search as se
 from flightmart.operators import facts
+from flightmart.session import ensure_checkpoint_dir
 from flightmart.sources import fixtures
 
 AS_OF = fixtures.AS_OF
@@ -113,6 +114,11 @@ def _book_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids need two passes over the decided requests (count, then number), so
+    the decisions are checkpointed first (reliable checkpoint in the session's
+    ``spark.checkpoint.dir``): the id plan then scans the checkpoint instead
+    of re-deriving every decision for each pass."""
+    ensure_checkpoint_dir(spark)
     t = _t(spark, sf_dir)
     decided = bk.decide(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket, t.purchases)
-    return bk.assign_ticket_ids(decided, t.ticket)
+    return bk.assign_ticket_ids(decided.checkpoint(eager=True), t.ticket)

@@ -78,11 +78,23 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
            purchases: DataFrame, chunk_unit: str = "hour", require_upcoming: bool = False) -> DataFrame:
     """O32 core: status and in-flight booking rank for every request.
 
+    Returns the request columns plus ``status`` and ``flight_rank`` (1-based
+    order of the booked request on its flight, NULL unless booked).
+
+    ``annotate_requests`` followed by ``rank_requests``; a job can write the
+    annotated requests in between (they are read twice by the ranking).
+    """
+    annotated = annotate_requests(requests, flight, airplane, ticket, purchases, require_upcoming)
+    return rank_requests(annotated, chunk_unit)
+
+
+def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
+                      purchases: DataFrame, require_upcoming: bool = False) -> DataFrame:
+    """Each request with its flight's remaining seats and its ``_cand`` flag.
+
     ``requests`` has request_id, ts, customer_email, flight_num and an
     optional ``pre_status`` (a non-null value is a precheck rejection that
-    passes through unchanged and takes no seat).  Returns the request
-    columns plus ``status`` and ``flight_rank`` (1-based order of the booked
-    request on its flight, NULL unless booked).
+    passes through unchanged and takes no seat).
     """
     if "pre_status" not in requests.columns:
         requests = requests.withColumn("pre_status", F.lit(None).cast("int"))
@@ -114,7 +126,13 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
          .withColumn("_cand", (F.col("_ok") & F.coalesce(F.col("request_id") == F.col("_first_id"), F.lit(False))
                                & F.col("_held").isNull()).cast("int")))
 
-    # two-level running count of candidates per flight
+    extra = [c for c in requests.columns if c not in ("request_id", "ts", "customer_email", "flight_num", "pre_status")]
+    return r.select("request_id", "ts", "customer_email", "flight_num", *extra, "pre_status", "_ok",
+                    "remaining", "_cand")
+
+
+def rank_requests(r: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+    """Statuses from annotated requests: two-level running count of candidates per flight."""
     r = r.withColumn("_chunk", _chunk(F.col("ts"), chunk_unit))
     chunks = (r.groupBy("flight_num", "_chunk").agg(F.sum("_cand").alias("_n"))
               .withColumn("_chunk_before",
@@ -129,7 +147,8 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
               .when(F.col("_before") >= F.col("remaining"), F.lit(NO_SEATS))
               .when(F.col("_cand") == 0, F.lit(ALREADY_BOUGHT))
               .otherwise(F.lit(BOOKED)))
-    extra = [c for c in requests.columns if c not in ("request_id", "ts", "customer_email", "flight_num", "pre_status")]
+    extra = [c for c in r.columns if c not in ("request_id", "ts", "customer_email", "flight_num", "pre_status",
+                                               "_ok", "remaining", "_cand", "_chunk", "_chunk_before", "_before")]
     return r.select(
         "request_id", "ts", "customer_email", "flight_num", *extra,
         status.cast("int").alias("status"),

@@ -54,10 +54,12 @@ def process_batch(spark: SparkSession, requests: DataFrame, batch_id: int, root:
     ticket = t.ticket.unionByName(_earlier(spark, f"{out}/ticket", schemas.TICKET, batch_id))
     purchases = t.purchases.unionByName(_earlier(spark, f"{out}/purchases", schemas.PURCHASES, batch_id))
     if agent:
-        checked = bk.agent_prechecks(requests, t.flight, t.booking_agent, t.customer)
-        decided = bk.decide(checked, t.flight, t.airplane, ticket, purchases)
-    else:
-        decided = bk.decide(requests, t.flight, t.airplane, ticket, purchases)
+        requests = bk.agent_prechecks(requests, t.flight, t.booking_agent, t.customer)
+    # written once and read back: the ranking reads the annotated requests twice
+    annotated_path = f"{out}/annotated/batch_id={batch_id}"
+    bk.annotate_requests(requests, t.flight, t.airplane, ticket, purchases).write.mode("overwrite").parquet(
+        annotated_path)
+    decided = bk.rank_requests(spark.read.parquet(annotated_path))
     if "booking_agent_email" not in decided.columns:
         decided = decided.withColumn("booking_agent_email", F.lit(None).cast("string"))
     decided.select(*DECIDED.fieldNames()).write.mode("overwrite").parquet(f"{out}/decided/batch_id={batch_id}")

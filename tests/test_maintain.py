@@ -176,3 +176,4 @@ def test_previous_value_carries_across_chunks(spark):
     got = {r.request_id: r.prev for r in out.collect()}
     assert got == {1: None, 2: "a", 7: "b", 9: "c", 8: None, 12: "x"}
     assert out.filter(F.col("prev").isNull()).count() == 2
+

@@ -214,14 +214,20 @@ def new_airplane_rows(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O38 airports
 
-def load_new_airports(requests: DataFrame, airport: DataFrame) -> DataFrame:
-    """request_id, name (upper-cased), city (upper-cased), outcome; existing names rejected."""
-    r = requests.select("request_id", *[c for c in ("ts",) if c in requests.columns],
-                        F.upper("name").alias("name"), F.upper("city").alias("city"))
+def load_new_airports(requests: DataFrame, airport: DataFrame, permission: DataFrame | None = None,
+                      airline_staff: DataFrame | None = None) -> DataFrame:
+    """request_id, name (upper-cased), city (upper-cased), outcome; existing names rejected.
+
+    With a ``requester`` column the requester must hold Admin (any airline:
+    airports are shared)."""
+    keep = [c for c in ("ts", "requester") if c in requests.columns]
+    r = requests.select("request_id", *keep, F.upper("name").alias("name"), F.upper("city").alias("city"))
+    r = _with_permission(r, permission, airline_staff, PERMISSION_ADMIN, None)
     existing = airport.select("name").distinct().withColumn("_exists", F.lit(True))
-    r = r.join(existing, "name", "left").withColumn("_valid", F.col("_exists").isNull())
+    r = r.join(existing, "name", "left").withColumn("_valid", F.col("_permitted") & F.col("_exists").isNull())
     r = _earlier_than_first(r, ["name"], "_valid", "_late")
-    outcome = F.when(F.col("_exists").isNotNull() | F.col("_late"), F.lit(EXISTING)).otherwise(F.lit(OK))
+    outcome = (F.when(~F.col("_permitted"), F.lit(NOT_PERMITTED))
+               .when(F.col("_exists").isNotNull() | F.col("_late"), F.lit(EXISTING)).otherwise(F.lit(OK)))
     return r.select("request_id", "name", "city", outcome.alias("outcome"))
 
 
@@ -231,12 +237,18 @@ def permission_grant_outcomes(grants: DataFrame, permission: DataFrame, airline_
     """O39 outcomes: request_id, username, permission, outcome.
 
     Rejects unknown staff, permissions other than Admin/Operator, and grants
-    the user already holds (also from an earlier request of the batch).
+    the user already holds (also from an earlier request of the batch).  With
+    a ``requester`` column the requester must be an Admin of the grantee's
+    airline.
     """
-    staff = airline_staff.select("username").distinct().withColumn("_staff", F.lit(True))
+    staff = airline_staff.select("username", F.col("airline_name").alias("_grantee_airline")).dropDuplicates(
+        ["username"]).withColumn("_staff", F.lit(True))
     held = permission.select("username", "permission").distinct().withColumn("_held", F.lit(True))
-    r = (grants.join(staff, "username", "left").join(held, ["username", "permission"], "left")
-         .withColumn("_pre", F.when(F.col("_staff").isNull(), F.lit(UNKNOWN_USER))
+    r = grants.join(staff, "username", "left")
+    r = _with_permission(r, permission, airline_staff, PERMISSION_ADMIN, "_grantee_airline")
+    r = (r.join(held, ["username", "permission"], "left")
+         .withColumn("_pre", F.when(~F.col("_permitted"), F.lit(NOT_PERMITTED))
+                     .when(F.col("_staff").isNull(), F.lit(UNKNOWN_USER))
                      .when(~F.col("permission").isin(PERMISSION_ADMIN, PERMISSION_OPERATOR), F.lit(BAD_PERMISSION)))
          .withColumn("_valid", F.col("_pre").isNull() & F.col("_held").isNull()))
     r = _earlier_than_first(r, ["username", "permission"], "_valid", "_late")
@@ -264,11 +276,14 @@ def apply_permission_grants(grants: DataFrame, permission: DataFrame, airline_st
 # ---------------------------------------------------------------- O40 agents
 
 def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
+                     permission: DataFrame | None = None, airline_staff: DataFrame | None = None,
                      chunk_rows: int = 1_000_000) -> DataFrame:
     base = booking_agent.select("email", F.col("airline_name").alias("_base_airline"), F.lit(True).alias("_known"))
     names = airline.select(F.col("name").alias("airline_name")).distinct().withColumn("_airline_ok", F.lit(True))
-    r = (moves.join(base, "email", "left").join(names, "airline_name", "left")
-         .withColumn("_pre", F.when(F.col("_known").isNull(), F.lit(UNKNOWN_AGENT))
+    r = _with_permission(moves, permission, airline_staff, PERMISSION_ADMIN, "airline_name")
+    r = (r.join(base, "email", "left").join(names, "airline_name", "left")
+         .withColumn("_pre", F.when(~F.col("_permitted"), F.lit(NOT_PERMITTED))
+                     .when(F.col("_known").isNull(), F.lit(UNKNOWN_AGENT))
                      .when(F.col("_airline_ok").isNull(), F.lit(UNKNOWN_AIRLINE))))
     order = _order_cols(moves)
     chunk = (F.date_trunc("day", F.col("ts")) if "ts" in order else id_chunk("request_id", chunk_rows))
@@ -282,14 +297,19 @@ def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFr
     return decided.unionByName(rejected)
 
 
-def agent_move_outcomes(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame) -> DataFrame:
-    """O40 outcomes: request_id, email, airline_name, outcome (unknown agent / airline, unchanged, updated)."""
-    return _agent_decisions(moves, booking_agent, airline).select("request_id", "email", "airline_name", "outcome")
+def agent_move_outcomes(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
+                        permission: DataFrame | None = None, airline_staff: DataFrame | None = None) -> DataFrame:
+    """O40 outcomes: request_id, email, airline_name, outcome (unknown agent / airline, unchanged, updated).
+
+    With a ``requester`` column the requester must be an Admin of the target airline."""
+    return _agent_decisions(moves, booking_agent, airline, permission, airline_staff).select(
+        "request_id", "email", "airline_name", "outcome")
 
 
-def assign_agents_to_airline(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame) -> DataFrame:
+def assign_agents_to_airline(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
+                             permission: DataFrame | None = None, airline_staff: DataFrame | None = None) -> DataFrame:
     """The booking_agent table after the moves; the latest valid move per agent wins."""
-    d = _agent_decisions(moves, booking_agent, airline)
+    d = _agent_decisions(moves, booking_agent, airline, permission, airline_staff)
     order = _order_cols(moves)
     latest = (d.filter(F.col("outcome").isin(UPDATED, UNCHANGED)).groupBy("email")
               .agg(F.max_by("airline_name", F.struct(*order)).alias("_new_airline")))

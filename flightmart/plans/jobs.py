@@ -47,7 +47,7 @@ def load_airplanes(spark: SparkSession, root: str, requests: DataFrame, out: str
 def load_airports(spark: SparkSession, root: str, requests: DataFrame, out: str) -> DataFrame:
     """O38 job: outcomes to ``out``; accepted airports appended."""
     t = read_tables(spark, root)
-    outcomes = _outcomes(spark, mt.load_new_airports(requests, t.airport), out)
+    outcomes = _outcomes(spark, mt.load_new_airports(requests, t.airport, t.permission, t.airline_staff), out)
     append(outcomes.filter("outcome = 'ok'").select("name", "city"), f"{root}/airport")
     return outcomes
 
@@ -67,7 +67,8 @@ def grant_permissions(spark: SparkSession, root: str, grants: DataFrame, new_per
 def move_agents(spark: SparkSession, root: str, moves: DataFrame, new_agent_path: str) -> None:
     """O40 job: booking_agent table after the moves, as a new snapshot."""
     t = read_tables(spark, root)
-    write_snapshot(mt.assign_agents_to_airline(moves, t.booking_agent, t.airline), new_agent_path)
+    write_snapshot(mt.assign_agents_to_airline(moves, t.booking_agent, t.airline, t.permission, t.airline_staff),
+                   new_agent_path)
 
 
 def register(spark: SparkSession, root: str, regs: DataFrame, out: str) -> DataFrame:

@@ -177,3 +177,30 @@ def test_previous_value_carries_across_chunks(spark):
     assert got == {1: None, 2: "a", 7: "b", 9: "c", 8: None, 12: "x"}
     assert out.filter(F.col("prev").isNull()).count() == 2
 
+
+
+def test_admin_requester_checks(spark):
+    staff = [("adm", "A", "f", "l", dt.date(1970, 1, 1)), ("op", "A", "f", "l", dt.date(1970, 1, 1)),
+             ("admb", "B", "f", "l", dt.date(1970, 1, 1)), ("new", "A", "f", "l", dt.date(1970, 1, 1))]
+    t = make_tables(spark, airline=[("A",), ("B",)], airline_staff=staff,
+                    permission=[("adm", "Admin"), ("op", "Operator"), ("admb", "Admin"), ("new", "")],
+                    booking_agent=[("ag", "1", "B")], airport=[("JFK", "NY")])
+    # Any Admin may add airports
+    reqs = spark.createDataFrame([(1, "pvg", "sh", "op"), (2, "pvg", "sh", "admb"), (3, "jfk", "ny", "adm")],
+                                 "request_id long, name string, city string, requester string")
+    got = {r.request_id: r.outcome for r in mt.load_new_airports(reqs, t.airport, t.permission,
+                                                                t.airline_staff).collect()}
+    assert got == {1: "not_permitted", 2: "ok", 3: "existing"}
+    # Only an Admin of the grantee's airline may grant
+    grants = spark.createDataFrame([(1, "new", "Operator", "admb"), (2, "new", "Operator", "op"),
+                                    (3, "new", "Operator", "adm")],
+                                   "request_id long, username string, permission string, requester string")
+    got = {r.request_id: r.outcome for r in mt.permission_grant_outcomes(grants, t.permission,
+                                                                        t.airline_staff).collect()}
+    assert got == {1: "not_permitted", 2: "not_permitted", 3: "ok"}
+    # Only an Admin of the target airline may move an agent there
+    moves = spark.createDataFrame([(1, "ag", "A", "admb"), (2, "ag", "A", "adm")],
+                                  "request_id long, email string, airline_name string, requester string")
+    got = {r.request_id: r.outcome for r in mt.agent_move_outcomes(moves, t.booking_agent, t.airline, t.permission,
+                                                                  t.airline_staff).collect()}
+    assert got == {1: "not_permitted", 2: "updated"}

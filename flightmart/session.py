@@ -56,3 +56,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="flightmart-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(current)
     return current
+
+
+def cluster_settings(shuffle_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run, from the expected shuffle volume.
+
+    Each shuffle partition should hold about ``target_partition_bytes`` so
+    a task's sort / hash buffers fit in executor memory without heavy
+    spilling; AQE starts from this many partitions and coalesces small
+    ones.  At least three partitions per core keep every core busy.
+    Example: 100 TB of shuffle on 1000 executors x 8 cores gives about
+    400k initial partitions.
+    """
+    n = max(3 * total_cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

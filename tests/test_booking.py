@@ -143,3 +143,25 @@ def test_duplicate_report(spark):
                                ("3", "c", None, dt.date(2001, 1, 1))])
     rows = bk.duplicate_bookings(t.purchases, t.ticket).collect()
     assert [(r.customer_email, r.flight_num, r.tickets) for r in rows] == [("c", "F", 2)]
+
+
+def test_hot_flight_is_split_and_exact(spark):
+    # one flight draws a third of all requests, spread over two days
+    rnd = random.Random(7)
+    flights = [flight_row(f"F{i}", plane=f"P{i}") for i in range(6)]
+    planes = [("A", f"P{i}", 40 if i == 0 else rnd.randint(0, 8)) for i in range(6)]
+    reqs = []
+    for i in range(1500):
+        fl = "F0" if i % 3 == 0 else f"F{rnd.randint(1, 5)}"
+        reqs.append((i, T0 + dt.timedelta(minutes=rnd.randint(0, 48 * 60)), f"c{rnd.randint(0, 200)}", fl))
+    t = make_tables(spark, flight=flights, airplane=planes)
+    rdf = spark.createDataFrame(reqs, "request_id long, ts timestamp_ntz, customer_email string, flight_num string")
+    seats = {f"F{i}": planes[i][2] for i in range(6)}
+    expected = sequential(reqs, seats, {}, set())
+    annotated = bk.annotate_requests(rdf, t.flight, t.airplane, t.ticket, t.purchases)
+    got = {r.request_id: r.status for r in bk.rank_requests(annotated, "hour").collect()}
+    assert got == expected
+    # the hot flight's running count is spread over many (flight, hour) windows
+    from pyspark.sql import functions as F
+    pieces = rdf.filter("flight_num = 'F0'").select(F.date_trunc("hour", "ts")).distinct().count()
+    assert pieces > 24

@@ -48,3 +48,10 @@ def test_sales_mart_prunes_months(spark):
         window.explain("formatted")
     assert "PartitionFilters: [isnotnull(p_month" in buf.getvalue()
     assert mart.read_sales_mart(spark, path).count() == sales_of(t).count()
+
+
+def test_cluster_settings():
+    from flightmart.session import cluster_settings
+    s = cluster_settings(100 * 1024 ** 4, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_settings(10, 8)["spark.sql.shuffle.partitions"]) == 24

@@ -61,12 +61,20 @@ def duplicate_bookings(purchases: DataFrame, ticket: DataFrame) -> DataFrame:
             .filter(F.col("tickets") > 1))
 
 
-def existing_pairs(purchases: DataFrame, ticket: DataFrame, requests: DataFrame) -> DataFrame:
-    """O31 (request check): distinct (customer, flight) pairs already purchased, for requested pairs only."""
+def existing_pairs(purchases: DataFrame, ticket: DataFrame, requests: DataFrame,
+                   sales: DataFrame | None = None) -> DataFrame:
+    """O31 (request check): distinct (customer, flight) pairs already purchased, for requested pairs only.
+
+    With ``sales`` (e.g. the materialised mart) the pairs are read from it
+    directly instead of joining purchases with ticket (two fact-sized sides).
+    """
     wanted = requests.select("customer_email", "flight_num").distinct()
-    held = (purchases.select("ticket_id", "customer_email")
-            .join(ticket.join(wanted.select("flight_num").distinct(), "flight_num", "left_semi"), "ticket_id")
-            .select("customer_email", "flight_num"))
+    if sales is not None:
+        held = sales.select("customer_email", "flight_num")
+    else:
+        held = (purchases.select("ticket_id", "customer_email")
+                .join(ticket.join(wanted.select("flight_num").distinct(), "flight_num", "left_semi"), "ticket_id")
+                .select("customer_email", "flight_num"))
     return held.join(wanted, ["customer_email", "flight_num"], "left_semi").distinct()
 
 
@@ -75,7 +83,8 @@ def _chunk(ts: Column, unit: str) -> Column:
 
 
 def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
-           purchases: DataFrame, chunk_unit: str = "hour", require_upcoming: bool = False) -> DataFrame:
+           purchases: DataFrame, chunk_unit: str = "hour", require_upcoming: bool = False,
+           sales: DataFrame | None = None) -> DataFrame:
     """O32 core: status and in-flight booking rank for every request.
 
     Returns the request columns plus ``status`` and ``flight_rank`` (1-based
@@ -84,12 +93,13 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
     ``annotate_requests`` followed by ``rank_requests``; a job can write the
     annotated requests in between (they are read twice by the ranking).
     """
-    annotated = annotate_requests(requests, flight, airplane, ticket, purchases, require_upcoming)
+    annotated = annotate_requests(requests, flight, airplane, ticket, purchases, require_upcoming, sales)
     return rank_requests(annotated, chunk_unit)
 
 
 def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
-                      purchases: DataFrame, require_upcoming: bool = False) -> DataFrame:
+                      purchases: DataFrame, require_upcoming: bool = False,
+                      sales: DataFrame | None = None) -> DataFrame:
     """Each request with its flight's remaining seats and its ``_cand`` flag.
 
     ``requests`` has request_id, ts, customer_email, flight_num and an
@@ -118,7 +128,7 @@ def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFram
     req_flights = requests.select("flight_num").distinct()
     cap = seat_availability(flight.join(req_flights, "flight_num", "left_semi"), airplane,
                             ticket.join(req_flights, "flight_num", "left_semi"))
-    held = existing_pairs(purchases, ticket, requests).withColumn("_held", F.lit(True))
+    held = existing_pairs(purchases, ticket, requests, sales).withColumn("_held", F.lit(True))
     r = (req
          .join(cap.select("flight_num", "remaining"), "flight_num", "left")
          .join(held, ["customer_email", "flight_num"], "left")

@@ -165,3 +165,12 @@ def test_hot_flight_is_split_and_exact(spark):
     from pyspark.sql import functions as F
     pieces = rdf.filter("flight_num = 'F0'").select(F.date_trunc("hour", "ts")).distinct().count()
     assert pieces > 24
+
+
+def test_held_pairs_from_sales_mart(spark):
+    from flightmart.operators.facts import sales_fact
+    t, rdf, reqs, seats, sold, held, _ = scenario(spark, 3)
+    base = {r.request_id: r.status for r in bk.decide(rdf, t.flight, t.airplane, t.ticket, t.purchases).collect()}
+    via_sales = bk.decide(rdf, t.flight, t.airplane, t.ticket, t.purchases,
+                          sales=sales_fact(t.purchases, t.ticket, t.flight))
+    assert {r.request_id: r.status for r in via_sales.collect()} == base == sequential(reqs, seats, sold, held)

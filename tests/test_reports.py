@@ -211,3 +211,10 @@ def test_agent_list_key_filter(spark):
     agents = spark.createDataFrame([("ag",)], "booking_agent_email string")
     rows = ag.agent_upcoming_bookings(sales_of(t), agents=agents).collect()
     assert {(r.booking_agent_email, r.customer_email) for r in rows} == {("ag", "c1"), ("ag", "c2")}
+
+
+def test_top_k_without_group(spark):
+    from flightmart.functions.aggregates import top_k
+    df = spark.createDataFrame([("a", 3), ("b", 5), ("c", 5), ("d", 1)], "k string, m long")
+    rows = top_k(df, [], "m", 3, ["k"]).orderBy("rank").collect()
+    assert [(r.rank, r.k) for r in rows] == [(1, "b"), (2, "c"), (3, "a")]

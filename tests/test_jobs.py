@@ -34,3 +34,17 @@ def test_jobs_on_fixture(spark):
     jobs.book(spark, root, fixtures.booking_requests(spark, SF_SMALL), f"{work}/book")
     booked = spark.read.parquet(f"{work}/book/decided").filter("status = 1").count()
     assert spark.read.parquet(f"{work}/book/ticket").count() == booked > 0
+
+
+def test_agent_booking_job(spark):
+    work = tempfile.mkdtemp(prefix="flightmart-jobs-")
+    root = f"{work}/tables"
+    write_tables(fixtures.load(spark, SF_SMALL), root)
+    jobs.book(spark, root, fixtures.agent_booking_requests(spark, SF_SMALL), f"{work}/book", agent=True)
+    decided = spark.read.parquet(f"{work}/book/decided")
+    import __spark_entry__ as entry
+    expected = {r.request_id: r.status for r in entry.queries()["book_tickets_agent"](spark, SF_SMALL).collect()}
+    assert {r.request_id: r.status for r in decided.collect()} == expected
+    purchases = spark.read.parquet(f"{work}/book/purchases")
+    assert purchases.filter("booking_agent_email IS NULL").count() == 0
+    assert purchases.count() == sum(1 for s in expected.values() if s == 1)

@@ -505,6 +505,41 @@ FROM rg6""")
 
     q["integrity_audit"] = _q(_audit_sql())
 
+    q["top_destinations_by_airline"] = _q(f"""
+SELECT airline_name, window_days, rank, city, flights FROM (
+  SELECT airline_name, window_days, city, flights,
+         CAST(ROW_NUMBER() OVER (PARTITION BY airline_name, window_days ORDER BY flights DESC, city) AS INTEGER) AS rank
+  FROM (
+    SELECT f.airline_name, w.window_days, a.city, COUNT(f.arrive_time) AS flights
+    FROM fm_flight f
+    JOIN fm_airport a ON f.arrive_name = a.name
+    JOIN (SELECT 92 AS window_days UNION ALL SELECT 365) w
+      ON f.depart_time <= {ts(AS_OF)}
+     AND f.depart_time >= CAST({d()} - w.window_days AS TIMESTAMP)
+    GROUP BY f.airline_name, w.window_days, a.city) g) r
+WHERE rank <= 3""")
+
+    q["agent_own_upcoming_bookings"] = _q("""
+SELECT booking_agent_email, flight_num, airline_name, airplane_id, depart_name, arrive_name,
+       depart_time, arrive_time, price, flight_status, customer_email
+FROM fm_sales WHERE flight_status = 'upcoming' AND booking_agent_email IS NOT NULL""")
+
+    q["book_tickets_upcoming_only"] = _q("WITH " + _booking_sql(agent=False, require_upcoming=True) + """
+SELECT request_id, customer_email, flight_num, status FROM decided""")
+
+    q["customer_monthly_spend_6m_year_end"] = _q("""
+WITH months AS (
+  SELECT CAST(m AS DATE) AS month_start
+  FROM generate_series(DATE '2000-08-01', DATE '2001-01-01', INTERVAL 1 MONTH) t(m)),
+spend AS (
+  SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
+  FROM fm_sales
+  WHERE p_date BETWEEN DATE '2000-08-01' AND DATE '2001-01-15' AND p_date >= DATE '2000-07-16'
+  GROUP BY 1, 2)
+SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM fm_customer c CROSS JOIN months m
+LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+
     return q
 
 
@@ -646,7 +681,7 @@ mv3 AS (
 """
 
 
-def _booking_sql(agent: bool) -> str:
+def _booking_sql(agent: bool, require_upcoming: bool = False) -> str:
     """Requests -> ``decided`` (request columns, status, before) as CTEs."""
     if agent:
         req = """req AS (
@@ -669,6 +704,10 @@ pre AS (
   FROM events e JOIN customer c ON e.user_id = c.c_custkey
   WHERE e.event_type = 'purchase'),
 pre AS (SELECT r.*, CAST(NULL AS INTEGER) AS pre_status FROM req r),"""
+    if require_upcoming:
+        req = req.replace("pre AS (SELECT r.*, CAST(NULL AS INTEGER) AS pre_status FROM req r),", """pre AS (
+  SELECT r.*, CASE WHEN COALESCE(f.flight_status, '') <> 'upcoming' THEN -3 END AS pre_status
+  FROM req r LEFT JOIN fm_flight f ON f.flight_num = r.flight_num),""")
     return req + """
 cap AS (
   SELECT f.flight_num, GREATEST(a.seats - COALESCE(t.sold, 0), 0) AS remaining

@@ -98,13 +98,20 @@ QUERIES: dict[str, Query] = {
         fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
         _t(s, d).airline),
     "integrity_audit": lambda s, d: qa.integrity_audit(_t(s, d)),
+    # option variants on the same data
+    "top_destinations_by_airline": lambda s, d: al.top_destinations(
+        _t(s, d).flight, _t(s, d).airport, AS_OF, per_airline=True),
+    "agent_own_upcoming_bookings": lambda s, d: ag.agent_upcoming_bookings(_sales(s, d), own_only=True),
+    "book_tickets_upcoming_only": lambda s, d: _book_direct(s, d, require_upcoming=True),
+    "customer_monthly_spend_6m_year_end": lambda s, d: cu.customer_monthly_spend_6m(
+        _sales(s, d), _t(s, d).customer, dt.date(2001, 1, 15)),
 }
 
 
-def _book_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _book_direct(spark: SparkSession, sf_dir: str, require_upcoming: bool = False) -> DataFrame:
     t = _t(spark, sf_dir)
     return bk.book_tickets_direct(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket,
-                                  t.purchases)
+                                  t.purchases, require_upcoming=require_upcoming)
 
 
 def _book_agent(spark: SparkSession, sf_dir: str) -> DataFrame:

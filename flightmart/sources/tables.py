@@ -11,7 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightmart.sources import schemas
 
@@ -35,14 +39,28 @@ class Tables:
         return Tables(**current)
 
 
-def read_tables(spark: SparkSession, root: str) -> Tables:
-    """Scan ``root/<table>`` Parquet folders with the fixed schemas."""
-    # Partition folders (purchases by p_month) add their column on read;
-    # the declared columns are selected so every table has its fixed schema.
-    frames = {
-        name: spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.fieldNames())
-        for name, schema in schemas.SCHEMAS.items()
-    }
+def read_tables(spark: SparkSession, root: str,
+                purchase_window: tuple[dt.date, dt.date] | None = None) -> Tables:
+    """Scan ``root/<table>`` Parquet folders with the fixed schemas.
+
+    purchases is stored partitioned by purchase month (``write_tables``);
+    with ``purchase_window=(start, end)`` only the month folders that can
+    hold those dates are listed and read (partition pruning), for jobs
+    whose reports all fall inside one date window.
+    """
+    frames = {}
+    for name, schema in schemas.SCHEMAS.items():
+        if name == "purchases":
+            # a new StructType: StructType.add would change the shared schema in place
+            with_month = T.StructType(list(schemas.PURCHASES.fields) + [T.StructField("p_month", T.DateType())])
+            df = spark.read.schema(with_month).parquet(f"{root}/{name}")
+            if purchase_window is not None:
+                start, end = purchase_window
+                df = df.filter(F.col("p_month").between(F.lit(start.replace(day=1)), F.lit(end.replace(day=1))))
+        else:
+            df = spark.read.schema(schema).parquet(f"{root}/{name}")
+        # the declared columns only, so every table has its fixed schema
+        frames[name] = df.select(*schema.fieldNames())
     return Tables(**frames)
 
 
@@ -51,10 +69,8 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
         df = getattr(tables, f.name)
         writer = df.write.mode(mode)
         if f.name == "purchases":
-            # Date-window reports prune on the purchase month.
-            from pyspark.sql import functions as F
-            df = df.withColumn("p_month", F.trunc("p_date", "MM"))
-            writer = df.write.mode(mode).partitionBy("p_month")
+            # stored by purchase month, so date windows prune folders
+            writer = df.withColumn("p_month", F.trunc("p_date", "MM")).write.mode(mode).partitionBy("p_month")
         writer.parquet(f"{root}/{f.name}")
 
 

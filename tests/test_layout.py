@@ -55,3 +55,23 @@ def test_cluster_settings():
     s = cluster_settings(100 * 1024 ** 4, 8000)
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_settings(10, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_read_tables_prunes_purchase_months(spark):
+    import datetime as dt
+
+    from flightmart.sources.schemas import PURCHASES
+    from flightmart.sources.tables import read_tables, write_tables
+    root = tempfile.mkdtemp(prefix="flightmart-tables-") + "/t"
+    t = fixtures.load(spark, SF_SMALL)
+    write_tables(t, root)
+    window = (dt.date(2001, 6, 1), dt.date(2001, 7, 1))
+    pruned = read_tables(spark, root, purchase_window=window).purchases
+    assert pruned.columns == PURCHASES.fieldNames() and "p_month" not in PURCHASES.fieldNames()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        pruned.explain("formatted")
+    assert "PartitionFilters: [isnotnull(p_month" in buf.getvalue()
+    inside = "p_date BETWEEN DATE'2001-06-01' AND DATE'2001-07-01'"
+    assert pruned.filter(inside).count() == t.purchases.filter(inside).count() > 0
+    assert read_tables(spark, root).purchases.count() == t.purchases.count()

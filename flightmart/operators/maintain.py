@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightmart.functions.ordering import id_chunk, previous_value
-from flightmart.sources.schemas import (PERMISSION_ADMIN, PERMISSION_OPERATOR, PERMISSION_PLACEHOLDER,
-                                        STATUSES)
+from flightmart.sources.schemas import (FLIGHT_COLUMNS, PERMISSION_ADMIN, PERMISSION_OPERATOR,
+                                        PERMISSION_PLACEHOLDER, STATUSES)
 
 # Outcome codes.
 OK = "ok"
@@ -65,12 +65,14 @@ def _earlier_than_first(df: DataFrame, keys: Sequence[str], valid: str, out: str
 
 def _with_permission(requests: DataFrame, permission: DataFrame | None, airline_staff: DataFrame | None,
                      needed: str, airline_col: str | None) -> DataFrame:
+    """Add ``_permitted``: the requester holds ``needed`` (and works for ``airline_col``'s airline)."""
     if "requester" not in requests.columns or permission is None or airline_staff is None:
         return requests.withColumn("_permitted", F.lit(True))
+    staff = (airline_staff.select(F.col("username").alias("requester"), F.col("airline_name").alias("_req_airline"))
+             .dropDuplicates(["requester"]))
     holders = (permission.filter(F.col("permission") == F.lit(needed))
                .select(F.col("username").alias("requester")).distinct()
-               .join(airline_staff.select(F.col("username").alias("requester"),
-                                          F.col("airline_name").alias("_req_airline")), "requester"))
+               .join(staff, "requester"))
     r = requests.join(holders.withColumn("_holds", F.lit(True)), "requester", "left")
     ok = F.col("_holds").isNotNull()
     if airline_col is not None:
@@ -121,7 +123,6 @@ def load_new_flights(requests: DataFrame, flight: DataFrame, airplane: DataFrame
 
 def new_flight_rows(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Rows to append to flight for the accepted requests (status spelling normalised)."""
-    from flightmart.sources.schemas import FLIGHT_COLUMNS
     ok = outcomes.filter(F.col("outcome") == OK).select("request_id")
     rows = requests.join(ok, "request_id", "left_semi")
     return rows.withColumn("flight_status", normalize_status(F.col("flight_status"))).select(*FLIGHT_COLUMNS)

@@ -602,8 +602,7 @@ _NEW_FLIGHTS = """nf AS (
   FROM orders o
   LEFT JOIN part p ON p.p_partkey = o.o_custkey
   JOIN nation dn ON dn.n_nationkey = o.o_custkey % 25
-  JOIN nation an ON an.n_nationkey = o.o_orderkey % 25
-  WHERE o.o_orderkey % 10 = 0),
+  JOIN nation an ON an.n_nationkey = o.o_orderkey % 25),
 nf2 AS (
   SELECT nf.*, COALESCE(nf.flight_num IN (SELECT flight_num FROM fm_flight), FALSE) AS in_table,
          CASE WHEN depart_name = arrive_name THEN 'same_airport'

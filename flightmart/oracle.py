@@ -214,29 +214,33 @@ WHERE rank <= 3""")
 
     q["airline_monthly_tickets_12m"] = _q(f"""
 WITH months AS (
-  SELECT CAST(m AS DATE) AS month_start
-  FROM generate_series(DATE '2000-08-01', DATE '2001-07-01', INTERVAL 1 MONTH) t(m)),
+  SELECT DATE '2000-08-01' AS lo, DATE '2001-07-01' AS hi),
 counts AS (
   SELECT airline_name, CAST(date_trunc('month', p_date) AS DATE) AS month_start, COUNT(*) AS n
   FROM fm_sales
   WHERE p_date BETWEEN DATE '2000-08-01' AND {d()} AND p_date >= {d(365)}
   GROUP BY 1, 2)
-SELECT a.name AS airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
-FROM fm_airline a CROSS JOIN months m
-LEFT JOIN counts c ON c.airline_name = a.name AND c.month_start = m.month_start""")
+SELECT m.airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
+FROM (SELECT a.name AS airline_name,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_airline a) m
+LEFT JOIN counts c ON c.airline_name = m.airline_name AND c.month_start = m.month_start""")
 
     q["airline_monthly_tickets_range"] = _q("""
 WITH months AS (
-  SELECT CAST(m AS DATE) AS month_start
-  FROM generate_series(DATE '1999-11-01', DATE '2001-02-01', INTERVAL 1 MONTH) t(m)),
+  SELECT DATE '1999-11-01' AS lo, DATE '2001-02-01' AS hi),
 counts AS (
   SELECT airline_name, CAST(date_trunc('month', p_date) AS DATE) AS month_start, COUNT(*) AS n
   FROM fm_sales
   WHERE p_date BETWEEN DATE '1999-11-15' AND DATE '2001-02-10'
   GROUP BY 1, 2)
-SELECT a.name AS airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
-FROM fm_airline a CROSS JOIN months m
-LEFT JOIN counts c ON c.airline_name = a.name AND c.month_start = m.month_start""")
+SELECT m.airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
+FROM (SELECT a.name AS airline_name,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_airline a) m
+LEFT JOIN counts c ON c.airline_name = m.airline_name AND c.month_start = m.month_start""")
 
     q["customer_purchase_history"] = _q("""
 SELECT airline_name, customer_email, flight_num, airplane_id, depart_name, arrive_name, depart_time,
@@ -286,29 +290,33 @@ GROUP BY c.email""")
 
     q["customer_monthly_spend_6m"] = _q(f"""
 WITH months AS (
-  SELECT CAST(m AS DATE) AS month_start
-  FROM generate_series(DATE '2001-02-01', DATE '2001-07-01', INTERVAL 1 MONTH) t(m)),
+  SELECT DATE '2001-02-01' AS lo, DATE '2001-07-01' AS hi),
 spend AS (
   SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
   FROM fm_sales
   WHERE p_date BETWEEN DATE '2001-02-01' AND {d()} AND p_date >= {d(183)}
   GROUP BY 1, 2)
-SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
-FROM fm_customer c CROSS JOIN months m
-LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+SELECT m.customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM (SELECT c.email AS customer_email,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_customer c) m
+LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.month_start""")
 
     q["customer_monthly_spend_range"] = _q("""
 WITH months AS (
-  SELECT CAST(m AS DATE) AS month_start
-  FROM generate_series(DATE '2000-10-01', DATE '2001-03-01', INTERVAL 1 MONTH) t(m)),
+  SELECT DATE '2000-10-01' AS lo, DATE '2001-03-01' AS hi),
 spend AS (
   SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
   FROM fm_sales
   WHERE p_date >= DATE '2000-10-15' AND p_date < DATE '2001-03-31'
   GROUP BY 1, 2)
-SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
-FROM fm_customer c CROSS JOIN months m
-LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+SELECT m.customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM (SELECT c.email AS customer_email,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_customer c) m
+LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.month_start""")
 
     agent_rows = """
 SELECT a.booking_agent_email, s.flight_num, s.airline_name, s.airplane_id, s.depart_name, s.arrive_name,
@@ -529,16 +537,18 @@ SELECT request_id, customer_email, flight_num, status FROM decided""")
 
     q["customer_monthly_spend_6m_year_end"] = _q("""
 WITH months AS (
-  SELECT CAST(m AS DATE) AS month_start
-  FROM generate_series(DATE '2000-08-01', DATE '2001-01-01', INTERVAL 1 MONTH) t(m)),
+  SELECT DATE '2000-08-01' AS lo, DATE '2001-01-01' AS hi),
 spend AS (
   SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
   FROM fm_sales
   WHERE p_date BETWEEN DATE '2000-08-01' AND DATE '2001-01-15' AND p_date >= DATE '2000-07-16'
   GROUP BY 1, 2)
-SELECT c.email AS customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
-FROM fm_customer c CROSS JOIN months m
-LEFT JOIN spend s ON s.customer_email = c.email AND s.month_start = m.month_start""")
+SELECT m.customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM (SELECT c.email AS customer_email,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_customer c) m
+LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.month_start""")
 
     return q
 

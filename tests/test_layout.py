@@ -75,3 +75,9 @@ def test_read_tables_prunes_purchase_months(spark):
     inside = "p_date BETWEEN DATE'2001-06-01' AND DATE'2001-07-01'"
     assert pruned.filter(inside).count() == t.purchases.filter(inside).count() > 0
     assert read_tables(spark, root).purchases.count() == t.purchases.count()
+
+
+def test_checkpoint_dir_is_kept_when_set(spark):
+    from flightmart.session import ensure_checkpoint_dir
+    first = ensure_checkpoint_dir(spark)
+    assert first and ensure_checkpoint_dir(spark) == first

@@ -44,6 +44,27 @@ def agent_upcoming_bookings(sales: DataFrame, own_only: bool = False, airport: D
     return agent_flights.join(passengers, "flight_num").select(*cols)
 
 
+def agent_upcoming_flights(sales: DataFrame, airport: DataFrame | None = None, criteria=None) -> DataFrame:
+    """O07/O08, linear form: per agent, the upcoming flights it sold at least one ticket of.
+
+    Together with ``upcoming_passengers`` this carries the same information
+    as ``agent_upcoming_bookings`` (join them on flight_num), but each output
+    is at most one row per sale, so a flight with very many agents and
+    passengers does not multiply the two.  This is the form to compute for
+    all agents at once; the joined page is for a chosen set of agents.
+    """
+    up = sales.filter((F.col("flight_status") == F.lit(STATUS_UPCOMING)) & F.col(AGENT).isNotNull())
+    if criteria is not None:
+        up = apply_criteria(up, airport, criteria, "bound")
+    return up.select(AGENT, *FLIGHT_COLUMNS).dropDuplicates([AGENT, "flight_num"])
+
+
+def upcoming_passengers(sales: DataFrame) -> DataFrame:
+    """O07 linear form, second part: every purchase on an upcoming flight (any buyer, any channel)."""
+    up = sales.filter(F.col("flight_status") == F.lit(STATUS_UPCOMING))
+    return up.select("flight_num", "ticket_id", "customer_email", F.col(AGENT).alias("sold_by"))
+
+
 def agent_upcoming_search(sales: DataFrame, airport: DataFrame, criteria=None, own_only: bool = False) -> DataFrame:
     """O07 restricted by search criteria; dates are bounds (Q3)."""
     return agent_upcoming_bookings(sales, own_only=own_only, airport=airport, criteria=criteria or {})

@@ -532,6 +532,15 @@ SELECT booking_agent_email, flight_num, airline_name, airplane_id, depart_name,
        depart_time, arrive_time, price, flight_status, customer_email
 FROM fm_sales WHERE flight_status = 'upcoming' AND booking_agent_email IS NOT NULL""")
 
+    q["agent_upcoming_flights"] = _q("""
+SELECT DISTINCT booking_agent_email, flight_num, airline_name, airplane_id, depart_name, arrive_name,
+       depart_time, arrive_time, price, flight_status
+FROM fm_sales WHERE flight_status = 'upcoming' AND booking_agent_email IS NOT NULL""")
+
+    q["upcoming_passengers"] = _q("""
+SELECT flight_num, ticket_id, customer_email, booking_agent_email AS sold_by
+FROM fm_sales WHERE flight_status = 'upcoming'""")
+
     q["book_tickets_upcoming_only"] = _q("WITH " + _booking_sql(agent=False, require_upcoming=True) + """
 SELECT request_id, customer_email, flight_num, status FROM decided""")
 

@@ -102,6 +102,8 @@ QUERIES: dict[str, Query] = {
     "top_destinations_by_airline": lambda s, d: al.top_destinations(
         _t(s, d).flight, _t(s, d).airport, AS_OF, per_airline=True),
     "agent_own_upcoming_bookings": lambda s, d: ag.agent_upcoming_bookings(_sales(s, d), own_only=True),
+    "agent_upcoming_flights": lambda s, d: ag.agent_upcoming_flights(_sales(s, d)),
+    "upcoming_passengers": lambda s, d: ag.upcoming_passengers(_sales(s, d)),
     "book_tickets_upcoming_only": lambda s, d: _book_direct(s, d, require_upcoming=True),
     "customer_monthly_spend_6m_year_end": lambda s, d: cu.customer_monthly_spend_6m(
         _sales(s, d), _t(s, d).customer, dt.date(2001, 1, 15)),

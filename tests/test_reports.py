@@ -218,3 +218,16 @@ def test_top_k_without_group(spark):
     df = spark.createDataFrame([("a", 3), ("b", 5), ("c", 5), ("d", 1)], "k string, m long")
     rows = top_k(df, [], "m", 3, ["k"]).orderBy("rank").collect()
     assert [(r.rank, r.k) for r in rows] == [(1, "b"), (2, "c"), (3, "a")]
+
+
+def test_agent_linear_form_joins_to_the_page(spark):
+    from flightmart.sources import fixtures
+    from tests.conftest import SF_SMALL
+    sales = sales_of(fixtures.load(spark, SF_SMALL))
+    flights = ag.agent_upcoming_flights(sales)
+    passengers = ag.upcoming_passengers(sales)
+    joined = flights.join(passengers.select("flight_num", "customer_email"), "flight_num")
+    page = ag.agent_upcoming_bookings(sales)
+    cols = sorted(page.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in joined.collect()) == \
+        sorted(tuple(r[c] for c in cols) for r in page.collect())

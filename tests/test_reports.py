@@ -231,3 +231,28 @@ def test_agent_linear_form_joins_to_the_page(spark):
     cols = sorted(page.columns)
     assert sorted(tuple(r[c] for c in cols) for r in joined.collect()) == \
         sorted(tuple(r[c] for c in cols) for r in page.collect())
+
+
+def test_commission_rate_and_default_range(spark):
+    flights = [flight_row(1, price="100.00")]
+    tk = [("1", "1"), ("2", "1"), ("3", "1")]
+    pu = [("1", "c", "ag", d("2001-06-25")), ("2", "c", "ag", d("2001-05-01")), ("3", "c", "ag", d("2001-07-01"))]
+    t = make_tables(spark, flight=flights, ticket=tk, purchases=pu, booking_agent=[("ag", "1", "A")])
+    got = ag.agent_commission(sales_of(t), t.booking_agent, d("2001-07-01"), rate="0.1").collect()[0]
+    assert (got.commission, got.tickets, got.avg_commission) == (money(20), 2, money(10))
+    # missing begin -> as_of - 30, missing end -> as_of
+    got = ag.agent_commission_range(sales_of(t), t.booking_agent, d("2001-07-01")).collect()[0]
+    assert (got.commission, got.tickets) == (money(200), 2)
+    got = ag.agent_commission_range(sales_of(t), t.booking_agent, d("2001-07-01"), begin="2001-04-01",
+                                    end="2001-06-30").collect()[0]
+    assert (got.commission, got.tickets) == (money(200), 2)
+
+
+def test_next_30_days_bounds(spark):
+    flights = [flight_row(1, dep_t="2001-07-01 00:00:00", arr_t="2001-07-01 03:00:00"),
+               flight_row(2, dep_t="2001-06-30 23:00:00", arr_t="2001-07-01 03:00:00"),
+               flight_row(3, dep_t="2001-07-30 22:00:00", arr_t="2001-07-31 00:00:00"),
+               flight_row(4, dep_t="2001-07-30 22:00:00", arr_t="2001-07-31 00:00:01")]
+    t = make_tables(spark, flight=flights)
+    got = {r.flight_num for r in al.airline_flights_next_30_days(t.flight, d("2001-07-01")).collect()}
+    assert got == {"1", "3"}

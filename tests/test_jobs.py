@@ -53,12 +53,12 @@ def test_agent_booking_job(spark):
 def test_nightly_reports(spark):
     from flightmart.operators import customer as cu
     from flightmart.operators.facts import sales_of
-    from flightmart.plans import pipeline
+    from flightmart.plans import nightly
     work = tempfile.mkdtemp(prefix="flightmart-nightly-")
     root = f"{work}/tables"
     t = fixtures.load(spark, SF_SMALL)
     write_tables(t, root)
-    names = pipeline.run_reports(spark, root, f"{work}/out", fixtures.AS_OF)
+    names = nightly.run_reports(spark, root, f"{work}/out", fixtures.AS_OF)
     assert "airline_revenue_share" in names and "customer_monthly_spend_6m" in names
     written = spark.read.parquet(f"{work}/out/customer_monthly_spend_6m")
     direct = cu.customer_monthly_spend_6m(sales_of(t), t.customer, fixtures.AS_OF)

@@ -24,6 +24,9 @@ def zero_filled_sum(facts: DataFrame, zeros: DataFrame, keys: Sequence[str],
     the zero rows are unioned under the facts and one aggregation adds them
     up: one exchange, with map-side partial sums for hot keys.
     ``measures`` maps output name -> fact column; ``zeros`` carries the keys only.
+    The output keys are the keys of ``zeros`` plus any key that has facts
+    (a fact whose key is missing from the key table, i.e. a broken foreign
+    key, still shows up; the integrity audit reports such rows).
     """
     fact_cols = [F.col(k) for k in keys] + [F.col(src).alias(out) for out, src in measures.items()]
     zero_cols = [F.col(k) for k in keys] + [F.lit(0).alias(out) for out in measures]

@@ -99,7 +99,9 @@ FLIGHT_COLS = ("flight_num, airline_name, airplane_id, depart_name, arrive_name,
                "arrive_time, price, flight_status")
 
 
-def _q(body: str) -> str:
+def _q(body: str, recursive: bool = False) -> str:
+    if recursive:
+        return _q(body).replace("WITH\nfm_airline", "WITH RECURSIVE\nfm_airline", 1)
     body = body.lstrip()
     if body.startswith("WITH "):
         # continue the shared CTE list instead of nesting a second WITH
@@ -382,16 +384,16 @@ FROM fm_purchases p JOIN fm_ticket t ON p.ticket_id = t.ticket_id
 GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 
     q["book_tickets_direct"] = _q("WITH " + _booking_sql(agent=False) + """
-SELECT request_id, customer_email, flight_num, status FROM decided""")
+SELECT request_id, customer_email, flight_num, status FROM decided""", recursive=True)
 
     q["book_tickets_agent"] = _q("WITH " + _booking_sql(agent=True) + """
-SELECT request_id, booking_agent_email, customer_email, flight_num, status FROM decided""")
+SELECT request_id, booking_agent_email, customer_email, flight_num, status FROM decided""", recursive=True)
 
     q["assign_ticket_ids"] = _q("WITH " + _booking_sql(agent=False) + """
 SELECT request_id,
        CAST((SELECT COALESCE(MAX(TRY_CAST(ticket_id AS BIGINT)), 0) FROM fm_ticket)
-            + ROW_NUMBER() OVER (ORDER BY flight_num, before) AS VARCHAR) AS ticket_id
-FROM decided WHERE status = 1""")
+            + ROW_NUMBER() OVER (ORDER BY flight_num, k) AS VARCHAR) AS ticket_id
+FROM decided WHERE status = 1""", recursive=True)
 
     q["load_new_flights"] = _q("WITH " + _NEW_FLIGHTS + """
 SELECT request_id, flight_num,
@@ -542,7 +544,7 @@ SELECT flight_num, ticket_id, customer_email, booking_agent_email AS sold_by
 FROM fm_sales WHERE flight_status = 'upcoming'""")
 
     q["book_tickets_upcoming_only"] = _q("WITH " + _booking_sql(agent=False, require_upcoming=True) + """
-SELECT request_id, customer_email, flight_num, status FROM decided""")
+SELECT request_id, customer_email, flight_num, status FROM decided""", recursive=True)
 
     q["customer_monthly_spend_6m_year_end"] = _q("""
 WITH months AS (
@@ -700,7 +702,7 @@ mv3 AS (
 
 
 def _booking_sql(agent: bool, require_upcoming: bool = False) -> str:
-    """Requests -> ``decided`` (request columns, status, before) as CTEs."""
+    """Requests -> ``decided`` (request columns, k = order on the flight, status) as CTEs."""
     if agent:
         req = """req AS (
   SELECT e.event_id AS request_id, e.ts, s.s_name AS booking_agent_email,
@@ -727,8 +729,8 @@ pre AS (SELECT r.*, CAST(NULL AS INTEGER) AS pre_status FROM req r),"""
   SELECT r.*, CASE WHEN COALESCE(f.flight_status, '') <> 'upcoming' THEN -3 END AS pre_status
   FROM req r LEFT JOIN fm_flight f ON f.flight_num = r.flight_num),""")
     return req + """
-cap AS (
-  SELECT f.flight_num, GREATEST(a.seats - COALESCE(t.sold, 0), 0) AS remaining
+seats AS (
+  SELECT f.flight_num, a.seats, COALESCE(t.sold, 0) AS sold0
   FROM fm_flight f
   LEFT JOIN fm_airplane a ON a.id = f.airplane_id AND a.airline_name = f.airline_name
   LEFT JOIN (SELECT flight_num, COUNT(*) AS sold FROM fm_ticket GROUP BY flight_num) t
@@ -736,23 +738,29 @@ cap AS (
 held AS (
   SELECT DISTINCT p.customer_email, t.flight_num
   FROM fm_purchases p JOIN fm_ticket t ON p.ticket_id = t.ticket_id),
-r1 AS (
-  SELECT pre.*, COALESCE(cap.remaining, 0) AS remaining,
-         (h.customer_email IS NOT NULL) AS is_held, (pre.pre_status IS NULL) AS ok
+ordered AS (
+  SELECT pre.*, (h.customer_email IS NOT NULL) AS is_held, s.seats, COALESCE(s.sold0, 0) AS sold0,
+         ROW_NUMBER() OVER (PARTITION BY pre.flight_num ORDER BY pre.ts, pre.request_id) AS k
   FROM pre
-  LEFT JOIN cap ON cap.flight_num = pre.flight_num
+  LEFT JOIN seats s ON s.flight_num = pre.flight_num
   LEFT JOIN held h ON h.customer_email = pre.customer_email AND h.flight_num = pre.flight_num),
-r2 AS (
-  SELECT *, CASE WHEN ok AND NOT is_held
-                  AND ROW_NUMBER() OVER (PARTITION BY customer_email, flight_num, ok ORDER BY ts, request_id) = 1
-            THEN 1 ELSE 0 END AS cand
-  FROM r1),
-r3 AS (
-  SELECT *, COALESCE(SUM(cand) OVER (PARTITION BY flight_num ORDER BY ts, request_id
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM r2),
+sim AS (
+  -- the reference's one-request-at-a-time rule, simulated per flight: one
+  -- step per request in (ts, request_id) order, carrying the flight's sold
+  -- count and the customers booked so far
+  SELECT flight_num, CAST(0 AS BIGINT) AS k, MIN(sold0) AS sold, CAST([] AS VARCHAR[]) AS booked,
+         CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS INTEGER) AS status
+  FROM ordered GROUP BY flight_num
+  UNION ALL
+  SELECT flight_num, k, sold + CASE WHEN status = 1 THEN 1 ELSE 0 END,
+         CASE WHEN status = 1 THEN list_append(booked, customer_email) ELSE booked END, request_id, status
+  FROM (
+    SELECT s.flight_num, o.k, s.sold, s.booked, o.request_id, o.customer_email,
+           CAST(CASE WHEN o.pre_status IS NOT NULL THEN o.pre_status
+                     WHEN o.seats IS NULL OR s.sold >= o.seats THEN 3
+                     WHEN o.is_held OR list_contains(s.booked, o.customer_email) THEN 2
+                     ELSE 1 END AS INTEGER) AS status
+    FROM sim s JOIN ordered o ON o.flight_num = s.flight_num AND o.k = s.k + 1) step),
 decided AS (
-  SELECT *, CAST(CASE WHEN NOT ok THEN pre_status WHEN before >= remaining THEN 3
-                      WHEN cand = 0 THEN 2 ELSE 1 END AS INTEGER) AS status
-  FROM r3)
+  SELECT o.*, sim.status FROM ordered o JOIN sim ON sim.request_id = o.request_id)
 """

@@ -327,9 +327,15 @@ def load_registrations(regs: DataFrame, customer: DataFrame, booking_agent: Data
 
     customer: existing email rejected.  agent: existing b_id, unknown
     airline, existing email (this precedence is the one whose message the
-    reference shows last).  staff: existing username, unknown airline.  In
-    a batch the first valid record per key (and per b_id) wins.
+    reference shows last).  staff: existing username, unknown airline.
     Passwords are not carried.
+
+    Batch rule: among the records that pass the table checks, the first per
+    (kind, key) is kept, and among the kept agent records the first per b_id.
+    This equals one-at-a-time processing except when a batch repeats both a
+    key and a b_id in an interleaved way (a record refused for its b_id
+    still blocks a later record of the same key here); exact sequential
+    order for that case needs an ordered greedy pass over the batch.
     """
     cust = customer.select(F.col("email").alias("key")).distinct().withColumn("_kind_e", F.lit("customer"))
     agents = booking_agent.select(F.col("email").alias("key")).distinct().withColumn("_kind_e", F.lit("agent"))

@@ -204,3 +204,54 @@ def test_admin_requester_checks(spark):
     got = {r.request_id: r.outcome for r in mt.agent_move_outcomes(moves, t.booking_agent, t.airline, t.permission,
                                                                   t.airline_staff).collect()}
     assert got == {1: "not_permitted", 2: "updated"}
+
+
+def _seq_airplanes(reqs, existing):
+    ids, out = set(existing), {}
+    for rid, _, raw_id, seats in sorted(reqs):
+        try:
+            norm, _ = str(int(raw_id)), int(seats)
+        except ValueError:
+            out[rid] = "not_an_integer"
+            continue
+        if norm in ids:
+            out[rid] = "existing_id"
+        else:
+            out[rid] = "ok"
+            ids.add(norm)
+    return out
+
+
+def _seq_grants(reqs, staff, held):
+    held, out = set(held), {}
+    for rid, user, perm in sorted(reqs):
+        if user not in staff:
+            out[rid] = "unknown_user"
+        elif perm not in ("Admin", "Operator"):
+            out[rid] = "bad_permission"
+        elif (user, perm) in held:
+            out[rid] = "already_granted"
+        else:
+            out[rid] = "ok"
+            held.add((user, perm))
+    return out
+
+
+def test_loaders_equal_sequential_loops(spark):
+    import random
+    rnd = random.Random(11)
+    existing = ["1", "2", "3"]
+    t = make_tables(spark, airplane=[("A", i, 5) for i in existing])
+    reqs = [(i, "A", rnd.choice(["1", "4", "04", "5", "x", "5.0", "6"]), rnd.choice(["10", "ten"]))
+            for i in range(40)]
+    df = spark.createDataFrame(reqs, "request_id long, airline_name string, airplane_id string, seats string")
+    got = {r.request_id: r.outcome for r in mt.load_new_airplanes(df, t.airplane).collect()}
+    assert got == _seq_airplanes(reqs, existing)
+
+    staff = ["s1", "s2", "s3"]
+    t = make_tables(spark, airline_staff=[(u, "A", "f", "l", dt.date(1970, 1, 1)) for u in staff],
+                    permission=[("s1", "Admin"), ("s2", "")])
+    reqs = [(i, rnd.choice(staff + ["zz"]), rnd.choice(["Admin", "Operator", "Root"])) for i in range(40)]
+    df = spark.createDataFrame(reqs, "request_id long, username string, permission string")
+    got = {r.request_id: r.outcome for r in mt.permission_grant_outcomes(df, t.permission, t.airline_staff).collect()}
+    assert got == _seq_grants(reqs, set(staff), {("s1", "Admin"), ("s2", "")})

@@ -28,9 +28,15 @@ def previous_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequen
     incoming = last_of_chunk.withColumn(
         "_incoming", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))
     ).drop("_last")
+    renamed = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys + ["_chunk"]], "_incoming")
+    # null-safe equality, so rows with a NULL key or chunk are kept
+    on = None
+    for k in keys + ["_chunk"]:
+        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        on = c if on is None else on & c
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     first_in_chunk = F.row_number().over(w) == 1
-    return (d.join(incoming, keys + ["_chunk"])
+    return (d.join(renamed, on).drop(*[f"_k_{k}" for k in keys + ["_chunk"]])
             .withColumn(out, F.when(first_in_chunk, F.col("_incoming")).otherwise(F.lag(value).over(w)))
             .drop("_chunk", "_incoming"))
 

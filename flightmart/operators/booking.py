@@ -19,9 +19,9 @@ pieces, chunk totals are prefix-summed per flight (one small row per chunk),
 and the running count inside a chunk is a window over that chunk only.
 
 New ticket ids (O34) continue after the largest numeric id in the ticket
-table, contiguous, in the order (flight bucket, flight, rank in flight).
-The global order is again built from levels: flights inside prefix buckets,
-then the buckets, so no single task sees all bookings.
+table, contiguous, in the order (flight_num, rank in flight).  That global
+order is built from levels (flights inside flight-number prefix buckets,
+then the buckets), so no single task sees all bookings.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ def seat_availability(flight: DataFrame, airplane: DataFrame, ticket: DataFrame)
     """Per flight, seats of its airplane (same airline), tickets sold, seats remaining.
 
     "Full" is ``sold >= seats`` (Q9 corrected), so remaining never goes
-    below 0.  A flight whose airplane is not the airline's has NULL seats.
+    below 0.  A flight whose airplane is not the airline's (or unknown) has
+    NULL seats and 0 remaining: it cannot be booked.
     """
     sold = ticket.groupBy("flight_num").agg(F.count(F.lit(1)).alias("sold"))
     planes = airplane.select(F.col("airline_name").alias("_al"), F.col("id").alias("_id"), "seats")
@@ -148,10 +149,12 @@ def rank_requests(r: DataFrame, chunk_unit: str = "hour") -> DataFrame:
               .withColumn("_chunk_before",
                           F.coalesce(F.sum("_n").over(Window.partitionBy("flight_num").orderBy("_chunk")
                                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select("flight_num", "_chunk", "_chunk_before"))
+              .select(F.col("flight_num").alias("_cf"), F.col("_chunk").alias("_cc"), "_chunk_before"))
     in_chunk = Window.partitionBy("flight_num", "_chunk").orderBy("ts", "request_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    r = (r.join(chunks, ["flight_num", "_chunk"])
+    # null-safe: a request without flight or time still gets its row back
+    on = F.col("flight_num").eqNullSafe(F.col("_cf")) & F.col("_chunk").eqNullSafe(F.col("_cc"))
+    r = (r.join(chunks, on).drop("_cf", "_cc")
          .withColumn("_before", F.col("_chunk_before") + F.coalesce(F.sum("_cand").over(in_chunk), F.lit(0))))
     status = (F.when(~F.col("_ok"), F.col("pre_status"))
               .when(F.col("_before") >= F.col("remaining"), F.lit(NO_SEATS))

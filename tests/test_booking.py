@@ -174,3 +174,11 @@ def test_held_pairs_from_sales_mart(spark):
     via_sales = bk.decide(rdf, t.flight, t.airplane, t.ticket, t.purchases,
                           sales=sales_fact(t.purchases, t.ticket, t.flight))
     assert {r.request_id: r.status for r in via_sales.collect()} == base == sequential(reqs, seats, sold, held)
+
+
+def test_requests_with_missing_fields_are_kept(spark):
+    t = make_tables(spark, flight=[flight_row("F")], airplane=[("A", "P1", 5)])
+    reqs = spark.createDataFrame([(1, T0, "c", "F"), (2, None, "d", "F"), (3, T0, "e", None)],
+                                 "request_id long, ts timestamp_ntz, customer_email string, flight_num string")
+    got = {r.request_id: r.status for r in bk.decide(reqs, t.flight, t.airplane, t.ticket, t.purchases).collect()}
+    assert set(got) == {1, 2, 3} and got[3] == 3

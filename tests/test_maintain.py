@@ -255,3 +255,11 @@ def test_loaders_equal_sequential_loops(spark):
     df = spark.createDataFrame(reqs, "request_id long, username string, permission string")
     got = {r.request_id: r.outcome for r in mt.permission_grant_outcomes(df, t.permission, t.airline_staff).collect()}
     assert got == _seq_grants(reqs, set(staff), {("s1", "Admin"), ("s2", "")})
+
+
+def test_previous_value_keeps_null_keys(spark):
+    from flightmart.functions.ordering import id_chunk, previous_value
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "k", "c")], "request_id long, key string, v string")
+    got = {r.request_id: r.prev for r in previous_value(df, ["key"], "v", ["request_id"], id_chunk("request_id", 10),
+                                                        "prev").collect()}
+    assert got == {1: None, 2: "a", 3: None}

@@ -59,3 +59,13 @@ def test_fact_windows_are_partitioned(plans):
     for name, p in plans.items():
         if name not in allowed:
             assert "SinglePartition" not in p, name
+
+
+def test_ordered_windows_are_chunked(plans):
+    import re
+    for name in ("book_tickets_direct", "apply_flight_status", "agent_move_outcomes"):
+        specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plans[name])
+        row_level = [s for s in specs if "request_id" in s]
+        assert row_level, name
+        # every window ordered by request (row level) also partitions by the chunk
+        assert all("_chunk" in s for s in row_level), (name, row_level)

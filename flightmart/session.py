@@ -47,12 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment sets it to a shared (distributed) folder and
-    it is used as is.  Only when it is unset (local tests) do we pick a
-    scratch folder of our own.
+    it is used as is; if it is unset there, this raises.  Only in local mode
+    (tests) is a scratch folder of our own picked when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            # executors cannot share a folder on the driver's disk
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared (distributed) folder")
         current = tempfile.mkdtemp(prefix="flightmart-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(current)
     return current

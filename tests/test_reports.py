@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from decimal import Decimal
 
 import pytest
@@ -12,7 +11,7 @@ from flightmart.operators import airline as al
 from flightmart.operators import customer as cu
 from flightmart.operators import search as se
 from flightmart.operators.facts import sales_of
-from tests.conftest import d, flight_row, make_tables, money, ts
+from tests.conftest import d, flight_row, make_tables, money
 
 
 def cust(email):

@@ -546,6 +546,9 @@ FROM fm_sales WHERE flight_status = 'upcoming'""")
     q["book_tickets_upcoming_only"] = _q("WITH " + _booking_sql(agent=False, require_upcoming=True) + """
 SELECT request_id, customer_email, flight_num, status FROM decided""", recursive=True)
 
+    q["book_tickets_agent_same_airline"] = _q("WITH " + _booking_sql(agent=True, same_airline=True) + """
+SELECT request_id, booking_agent_email, customer_email, flight_num, status FROM decided""", recursive=True)
+
     q["customer_monthly_spend_6m_year_end"] = _q("""
 WITH months AS (
   SELECT DATE '2000-08-01' AS lo, DATE '2001-01-01' AS hi),
@@ -701,7 +704,7 @@ mv3 AS (
 """
 
 
-def _booking_sql(agent: bool, require_upcoming: bool = False) -> str:
+def _booking_sql(agent: bool, require_upcoming: bool = False, same_airline: bool = False) -> str:
     """Requests -> ``decided`` (request columns, k = order on the flight, status) as CTEs."""
     if agent:
         req = """req AS (
@@ -709,7 +712,19 @@ def _booking_sql(agent: bool, require_upcoming: bool = False) -> str:
          CASE WHEN e.event_id % 11 = 0 THEN 'unknown-' || CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS customer_email,
          CAST(e.event_id % 200 AS VARCHAR) AS flight_num
   FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN supplier s ON e.event_id % 7 = s.s_suppkey
-  WHERE e.event_type = 'click'),
+  WHERE e.event_type = 'click'),"""
+        if same_airline:
+            req = """req AS (
+  SELECT e.event_id AS request_id, e.ts, s.s_name AS booking_agent_email,
+         CASE WHEN e.event_id % 11 = 0 THEN 'unknown-' || CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS customer_email,
+         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
+  FROM events e
+  JOIN customer c ON e.user_id = c.c_custkey
+  LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  LEFT JOIN supplier s
+    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
+  WHERE e.event_type = 'click'),"""
+        req += """
 pre AS (
   SELECT r.*,
          CASE WHEN f.airline_name IS NULL OR a.airline_name IS NULL OR f.airline_name <> a.airline_name THEN -1

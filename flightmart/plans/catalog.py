@@ -105,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "agent_upcoming_flights": lambda s, d: ag.agent_upcoming_flights(_sales(s, d)),
     "upcoming_passengers": lambda s, d: ag.upcoming_passengers(_sales(s, d)),
     "book_tickets_upcoming_only": lambda s, d: _book_direct(s, d, require_upcoming=True),
+    "book_tickets_agent_same_airline": lambda s, d: _book_agent(s, d, same_airline=True),
     "customer_monthly_spend_6m_year_end": lambda s, d: cu.customer_monthly_spend_6m(
         _sales(s, d), _t(s, d).customer, dt.date(2001, 1, 15)),
 }
@@ -116,10 +117,11 @@ def _book_direct(spark: SparkSession, sf_dir: str, require_upcoming: bool = Fals
                                   t.purchases, require_upcoming=require_upcoming)
 
 
-def _book_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _book_agent(spark: SparkSession, sf_dir: str, same_airline: bool = False) -> DataFrame:
     t = _t(spark, sf_dir)
-    return bk.book_tickets_agent(fixtures.agent_booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket,
-                                 t.purchases, t.booking_agent, t.customer)
+    reqs = (fixtures.agent_booking_requests_same_airline(spark, sf_dir) if same_airline
+            else fixtures.agent_booking_requests(spark, sf_dir))
+    return bk.book_tickets_agent(reqs, t.flight, t.airplane, t.ticket, t.purchases, t.booking_agent, t.customer)
 
 
 def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,29 @@ def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+def agent_booking_requests_same_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent booking requests whose agent works for the flight's airline: click
+    events as in ``agent_booking_requests``, agent = supplier key
+    (brand number - 1) + 25 * (event_id % 4) (NULL when that supplier does not exist)."""
+    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    brand_num = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1).cast("bigint")
+    keyed = (events.join(customer, events.user_id == customer.c_custkey)
+             .join(part, (events.event_id % N_REQUEST_FLIGHTS) == part.p_partkey, "left")
+             .withColumn("_agent_key", brand_num - 1 + 25 * (F.col("event_id") % 4)))
+    return (keyed.join(supplier, keyed._agent_key == supplier.s_suppkey, "left")
+            .select(
+                F.col("event_id").alias("request_id"),
+                "ts",
+                F.col("s_name").alias("booking_agent_email"),
+                F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("unknown-"), F.col("user_id").cast("string")))
+                .otherwise(F.col("c_name")).alias("customer_email"),
+                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+            ))
+
+
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status change requests: view events; flight event_id % 200 with its airline
     (a wrong airline every 13th); status by event_id % 3, with the creation

@@ -404,6 +404,34 @@ FROM nf4""")
 SELECT request_id, flight_num, CASE WHEN prev = flight_status THEN 'unchanged' ELSE 'updated' END AS outcome
 FROM sc3
 UNION ALL
+SELECT request_id, flight_num, pre FROM sc2 WHERE pre IS NOT NULL""")
+
+    q["flight_status_outcomes_by_operator"] = _q("""
+WITH sc AS (
+  SELECT e.event_id AS request_id, e.ts,
+         CASE WHEN e.event_id % 13 = 0 THEN 'Brand#0' ELSE p.p_brand END AS airline_name,
+         CAST(e.event_id % 200 AS VARCHAR) AS flight_num,
+         CASE e.event_id % 3 WHEN 0 THEN 'upcoming' WHEN 1 THEN 'in-progress' ELSE 'delayed' END AS flight_status,
+         'staff-' || s.s_name AS requester
+  FROM events e
+  LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  LEFT JOIN supplier s
+    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
+  WHERE e.event_type = 'view'),
+sc2 AS (
+  SELECT sc.*, f.flight_status AS base_status,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM fm_permission pm JOIN fm_staff st ON st.username = pm.username
+                               WHERE pm.username = sc.requester AND pm.permission = 'Operator'
+                                 AND st.airline_name = sc.airline_name) THEN 'not_permitted'
+              WHEN f.airline_name IS NULL OR f.airline_name <> sc.airline_name THEN 'unknown_flight'
+              WHEN sc.flight_status NOT IN ('upcoming', 'in-progress', 'delayed') THEN 'bad_status' END AS pre
+  FROM sc LEFT JOIN fm_flight f ON f.flight_num = sc.flight_num),
+sc3 AS (
+  SELECT *, COALESCE(LAG(flight_status) OVER (PARTITION BY flight_num ORDER BY ts, request_id), base_status) AS prev
+  FROM sc2 WHERE pre IS NULL)
+SELECT request_id, flight_num, CASE WHEN prev = flight_status THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM sc3
+UNION ALL
 SELECT request_id, flight_num, pre FROM sc2 WHERE pre IS NOT NULL""")
 
     q["apply_flight_status"] = _q("WITH " + _STATUS_CHANGES + """,

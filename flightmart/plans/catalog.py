@@ -84,6 +84,8 @@ QUERIES: dict[str, Query] = {
         fixtures.new_flights(s, d), _t(s, d).flight, _t(s, d).airplane, _t(s, d).airport),
     "apply_flight_status": lambda s, d: mt.apply_flight_status(fixtures.status_changes(s, d), _t(s, d).flight),
     "flight_status_outcomes": lambda s, d: mt.flight_status_outcomes(fixtures.status_changes(s, d), _t(s, d).flight),
+    "flight_status_outcomes_by_operator": lambda s, d: mt.flight_status_outcomes(
+        fixtures.status_changes_with_requester(s, d), _t(s, d).flight, _t(s, d).permission, _t(s, d).airline_staff),
     "load_new_airplanes": lambda s, d: mt.load_new_airplanes(fixtures.new_airplanes(s, d), _t(s, d).airplane),
     "load_new_airports": lambda s, d: mt.load_new_airports(fixtures.new_airports(s, d), _t(s, d).airport),
     "permission_grant_outcomes": lambda s, d: mt.permission_grant_outcomes(

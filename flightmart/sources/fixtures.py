@@ -252,6 +252,19 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+def status_changes_with_requester(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``status_changes`` plus a requester: a staff member of the flight's airline
+    (supplier key (brand number - 1) + 25 * (event_id % 4); NULL when missing)."""
+    changes = status_changes(spark, sf_dir)
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    brand_num = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1).cast("bigint")
+    keyed = (changes.join(part, changes.flight_num.cast("bigint") == part.p_partkey, "left")
+             .withColumn("_staff_key", brand_num - 1 + 25 * (F.col("request_id") % 4)))
+    return (keyed.join(supplier, keyed._staff_key == supplier.s_suppkey, "left")
+            .select(*changes.columns, F.concat(F.lit("staff-"), F.col("s_name")).alias("requester")))
+
+
 def new_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-flight requests, one per order (flight_num = order key)."""
     orders = _read(spark, sf_dir, "orders")

@@ -400,6 +400,28 @@ SELECT request_id, flight_num,
        CASE WHEN in_table OR late THEN 'existing_flight_num' WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
 FROM nf4""")
 
+    q["load_new_flights_by_admin"] = _q("WITH " + _NEW_FLIGHTS + """,
+req_by AS (
+  SELECT nf4.*, 'staff-' || s.s_name AS requester
+  FROM nf4 LEFT JOIN supplier s
+    ON s.s_suppkey = CAST(regexp_extract(nf4.airline_name, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (nf4.request_id % 4)),
+permitted AS (
+  SELECT req_by.*, EXISTS (SELECT 1 FROM fm_permission pm JOIN fm_staff st ON st.username = pm.username
+                           WHERE pm.username = req_by.requester AND pm.permission = 'Admin'
+                             AND st.airline_name = req_by.airline_name) AS ok_req
+  FROM req_by),
+judged AS (
+  SELECT permitted.*, EXISTS (SELECT 1 FROM permitted b
+                              WHERE b.ok_req AND NOT b.in_table AND b.other IS NULL AND b.flight_num = permitted.flight_num
+                                AND (b.ts < permitted.ts OR (b.ts = permitted.ts AND b.request_id < permitted.request_id)))
+           AS late_ok
+  FROM permitted)
+SELECT request_id, flight_num,
+       CASE WHEN NOT ok_req THEN 'not_permitted'
+            WHEN in_table OR late_ok THEN 'existing_flight_num'
+            WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
+FROM judged""")
+
     q["flight_status_outcomes"] = _q("WITH " + _STATUS_CHANGES + """
 SELECT request_id, flight_num, CASE WHEN prev = flight_status THEN 'unchanged' ELSE 'updated' END AS outcome
 FROM sc3

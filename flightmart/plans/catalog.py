@@ -82,6 +82,9 @@ QUERIES: dict[str, Query] = {
     "assign_ticket_ids": lambda s, d: _ticket_ids(s, d),
     "load_new_flights": lambda s, d: mt.load_new_flights(
         fixtures.new_flights(s, d), _t(s, d).flight, _t(s, d).airplane, _t(s, d).airport),
+    "load_new_flights_by_admin": lambda s, d: mt.load_new_flights(
+        fixtures.new_flights_with_requester(s, d), _t(s, d).flight, _t(s, d).airplane, _t(s, d).airport,
+        _t(s, d).permission, _t(s, d).airline_staff),
     "apply_flight_status": lambda s, d: mt.apply_flight_status(fixtures.status_changes(s, d), _t(s, d).flight),
     "flight_status_outcomes": lambda s, d: mt.flight_status_outcomes(fixtures.status_changes(s, d), _t(s, d).flight),
     "flight_status_outcomes_by_operator": lambda s, d: mt.flight_status_outcomes(

@@ -291,6 +291,17 @@ def new_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+def new_flights_with_requester(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``new_flights`` plus a requester: a staff member of the request's airline
+    (supplier key (brand number - 1) + 25 * (order key % 4); NULL when missing)."""
+    reqs = new_flights(spark, sf_dir)
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    brand_num = F.regexp_extract(F.col("airline_name"), r"(\d+)$", 1).cast("bigint")
+    keyed = reqs.withColumn("_staff_key", brand_num - 1 + 25 * (F.col("request_id") % 4))
+    return (keyed.join(supplier, keyed._staff_key == supplier.s_suppkey, "left")
+            .select(*reqs.columns, F.concat(F.lit("staff-"), F.col("s_name")).alias("requester")))
+
+
 def new_airplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-airplane requests from suppliers; every 7th id is not an integer."""
     s = _read(spark, sf_dir, "supplier")

@@ -27,12 +27,27 @@ AS_OF = fixtures.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The derived tables (lazy plans, analysed once) per session and folder, as a
+# job would load its tables once and run many reports on them.
+_LOADED: dict[tuple[int, str], tuple[SparkSession, object, DataFrame]] = {}
+
+
+def _loaded(spark: SparkSession, sf_dir: str):
+    key = (id(spark), sf_dir)
+    hit = _LOADED.get(key)
+    if hit is None or hit[0] is not spark:
+        t = fixtures.load(spark, sf_dir)
+        hit = (spark, t, facts.sales_of(t))
+        _LOADED[key] = hit
+    return hit
+
+
 def _t(spark: SparkSession, sf_dir: str):
-    return fixtures.load(spark, sf_dir)
+    return _loaded(spark, sf_dir)[1]
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.sales_of(_t(spark, sf_dir))
+    return _loaded(spark, sf_dir)[2]
 
 
 QUERIES: dict[str, Query] = {

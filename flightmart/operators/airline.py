@@ -22,7 +22,7 @@ from flightmart.sources.schemas import FLIGHT_COLUMNS
 
 
 def _unpivot_windows(df: DataFrame, keys: Sequence[str], windows: Sequence[int],
-                     measures: dict[str, str]) -> DataFrame:
+                     measures: Sequence[str]) -> DataFrame:
     """Turn per-window columns ``{measure}_{w}`` into rows (keys, window_days, measures)."""
     structs = [F.struct(F.lit(int(w)).alias("window_days"),
                         *[F.col(f"{m}_{w}").alias(m) for m in measures])
@@ -58,7 +58,7 @@ def airline_top_agents_by_tickets(sales: DataFrame, as_of: dt.date, windows: Seq
            .groupBy("airline_name", "booking_agent_email")
            .agg(*[F.count(F.when(F.col("p_date") >= F.lit(days_before(as_of, w)), F.col("ticket_id")))
                   .alias(f"tickets_{w}") for w in windows]))
-    rows = (_unpivot_windows(agg, ["airline_name", "booking_agent_email"], windows, {"tickets": "tickets"})
+    rows = (_unpivot_windows(agg, ["airline_name", "booking_agent_email"], windows, ["tickets"])
             .filter(F.col("tickets") > 0))
     out = top_k(rows, ["airline_name", "window_days"], "tickets", k, ["booking_agent_email"])
     return out.select("airline_name", "window_days", "rank", "booking_agent_email", "tickets")
@@ -138,8 +138,7 @@ def airline_revenue_split(sales: DataFrame, as_of: dt.date, windows: Sequence[in
             F.count(F.when(inside, F.lit(1))).alias(f"n_{w}"),
         ]
     agg = sales.filter(in_window("p_date", as_of, wmax)).groupBy("airline_name").agg(*aggs)
-    rows = _unpivot_windows(agg, ["airline_name"], windows,
-                            {"revenue_direct": "", "revenue_agent": "", "n": ""})
+    rows = _unpivot_windows(agg, ["airline_name"], windows, ["revenue_direct", "revenue_agent", "n"])
     return rows.filter(F.col("n") > 0).select(
         "airline_name", "window_days",
         money("revenue_direct").alias("revenue_direct"),

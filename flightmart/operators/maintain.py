@@ -348,10 +348,12 @@ def load_registrations(regs: DataFrame, customer: DataFrame, booking_agent: Data
     r = (regs.join(existing, ["kind", "key"], "left")
          .join(b_ids, (F.col("b_id") == F.col("_bid")) & (F.col("kind") == F.col("_kind_b")), "left")
          .join(names, "airline_name", "left"))
-    needs_airline = F.col("kind").isin("agent", "staff")
-    pre = (F.when((F.col("kind") == "agent") & F.col("_bid_exists").isNotNull(), F.lit(EXISTING_B_ID))
-           .when(needs_airline & F.col("_airline_ok").isNull(), F.lit(UNKNOWN_AIRLINE))
-           .when(F.col("_exists").isNotNull(), F.lit(EXISTING)))
+    is_agent, is_staff = F.col("kind") == "agent", F.col("kind") == "staff"
+    unknown_airline = F.col("_airline_ok").isNull()
+    pre = (F.when(is_agent & F.col("_bid_exists").isNotNull(), F.lit(EXISTING_B_ID))
+           .when(is_agent & unknown_airline, F.lit(UNKNOWN_AIRLINE))
+           .when(F.col("_exists").isNotNull(), F.lit(EXISTING))
+           .when(is_staff & unknown_airline, F.lit(UNKNOWN_AIRLINE)))
     r = r.withColumn("_pre", pre).withColumn("_valid", F.col("_pre").isNull())
     r = _earlier_than_first(r, ["kind", "key"], "_valid", "_late_key")
     r = r.withColumn("_valid2", F.col("_valid") & ~F.col("_late_key") & (F.col("kind") == "agent"))

@@ -542,11 +542,14 @@ WITH rg AS (
 rg2 AS (
   SELECT rg.*,
          CASE WHEN kind = 'agent' AND b_id IN (SELECT b_id FROM fm_agent) THEN 'existing_b_id'
-              WHEN kind IN ('agent', 'staff')
+              WHEN kind = 'agent'
                    AND (airline_name IS NULL OR airline_name NOT IN (SELECT name FROM fm_airline)) THEN 'unknown_airline'
               WHEN (kind = 'customer' AND key IN (SELECT email FROM fm_customer))
                 OR (kind = 'agent' AND key IN (SELECT email FROM fm_agent))
-                OR (kind = 'staff' AND key IN (SELECT username FROM fm_staff)) THEN 'existing' END AS pre
+                OR (kind = 'staff' AND key IN (SELECT username FROM fm_staff)) THEN 'existing'
+              WHEN kind = 'staff'
+                   AND (airline_name IS NULL OR airline_name NOT IN (SELECT name FROM fm_airline)) THEN 'unknown_airline'
+              END AS pre
   FROM rg),
 rg3 AS (SELECT rg2.*, pre IS NULL AS valid FROM rg2),
 rg4 AS (

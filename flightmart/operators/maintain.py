@@ -1,5 +1,9 @@
 """Maintenance batch jobs.
 
+O42 (registrations) has two constraints per agent record (email and b_id),
+so its exact one-at-a-time result is computed in rounds: ``registration_state``
+and ``registration_round`` here, looped by ``plans.jobs.registration_outcomes``.
+
 The reference applies one form post at a time.  Each job here takes a table
 of requests (``request_id`` and, where order matters, ``ts``) and returns one
 outcome per request, plus the rows to append or the new table snapshot.
@@ -321,32 +325,35 @@ def assign_agents_to_airline(moves: DataFrame, booking_agent: DataFrame, airline
 
 # ---------------------------------------------------------------- O42 registrations
 
-def load_registrations(regs: DataFrame, customer: DataFrame, booking_agent: DataFrame,
+def registration_state(regs: DataFrame, customer: DataFrame, booking_agent: DataFrame,
                        airline_staff: DataFrame, airline: DataFrame) -> DataFrame:
-    """request_id, kind, key, outcome for customer / agent / staff sign-ups.
-
-    customer: existing email rejected.  agent: existing b_id, unknown
-    airline, existing email (this precedence is the one whose message the
-    reference shows last).  staff: existing username, unknown airline.
-    Passwords are not carried.
-
-    Batch rule: among the records that pass the table checks, the first per
-    (kind, key) is kept, and among the kept agent records the first per b_id.
-    This equals one-at-a-time processing except when a batch repeats both a
-    key and a b_id in an interleaved way (a record refused for its b_id
-    still blocks a later record of the same key here); exact sequential
-    order for that case needs an ordered greedy pass over the batch.
+    """Start of the exact (round-based) registration: table facts known, nothing decided.
+
+    Carries per request whether its b_id / key is already in the tables and
+    whether its airline is unknown; ``registration_round`` then decides
+    records round by round (see ``plans.jobs.registration_outcomes``).
     """
-    cust = customer.select(F.col("email").alias("key")).distinct().withColumn("_kind_e", F.lit("customer"))
-    agents = booking_agent.select(F.col("email").alias("key")).distinct().withColumn("_kind_e", F.lit("agent"))
-    staff = airline_staff.select(F.col("username").alias("key")).distinct().withColumn("_kind_e", F.lit("staff"))
-    existing = cust.unionByName(agents).unionByName(staff).withColumnRenamed("_kind_e", "kind") \
-        .withColumn("_exists", F.lit(True))
-    b_ids = (booking_agent.select(F.col("b_id").alias("_bid")).distinct().withColumn("_kind_b", F.lit("agent"))
-             .withColumn("_bid_exists", F.lit(True)))
+    base = _registration_table_checks(regs, customer, booking_agent, airline_staff, airline)
+    is_agent, is_staff = F.col("kind") == "agent", F.col("kind") == "staff"
+    table_bid = is_agent & F.col("_bid_exists").isNotNull()
+    table_key = F.col("_exists").isNotNull()
+    bad_airline = (is_agent | is_staff) & F.col("_airline_ok").isNull()
+    return base.select(
+        "request_id", "ts", "kind", "key", "b_id",
+        table_bid.alias("_table_bid"), table_key.alias("_table_key"), bad_airline.alias("_bad_airline"),
+        (~table_bid & ~table_key & ~bad_airline).alias("_can_accept"),
+        F.lit(None).cast("string").alias("outcome"))
+
+
+def _registration_table_checks(regs, customer, booking_agent, airline_staff, airline) -> DataFrame:
+    cust = customer.select(F.col("email").alias("key")).distinct().withColumn("kind", F.lit("customer"))
+    agents = booking_agent.select(F.col("email").alias("key")).distinct().withColumn("kind", F.lit("agent"))
+    staff = airline_staff.select(F.col("username").alias("key")).distinct().withColumn("kind", F.lit("staff"))
+    existing = cust.unionByName(agents).unionByName(staff).withColumn("_exists", F.lit(True))
+    b_ids = booking_agent.select(F.col("b_id").alias("_bid")).distinct().withColumn("_bid_exists", F.lit(True))
     names = airline.select(F.col("name").alias("airline_name")).distinct().withColumn("_airline_ok", F.lit(True))
     r = (regs.join(existing, ["kind", "key"], "left")
-         .join(b_ids, (F.col("b_id") == F.col("_bid")) & (F.col("kind") == F.col("_kind_b")), "left")
+         .join(b_ids, (F.col("b_id") == F.col("_bid")) & (F.col("kind") == "agent"), "left")
          .join(names, "airline_name", "left"))
     is_agent, is_staff = F.col("kind") == "agent", F.col("kind") == "staff"
     unknown_airline = F.col("_airline_ok").isNull()
@@ -354,15 +361,53 @@ def load_registrations(regs: DataFrame, customer: DataFrame, booking_agent: Data
            .when(is_agent & unknown_airline, F.lit(UNKNOWN_AIRLINE))
            .when(F.col("_exists").isNotNull(), F.lit(EXISTING))
            .when(is_staff & unknown_airline, F.lit(UNKNOWN_AIRLINE)))
-    r = r.withColumn("_pre", pre).withColumn("_valid", F.col("_pre").isNull())
-    r = _earlier_than_first(r, ["kind", "key"], "_valid", "_late_key")
-    r = r.withColumn("_valid2", F.col("_valid") & ~F.col("_late_key") & (F.col("kind") == "agent"))
-    r = _earlier_than_first(r, ["b_id"], "_valid2", "_late_bid")
-    outcome = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-               .when(F.col("_late_key"), F.lit(EXISTING))
-               .when((F.col("kind") == "agent") & F.col("_late_bid"), F.lit(EXISTING_B_ID))
-               .otherwise(F.lit(OK)))
-    return r.select("request_id", "kind", "key", outcome.alias("outcome"))
+    return r.withColumn("_pre", pre)
+
+
+def registration_round(state: DataFrame) -> DataFrame:
+    """One round of the exact batch rule (one-at-a-time order, decided in rounds).
+
+    Reasons follow the per-kind precedence, with "already taken" meaning in
+    the tables or by an earlier accepted record of the batch.  A reason is
+    settled only when no earlier still-undecided record that could be
+    accepted shares the key (or, for agents, the b_id); records that can
+    never be accepted do not hold others back.  Per key and per b_id only
+    the earliest accepted and the earliest open candidate matter, so a round
+    is two aggregates and two joins, never pairs within a key.
+    """
+    order = F.struct("ts", "request_id")
+    undecided = F.col("outcome").isNull()
+    accepted = F.col("outcome") == F.lit(OK)
+    open_candidate = undecided & F.col("_can_accept")
+    by_key = (state.groupBy("kind", "key")
+              .agg(F.min(F.when(accepted, order)).alias("_acc_k"),
+                   F.min(F.when(open_candidate, order)).alias("_und_k")))
+    by_bid = (state.filter(F.col("kind") == "agent").groupBy("b_id")
+              .agg(F.min(F.when(accepted, order)).alias("_acc_b"),
+                   F.min(F.when(open_candidate, order)).alias("_und_b"))
+              .withColumn("kind", F.lit("agent")))
+    s = state.join(by_key, ["kind", "key"], "left").join(by_bid, ["kind", "b_id"], "left")
+    me = F.struct("ts", "request_id")
+    before = lambda c: F.coalesce(F.col(c) < me, F.lit(False))
+    wait = F.lit(None).cast("string")
+    key_taken = F.col("_table_key") | before("_acc_k")
+    agent = (F.when(F.col("_table_bid") | before("_acc_b"), F.lit(EXISTING_B_ID))
+             .when(before("_und_b"), wait)
+             .when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
+             .when(key_taken, F.lit(EXISTING))
+             .when(before("_und_k"), wait)
+             .otherwise(F.lit(OK)))
+    staff = (F.when(key_taken, F.lit(EXISTING))
+             .when(before("_und_k"), wait)
+             .when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
+             .otherwise(F.lit(OK)))
+    customer = F.when(key_taken, F.lit(EXISTING)).when(before("_und_k"), wait).otherwise(F.lit(OK))
+    decided = (F.when(~undecided, F.col("outcome"))
+               .when(F.col("kind") == "agent", agent)
+               .when(F.col("kind") == "staff", staff)
+               .otherwise(customer))
+    return s.select("request_id", "ts", "kind", "key", "b_id", "_table_bid", "_table_key", "_bad_airline",
+                    "_can_accept", decided.alias("outcome"))
 
 
 def registration_rows(regs: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:

@@ -539,32 +539,50 @@ WITH rg AS (
          CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'Brand#' || CAST(event_id % 30 + 1 AS VARCHAR) END AS airline_name,
          CASE WHEN event_id % 3 = 1 THEN CAST(user_id + 50 AS VARCHAR) END AS b_id
   FROM events WHERE event_type = 'signup'),
-rg2 AS (
+facts AS (
   SELECT rg.*,
-         CASE WHEN kind = 'agent' AND b_id IN (SELECT b_id FROM fm_agent) THEN 'existing_b_id'
-              WHEN kind = 'agent'
-                   AND (airline_name IS NULL OR airline_name NOT IN (SELECT name FROM fm_airline)) THEN 'unknown_airline'
-              WHEN (kind = 'customer' AND key IN (SELECT email FROM fm_customer))
-                OR (kind = 'agent' AND key IN (SELECT email FROM fm_agent))
-                OR (kind = 'staff' AND key IN (SELECT username FROM fm_staff)) THEN 'existing'
-              WHEN kind = 'staff'
-                   AND (airline_name IS NULL OR airline_name NOT IN (SELECT name FROM fm_airline)) THEN 'unknown_airline'
-              END AS pre
+         COALESCE(airline_name IN (SELECT name FROM fm_airline), FALSE) AS good_airline,
+         CASE kind WHEN 'customer' THEN key IN (SELECT email FROM fm_customer)
+                   WHEN 'agent' THEN key IN (SELECT email FROM fm_agent)
+                   ELSE key IN (SELECT username FROM fm_staff) END AS table_key,
+         COALESCE(kind = 'agent' AND b_id IN (SELECT b_id FROM fm_agent), FALSE) AS table_bid
   FROM rg),
-rg3 AS (SELECT rg2.*, pre IS NULL AS valid FROM rg2),
-rg4 AS (
-  SELECT rg3.*, EXISTS (SELECT 1 FROM rg3 b WHERE b.valid AND b.kind = rg3.kind AND b.key = rg3.key
-                          AND (b.ts < rg3.ts OR (b.ts = rg3.ts AND b.request_id < rg3.request_id))) AS late_key
-  FROM rg3),
-rg5 AS (SELECT rg4.*, (valid AND NOT late_key AND kind = 'agent') AS valid2 FROM rg4),
-rg6 AS (
-  SELECT rg5.*, EXISTS (SELECT 1 FROM rg5 b WHERE b.valid2 AND b.b_id = rg5.b_id
-                          AND (b.ts < rg5.ts OR (b.ts = rg5.ts AND b.request_id < rg5.request_id))) AS late_bid
-  FROM rg5)
-SELECT request_id, kind, key,
-       CASE WHEN pre IS NOT NULL THEN pre WHEN late_key THEN 'existing'
-            WHEN kind = 'agent' AND late_bid THEN 'existing_b_id' ELSE 'ok' END AS outcome
-FROM rg6""")
+-- customers: the first record of a new email is accepted, later ones find it taken
+customers AS (
+  SELECT request_id, kind, key,
+         CASE WHEN table_key OR ROW_NUMBER() OVER (PARTITION BY key ORDER BY ts, request_id) > 1 THEN 'existing'
+              ELSE 'ok' END AS outcome
+  FROM facts WHERE kind = 'customer'),
+-- staff: the key is taken by the table or by an earlier accepted (good-airline) record
+staff AS (
+  SELECT f.request_id, f.kind, f.key,
+         CASE WHEN f.table_key OR EXISTS (SELECT 1 FROM facts b WHERE b.kind = 'staff' AND b.key = f.key
+                                            AND b.good_airline AND NOT b.table_key
+                                            AND (b.ts < f.ts OR (b.ts = f.ts AND b.request_id < f.request_id)))
+              THEN 'existing'
+              WHEN NOT f.good_airline THEN 'unknown_airline' ELSE 'ok' END AS outcome
+  FROM facts f WHERE f.kind = 'staff'),
+-- agents: one step per record in (ts, request_id) order, carrying the keys
+-- and b_ids accepted so far (two constraints, so simulated in order)
+agents_ordered AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY ts, request_id) AS k FROM facts WHERE kind = 'agent'),
+agent_sim AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS bids,
+         CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS outcome
+  UNION ALL
+  SELECT k, CASE WHEN outcome = 'ok' THEN list_append(keys, key) ELSE keys END,
+         CASE WHEN outcome = 'ok' THEN list_append(bids, b_id) ELSE bids END, request_id, outcome
+  FROM (
+    SELECT a.k, s.keys, s.bids, a.request_id, a.key, a.b_id,
+           CASE WHEN a.table_bid OR COALESCE(list_contains(s.bids, a.b_id), FALSE) THEN 'existing_b_id'
+                WHEN NOT a.good_airline THEN 'unknown_airline'
+                WHEN a.table_key OR list_contains(s.keys, a.key) THEN 'existing'
+                ELSE 'ok' END AS outcome
+    FROM agent_sim s JOIN agents_ordered a ON a.k = s.k + 1) step),
+agents AS (
+  SELECT a.request_id, a.kind, a.key, s.outcome
+  FROM agents_ordered a JOIN agent_sim s ON s.request_id = a.request_id)
+SELECT * FROM customers UNION ALL SELECT * FROM staff UNION ALL SELECT * FROM agents""", recursive=True)
 
     q["integrity_audit"] = _q(_audit_sql())
 

@@ -19,6 +19,7 @@ from flightmart.operators import maintain as mt
 from flightmart.operators import quality as qa
 from flightmart.operators import search as se
 from flightmart.operators import facts
+from flightmart.plans import jobs
 from flightmart.session import ensure_checkpoint_dir
 from flightmart.sources import fixtures
 
@@ -114,8 +115,8 @@ QUERIES: dict[str, Query] = {
         fixtures.agent_moves(s, d), _t(s, d).booking_agent, _t(s, d).airline),
     "assign_agents_to_airline": lambda s, d: mt.assign_agents_to_airline(
         fixtures.agent_moves(s, d), _t(s, d).booking_agent, _t(s, d).airline),
-    "load_registrations": lambda s, d: mt.load_registrations(
-        fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
+    "load_registrations": lambda s, d: jobs.registration_outcomes(
+        s, fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
         _t(s, d).airline),
     "integrity_audit": lambda s, d: qa.integrity_audit(_t(s, d)),
     # option variants on the same data

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flightmart.operators import maintain as mt
+from flightmart.session import ensure_checkpoint_dir
 from flightmart.sources.tables import append, read_tables, write_snapshot
 from flightmart.streaming.bookings import process_batch
 
@@ -71,11 +72,32 @@ def move_agents(spark: SparkSession, root: str, moves: DataFrame, new_agent_path
                    new_agent_path)
 
 
-def register(spark: SparkSession, root: str, regs: DataFrame, out: str) -> DataFrame:
+def registration_outcomes(spark: SparkSession, regs: DataFrame, customer: DataFrame, booking_agent: DataFrame,
+                          airline_staff: DataFrame, airline: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """O42 outcomes with the exact one-at-a-time result, decided in rounds.
+
+    Each round settles every record whose earlier conflicting records (same
+    key, or same b_id for agents) are settled; the state is checkpointed
+    (reliable checkpoint in ``spark.checkpoint.dir``) between rounds, so the
+    plan does not grow and a lost executor does not replay earlier rounds.
+    The number of rounds is the longest chain of conflicts in the batch.
+    """
+    ensure_checkpoint_dir(spark)
+    state = mt.registration_state(regs, customer, booking_agent, airline_staff, airline).checkpoint()
+    for _ in range(max_rounds):
+        if state.filter("outcome IS NULL").isEmpty():
+            break
+        state = mt.registration_round(state).checkpoint()
+    else:
+        raise RuntimeError("registration rounds did not settle")
+    return state.select("request_id", "kind", "key", "outcome")
+
+
+def register(spark: SparkSession, root: str, regs: DataFrame, out: str, max_rounds: int = 1000) -> DataFrame:
     """O42 job: outcomes to ``out``; accepted records appended to their tables."""
     t = read_tables(spark, root)
-    outcomes = _outcomes(spark, mt.load_registrations(regs, t.customer, t.booking_agent, t.airline_staff,
-                                                      t.airline), out)
+    outcomes = _outcomes(spark, registration_outcomes(spark, regs, t.customer, t.booking_agent, t.airline_staff,
+                                                      t.airline, max_rounds), out)
     for table, rows in mt.registration_rows(regs, outcomes).items():
         append(rows, f"{root}/{table}")
     return outcomes

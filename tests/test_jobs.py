@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pytest
+
 from flightmart.plans import jobs
 from flightmart.sources import fixtures
 from flightmart.sources.tables import read_tables, write_tables
@@ -63,3 +65,78 @@ def test_nightly_reports(spark):
     written = spark.read.parquet(f"{work}/out/customer_monthly_spend_6m")
     direct = cu.customer_monthly_spend_6m(sales_of(t), t.customer, fixtures.AS_OF)
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def _sequential_registrations(regs, cust, agents, bids, staff, airlines):
+    cust, agents, bids, staff = set(cust), set(agents), set(bids), set(staff)
+    out = {}
+    for rid, ts, kind, key, _, airline, b_id in sorted(regs, key=lambda r: (r[1], r[0])):
+        if kind == "customer":
+            res = "existing" if key in cust else "ok"
+            if res == "ok":
+                cust.add(key)
+        elif kind == "agent":
+            if b_id in bids:
+                res = "existing_b_id"
+            elif airline not in airlines:
+                res = "unknown_airline"
+            elif key in agents:
+                res = "existing"
+            else:
+                res = "ok"
+                agents.add(key)
+                bids.add(b_id)
+        else:
+            if key in staff:
+                res = "existing"
+            elif airline not in airlines:
+                res = "unknown_airline"
+            else:
+                res = "ok"
+                staff.add(key)
+        out[rid] = res
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_register_exact_interleaved_batch(spark, seed):
+    import datetime as dt
+    import random
+
+    from tests.conftest import make_tables
+    from tests.test_reports import cust
+    work = tempfile.mkdtemp(prefix="flightmart-reg-")
+    t = make_tables(spark, airline=[("A",)], customer=[cust("c0")], booking_agent=[("a0", "b0", "A")],
+                    airline_staff=[("s0", "A", "f", "l", dt.date(1970, 1, 1))])
+    write_tables(t, f"{work}/tables")
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    regs = [(0, t0, "agent", "k1", "k1", "A", "b1"), (1, t0 + dt.timedelta(seconds=1), "agent", "k2", "k2", "A", "b1"),
+            (2, t0 + dt.timedelta(seconds=2), "agent", "k2", "k2", "A", "b2")]   # interleaved key / b_id
+    for i in range(3, 60):
+        kind = rnd.choice(["customer", "agent", "staff"])
+        key = {"customer": "c", "agent": "a", "staff": "s"}[kind] + str(rnd.randint(0, 6))
+        regs.append((i, t0 + dt.timedelta(seconds=rnd.randint(0, 30)), kind, key, key,
+                     rnd.choice(["A", "Z"]) if kind != "customer" else None,
+                     "b" + str(rnd.randint(0, 6)) if kind == "agent" else None))
+    schema = "request_id long, ts timestamp_ntz, kind string, key string, name string, airline_name string, b_id string"
+    df = spark.createDataFrame(regs, schema)
+    expected = _sequential_registrations(regs, ["c0"], ["a0"], ["b0"], ["s0"], {"A"})
+    got = {r.request_id: r.outcome for r in jobs.register(spark, f"{work}/tables", df, f"{work}/out").collect()}
+    assert got == expected
+    assert got[0] == "ok" and got[1] == "existing_b_id" and got[2] == "ok"
+
+
+def test_register_exact_on_fixture_equals_sequential(spark):
+    work = tempfile.mkdtemp(prefix="flightmart-reg-")
+    t = fixtures.load(spark, SF_SMALL)
+    write_tables(t, f"{work}/tables")
+    regs_df = fixtures.registrations(spark, SF_SMALL)
+    regs = [tuple(r) for r in regs_df.select("request_id", "ts", "kind", "key", "name", "airline_name", "b_id").collect()]
+    expected = _sequential_registrations(
+        regs, [r.email for r in t.customer.collect()], [r.email for r in t.booking_agent.collect()],
+        [r.b_id for r in t.booking_agent.collect()], [r.username for r in t.airline_staff.collect()],
+        {r.name for r in t.airline.collect()})
+    got = {r.request_id: r.outcome for r in jobs.register(spark, f"{work}/tables", regs_df,
+                                                                f"{work}/out").collect()}
+    assert got == expected

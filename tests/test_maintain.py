@@ -133,7 +133,8 @@ def test_registrations(spark):
         (10, ts("2024-01-01 00:00:09"), "staff", "st3", "s", "A", None),
         (11, ts("2024-01-01 00:00:10"), "staff", "st", "s", "Z", None),   # both: existing shown for staff
     ], "request_id long, ts timestamp_ntz, kind string, key string, name string, airline_name string, b_id string")
-    out = mt.load_registrations(regs, t.customer, t.booking_agent, t.airline_staff, t.airline)
+    from flightmart.plans import jobs
+    out = jobs.registration_outcomes(spark, regs, t.customer, t.booking_agent, t.airline_staff, t.airline)
     got = {r.request_id: r.outcome for r in out.collect()}
     assert got == {1: "existing", 2: "ok", 3: "existing", 4: "existing_b_id", 5: "unknown_airline", 6: "ok",
                    7: "existing_b_id", 8: "existing", 9: "unknown_airline", 10: "ok", 11: "existing"}

@@ -69,3 +69,39 @@ def test_ordered_windows_are_chunked(plans):
         assert row_level, name
         # every window ordered by request (row level) also partitions by the chunk
         assert all("_chunk" in s for s in row_level), (name, row_level)
+
+
+def test_hot_flight_join_is_split_by_aqe(spark):
+    """A flight with a third of all tickets: with broadcast off, the fact's flight
+    join is a sort-merge join and AQE splits the hot partition."""
+    import datetime as dt
+    import random
+
+    from flightmart.operators.facts import sales_of
+    from tests.conftest import flight_row, make_tables
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    saved = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rnd = random.Random(1)
+        n = 30000
+        t = make_tables(spark, flight=[flight_row(f"F{i}") for i in range(300)],
+                        ticket=[(str(i), "F0" if i % 3 == 0 else f"F{rnd.randint(1, 299)}") for i in range(n)],
+                        purchases=[(str(i), f"c{i % 500}", None, dt.date(2001, 1, 1)) for i in range(n)])
+        df = sales_of(t)
+        assert df.count() == n
+        df.collect()
+        p = plan(df)
+        assert "isFinalPlan=true" in p
+        assert "SortMergeJoin(skew=true)" in p and "skewed" in p
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

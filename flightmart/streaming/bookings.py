@@ -8,8 +8,9 @@ Exactly-once without a transactional table format: everything a batch
 writes goes to folders keyed by its batch id (``.../batch_id=N``), written
 in overwrite mode, and a batch reads only the rows of batches before it.
 A batch replayed after a failure therefore rewrites the same folders and
-sees the same inputs.  The decided requests are written first and read back
-(a written table cuts the lineage) before ids and rows are derived from them.
+sees the same inputs.  The annotated requests, then the decided requests, are
+written and read back (a written table cuts the lineage) before the ranking,
+the ids and the new rows are derived from them.
 """
 
 from __future__ import annotations

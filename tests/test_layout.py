@@ -81,3 +81,23 @@ def test_checkpoint_dir_is_kept_when_set(spark):
     from flightmart.session import ensure_checkpoint_dir
     first = ensure_checkpoint_dir(spark)
     assert first and ensure_checkpoint_dir(spark) == first
+
+
+def test_bucketed_facts_join_without_shuffle(spark):
+    from flightmart.operators.facts import sales_of
+    from flightmart.sources.tables import read_bucketed_facts, write_bucketed_facts
+    t = fixtures.load(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="flightmart-bucketed-")
+    write_bucketed_facts(t, root, buckets=4, prefix="test_fm")
+    b = read_bucketed_facts(spark, t, prefix="test_fm")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = b.purchases.join(b.ticket, "ticket_id")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            joined.explain()
+        assert "SortMergeJoin" in buf.getvalue() and "Exchange" not in buf.getvalue()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    assert bag(sales_of(b)) == bag(sales_of(t))

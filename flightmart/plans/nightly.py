@@ -19,7 +19,7 @@ from flightmart.operators import airline as al
 from flightmart.operators import customer as cu
 from flightmart.operators import search as se
 from flightmart.plans import dashboard, mart
-from flightmart.sources.tables import read_tables
+from flightmart.sources.tables import read_bucketed_facts, read_tables
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -29,9 +29,17 @@ def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     writer.parquet(path)
 
 
-def run_reports(spark: SparkSession, root: str, out: str, as_of: dt.date) -> list[str]:
-    """Write all reports for ``as_of``; returns the report names written."""
+def run_reports(spark: SparkSession, root: str, out: str, as_of: dt.date,
+                bucketed_prefix: str | None = None) -> list[str]:
+    """Write all reports for ``as_of``; returns the report names written.
+
+    With ``bucketed_prefix`` purchases and ticket come from the bucketed
+    catalog tables (``tables.write_bucketed_facts``), so building the mart
+    joins them without a shuffle.
+    """
     t = read_tables(spark, root)
+    if bucketed_prefix is not None:
+        t = read_bucketed_facts(spark, t, bucketed_prefix)
     mart_path = f"{out}/_sales_mart"
     mart.write_sales_mart(t.purchases, t.ticket, t.flight, mart_path)
     year = mart.read_sales_window(spark, mart_path, as_of, 365)

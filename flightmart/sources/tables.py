@@ -4,14 +4,15 @@ P01 (scan) reads with the declared schema, never inferring it.  P02 (append
 sink) appends rows.  P03/P04 (keyed update / delete) are expressed as new
 snapshots: the batch operators return the full new table and
 ``write_snapshot`` writes it to a fresh folder, since plain Parquet has no
-MERGE.
+MERGE.  Layouts for scale: purchases stored by month (``write_tables``,
+pruned by ``read_tables(purchase_window=...)``) and purchases / ticket
+bucketed on ticket_id (``write_bucketed_facts``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 import datetime as dt
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -26,7 +26,7 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "flightmart") -> SparkSession:
+                app_name: str = "flightmart", extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -34,6 +34,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, so its heap is the
         # memory of the whole job (a cluster sizes executors instead)

@@ -15,8 +15,12 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from flightmart.session import get_session
-    s = get_session("local[4]", shuffle_partitions=4, app_name="flightmart-tests")
+    warehouse = tempfile.mkdtemp(prefix="flightmart-warehouse-")
+    s = get_session("local[4]", shuffle_partitions=4, app_name="flightmart-tests",
+                    extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

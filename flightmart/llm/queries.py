@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import idfiles, packing
+from flightmart.llm import idfiles, langid, packing, secret_scan
 from flightmart.llm.common import read_table, scratch
+from flightmart.llm.spans import base_spans, count_kind, span_text
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +21,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return secret_scan.scan(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(span_text(base_spans(spans, secret_scan.BASE), secret_scan.KINDS), 256).alias("base_sha256"),
+        span_text(spans, secret_scan.KINDS).alias("spans"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -31,9 +40,18 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit(docs, learn=fold != 1)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
+
+
 QUERIES = {
+    "op2_secret_spans": op2_secret_spans,
     "op4_pack_sequences": op4_pack_sequences,
     "op7_id_files": op7_id_files,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import idfiles, langid, packing, secret_scan
+from flightmart.llm import idfiles, langid, packing, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -40,6 +40,14 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+#: (action, host, path)
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -51,6 +59,7 @@ QUERIES = {
     "op2_secret_spans": op2_secret_spans,
     "op4_pack_sequences": op4_pack_sequences,
     "op7_id_files": op7_id_files,
+    "op8_url_verdicts": op8_url_verdicts,
     "op10_language_id": op10_language_id,
 }
 

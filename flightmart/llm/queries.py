@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import idfiles, langid, packing, secret_scan, url_filter
+from flightmart.llm import idfiles, langid, neardup, packing, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -48,6 +48,11 @@ def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(read_table(spark, sf_dir, "documents"), k=3, numerator=85, denominator=100)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_pack_sequences": op4_pack_sequences,
     "op7_id_files": op7_id_files,
     "op8_url_verdicts": op8_url_verdicts,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_language_id": op10_language_id,
 }
 

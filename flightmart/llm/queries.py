@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import idfiles, langid, neardup, packing, secret_scan, url_filter
+from flightmart.llm import decontam, idfiles, langid, neardup, packing, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -29,6 +29,12 @@ def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_text(spans, secret_scan.KINDS).alias("spans"))
 
 
+def op3_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -62,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_spans": op2_secret_spans,
+    "op3_benchmark_windows": op3_benchmark_windows,
     "op4_pack_sequences": op4_pack_sequences,
     "op7_id_files": op7_id_files,
     "op8_url_verdicts": op8_url_verdicts,
@@ -69,4 +76,22 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_benchmark_windows": f"""
+        WITH item AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+        doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+        win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1:i + 10], ' ') AS run
+                FROM item, unnest(range(greatest(len(w) - 10, 0) + 1)) AS r(i) WHERE len(w) > 0),
+        grams AS (SELECT DISTINCT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS run
+                  FROM doc, (SELECT DISTINCT n FROM win) AS k, unnest(range(len(w) - n + 1)) AS r(i) WHERE len(w) >= n),
+        hit AS (SELECT doc_id, item_id, i, n FROM grams JOIN win USING (run, n)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) AS c GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) AS d GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}

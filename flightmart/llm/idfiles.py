@@ -68,6 +68,7 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(path), TaskContext.get().partitionId()
+        kind = "<u2" if max(code.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         counts, seq, start = np.zeros(max(code.vocab_size, end_id + 1), np.int64), 0, 0
         for batch in python_batches(batches):
             doc_ids, texts = (batch.column(n).to_pylist() for n in ("doc_id", "text"))
@@ -75,7 +76,7 @@ def _tokenize(path: str, end_id: int):
                 ids, sizes = code.encode(texts[a:b], end_id)
                 counts += np.bincount(ids, minlength=len(counts))
                 upto = np.cumsum(sizes)
-                yield _rows(shard, range(seq, seq + b - a), doc_ids[a:b], start + upto - sizes, sizes, [x.astype("<u4").tobytes() for x in np.split(ids, upto[:-1])])
+                yield _rows(shard, range(seq, seq + b - a), doc_ids[a:b], start + upto - sizes, sizes, [x.tobytes() for x in np.split(ids.astype(kind), upto[:-1])])
                 seq, start = seq + b - a, start + int(upto[-1])
         if seq:
             yield _rows(shard, [-1], [None], [0], [0], [counts.astype("<i8").tobytes()])
@@ -111,19 +112,19 @@ def _to_blocks(by_rank: np.ndarray, block_ids: int):
 
         def block() -> pa.RecordBatch:
             nonlocal held, count
-            control, data = encode_values(rank[np.concatenate([np.frombuffer(x[4], "<u4") for x in held])])
-            row = ([held[0][0]], [held[0][1]], [[x[2] for x in held]], [[len(x[4]) // 4 for x in held]], [held[0][3]], [control], [data])
+            control, data = encode_values(rank[np.concatenate([np.frombuffer(x[5], f"<u{len(x[5]) // x[4]}") for x in held])])
+            row = ([held[0][0]], [held[0][1]], [[x[2] for x in held]], [[x[4] for x in held]], [held[0][3]], [control], [data])
             held, count = [], 0
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "doc_ids", "sizes", "start", "control", "data"])
 
         for batch in python_batches(batches):
-            for row in zip(*(batch.column(n).to_pylist() for n in ("shard", "seq", "doc_id", "start", "ids")), strict=True):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("shard", "seq", "doc_id", "start", "size", "ids")), strict=True):
                 # a block holds documents that follow one another in one shard
                 if held and (count >= block_ids or row[0] != held[0][0] or row[1] != held[-1][1] + 1):
                     yield block()
                 held.append(row)
-                count += len(row[4]) // 4
+                count += row[4]
         if held:
             yield block()
 
@@ -150,7 +151,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     by_rank = found.column("id").to_numpy()
     (spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1)
      .write.mode("overwrite").parquet(f"{path}/ranks"))
-    (rows.where("seq >= 0").select("shard", "seq", "doc_id", "start", "ids")
+    (rows.where("seq >= 0").select("shard", "seq", "doc_id", "start", "size", "ids")
      .mapInArrow(_to_blocks(by_rank, block_ids), _BLOCK)
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks"))
 

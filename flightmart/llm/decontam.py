@@ -38,6 +38,8 @@ from flightmart.llm.common import ascii_lower, text_of, written
 
 #: Runs of ASCII letters and digits and of all other characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same runs before A-Z are lower-cased.
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000
 
 
@@ -133,6 +135,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
               .groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items")))
     found = (covered.join(listed.withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"}), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
              .select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "n_hit", "items"))
-    rows = texts.select("doc_id", "text_hash", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    rows = texts.select("doc_id", "text_hash", F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words"))
     return (rows.join(found, rows.doc_id.eqNullSafe(found.id_) & (rows.text_hash == found.hash_), "left")
             .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")))

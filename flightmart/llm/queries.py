@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import decontam, idfiles, langid, neardup, packing, secret_scan, url_filter
+from flightmart.llm import decontam, fingerprint, idfiles, langid, neardup, packing, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     return secret_scan.scan(read_table(spark, sf_dir, "documents")).select(
@@ -67,6 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_secret_spans": op2_secret_spans,
     "op3_benchmark_windows": op3_benchmark_windows,
     "op4_pack_sequences": op4_pack_sequences,

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import decontam, fingerprint, idfiles, langid, neardup, packing, secret_scan, url_filter
+from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -44,6 +44,10 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(read_table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "idfiles")
     idfiles.write_ids(read_table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -75,6 +79,7 @@ QUERIES = {
     "op2_secret_spans": op2_secret_spans,
     "op3_benchmark_windows": op3_benchmark_windows,
     "op4_pack_sequences": op4_pack_sequences,
+    "op6_class_scores": op6_class_scores,
     "op7_id_files": op7_id_files,
     "op8_url_verdicts": op8_url_verdicts,
     "op9_near_duplicates": op9_near_duplicates,

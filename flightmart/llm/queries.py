@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, secret_scan, url_filter
+from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, pii, secret_scan, url_filter
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -44,6 +44,13 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return pii.spans_by_row(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count_kind(spans, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(span_text(base_spans(spans, pii.BASE), pii.KINDS), 256).alias("base_sha256"), span_text(spans, pii.KINDS).alias("spans"))
+
+
 def op6_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(read_table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op2_secret_spans": op2_secret_spans,
     "op3_benchmark_windows": op3_benchmark_windows,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_personal_data": op5_personal_data,
     "op6_class_scores": op6_class_scores,
     "op7_id_files": op7_id_files,
     "op8_url_verdicts": op8_url_verdicts,

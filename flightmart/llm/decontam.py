@@ -138,3 +138,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     rows = texts.select("doc_id", "text_hash", F.regexp_count("text", F.lit(_RAW_WORD)).cast("long").alias("n_words"))
     return (rows.join(found, rows.doc_id.eqNullSafe(found.id_) & (rows.text_hash == found.hash_), "left")
             .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, threshold: float = 1.0,
+               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows that contain no window of an item, with all columns of ``docs``."""
+    texts = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    hits = contained(texts, written(windows(benchmark, window), "windows"), window, shingle, threshold, broadcast_rows)
+    dirty = written(hits.select(F.col("doc_id").alias("dc_id"), F.col("text_hash").alias("dc_hash")).distinct(), "contaminated")
+    rows = docs.withColumns({"dc_id_": F.col("doc_id").cast("long"), "dc_hash_": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    kept = rows.join(dirty, F.col("dc_id_").eqNullSafe(F.col("dc_id")) & (F.col("dc_hash_") == F.col("dc_hash")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

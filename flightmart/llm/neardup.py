@@ -180,7 +180,7 @@ def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, set_key, class_id, component_id) of every row.
+    """(doc_id, text_hash, n_shingles, set_key, class_id, component_id) of every row.
 
     Texts are linked if the similarity (intersection by union) of their sets of
     k-word shingles is ``numerator / denominator`` or more.  class_id is the
@@ -223,8 +223,8 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     named = labels.join(classes.select("set_key", "class_id"), labels.node == classes.set_key).groupBy("label").agg(F.min("class_id").alias("least"))
     found = labels.join(named, "label").select(F.col("node").alias("set_key"), "least")
     by_class = classes.select("set_key", "class_id").join(found, "set_key", "left").select("set_key", "class_id", F.coalesce("least", "class_id").alias("component_id"))
-    return sketches.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left").select(
-        "doc_id", "n_shingles", "set_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sketches.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_class, "set_key", "left").select(
+        "doc_id", "text_hash", "n_shingles", "set_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _class_texts(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,3 +233,20 @@ def _class_texts(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
               .withColumnsRenamed({"doc_id": "source_id", "text_hash": "source_hash"}))
     return written(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.source_id) & (rows.text_hash == wanted.source_hash))
                    .select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+
+
+def first_of_components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of ``docs``: that of the smallest doc_id.
+
+    Rows without words are linked with nothing and all stay.  If several rows
+    bear the smallest doc_id, one stays, that with the smallest text hash.
+    """
+    found = components(docs, k, numerator, denominator)
+    chosen = (found.where("set_key IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+              .withColumnsRenamed({"doc_id": "nd_id", "text_hash": "nd_hash"}))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"nd_id_": F.col("doc_id").cast("long"), "nd_hash_": F.xxhash64(text)})
+    wordless = text.rlike(r"^[\x20\x09-\x0D]*$")
+    # one of the rows that are equal in doc_id and text; only those that repeat are compared
+    one = rows.where(~wordless).join(chosen, F.col("nd_id_").eqNullSafe(F.col("nd_id")) & (F.col("nd_hash_") == F.col("nd_hash"))).drop("nd_id", "nd_hash")
+    return one.dropDuplicates(["nd_id_", "nd_hash_"]).unionByName(rows.where(wordless)).select(*[F.col(f"`{c}`") for c in docs.columns])

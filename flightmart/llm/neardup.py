@@ -5,22 +5,26 @@
    packed into a signature, and a key for each band of ``ROWS`` full minima.
    Documents with equal sets form one class; only classes go on.
 2. Classes that share a band are candidates.  A bucket is not expanded into
-   pairs: some of its classes (pivots; at first one) are compared with the others.  From the
-   signatures the similarity is estimated by counting equal positions and
-   correcting for chance collisions; a pair stays unless the estimate lies
-   ``SLACK`` standard deviations below the threshold.
+   pairs: at first the class that shares most bands with others (the pivot) is
+   compared with the rest.  From the signatures the similarity is estimated by
+   counting equal positions and correcting for chance collisions; a pair stays
+   unless the estimate lies ``SLACK`` standard deviations below the threshold.
 3. Pairs that stay are confirmed on the full sets, made anew from the texts.
 4. Classes linked so far get one component.  A bucket whose classes are all in
-   one component is done.  In the others the pivots, now compared with all,
-   leave, and steps 2 to 4 are repeated with more pivots.  Pairs within a component need no
-   look, as they cannot change it; so a group of thousands of near copies
-   takes about as many comparisons as it has members.
+   one component is done.  In the others, tasks compare the signatures of
+   blocks of at most ``BLOCK`` classes and emit, not all pairs that may be
+   linked, but the likeliest ones that would join the components to each other
+   (several spanning forests).  Steps 3 and 4 are repeated, with pairs that
+   were confirmed or refuted left out, until no task emits a pair.  Pairs
+   within a component need no look, as they cannot change it; so a group of
+   thousands of near copies takes about as many confirmations as it has members.
 
-Rows of a bucket are never gathered in a task: pivots are minima, found with
-partial aggregation, and joins are equi-joins that can split a hot key.
+Rows of a bucket are never gathered whole in a task: pivots are maxima, found
+with partial aggregation, joins are equi-joins that can split a hot key, and a
+larger bucket is compared block by block.
 
-With 32 bands of 4 rows a pair at similarity 0.85 shares no band with
-probability 6e-11, and at 0.8 2e-8.
+With 40 bands of 6 rows a pair at similarity 0.85 shares no band with
+probability 6e-9, and at 0.8 5e-6.
 
 Defined results.  Null or empty text, or one without words: an empty set,
 linked with nothing.  Fewer words than a shingle has: the whole sequence as
@@ -34,9 +38,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,10 +48,11 @@ from pyspark.sql import functions as F
 
 from flightmart.llm.common import python_batches, text_of, written
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 BITS = 2
 SLACK = 6.0
+BLOCK = 2048
 _SEED = np.random.default_rng(20240229)
 _MULTIPLY = (_SEED.integers(1, 2**32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _SEED.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -127,23 +132,120 @@ def _sketch_rows(k: int):
     return run
 
 
-def _estimates(threshold: float):
-    """Keeps the pairs (a, b, sig_a, sig_b) whose estimated similarity may reach the threshold."""
+def _least(threshold: float) -> float:
+    """Equal positions of two signatures from which a pair may reach the threshold."""
     chance = 2.0 ** -BITS  # two different minima agree in their low bits this often
     at = threshold + (1 - threshold) * chance
-    least = HASHES * at - SLACK * (HASHES * at * (1 - at)) ** 0.5
+    return HASHES * at - SLACK * (HASHES * at * (1 - at)) ** 0.5
+
+
+def _words(signatures) -> np.ndarray:
+    """Packed signatures as rows of 64-bit words."""
+    raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+    return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+
+
+_LOW_BITS = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many positions signatures agree; the last axis holds their words."""
+    differ = x ^ y
+    any_bit = differ
+    for k in range(1, BITS):
+        any_bit = any_bit | differ >> np.uint64(k)
+    return HASHES - np.bitwise_count(any_bit & _LOW_BITS).sum(axis=-1, dtype=np.int64)
+
+
+def _estimates(threshold: float):
+    """Keeps the pairs (a, b) of (a, b, sig_a, sig_b) whose estimated similarity may reach the threshold."""
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                equal = _equal(*(_words(batch.column(n).to_pylist()) for n in ("sig_a", "sig_b")))
+                yield batch.select(["a", "b"]).filter(pa.array(equal >= least))
+
+    return run
+
+
+def forests(nodes: np.ndarray, labels: np.ndarray, words: np.ndarray, side: np.ndarray, tried: list, least: float, rounds: int) -> list[tuple[int, int]]:
+    """Pairs of nodes in different components (labels) that may be linked, as ``rounds`` spanning forests of the components.
+
+    Each forest takes the likeliest pairs that are left (Kruskal's order).
+    ``side``: if there are two sides, only pairs across are looked at.
+    """
+    at = {int(n): i for i, n in enumerate(nodes)}
+    first, second, weight = [], [], []
+    for i in range(len(nodes) - 1):
+        equal = _equal(words[i], words[i + 1:])
+        fits = (equal >= least) & (labels[i + 1:] != labels[i])
+        if side.any() and not side.all():
+            fits &= side[i + 1:] != side[i]
+        for other in tried[i] if tried[i] is not None else ():
+            j = at.get(int(other))
+            if j is not None and j > i:
+                fits[j - i - 1] = False
+        j = np.flatnonzero(fits)
+        first.append(np.full(len(j), i)), second.append(j + i + 1), weight.append(equal[j])
+    if not first or not sum(map(len, first)):
+        return []
+    first, second, weight = map(np.concatenate, (first, second, weight))
+    order = np.lexsort((second, first, -weight))
+    found: list[tuple[int, int]] = []
+    for _ in range(rounds):
+        root = {int(x): int(x) for x in np.unique(labels)}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left, joins = [], len(root) - 1
+        for k, e in enumerate(order):
+            a, b = top(int(labels[first[e]])), top(int(labels[second[e]]))
+            if a == b:
+                left.append(e)
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for n in ("sig_a", "sig_b"))
-            differ = np.unpackbits(a ^ b, axis=1).reshape(batch.num_rows, HASHES, BITS).any(axis=2).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(HASHES - differ >= least))
+            root[a] = b
+            found.append((int(nodes[first[e]]), int(nodes[second[e]])))
+            joins -= 1
+            if not joins:
+                left.extend(order[k + 1:])
+                break
+        order = left
+        if not len(order):
+            break
+    return found
+
+
+def _joining_pairs(threshold: float, rounds: int):
+    """For applyInPandas over a bucket's blocks: pairs (a, b) that would join components."""
+    least = _least(threshold)
+
+    def run(block):
+        block = block.sort_values("node")
+        pairs = forests(block["node"].to_numpy(), block["label"].to_numpy(), _words(block["signature"].tolist()), block["side"].to_numpy(), block["tried"].tolist(), least, rounds)
+        return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
 
     return run
 
 
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(band, node, block, side): blocks of at most about BLOCK nodes; a larger bucket's parts meet in pairs.
+
+    A bucket with p parts has a block for every two of them; a part alone is
+    compared within itself in the block with its own number twice.
+    """
+    sizes = buckets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("parts"))
+    dealt = buckets.join(sizes, "band").withColumn("part", F.when(F.col("parts") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    one = F.array(F.struct(F.lit("0").alias("block"), F.lit(0).alias("side")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(
+        F.concat_ws(":", F.least("part", j), F.greatest("part", j)).alias("block"), F.when(F.col("part") <= j, F.lit(0)).otherwise(F.lit(1)).alias("side")))
+    return dealt.select("band", "node", F.inline(F.when(F.col("parts") <= 2, one).otherwise(meets)))
+
+
 def _confirm(k: int, numerator: int, denominator: int):
     """Keeps the pairs (a, b, text_a, text_b) whose full sets reach numerator / denominator."""
 
@@ -186,53 +288,51 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     k-word shingles is ``numerator / denominator`` or more.  class_id is the
     smallest doc_id with the same set, component_id the smallest reachable.
     """
+    threshold = numerator / denominator
     rows = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
     sketches = written(rows.mapInArrow(_sketch_rows(k), _SKETCH), "sketches")
     # signature and bands are the same in all rows of a class; copies are summed before the shuffle
     classes = written(sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("source"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("set_key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = written(banded.join(shared, "band"), "buckets")  # (band, set_key), of buckets with two classes or more
-    labels = written(buckets.select(F.col("set_key").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    signatures = classes.select("set_key", "signature")
-    texts, tried = _class_texts(rows, classes, labels), None
-    for parts in chain((1, 32), repeat(128)):  # pivots of a bucket: the least class of each part
-        if buckets.isEmpty():
-            break
-        pivots = written(buckets.groupBy("band", F.pmod(F.xxhash64("set_key"), F.lit(parts)).alias("part")).agg(F.min("set_key").alias("pivot")).select("band", "pivot"), "pivots")
-        pairs = buckets.join(pivots, "band").where("set_key <> pivot").select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = (pairs.join(tried, ["a", "b"], "left_anti")
-                     .join(labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a")
-                     .join(labels.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b").select("a", "b"))
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        near = (pairs.join(signatures.select(F.col("set_key").alias("a"), F.col("signature").alias("sig_a")), "a")
-                .join(signatures.select(F.col("set_key").alias("b"), F.col("signature").alias("sig_b")), "b"))
-        likely = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates(numerator / denominator), "a string, b string"), "likely")
-        sets = (likely.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b")
-                .join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a"))
-        links = written(sets.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, numerator, denominator), "a string, b string"), "confirmed")
+        F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("source"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(banded.join(shared, "band").select("band", "node", "n"), "buckets")  # buckets with two classes or more
+    nodes = written(buckets.groupBy("node").agg(F.sum("n").alias("degree")).join(classes.select("node", "set_key", "signature", "source"), "node"), "nodes")
+    texts = _class_texts(rows, nodes)
+    # the pivot of a bucket: the class with the most company
+    members = buckets.select("band", "node").join(nodes.select("node", "degree", "signature"), "node")
+    pivots = members.groupBy("band").agg(F.max(F.struct("degree", "node", "signature")).alias("top")).select("band", F.col("top.node").alias("pivot"), F.col("top.signature").alias("sig_b"))
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("signature").alias("sig_a"), "sig_b")
+    likely = written(pairs.dropDuplicates(["a", "b"]).mapInArrow(_estimates(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+    labels = nodes.select("node", F.col("node").alias("label"))
+    buckets = buckets.join(pivots.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").select("band", "node")  # compared with all
+    tried, forest_count = likely.where(F.lit(False)), 4
+    while True:
+        sets = (likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+                .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
+        links = written(sets.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, numerator, denominator), "a long, b long"), "confirmed")
         labels = _spread(labels, links)
-        # pivots leave; buckets whose other classes are in several components go on
-        others = buckets.join(pivots, (buckets.band == pivots.band) & (buckets.set_key == pivots.pivot), "left_anti")
-        split = (others.join(labels, others.set_key == labels.node).groupBy("band")
-                 .agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"))
-        buckets = written(others.join(split, "band"), "buckets")
-    named = labels.join(classes.select("set_key", "class_id"), labels.node == classes.set_key).groupBy("label").agg(F.min("class_id").alias("least"))
-    found = labels.join(named, "label").select(F.col("node").alias("set_key"), "least")
-    by_class = classes.select("set_key", "class_id").join(found, "set_key", "left").select("set_key", "class_id", F.coalesce("least", "class_id").alias("component_id"))
+        split = (buckets.join(labels, "node").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"))
+        buckets = written(buckets.join(split, "band"), "buckets")
+        seen = tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))  # forests are small beside the buckets
+        blocks = (_blocks(buckets).join(labels, "node").join(nodes.select("node", "signature"), "node").join(seen, "node", "left"))
+        likely = written(blocks.groupBy("band", "block").applyInPandas(_joining_pairs(threshold, forest_count), "a long, b long").distinct(), "likely")
+        if likely.isEmpty():
+            break
+        tried, forest_count = tried.unionByName(likely), forest_count * 4
+    named = labels.join(classes.select("node", "class_id"), "node").groupBy("label").agg(F.min("class_id").alias("least"))
+    found = labels.join(named, "label").select("node", "least")
+    by_class = classes.select("node", "set_key", "class_id").join(found, "node", "left").select("set_key", "class_id", F.coalesce("least", "class_id").alias("component_id"))
     return sketches.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_class, "set_key", "left").select(
         "doc_id", "text_hash", "n_shingles", "set_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _class_texts(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(set_key, text): a text for each class that has candidates, written once."""
-    wanted = (labels.select(F.col("node").alias("set_key")).join(classes.select("set_key", "source.*"), "set_key")
-              .withColumnsRenamed({"doc_id": "source_id", "text_hash": "source_hash"}))
+def _class_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text): a text for each class that has candidates, written once."""
+    wanted = nodes.select("node", "source.*").withColumnsRenamed({"doc_id": "source_id", "text_hash": "source_hash"})
     return written(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.source_id) & (rows.text_hash == wanted.source_hash))
-                   .select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+                   .select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def first_of_components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:

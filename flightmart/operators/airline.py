@@ -169,14 +169,13 @@ def _monthly_tickets(sales: DataFrame, airline: DataFrame, lo: dt.date, hi: dt.d
 
 
 def airline_monthly_tickets_12m(sales: DataFrame, airline: DataFrame, as_of: dt.date,
-                                months: int = 12, days: int = 365) -> DataFrame:
-    """Per airline, tickets per calendar month for the 12 months ending with as_of's month.
+                                months: int = 12) -> DataFrame:
+    """Per airline, tickets per calendar month for the last ``months`` months, as_of's the last.
 
     Year-month buckets (Q14 corrected); zero filled for every airline.
     """
     first, last = last_months(as_of, months)
-    lo = max(first, days_before(as_of, days))
-    return _monthly_tickets(sales, airline, lo, as_of, first, last)
+    return _monthly_tickets(sales, airline, first, as_of, first, last)
 
 
 def check_range(start: dt.date, end: dt.date, as_of: dt.date) -> tuple[dt.date, dt.date]:

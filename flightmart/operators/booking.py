@@ -13,26 +13,33 @@ exact set form:
 * status      = 3 if before >= remaining, else 2 if not candidate, else 1
 
 ``before`` is a running count per flight.  A flight that draws a third of
-all requests would make that one window partition a single task, so the
-running count is two-level: requests are cut into (flight, time chunk)
-pieces, chunk totals are prefix-summed per flight (one small row per chunk),
-and the running count inside a chunk is a window over that chunk only.
+all requests, even within an hour, would make that one window partition a
+single task, so the count has levels: requests are cut into (flight, hour,
+second) pieces, the totals of seconds are summed up within the hour and those
+of hours within the flight (one row per piece), and the running count inside
+a second is a window over that second only.
 
 New ticket ids (O34) continue after the largest numeric id in the ticket
-table, contiguous, in the order (flight_num, rank in flight).  That global
-order is built from levels (flights inside flight-number prefix buckets,
-then the buckets), so no single task sees all bookings.
+table, contiguous.  Their global order is built from levels (rank in flight,
+flights inside hash buckets, then the buckets), so no single task sees all
+bookings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightmart.functions.ordering import running_before
+
 BOOKED, ALREADY_BOUGHT, NO_SEATS = 1, 2, 3
 WRONG_AIRLINE, UNKNOWN_CUSTOMER, NOT_UPCOMING = -1, -2, -3
 
 AGENT = "booking_agent_email"
+# pieces of a flight's requests, from coarse to fine
+CHUNK_UNITS = ("hour", "second")
 
 
 def seat_availability(flight: DataFrame, airplane: DataFrame, ticket: DataFrame) -> DataFrame:
@@ -79,12 +86,8 @@ def existing_pairs(purchases: DataFrame, ticket: DataFrame, requests: DataFrame,
     return held.join(wanted, ["customer_email", "flight_num"], "left_semi").distinct()
 
 
-def _chunk(ts: Column, unit: str) -> Column:
-    return F.date_trunc(unit, ts)
-
-
 def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
-           purchases: DataFrame, chunk_unit: str = "hour", require_upcoming: bool = False,
+           purchases: DataFrame, chunk_units: Sequence[str] = CHUNK_UNITS, require_upcoming: bool = False,
            sales: DataFrame | None = None) -> DataFrame:
     """O32 core: status and in-flight booking rank for every request.
 
@@ -95,7 +98,7 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
     annotated requests in between (they are read twice by the ranking).
     """
     annotated = annotate_requests(requests, flight, airplane, ticket, purchases, require_upcoming, sales)
-    return rank_requests(annotated, chunk_unit)
+    return rank_requests(annotated, chunk_units)
 
 
 def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
@@ -142,26 +145,15 @@ def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFram
                     "remaining", "_cand")
 
 
-def rank_requests(r: DataFrame, chunk_unit: str = "hour") -> DataFrame:
-    """Statuses from annotated requests: two-level running count of candidates per flight."""
-    r = r.withColumn("_chunk", _chunk(F.col("ts"), chunk_unit))
-    chunks = (r.groupBy("flight_num", "_chunk").agg(F.sum("_cand").alias("_n"))
-              .withColumn("_chunk_before",
-                          F.coalesce(F.sum("_n").over(Window.partitionBy("flight_num").orderBy("_chunk")
-                                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(F.col("flight_num").alias("_cf"), F.col("_chunk").alias("_cc"), "_chunk_before"))
-    in_chunk = Window.partitionBy("flight_num", "_chunk").orderBy("ts", "request_id") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    # null-safe: a request without flight or time still gets its row back
-    on = F.col("flight_num").eqNullSafe(F.col("_cf")) & F.col("_chunk").eqNullSafe(F.col("_cc"))
-    r = (r.join(chunks, on).drop("_cf", "_cc")
-         .withColumn("_before", F.col("_chunk_before") + F.coalesce(F.sum("_cand").over(in_chunk), F.lit(0))))
+def rank_requests(r: DataFrame, chunk_units: Sequence[str] = CHUNK_UNITS) -> DataFrame:
+    """Statuses from annotated requests: running count of candidates per flight, in levels."""
+    r = running_before(r, ["flight_num"], "_cand", ["ts", "request_id"], [F.date_trunc(u, F.col("ts")) for u in chunk_units], "_before")
     status = (F.when(~F.col("_ok"), F.col("pre_status"))
               .when(F.col("_before") >= F.col("remaining"), F.lit(NO_SEATS))
               .when(F.col("_cand") == 0, F.lit(ALREADY_BOUGHT))
               .otherwise(F.lit(BOOKED)))
     extra = [c for c in r.columns if c not in ("request_id", "ts", "customer_email", "flight_num", "pre_status",
-                                               "_ok", "remaining", "_cand", "_chunk", "_chunk_before", "_before")]
+                                               "_ok", "remaining", "_cand", "_before")]
     return r.select(
         "request_id", "ts", "customer_email", "flight_num", *extra,
         status.cast("int").alias("status"),
@@ -198,22 +190,21 @@ def book_tickets_agent(requests: DataFrame, flight: DataFrame, airplane: DataFra
         "request_id", AGENT, "customer_email", "flight_num", "status")
 
 
-def assign_ticket_ids(decided: DataFrame, ticket: DataFrame, prefix_len: int = 3) -> DataFrame:
+def assign_ticket_ids(decided: DataFrame, ticket: DataFrame) -> DataFrame:
     """Contiguous new ticket ids for the booked requests.
 
     id = largest numeric existing id (0 on an empty table; Q8 corrected:
-    numeric, not text, max) + position of the booking in the order
-    (flight_num, rank on the flight).  The position is a three-level prefix
+    numeric, not text, max) + position of the booking in the order (bucket,
+    flight_num, rank on the flight).  The position is a three-level prefix
     sum: ranks inside a flight come from ``decide``; flights are counted
-    inside buckets keyed by the first ``prefix_len`` characters of
-    flight_num (a window per bucket); the bucket totals (at most one row per
-    distinct prefix, a bound set by ``prefix_len``, not by the data) are
-    prefix-summed last.  Since a prefix is monotone in the string order,
-    (bucket, flight_num) order equals flight_num order.
+    inside 4096 buckets, the first three hexadecimal digits of
+    md5(flight_num), which spread flights evenly however they are spelled (a
+    window per bucket); the bucket totals, 4096 rows, are prefix-summed last.
     """
-    max_id = ticket.select(F.coalesce(F.max(F.expr("try_cast(ticket_id AS BIGINT)")), F.lit(0)).alias("m")).scalar()
+    max_id = ticket.select(F.coalesce(F.max(F.expr("try_cast(ticket_id AS DECIMAL(38,0))")),
+                                      F.lit(0).cast("decimal(38,0)")).alias("m")).scalar()
     booked = decided.filter(F.col("status") == BOOKED).withColumn(
-        "_bucket", F.substring("flight_num", 1, prefix_len))
+        "_bucket", F.substring(F.md5("flight_num"), 1, 3))
     per_flight = booked.groupBy("_bucket", "flight_num").agg(F.count(F.lit(1)).alias("_n"))
     per_flight = per_flight.withColumn(
         "_flight_before",
@@ -226,8 +217,8 @@ def assign_ticket_ids(decided: DataFrame, ticket: DataFrame, prefix_len: int = 3
                   .select("_bucket", "_bucket_before"))
     ids = (booked.join(per_flight.select("_bucket", "flight_num", "_flight_before"), ["_bucket", "flight_num"])
            .join(per_bucket, "_bucket"))
-    new_id = max_id + F.col("_bucket_before") + F.col("_flight_before") + F.col("flight_rank")
-    return ids.select("request_id", new_id.cast("string").alias("ticket_id"))
+    position = (F.col("_bucket_before") + F.col("_flight_before") + F.col("flight_rank")).cast("decimal(38,0)")
+    return ids.select("request_id", (max_id + position).cast("decimal(38,0)").cast("string").alias("ticket_id"))
 
 
 def booking_rows(decided: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

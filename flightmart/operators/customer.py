@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightmart.functions.aggregates import money, zero_filled_sum
-from flightmart.functions.dates import days_before, in_range, in_window, last_months, month_spine
+from flightmart.functions.dates import in_range, in_window, last_months, month_spine
 from flightmart.functions.predicates import apply_criteria
 from flightmart.operators.airline import check_range
 from flightmart.sources.schemas import FLIGHT_COLUMNS, STATUS_UPCOMING
@@ -55,15 +55,14 @@ def _monthly_spend(sales: DataFrame, customer: DataFrame, lo: dt.date, hi: dt.da
 
 
 def customer_monthly_spend_6m(sales: DataFrame, customer: DataFrame, as_of: dt.date,
-                              months: int = 6, days: int = 183) -> DataFrame:
-    """Per customer, spend in each of the six calendar months ending with as_of's month.
+                              months: int = 6) -> DataFrame:
+    """Per customer, spend in each of the last ``months`` calendar months, as_of's the last.
 
     True calendar months (Q1 corrected): purchases before the first shown
     month are not folded into any bar.  Zero filled for every customer.
     """
     first, last = last_months(as_of, months)
-    lo = max(first, days_before(as_of, days))
-    return _monthly_spend(sales, customer, lo, as_of, first, last, True)
+    return _monthly_spend(sales, customer, first, as_of, first, last, True)
 
 
 def customer_monthly_spend_range(sales: DataFrame, customer: DataFrame, start: dt.date, end: dt.date,

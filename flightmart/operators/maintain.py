@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flightmart.functions.ordering import id_chunk, previous_value
 from flightmart.sources.schemas import (FLIGHT_COLUMNS, PERMISSION_ADMIN, PERMISSION_OPERATOR,
-                                        PERMISSION_PLACEHOLDER, STATUSES)
+                                        PERMISSION_PLACEHOLDER, SCHEMAS, STATUSES)
 
 # Outcome codes.
 OK = "ok"
@@ -97,10 +97,10 @@ def load_new_flights(requests: DataFrame, flight: DataFrame, airplane: DataFrame
                      permission: DataFrame | None = None, airline_staff: DataFrame | None = None) -> DataFrame:
     """Outcome per new-flight request (request_id, flight_num, outcome).
 
-    Checks in order: requester holds Admin for the airline (when given),
-    flight number exists (PK, also against earlier accepted requests of the
-    batch), same departure and arrival airport, arrival not after departure,
-    airplane not owned by the airline, unknown airport.
+    Checks in order: requester holds Admin for the airline (when given), same
+    departure and arrival airport, arrival not after departure; then what an
+    insert would meet: flight number exists (PK, also against earlier accepted
+    requests of the batch), airplane not owned by the airline, unknown airport.
     """
     r = _with_permission(requests, permission, airline_staff, PERMISSION_ADMIN, "airline_name")
     in_table = flight.select("flight_num").distinct().withColumn("_in_table", F.lit(True))
@@ -119,6 +119,7 @@ def load_new_flights(requests: DataFrame, flight: DataFrame, airplane: DataFrame
         "_valid", F.col("_permitted") & F.col("_in_table").isNull() & F.col("_other").isNull())
     r = _earlier_than_first(r, ["flight_num"], "_valid", "_late")
     outcome = (F.when(~F.col("_permitted"), F.lit(NOT_PERMITTED))
+               .when(F.col("_other").isin(SAME_AIRPORT, BAD_TIME), F.col("_other"))
                .when(F.col("_in_table").isNotNull() | F.col("_late"), F.lit(EXISTING_FLIGHT_NUM))
                .when(F.col("_other").isNotNull(), F.col("_other"))
                .otherwise(F.lit(OK)))
@@ -135,7 +136,7 @@ def new_flight_rows(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- O36 status changes
 
 def _status_decisions(changes: DataFrame, flight: DataFrame, permission, airline_staff,
-                      chunk_unit: str) -> DataFrame:
+                      chunk_units: Sequence[str]) -> DataFrame:
     r = _with_permission(changes, permission, airline_staff, PERMISSION_OPERATOR, "airline_name")
     base = flight.select("flight_num", F.col("airline_name").alias("_flight_airline"),
                          F.col("flight_status").alias("_base_status"))
@@ -149,7 +150,7 @@ def _status_decisions(changes: DataFrame, flight: DataFrame, permission, airline
     # previous status of each valid change: lag inside (flight, time chunk)
     # pieces, carried across chunks (see functions.ordering)
     valid = previous_value(r.filter(F.col("_pre").isNull()), ["flight_num"], "flight_status",
-                           ["ts", "request_id"], F.date_trunc(chunk_unit, F.col("ts")), "_lag")
+                           ["ts", "request_id"], [F.date_trunc(u, F.col("ts")) for u in chunk_units], "_lag")
     valid = valid.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_base_status")))
     decided = valid.select("request_id", "flight_num", "ts", "flight_status",
                            F.when(F.col("_prev") == F.col("flight_status"), F.lit(UNCHANGED))
@@ -160,23 +161,23 @@ def _status_decisions(changes: DataFrame, flight: DataFrame, permission, airline
 
 
 def flight_status_outcomes(changes: DataFrame, flight: DataFrame, permission: DataFrame | None = None,
-                           airline_staff: DataFrame | None = None, chunk_unit: str = "day") -> DataFrame:
+                           airline_staff: DataFrame | None = None, chunk_units: Sequence[str] = ("day", "second")) -> DataFrame:
     """O36 outcomes: per change request, updated / unchanged / a rejection code.
 
     "unchanged" means the requested status equals the flight's status at that
     moment (after the earlier changes of the batch).
     """
-    return _status_decisions(changes, flight, permission, airline_staff, chunk_unit).select(
+    return _status_decisions(changes, flight, permission, airline_staff, chunk_units).select(
         "request_id", "flight_num", "outcome")
 
 
 def apply_flight_status(changes: DataFrame, flight: DataFrame, permission: DataFrame | None = None,
-                        airline_staff: DataFrame | None = None, chunk_unit: str = "day") -> DataFrame:
+                        airline_staff: DataFrame | None = None, chunk_units: Sequence[str] = ("day", "second")) -> DataFrame:
     """The flight table after the batch of status changes (latest valid change wins).
 
     P03 as a snapshot: flight left join (latest status per flight), coalesce.
     """
-    d = _status_decisions(changes, flight, permission, airline_staff, chunk_unit)
+    d = _status_decisions(changes, flight, permission, airline_staff, chunk_units)
     latest = (d.filter(F.col("outcome").isin(UPDATED, UNCHANGED))
               .groupBy("flight_num")
               .agg(F.max_by("flight_status", F.struct("ts", "request_id")).alias("_new_status")))
@@ -282,7 +283,7 @@ def apply_permission_grants(grants: DataFrame, permission: DataFrame, airline_st
 
 def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
                      permission: DataFrame | None = None, airline_staff: DataFrame | None = None,
-                     chunk_rows: int = 1_000_000) -> DataFrame:
+                     chunk_rows: Sequence[int] = (1_000_000, 10_000)) -> DataFrame:
     base = booking_agent.select("email", F.col("airline_name").alias("_base_airline"), F.lit(True).alias("_known"))
     names = airline.select(F.col("name").alias("airline_name")).distinct().withColumn("_airline_ok", F.lit(True))
     r = _with_permission(moves, permission, airline_staff, PERMISSION_ADMIN, "airline_name")
@@ -291,8 +292,9 @@ def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFr
                      .when(F.col("_known").isNull(), F.lit(UNKNOWN_AGENT))
                      .when(F.col("_airline_ok").isNull(), F.lit(UNKNOWN_AIRLINE))))
     order = _order_cols(moves)
-    chunk = (F.date_trunc("day", F.col("ts")) if "ts" in order else id_chunk("request_id", chunk_rows))
-    valid = previous_value(r.filter(F.col("_pre").isNull()), ["email"], "airline_name", order, chunk, "_lag")
+    chunks = ([F.date_trunc(u, F.col("ts")) for u in ("day", "second")] if "ts" in order
+              else [id_chunk("request_id", n) for n in chunk_rows])
+    valid = previous_value(r.filter(F.col("_pre").isNull()), ["email"], "airline_name", order, chunks, "_lag")
     valid = valid.withColumn("_prev", F.coalesce(F.col("_lag"), F.col("_base_airline")))
     decided = valid.select("request_id", "email", "airline_name", *[c for c in order if c != "request_id"],
                            F.when(F.col("_prev") == F.col("airline_name"), F.lit(UNCHANGED))
@@ -357,10 +359,10 @@ def _registration_table_checks(regs, customer, booking_agent, airline_staff, air
          .join(names, "airline_name", "left"))
     is_agent, is_staff = F.col("kind") == "agent", F.col("kind") == "staff"
     unknown_airline = F.col("_airline_ok").isNull()
-    pre = (F.when(is_agent & F.col("_bid_exists").isNotNull(), F.lit(EXISTING_B_ID))
-           .when(is_agent & unknown_airline, F.lit(UNKNOWN_AIRLINE))
+    pre = (F.when(is_staff & unknown_airline, F.lit(UNKNOWN_AIRLINE))
            .when(F.col("_exists").isNotNull(), F.lit(EXISTING))
-           .when(is_staff & unknown_airline, F.lit(UNKNOWN_AIRLINE)))
+           .when(is_agent & unknown_airline, F.lit(UNKNOWN_AIRLINE))
+           .when(is_agent & F.col("_bid_exists").isNotNull(), F.lit(EXISTING_B_ID)))
     return r.withColumn("_pre", pre)
 
 
@@ -391,15 +393,15 @@ def registration_round(state: DataFrame) -> DataFrame:
     before = lambda c: F.coalesce(F.col(c) < me, F.lit(False))
     wait = F.lit(None).cast("string")
     key_taken = F.col("_table_key") | before("_acc_k")
-    agent = (F.when(F.col("_table_bid") | before("_acc_b"), F.lit(EXISTING_B_ID))
-             .when(before("_und_b"), wait)
-             .when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
-             .when(key_taken, F.lit(EXISTING))
+    agent = (F.when(key_taken, F.lit(EXISTING))
              .when(before("_und_k"), wait)
+             .when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
+             .when(F.col("_table_bid") | before("_acc_b"), F.lit(EXISTING_B_ID))
+             .when(before("_und_b"), wait)
              .otherwise(F.lit(OK)))
-    staff = (F.when(key_taken, F.lit(EXISTING))
+    staff = (F.when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
+             .when(key_taken, F.lit(EXISTING))
              .when(before("_und_k"), wait)
-             .when(F.col("_bad_airline"), F.lit(UNKNOWN_AIRLINE))
              .otherwise(F.lit(OK)))
     customer = F.when(key_taken, F.lit(EXISTING)).when(before("_und_k"), wait).otherwise(F.lit(OK))
     decided = (F.when(~undecided, F.col("outcome"))
@@ -411,14 +413,23 @@ def registration_round(state: DataFrame) -> DataFrame:
 
 
 def registration_rows(regs: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Rows to append per table for accepted registrations (staff also get a '' permission)."""
+    """Rows to append per table for accepted registrations (staff also get a '' permission).
+
+    Every column of the table (passwords are not carried) that the record has
+    is kept; one that it lacks is NULL.
+    """
     ok = regs.join(outcomes.filter(F.col("outcome") == OK).select("request_id"), "request_id", "left_semi")
-    staff = ok.filter(F.col("kind") == "staff")
+
+    def rows(kind: str, table: str, key: str) -> DataFrame:
+        cols = [F.col("key").alias(key) if f.name == key else
+                F.col(f.name).cast(f.dataType).alias(f.name) if f.name in regs.columns else
+                F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields]
+        return ok.filter(F.col("kind") == kind).select(*cols)
+
+    staff = rows("staff", "airline_staff", "username")
     return {
-        "customer": ok.filter(F.col("kind") == "customer").select(F.col("key").alias("email"), "name"),
-        "booking_agent": ok.filter(F.col("kind") == "agent").select(F.col("key").alias("email"), "b_id",
-                                                                    "airline_name"),
-        "airline_staff": staff.select(F.col("key").alias("username"), "airline_name"),
-        "permission": staff.select(F.col("key").alias("username"),
-                                   F.lit(PERMISSION_PLACEHOLDER).alias("permission")),
+        "customer": rows("customer", "customer", "email"),
+        "booking_agent": rows("agent", "booking_agent", "email"),
+        "airline_staff": staff,
+        "permission": staff.select("username", F.lit(PERMISSION_PLACEHOLDER).alias("permission")),
     }

@@ -52,11 +52,11 @@ fm_flight AS (
   JOIN nation dn ON dn.n_nationkey = p_partkey % 25
   JOIN nation an ON an.n_nationkey = (p_partkey + 1 + p_size % 24) % 25),
 fm_ticket AS (
-  SELECT CAST(((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 2048 + l_suppkey AS VARCHAR) AS ticket_id,
+  SELECT CAST((CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * (SELECT MAX(p_partkey) + 1 FROM part) + l_partkey) * (SELECT MAX(s_suppkey) + 1 FROM supplier) + l_suppkey AS VARCHAR) AS ticket_id,
          CAST(l_partkey AS VARCHAR) AS flight_num
   FROM lineitem),
 fm_purchases AS (
-  SELECT CAST(((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 2048 + l_suppkey AS VARCHAR) AS ticket_id,
+  SELECT CAST((CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * (SELECT MAX(p_partkey) + 1 FROM part) + l_partkey) * (SELECT MAX(s_suppkey) + 1 FROM supplier) + l_suppkey AS VARCHAR) AS ticket_id,
          c.c_name AS customer_email,
          CASE WHEN l.l_returnflag = 'R' THEN NULL ELSE s.s_name END AS booking_agent_email,
          CAST(o.o_orderdate AS DATE) AS p_date
@@ -92,7 +92,15 @@ fm_sales AS (
          f.depart_time, f.arrive_time, f.price, f.flight_status
   FROM fm_purchases p
   JOIN fm_ticket t ON p.ticket_id = t.ticket_id
-  JOIN fm_flight f ON t.flight_num = f.flight_num)
+  JOIN fm_flight f ON t.flight_num = f.flight_num),
+fm_event AS (
+  SELECT e.event_id, e.user_id, e.event_type, l.line_supplier,
+         CASE WHEN e.event_id // 3 % 3 = 0 THEN TIMESTAMP '2000-06-01 10:00:00' + to_seconds(e.event_id * 7919 % 3600)
+              ELSE e.ts END AS ts,
+         CASE WHEN e.event_id // 3 % 3 = 0 THEN 7 ELSE COALESCE(l.part, e.event_id) END AS flight_key
+  FROM events e
+  LEFT JOIN (SELECT l_orderkey, MIN(l_partkey) AS part, MIN(l_suppkey) AS line_supplier FROM lineitem GROUP BY l_orderkey) l
+    ON l.l_orderkey = e.event_id)
 """
 
 FLIGHT_COLS = ("flight_num, airline_name, airplane_id, depart_name, arrive_name, depart_time, "
@@ -220,7 +228,7 @@ WITH months AS (
 counts AS (
   SELECT airline_name, CAST(date_trunc('month', p_date) AS DATE) AS month_start, COUNT(*) AS n
   FROM fm_sales
-  WHERE p_date BETWEEN DATE '2000-08-01' AND {d()} AND p_date >= {d(365)}
+  WHERE p_date BETWEEN DATE '2000-08-01' AND {d()}
   GROUP BY 1, 2)
 SELECT m.airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
 FROM (SELECT a.name AS airline_name,
@@ -296,7 +304,7 @@ WITH months AS (
 spend AS (
   SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
   FROM fm_sales
-  WHERE p_date BETWEEN DATE '2001-02-01' AND {d()} AND p_date >= {d(183)}
+  WHERE p_date BETWEEN DATE '2001-02-01' AND {d()}
   GROUP BY 1, 2)
 SELECT m.customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
 FROM (SELECT c.email AS customer_email,
@@ -391,13 +399,14 @@ SELECT request_id, booking_agent_email, customer_email, flight_num, status FROM
 
     q["assign_ticket_ids"] = _q("WITH " + _booking_sql(agent=False) + """
 SELECT request_id,
-       CAST((SELECT COALESCE(MAX(TRY_CAST(ticket_id AS BIGINT)), 0) FROM fm_ticket)
-            + ROW_NUMBER() OVER (ORDER BY flight_num, k) AS VARCHAR) AS ticket_id
+       CAST((SELECT COALESCE(MAX(TRY_CAST(ticket_id AS HUGEINT)), 0) FROM fm_ticket)
+            + ROW_NUMBER() OVER (ORDER BY substr(md5(flight_num), 1, 3), flight_num, k) AS VARCHAR) AS ticket_id
 FROM decided WHERE status = 1""", recursive=True)
 
     q["load_new_flights"] = _q("WITH " + _NEW_FLIGHTS + """
 SELECT request_id, flight_num,
-       CASE WHEN in_table OR late THEN 'existing_flight_num' WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
+       CASE WHEN other IN ('same_airport', 'bad_time') THEN other WHEN in_table OR late THEN 'existing_flight_num'
+            WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
 FROM nf4""")
 
     q["load_new_flights_by_admin"] = _q("WITH " + _NEW_FLIGHTS + """,
@@ -418,6 +427,7 @@ judged AS (
   FROM permitted)
 SELECT request_id, flight_num,
        CASE WHEN NOT ok_req THEN 'not_permitted'
+            WHEN other IN ('same_airport', 'bad_time') THEN other
             WHEN in_table OR late_ok THEN 'existing_flight_num'
             WHEN other IS NOT NULL THEN other ELSE 'ok' END AS outcome
 FROM judged""")
@@ -432,11 +442,11 @@ SELECT request_id, flight_num, pre FROM sc2 WHERE pre IS NOT NULL""")
 WITH sc AS (
   SELECT e.event_id AS request_id, e.ts,
          CASE WHEN e.event_id % 13 = 0 THEN 'Brand#0' ELSE p.p_brand END AS airline_name,
-         CAST(e.event_id % 200 AS VARCHAR) AS flight_num,
+         CAST(e.flight_key AS VARCHAR) AS flight_num,
          CASE e.event_id % 3 WHEN 0 THEN 'upcoming' WHEN 1 THEN 'in-progress' ELSE 'delayed' END AS flight_status,
          'staff-' || s.s_name AS requester
-  FROM events e
-  LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  FROM fm_event e
+  LEFT JOIN part p ON p.p_partkey = e.flight_key
   LEFT JOIN supplier s
     ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
   WHERE e.event_type = 'view'),
@@ -556,11 +566,11 @@ customers AS (
 -- staff: the key is taken by the table or by an earlier accepted (good-airline) record
 staff AS (
   SELECT f.request_id, f.kind, f.key,
-         CASE WHEN f.table_key OR EXISTS (SELECT 1 FROM facts b WHERE b.kind = 'staff' AND b.key = f.key
+         CASE WHEN NOT f.good_airline THEN 'unknown_airline'
+              WHEN f.table_key OR EXISTS (SELECT 1 FROM facts b WHERE b.kind = 'staff' AND b.key = f.key
                                             AND b.good_airline AND NOT b.table_key
                                             AND (b.ts < f.ts OR (b.ts = f.ts AND b.request_id < f.request_id)))
-              THEN 'existing'
-              WHEN NOT f.good_airline THEN 'unknown_airline' ELSE 'ok' END AS outcome
+              THEN 'existing' ELSE 'ok' END AS outcome
   FROM facts f WHERE f.kind = 'staff'),
 -- agents: one step per record in (ts, request_id) order, carrying the keys
 -- and b_ids accepted so far (two constraints, so simulated in order)
@@ -574,9 +584,9 @@ agent_sim AS (
          CASE WHEN outcome = 'ok' THEN list_append(bids, b_id) ELSE bids END, request_id, outcome
   FROM (
     SELECT a.k, s.keys, s.bids, a.request_id, a.key, a.b_id,
-           CASE WHEN a.table_bid OR COALESCE(list_contains(s.bids, a.b_id), FALSE) THEN 'existing_b_id'
+           CASE WHEN a.table_key OR list_contains(s.keys, a.key) THEN 'existing'
                 WHEN NOT a.good_airline THEN 'unknown_airline'
-                WHEN a.table_key OR list_contains(s.keys, a.key) THEN 'existing'
+                WHEN a.table_bid OR COALESCE(list_contains(s.bids, a.b_id), FALSE) THEN 'existing_b_id'
                 ELSE 'ok' END AS outcome
     FROM agent_sim s JOIN agents_ordered a ON a.k = s.k + 1) step),
 agents AS (
@@ -584,6 +594,81 @@ agents AS (
   FROM agents_ordered a JOIN agent_sim s ON s.request_id = a.request_id)
 SELECT * FROM customers UNION ALL SELECT * FROM staff UNION ALL SELECT * FROM agents""", recursive=True)
 
+    q["customer_monthly_spend_12m"] = _q(f"""
+WITH months AS (
+  SELECT DATE '2000-08-01' AS lo, DATE '2001-07-01' AS hi),
+spend AS (
+  SELECT customer_email, CAST(date_trunc('month', p_date) AS DATE) AS month_start, SUM(price) AS s
+  FROM fm_sales
+  WHERE p_date BETWEEN DATE '2000-08-01' AND {d()}
+  GROUP BY 1, 2)
+SELECT m.customer_email, m.month_start, CAST(COALESCE(s.s, 0) AS DECIMAL(18,2)) AS spend
+FROM (SELECT c.email AS customer_email,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_customer c) m
+LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.month_start""")
+
+    q["airline_monthly_tickets_24m"] = _q(f"""
+WITH months AS (
+  SELECT DATE '1999-08-01' AS lo, DATE '2001-07-01' AS hi),
+counts AS (
+  SELECT airline_name, CAST(date_trunc('month', p_date) AS DATE) AS month_start, COUNT(*) AS n
+  FROM fm_sales
+  WHERE p_date BETWEEN DATE '1999-08-01' AND {d()}
+  GROUP BY 1, 2)
+SELECT m.airline_name, m.month_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS tickets
+FROM (SELECT a.name AS airline_name,
+             CAST(unnest(generate_series((SELECT lo FROM months), (SELECT hi FROM months), INTERVAL 1 MONTH)) AS DATE)
+               AS month_start
+      FROM fm_airline a) m
+LEFT JOIN counts c ON c.airline_name = m.airline_name AND c.month_start = m.month_start""")
+
+    accepted = f"(SELECT request_id FROM ({q['load_registrations']}) o WHERE outcome = 'ok')"
+    signups = f"FROM events e WHERE e.event_type = 'signup' AND e.event_id IN {accepted}"
+    q["registration_rows_customer"] = f"""
+SELECT 'Customer#' || lpad(CAST(e.user_id * 20 AS VARCHAR), 9, '0') AS email,
+       'Customer#' || lpad(CAST(e.user_id * 20 AS VARCHAR), 9, '0') AS name, e.user_id AS building_number,
+       'Street ' || CAST(e.user_id AS VARCHAR) AS street, 'City' AS city, 'State' AS state,
+       CAST(e.user_id + 20000000000 AS DECIMAL(20,0)) AS phone_number, 'N' || CAST(e.user_id AS VARCHAR) AS passport_number,
+       DATE '2031-01-01' AS passport_expiration, 'Country' AS passport_country,
+       CAST(DATE '1970-01-01' + CAST(e.user_id % 10000 AS INTEGER) AS DATE) AS date_of_birth
+{signups} AND e.event_id % 3 = 0"""
+    q["registration_rows_booking_agent"] = f"""
+SELECT 'Supplier#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') AS email, CAST(e.user_id + 50 AS VARCHAR) AS b_id,
+       'Brand#' || CAST(e.event_id % 30 + 1 AS VARCHAR) AS airline_name
+{signups} AND e.event_id % 3 = 1"""
+    q["registration_rows_airline_staff"] = f"""
+SELECT 'staff-Supplier#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') AS username,
+       'Brand#' || CAST(e.event_id % 30 + 1 AS VARCHAR) AS airline_name, 'First' || CAST(e.user_id AS VARCHAR) AS first_name,
+       'Last' || CAST(e.user_id AS VARCHAR) AS last_name,
+       CAST(DATE '1970-01-01' + CAST(e.user_id % 10000 AS INTEGER) AS DATE) AS date_of_birth
+{signups} AND e.event_id % 3 = 2"""
+    q["registration_rows_permission"] = f"""
+SELECT 'staff-Supplier#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') AS username, '' AS permission
+{signups} AND e.event_id % 3 = 2"""
+
+    q["new_flight_rows"] = _q("WITH " + _NEW_FLIGHTS + """
+SELECT nf4.flight_num, nf4.airline_name, nf4.airplane_id, nf4.depart_name, nf4.arrive_name, nf4.depart_time,
+       nf4.arrive_time, CAST(floor(o.o_totalprice) / 100 AS DECIMAL(10,2)) AS price, 'upcoming' AS flight_status
+FROM nf4 JOIN orders o ON o.o_orderkey = nf4.request_id
+WHERE other IS NULL AND NOT in_table AND NOT late""")
+
+    q["new_airplane_rows"] = f"""
+SELECT 'Brand#' || CAST(s.s_suppkey % 25 + 1 AS VARCHAR) AS airline_name, CAST(s.s_suppkey * 50 AS VARCHAR) AS id,
+       CAST(s.s_suppkey % 50 + 1 AS INTEGER) AS seats
+FROM supplier s JOIN ({q['load_new_airplanes']}) o ON o.request_id = s.s_suppkey WHERE o.outcome = 'ok'"""
+
+    q["booking_rows_ticket"] = f"""
+SELECT t.ticket_id, d.flight_num
+FROM ({q['assign_ticket_ids']}) t JOIN ({q['book_tickets_direct']}) d ON d.request_id = t.request_id"""
+
+    q["booking_rows_purchases"] = f"""
+SELECT t.ticket_id, d.customer_email, CAST(NULL AS VARCHAR) AS booking_agent_email,
+       CAST(CASE WHEN e.event_id // 3 % 3 = 0 THEN TIMESTAMP '2000-06-01 10:00:00' ELSE e.ts END AS DATE) AS p_date
+FROM ({q['assign_ticket_ids']}) t JOIN ({q['book_tickets_direct']}) d ON d.request_id = t.request_id
+JOIN events e ON e.event_id = t.request_id"""
+
     q["integrity_audit"] = _q(_audit_sql())
 
     q["top_destinations_by_airline"] = _q(f"""
@@ -717,9 +802,9 @@ nf4 AS (
 _STATUS_CHANGES = """sc AS (
   SELECT e.event_id AS request_id, e.ts,
          CASE WHEN e.event_id % 13 = 0 THEN 'Brand#0' ELSE p.p_brand END AS airline_name,
-         CAST(e.event_id % 200 AS VARCHAR) AS flight_num,
+         CAST(e.flight_key AS VARCHAR) AS flight_num,
          CASE e.event_id % 3 WHEN 0 THEN 'upcoming' WHEN 1 THEN 'in-progress' ELSE 'delayed' END AS flight_status
-  FROM events e LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  FROM fm_event e LEFT JOIN part p ON p.p_partkey = e.flight_key
   WHERE e.event_type = 'view'),
 sc2 AS (
   SELECT sc.*, f.flight_status AS base_status,
@@ -781,17 +866,22 @@ def _booking_sql(agent: bool, require_upcoming: bool = False, same_airline: bool
         req = """req AS (
   SELECT e.event_id AS request_id, e.ts, s.s_name AS booking_agent_email,
          CASE WHEN e.event_id % 11 = 0 THEN 'unknown-' || CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS customer_email,
-         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN supplier s ON e.event_id % 7 = s.s_suppkey
+         CAST(e.flight_key AS VARCHAR) AS flight_num
+  FROM fm_event e
+  JOIN customer c ON e.user_id = c.c_custkey
+  LEFT JOIN part p ON p.p_partkey = e.flight_key
+  LEFT JOIN supplier s
+    ON s.s_suppkey = CASE WHEN e.event_id % 5 = 0 THEN e.line_supplier
+                          ELSE CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4) END
   WHERE e.event_type = 'click'),"""
         if same_airline:
             req = """req AS (
   SELECT e.event_id AS request_id, e.ts, s.s_name AS booking_agent_email,
          CASE WHEN e.event_id % 11 = 0 THEN 'unknown-' || CAST(e.user_id AS VARCHAR) ELSE c.c_name END AS customer_email,
-         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
-  FROM events e
+         CAST(e.flight_key AS VARCHAR) AS flight_num
+  FROM fm_event e
   JOIN customer c ON e.user_id = c.c_custkey
-  LEFT JOIN part p ON p.p_partkey = e.event_id % 200
+  LEFT JOIN part p ON p.p_partkey = e.flight_key
   LEFT JOIN supplier s
     ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
   WHERE e.event_type = 'click'),"""
@@ -806,8 +896,8 @@ pre AS (
     else:
         req = """req AS (
   SELECT e.event_id AS request_id, e.ts, c.c_name AS customer_email,
-         CAST(e.event_id % 200 AS VARCHAR) AS flight_num
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey
+         CAST(e.flight_key AS VARCHAR) AS flight_num
+  FROM fm_event e JOIN customer c ON e.user_id = c.c_custkey
   WHERE e.event_type = 'purchase'),
 pre AS (SELECT r.*, CAST(NULL AS INTEGER) AS pre_status FROM req r),"""
     if require_upcoming:

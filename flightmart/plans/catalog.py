@@ -129,6 +129,20 @@ QUERIES: dict[str, Query] = {
     "book_tickets_agent_same_airline": lambda s, d: _book_agent(s, d, same_airline=True),
     "customer_monthly_spend_6m_year_end": lambda s, d: cu.customer_monthly_spend_6m(
         _sales(s, d), _t(s, d).customer, dt.date(2001, 1, 15)),
+    "customer_monthly_spend_12m": lambda s, d: cu.customer_monthly_spend_6m(
+        _sales(s, d), _t(s, d).customer, AS_OF, months=12),
+    "airline_monthly_tickets_24m": lambda s, d: al.airline_monthly_tickets_12m(
+        _sales(s, d), _t(s, d).airline, AS_OF, months=24),
+    # rows that the jobs write
+    "new_flight_rows": lambda s, d: mt.new_flight_rows(fixtures.new_flights(s, d), QUERIES["load_new_flights"](s, d)),
+    "new_airplane_rows": lambda s, d: mt.new_airplane_rows(
+        fixtures.new_airplanes(s, d), QUERIES["load_new_airplanes"](s, d)),
+    "booking_rows_ticket": lambda s, d: _booking_rows(s, d)[0],
+    "booking_rows_purchases": lambda s, d: _booking_rows(s, d)[1],
+    "registration_rows_customer": lambda s, d: _registration_rows(s, d)["customer"],
+    "registration_rows_booking_agent": lambda s, d: _registration_rows(s, d)["booking_agent"],
+    "registration_rows_airline_staff": lambda s, d: _registration_rows(s, d)["airline_staff"],
+    "registration_rows_permission": lambda s, d: _registration_rows(s, d)["permission"],
 }
 
 
@@ -145,12 +159,24 @@ def _book_agent(spark: SparkSession, sf_dir: str, same_airline: bool = False) ->
     return bk.book_tickets_agent(reqs, t.flight, t.airplane, t.ticket, t.purchases, t.booking_agent, t.customer)
 
 
-def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids need two passes over the decided requests (count, then number), so
     the decisions are checkpointed first (reliable checkpoint in the session's
     ``spark.checkpoint.dir``): the id plan then scans the checkpoint instead
     of re-deriving every decision for each pass."""
     ensure_checkpoint_dir(spark)
     t = _t(spark, sf_dir)
-    decided = bk.decide(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket, t.purchases)
-    return bk.assign_ticket_ids(decided.checkpoint(eager=True), t.ticket)
+    return bk.decide(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket, t.purchases).checkpoint(eager=True)
+
+
+def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bk.assign_ticket_ids(_decided(spark, sf_dir), _t(spark, sf_dir).ticket)
+
+
+def _booking_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    decided = _decided(spark, sf_dir)
+    return bk.booking_rows(decided, bk.assign_ticket_ids(decided, _t(spark, sf_dir).ticket))
+
+
+def _registration_rows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return mt.registration_rows(fixtures.registrations(spark, sf_dir), QUERIES["load_registrations"](spark, sf_dir))

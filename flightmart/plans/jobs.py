@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flightmart.operators import maintain as mt
 from flightmart.session import ensure_checkpoint_dir
-from flightmart.sources.tables import append, read_tables, write_snapshot
+from flightmart.sources.tables import append, batch_numbers, read_tables, write_snapshot
 from flightmart.streaming.bookings import process_batch
 
 
@@ -22,9 +22,20 @@ def _outcomes(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def book(spark: SparkSession, root: str, requests: DataFrame, out: str, batch_id: int = 0,
-         agent: bool = False) -> None:
-    """O32-O34 as a job: decide, number the tickets, write new ticket/purchases rows under ``out``."""
+def book(spark: SparkSession, root: str, requests: DataFrame, out: str, batch_id: int,
+         agent: bool = False, replay: bool = False) -> None:
+    """O32-O34 as a job: decide, number the tickets, write new ticket/purchases rows under ``out``.
+
+    ``out`` is the one history of all booking batches, direct and agent:
+    a batch sees what all batches before it sold, and
+    ``read_tables(root, bookings=out)`` shows every report the new sales.
+    Batches are numbered upwards.  A number that is already there is refused,
+    unless ``replay`` says that this is the same batch again, which must then
+    be the last; it rewrites its own rows.
+    """
+    numbers = [r["batch_id"] for r in batch_numbers(spark, f"{out}/purchases")]
+    if numbers and (batch_id < max(numbers) or batch_id == max(numbers) and not replay):
+        raise ValueError(f"batch {batch_id} is not after the last one, {max(numbers)}")
     process_batch(spark, requests, batch_id, root, out, agent)
 
 
@@ -53,51 +64,54 @@ def load_airports(spark: SparkSession, root: str, requests: DataFrame, out: str)
     return outcomes
 
 
-def change_statuses(spark: SparkSession, root: str, changes: DataFrame, new_flight_path: str) -> None:
-    """O36 job: the flight table after the changes, written as a new snapshot."""
+def change_statuses(spark: SparkSession, root: str, changes: DataFrame, new_flight_path: str, out: str) -> DataFrame:
+    """O36 job: outcomes to ``out``; the flight table after the changes, written as a new snapshot."""
     t = read_tables(spark, root)
+    outcomes = _outcomes(spark, mt.flight_status_outcomes(changes, t.flight, t.permission, t.airline_staff), out)
     write_snapshot(mt.apply_flight_status(changes, t.flight, t.permission, t.airline_staff), new_flight_path)
+    return outcomes
 
 
-def grant_permissions(spark: SparkSession, root: str, grants: DataFrame, new_permission_path: str) -> None:
-    """O39 job: permission table with the grants added and placeholders removed."""
+def grant_permissions(spark: SparkSession, root: str, grants: DataFrame, new_permission_path: str, out: str) -> DataFrame:
+    """O39 job: outcomes to ``out``; permission table with the grants added and placeholders removed."""
     t = read_tables(spark, root)
+    outcomes = _outcomes(spark, mt.permission_grant_outcomes(grants, t.permission, t.airline_staff), out)
     write_snapshot(mt.apply_permission_grants(grants, t.permission, t.airline_staff), new_permission_path)
+    return outcomes
 
 
-def move_agents(spark: SparkSession, root: str, moves: DataFrame, new_agent_path: str) -> None:
-    """O40 job: booking_agent table after the moves, as a new snapshot."""
+def move_agents(spark: SparkSession, root: str, moves: DataFrame, new_agent_path: str, out: str) -> DataFrame:
+    """O40 job: outcomes to ``out``; booking_agent table after the moves, as a new snapshot."""
     t = read_tables(spark, root)
+    outcomes = _outcomes(spark, mt.agent_move_outcomes(moves, t.booking_agent, t.airline, t.permission, t.airline_staff), out)
     write_snapshot(mt.assign_agents_to_airline(moves, t.booking_agent, t.airline, t.permission, t.airline_staff),
                    new_agent_path)
+    return outcomes
 
 
 def registration_outcomes(spark: SparkSession, regs: DataFrame, customer: DataFrame, booking_agent: DataFrame,
-                          airline_staff: DataFrame, airline: DataFrame, max_rounds: int = 1000) -> DataFrame:
+                          airline_staff: DataFrame, airline: DataFrame) -> DataFrame:
     """O42 outcomes with the exact one-at-a-time result, decided in rounds.
 
     Each round settles every record whose earlier conflicting records (same
     key, or same b_id for agents) are settled; the state is checkpointed
     (reliable checkpoint in ``spark.checkpoint.dir``) between rounds, so the
     plan does not grow and a lost executor does not replay earlier rounds.
-    The number of rounds is the longest chain of conflicts in the batch.
+    Each round settles at least the earliest open record; the number of
+    rounds is the longest chain of conflicts in the batch.
     """
     ensure_checkpoint_dir(spark)
     state = mt.registration_state(regs, customer, booking_agent, airline_staff, airline).checkpoint()
-    for _ in range(max_rounds):
-        if state.filter("outcome IS NULL").isEmpty():
-            break
+    while not state.filter("outcome IS NULL").isEmpty():
         state = mt.registration_round(state).checkpoint()
-    else:
-        raise RuntimeError("registration rounds did not settle")
     return state.select("request_id", "kind", "key", "outcome")
 
 
-def register(spark: SparkSession, root: str, regs: DataFrame, out: str, max_rounds: int = 1000) -> DataFrame:
+def register(spark: SparkSession, root: str, regs: DataFrame, out: str) -> DataFrame:
     """O42 job: outcomes to ``out``; accepted records appended to their tables."""
     t = read_tables(spark, root)
     outcomes = _outcomes(spark, registration_outcomes(spark, regs, t.customer, t.booking_agent, t.airline_staff,
-                                                      t.airline, max_rounds), out)
+                                                      t.airline), out)
     for table, rows in mt.registration_rows(regs, outcomes).items():
         append(rows, f"{root}/{table}")
     return outcomes

@@ -7,11 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Defaults applied when the builder creates a new session.  On a cluster the
-# deployment's spark-defaults win for anything it already sets.
+# Applied to a session only where neither the deployment nor the caller has set a value.
 _DEFAULTS = {
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -30,8 +27,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -39,13 +34,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, so its heap is the
         # memory of the whole job (a cluster sizes executors instead)
-        builder = builder.config("spark.driver.memory", os.environ.get("FLIGHTMART_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("FLIGHTMART_DRIVER_MEMORY", _half_of_memory()))
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.getOrCreate()
+    known = spark.sparkContext.getConf()
+    for k, v in _DEFAULTS.items():
+        if not known.contains(k) and k not in (extra or {}):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _half_of_memory() -> str:
+    mb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (2 << 20)
+    return f"{min(16 * 1024, mb)}m"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -47,9 +47,15 @@ def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _ticket_id(orderkey: str, linenumber: str, partkey: str, suppkey: str) -> Column:
-    key = ((F.col(orderkey) * 8 + F.col(linenumber)) * 262144 + F.col(partkey)) * 2048 + F.col(suppkey)
-    return key.cast("string")
+def _ticket_id(part: DataFrame, supplier: DataFrame) -> Column:
+    """One decimal number from a line's four keys; the radices follow the tables, so ids never collide."""
+    def wide(c: Column) -> Column:
+        return c.cast("decimal(38,0)")
+
+    parts = wide(part.agg(F.max("p_partkey") + 1).scalar())
+    suppliers = wide(supplier.agg(F.max("s_suppkey") + 1).scalar())
+    line = wide(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return wide(wide(wide(line * parts) + wide(F.col("l_partkey"))) * suppliers + wide(F.col("l_suppkey"))).cast("string")
 
 
 def _permission_of(suppkey: Column) -> Column:
@@ -108,7 +114,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     ticket = lineitem.select(
-        _ticket_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ticket_id"),
+        _ticket_id(part, supplier).alias("ticket_id"),
         F.col("l_partkey").cast("string").alias("flight_num"),
     )
 
@@ -119,7 +125,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         .join(customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            _ticket_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ticket_id"),
+            _ticket_id(part, supplier).alias("ticket_id"),
             F.col("c_name").alias("customer_email"),
             F.when(F.col("l_returnflag") == "R", F.lit(None).cast("string"))
             .otherwise(F.col("s_name")).alias("booking_agent_email"),
@@ -179,50 +185,51 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 # Batch-job inputs derived from the ``events`` table (and others), so that the
 # batch jobs' work grows with the data like the reports'.
 
-N_REQUEST_FLIGHTS = 200
+# One flight draws a third of the requests, all within one hour (a sale opening).
+HOT_FLIGHT = 7
+HOT_HOUR = "2000-06-01 10:00:00"
+
+
+def _requests(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """Events of a type with a flight key: the lowest part of the order whose key is
+    event_id (event_id itself without such an order), so requested flights grow
+    with the data; every third run of three events asks for the hot flight."""
+    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == event_type)
+    first_line = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_partkey").alias("_part"), F.min("l_suppkey").alias("line_supplier"))
+    hot = F.floor(F.col("event_id") / 3) % 3 == 0
+    opened = F.timestamp_add("SECOND", F.col("event_id") * 7919 % 3600, _ts(HOT_HOUR))
+    return (events.join(first_line, events.event_id == first_line.l_orderkey, "left")
+            .withColumn("flight_key", F.when(hot, F.lit(HOT_FLIGHT)).otherwise(F.coalesce("_part", "event_id")))
+            .withColumn("ts", F.when(hot, opened).otherwise(F.col("ts"))))
 
 
 def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct booking requests: purchase events; customer of key user_id; flight event_id % 200."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    """Direct booking requests: purchase events; customer of key user_id."""
+    events = _requests(spark, sf_dir, "purchase")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return events.join(customer, events.user_id == customer.c_custkey).select(
         F.col("event_id").alias("request_id"),
         "ts",
         F.col("c_name").alias("customer_email"),
-        (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+        F.col("flight_key").cast("string").alias("flight_num"),
     )
 
 
-def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agent booking requests: click events; agent of key event_id % 7; every 11th customer unknown."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return (events.join(customer, events.user_id == customer.c_custkey)
-            .join(supplier, (events.event_id % 7) == supplier.s_suppkey)
-            .select(
-                F.col("event_id").alias("request_id"),
-                "ts",
-                F.col("s_name").alias("booking_agent_email"),
-                F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("unknown-"), F.col("user_id").cast("string")))
-                .otherwise(F.col("c_name")).alias("customer_email"),
-                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
-            ))
+def _staff_key(brand: str, event_id: str) -> Column:
+    """Key of a supplier whose airline is ``brand``: (brand number - 1) + 25 * (event_id % 4)."""
+    return F.regexp_extract(F.col(brand), r"(\d+)$", 1).cast("bigint") - 1 + 25 * (F.col(event_id) % 4)
 
 
-def agent_booking_requests_same_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agent booking requests whose agent works for the flight's airline: click
-    events as in ``agent_booking_requests``, agent = supplier key
-    (brand number - 1) + 25 * (event_id % 4) (NULL when that supplier does not exist)."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+def _agent_requests(spark: SparkSession, sf_dir: str, agent_key: Column) -> DataFrame:
+    """Click events; every 11th customer unknown; the agent may use p_brand of the flight."""
+    events = _requests(spark, sf_dir, "click")
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    brand_num = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1).cast("bigint")
     keyed = (events.join(customer, events.user_id == customer.c_custkey)
-             .join(part, (events.event_id % N_REQUEST_FLIGHTS) == part.p_partkey, "left")
-             .withColumn("_agent_key", brand_num - 1 + 25 * (F.col("event_id") % 4)))
+             .join(part, F.col("flight_key") == F.col("p_partkey"), "left")
+             .withColumn("_agent_key", agent_key))
     return (keyed.join(supplier, keyed._agent_key == supplier.s_suppkey, "left")
             .select(
                 F.col("event_id").alias("request_id"),
@@ -230,23 +237,35 @@ def agent_booking_requests_same_airline(spark: SparkSession, sf_dir: str) -> Dat
                 F.col("s_name").alias("booking_agent_email"),
                 F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("unknown-"), F.col("user_id").cast("string")))
                 .otherwise(F.col("c_name")).alias("customer_email"),
-                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+                F.col("flight_key").cast("string").alias("flight_num"),
             ))
 
 
+def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent booking requests: every fifth by the supplier of the event's order (mostly of another
+    airline; NULL without an order), the others by an agent of the flight's airline."""
+    own = _staff_key("p_brand", "event_id")
+    return _agent_requests(spark, sf_dir, F.when(F.col("event_id") % 5 == 0, F.col("line_supplier")).otherwise(own))
+
+
+def agent_booking_requests_same_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent booking requests whose agent works for the flight's airline (NULL when that supplier does not exist)."""
+    return _agent_requests(spark, sf_dir, _staff_key("p_brand", "event_id"))
+
+
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status change requests: view events; flight event_id % 200 with its airline
+    """Status change requests: view events with the flight's airline
     (a wrong airline every 13th); status by event_id % 3, with the creation
     spelling ``delay`` for 2."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    events = _requests(spark, sf_dir, "view")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     m = F.col("event_id") % 3
-    return (events.join(part, (events.event_id % N_REQUEST_FLIGHTS) == part.p_partkey, "left")
+    return (events.join(part, events.flight_key == part.p_partkey, "left")
             .select(
                 F.col("event_id").alias("request_id"),
                 "ts",
                 F.when(F.col("event_id") % 13 == 0, F.lit("Brand#0")).otherwise(F.col("p_brand")).alias("airline_name"),
-                (F.col("event_id") % N_REQUEST_FLIGHTS).cast("string").alias("flight_num"),
+                F.col("flight_key").cast("string").alias("flight_num"),
                 F.when(m == 0, F.lit("upcoming")).when(m == 1, F.lit("in-progress")).otherwise(F.lit("delay"))
                 .alias("flight_status"),
             ))
@@ -286,7 +305,7 @@ def new_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "arrive_name",
                 depart.alias("depart_time"),
                 F.timestamp_add("HOUR", F.col("o_orderkey") % 7 - 1, depart).alias("arrive_time"),
-                (F.col("o_totalprice") / 100).cast("decimal(10,2)").alias("price"),
+                (F.floor("o_totalprice") / 100).cast("decimal(10,2)").alias("price"),
                 F.lit("upcoming").alias("flight_status"),
             ))
 
@@ -376,4 +395,11 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_cust, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Brand#"), (F.col("event_id") % 30 + 1).cast("string"))).alias("airline_name"),
         F.when(F.col("event_id") % 3 == 1, (uid + 50).cast("string")).alias("b_id"),
+        uid.alias("building_number"), F.concat(F.lit("Street "), uid.cast("string")).alias("street"),
+        F.lit("City").alias("city"), F.lit("State").alias("state"),
+        (uid + 20_000_000_000).cast("decimal(20,0)").alias("phone_number"),
+        F.concat(F.lit("N"), uid.cast("string")).alias("passport_number"),
+        F.lit(dt.date(2031, 1, 1)).alias("passport_expiration"), F.lit("Country").alias("passport_country"),
+        F.concat(F.lit("First"), uid.cast("string")).alias("first_name"), F.concat(F.lit("Last"), uid.cast("string")).alias("last_name"),
+        F.date_add(F.lit(dt.date(1970, 1, 1)), (uid % 10_000).cast("int")).alias("date_of_birth"),
     )

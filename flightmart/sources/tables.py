@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +41,48 @@ class Tables:
         return Tables(**current)
 
 
+def with_batch_id(schema: T.StructType) -> T.StructType:
+    return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
+
+
+def batch_numbers(spark: SparkSession, path: str) -> list:
+    """The batch numbers below ``path``, read from folder names alone."""
+    try:
+        rows = spark.read.schema("batch_id long").option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return rows.select("batch_id").distinct().collect()  # one row per batch
+
+
+def batch_rows(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows below ``path/batch_id=N`` (of batches before ``before``); none if no batch has been written yet.
+
+    Only a missing path means that there are none: any other failure to read
+    is raised, as going on without earlier batches would sell seats twice.
+    """
+    try:
+        rows = spark.read.schema(with_batch_id(schema)).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.filter(F.col("batch_id") < F.lit(before))
+    return rows.drop("batch_id")
+
+
 def read_tables(spark: SparkSession, root: str,
-                purchase_window: tuple[dt.date, dt.date] | None = None) -> Tables:
+                purchase_window: tuple[dt.date, dt.date] | None = None,
+                bookings: str | None = None, before_batch: int | None = None,
+                snapshots: dict[str, str] | None = None) -> Tables:
     """Scan ``root/<table>`` Parquet folders with the fixed schemas.
 
+    With ``bookings`` (the history folder of the booking jobs) ticket and
+    purchases also hold what those jobs sold.  ``snapshots`` names, per table,
+    the folder of a newer snapshot to read in place of ``root/<table>``.
+
     purchases is stored partitioned by purchase month (``write_tables``);
     with ``purchase_window=(start, end)`` only the month folders that can
     hold those dates are listed and read (partition pruning), for jobs
@@ -51,17 +90,23 @@ def read_tables(spark: SparkSession, root: str,
     """
     frames = {}
     for name, schema in schemas.SCHEMAS.items():
+        path = (snapshots or {}).get(name, f"{root}/{name}")
         if name == "purchases":
             # a new StructType: StructType.add would change the shared schema in place
             with_month = T.StructType(list(schemas.PURCHASES.fields) + [T.StructField("p_month", T.DateType())])
-            df = spark.read.schema(with_month).parquet(f"{root}/{name}")
+            df = spark.read.schema(with_month).parquet(path)
             if purchase_window is not None:
                 start, end = purchase_window
                 df = df.filter(F.col("p_month").between(F.lit(start.replace(day=1)), F.lit(end.replace(day=1))))
         else:
-            df = spark.read.schema(schema).parquet(f"{root}/{name}")
+            df = spark.read.schema(schema).parquet(path)
         # the declared columns only, so every table has its fixed schema
         frames[name] = df.select(*schema.fieldNames())
+        if bookings and name in ("ticket", "purchases"):
+            frames[name] = frames[name].unionByName(batch_rows(spark, f"{bookings}/{name}", schema, before_batch))
+    if bookings and purchase_window is not None:
+        start, end = purchase_window
+        frames["purchases"] = frames["purchases"].filter(F.col("p_date").between(F.lit(start.replace(day=1)), F.last_day(F.lit(end))))
     return Tables(**frames)
 
 

@@ -21,8 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flightmart.operators import booking as bk
-from flightmart.sources import schemas
-from flightmart.sources.tables import read_tables
+from flightmart.sources.tables import read_tables, with_batch_id
 
 DECIDED = T.StructType([
     T.StructField("request_id", T.LongType()),
@@ -35,25 +34,10 @@ DECIDED = T.StructType([
 ])
 
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
-
-
-def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows written by batches before ``batch_id`` (empty when there are none yet)."""
-    df = spark.read.schema(_with_batch(schema)).option("basePath", path)
-    try:
-        rows = df.parquet(path)
-    except Exception:  # noqa: BLE001  -- the folder does not exist before the first batch
-        return spark.createDataFrame([], schema)
-    return rows.filter(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
-
-
 def process_batch(spark: SparkSession, requests: DataFrame, batch_id: int, root: str, out: str,
                   agent: bool = False) -> None:
-    t = read_tables(spark, root)
-    ticket = t.ticket.unionByName(_earlier(spark, f"{out}/ticket", schemas.TICKET, batch_id))
-    purchases = t.purchases.unionByName(_earlier(spark, f"{out}/purchases", schemas.PURCHASES, batch_id))
+    t = read_tables(spark, root, bookings=out, before_batch=batch_id)
+    ticket, purchases = t.ticket, t.purchases
     if agent:
         requests = bk.agent_prechecks(requests, t.flight, t.booking_agent, t.customer)
     # written once and read back: the ranking reads the annotated requests twice
@@ -87,4 +71,4 @@ def start_booking_stream(spark: SparkSession, requests: DataFrame, root: str, ou
 
 
 def read_outcomes(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(_with_batch(DECIDED)).parquet(f"{out}/decided")
+    return spark.read.schema(with_batch_id(DECIDED)).parquet(f"{out}/decided")

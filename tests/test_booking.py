@@ -63,11 +63,11 @@ def scenario(spark, seed):
 def test_batch_equals_sequential(spark, seed):
     t, rdf, reqs, seats, sold, held, max_id = scenario(spark, seed)
     expected = sequential(reqs, seats, sold, held)
-    decided = bk.decide(rdf.repartition(3), t.flight, t.airplane, t.ticket, t.purchases, chunk_unit="hour")
+    decided = bk.decide(rdf.repartition(3), t.flight, t.airplane, t.ticket, t.purchases, chunk_units=["hour"])
     got = {r.request_id: r.status for r in decided.collect()}
     assert got == expected
     # statuses do not depend on how the requests are partitioned or chunked
-    again = bk.decide(rdf.repartition(1), t.flight, t.airplane, t.ticket, t.purchases, chunk_unit="minute")
+    again = bk.decide(rdf.repartition(1), t.flight, t.airplane, t.ticket, t.purchases, chunk_units=["hour", "minute", "second"])
     assert {r.request_id: r.status for r in again.collect()} == expected
     # ids: unique, contiguous, after the largest numeric id
     ids = sorted(int(r.ticket_id) for r in bk.assign_ticket_ids(decided, t.ticket).collect())

@@ -26,14 +26,14 @@ def test_jobs_on_fixture(spark):
     out = jobs.load_airplanes(spark, root, fixtures.new_airplanes(spark, SF_SMALL), f"{work}/o37")
     assert read_tables(spark, root).airplane.count() == n_planes + out.filter("outcome = 'ok'").count()
 
-    jobs.change_statuses(spark, root, fixtures.status_changes(spark, SF_SMALL), f"{work}/flight_v2")
+    jobs.change_statuses(spark, root, fixtures.status_changes(spark, SF_SMALL), f"{work}/flight_v2", f"{work}/o36")
     assert spark.read.parquet(f"{work}/flight_v2").count() == read_tables(spark, root).flight.count()
 
-    jobs.grant_permissions(spark, root, fixtures.grants(spark, SF_SMALL), f"{work}/permission_v2")
+    jobs.grant_permissions(spark, root, fixtures.grants(spark, SF_SMALL), f"{work}/permission_v2", f"{work}/o39")
     new_perm = spark.read.parquet(f"{work}/permission_v2")
     assert new_perm.filter("permission = ''").count() < before.permission.filter("permission = ''").count()
 
-    jobs.book(spark, root, fixtures.booking_requests(spark, SF_SMALL), f"{work}/book")
+    jobs.book(spark, root, fixtures.booking_requests(spark, SF_SMALL), f"{work}/book", 0)
     booked = spark.read.parquet(f"{work}/book/decided").filter("status = 1").count()
     assert spark.read.parquet(f"{work}/book/ticket").count() == booked > 0
 
@@ -42,7 +42,7 @@ def test_agent_booking_job(spark):
     work = tempfile.mkdtemp(prefix="flightmart-jobs-")
     root = f"{work}/tables"
     write_tables(fixtures.load(spark, SF_SMALL), root)
-    jobs.book(spark, root, fixtures.agent_booking_requests(spark, SF_SMALL), f"{work}/book", agent=True)
+    jobs.book(spark, root, fixtures.agent_booking_requests(spark, SF_SMALL), f"{work}/book", 0, agent=True)
     decided = spark.read.parquet(f"{work}/book/decided")
     import __spark_entry__ as entry
     expected = {r.request_id: r.status for r in entry.queries()["book_tickets_agent"](spark, SF_SMALL).collect()}
@@ -84,21 +84,21 @@ def _sequential_registrations(regs, cust, agents, bids, staff, airlines):
             if res == "ok":
                 cust.add(key)
         elif kind == "agent":
-            if b_id in bids:
-                res = "existing_b_id"
+            if key in agents:
+                res = "existing"
             elif airline not in airlines:
                 res = "unknown_airline"
-            elif key in agents:
-                res = "existing"
+            elif b_id in bids:
+                res = "existing_b_id"
             else:
                 res = "ok"
                 agents.add(key)
                 bids.add(b_id)
         else:
-            if key in staff:
-                res = "existing"
-            elif airline not in airlines:
+            if airline not in airlines:
                 res = "unknown_airline"
+            elif key in staff:
+                res = "existing"
             else:
                 res = "ok"
                 staff.add(key)
@@ -148,3 +148,54 @@ def test_register_exact_on_fixture_equals_sequential(spark):
     got = {r.request_id: r.outcome for r in jobs.register(spark, f"{work}/tables", regs_df,
                                                                 f"{work}/out").collect()}
     assert got == expected
+
+
+def test_booking_batches_share_one_history(spark):
+    """Two direct batches, one agent batch, one replay: no sale lost, no ticket id issued twice."""
+    from pyspark.sql import functions as F
+    work = tempfile.mkdtemp(prefix="flightmart-book-")
+    root, out = f"{work}/tables", f"{work}/book"
+    write_tables(fixtures.load(spark, SF_SMALL), root)
+    direct = fixtures.booking_requests(spark, SF_SMALL)
+    jobs.book(spark, root, direct.filter("request_id % 2 = 0"), out, 0)
+    jobs.book(spark, root, direct.filter("request_id % 2 = 1"), out, 1)
+    jobs.book(spark, root, fixtures.agent_booking_requests(spark, SF_SMALL), out, 2, agent=True)
+    tickets = lambda: sorted(map(tuple, spark.read.parquet(f"{out}/ticket").collect()))
+    first = tickets()
+    with pytest.raises(ValueError):
+        jobs.book(spark, root, direct, out, 2)
+    jobs.book(spark, root, fixtures.agent_booking_requests(spark, SF_SMALL), out, 2, agent=True, replay=True)
+    assert tickets() == first
+    booked = spark.read.parquet(f"{out}/decided").filter("status = 1").count()
+    before, after = read_tables(spark, root), read_tables(spark, root, bookings=out)
+    assert booked > 0 and after.ticket.count() == before.ticket.count() + booked
+    new = spark.read.parquet(f"{out}/ticket")
+    assert new.select("ticket_id").distinct().count() == booked == spark.read.parquet(f"{out}/purchases").count()
+    assert after.ticket.join(after.purchases, "ticket_id", "left_anti").isEmpty()
+    sold = after.ticket.groupBy("flight_num").agg(F.count(F.lit(1)).alias("sold"))
+    seats = after.flight.join(after.airplane, (F.col("airplane_id") == F.col("id")) & (after.flight.airline_name == after.airplane.airline_name))
+    over = (sold.join(seats, "flight_num").filter("sold > seats").select("flight_num")
+            .join(new.select("flight_num").distinct(), "flight_num", "left_semi"))
+    assert over.isEmpty()
+
+
+def test_twenty_digit_ticket_ids(spark):
+    from flightmart.operators import booking as bk
+    decided = spark.createDataFrame([(1, "A", 1, 1), (2, "A", 1, 2), (3, "B", 3, None)],
+                                    "request_id long, flight_num string, status int, flight_rank long")
+    ticket = spark.createDataFrame([("5", "A"), ("99999999999999999999", "A"), ("x", "B")], "ticket_id string, flight_num string")
+    got = {r.request_id: r.ticket_id for r in bk.assign_ticket_ids(decided, ticket).collect()}
+    assert got == {1: "100000000000000000000", 2: "100000000000000000001"}
+
+
+def test_registration_rows_keep_all_columns(spark):
+    work = tempfile.mkdtemp(prefix="flightmart-reg-")
+    write_tables(fixtures.load(spark, SF_SMALL), f"{work}/tables")
+    regs = fixtures.registrations(spark, SF_SMALL)
+    out = jobs.register(spark, f"{work}/tables", regs, f"{work}/out").filter("outcome = 'ok'")
+    t = read_tables(spark, f"{work}/tables")
+    for kind, table, key, cols in (("customer", t.customer, "email", ["street", "phone_number", "passport_number", "date_of_birth"]),
+                                   ("staff", t.airline_staff, "username", ["first_name", "last_name", "date_of_birth"])):
+        new = table.join(out.filter(f"kind = '{kind}'").select("key"), table[key] == out.key, "left_semi")
+        wanted = regs.join(out.filter(f"kind = '{kind}'").select("request_id"), "request_id", "left_semi")
+        assert sorted(map(tuple, new.select(key, *cols).collect())) == sorted(map(tuple, wanted.select("key", *cols).collect()))

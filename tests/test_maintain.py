@@ -22,8 +22,8 @@ def test_status_changes_unchanged_and_latest_wins(spark):
         (6, ts("2024-01-03 08:00:00"), "A", "F", "boarding"),     # not a status
         (7, ts("2024-01-03 09:00:00"), "A", "G", "upcoming"),     # equal to the base status
     ], CHANGE_SCHEMA)
-    for unit in ("hour", "day", "month"):
-        got = {r.request_id: r.outcome for r in mt.flight_status_outcomes(changes, t.flight, chunk_unit=unit).collect()}
+    for unit in (["hour"], ["day"], ["month"], ["month", "day", "hour"]):
+        got = {r.request_id: r.outcome for r in mt.flight_status_outcomes(changes, t.flight, chunk_units=unit).collect()}
         assert got == {1: "updated", 2: "unchanged", 3: "updated", 4: "unknown_flight", 5: "updated",
                        6: "bad_status", 7: "unchanged"}
     snap = {r.flight_num: r.flight_status for r in mt.apply_flight_status(changes, t.flight).collect()}

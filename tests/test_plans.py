@@ -7,7 +7,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as entry
+from flightmart.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
 TOP_K = ["agent_top_customers_by_spend", "agent_top_customers_by_tickets", "airline_top_agents_by_sales",
@@ -25,7 +25,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(q(spark, SF_SMALL)) for name, q in entry.queries().items()}
+    return {name: plan(q(spark, SF_SMALL)) for name, q in QUERIES.items()}
 
 
 def test_no_cross_products_or_python(plans):

@@ -15,12 +15,12 @@ def test_new_flights_airports_grants(spark):
     reqs = fixtures.new_flights(spark, SF_SMALL)
     exp = {}
     for r in sorted(reqs.collect(), key=lambda r: (r.ts, r.request_id)):
-        if r.flight_num in flights:
-            o = "existing_flight_num"
-        elif r.depart_name == r.arrive_name:
+        if r.depart_name == r.arrive_name:
             o = "same_airport"
         elif r.arrive_time <= r.depart_time:
             o = "bad_time"
+        elif r.flight_num in flights:
+            o = "existing_flight_num"
         elif (r.airplane_id, r.airline_name) not in owned:
             o = "airplane_not_owned"
         elif r.depart_name not in airports or r.arrive_name not in airports:

@@ -45,3 +45,19 @@ def python_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterat
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and text alone, under these names and types, whatever else the table holds; null text is empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def row_keys(text: Column, doc_id: Column) -> dict[str, Column]:
+    """(k1, k2): never null, equal for rows of equal doc_id and text, and (but for a 64-bit hash) only for those."""
+    doc_id = doc_id.cast("long")
+    return {"k1": F.coalesce(doc_id, F.lit(0)), "k2": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), doc_id.isNull())}
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``text_of`` with the row keys."""
+    return text_of(df).withColumns(row_keys(F.col("text"), F.col("doc_id")))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """(row, k1, k2): all columns in one struct, so that no name clashes with an operator's own; ``select("row.*")`` unpacks."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumns(row_keys(F.col("row.text"), F.col("row.doc_id")))

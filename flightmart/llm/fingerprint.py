@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightmart.llm.common import text_of, written
+from flightmart.llm.common import keyed, text_of, written
 
 _POS = 26  # low bits of a packed item that hold its position
 _STEPS = [1 << b for b in range(30, -1, -1)]
@@ -109,11 +109,6 @@ def likeness(a: Column, b: Column, size: int = 64) -> Column:
     return F.size(same) / F.lit(float(size))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds (k1, k2), which are never null and tell rows apart unless they are equal."""
-    return text_of(docs).withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row."""
     return text_of(docs).select("doc_id", order_minhash(F.col("text")).alias("fingerprint"))
@@ -147,19 +142,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 3) code points replaced by the first
     as many of the next document's, in descending order of doc_id; the first
     document follows the last.  Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id.
     """
-    keyed = _keyed(docs)
+    rows = keyed(docs)
     # written, so that a text is fingerprinted once; without the text, so that this is small
-    prints = written(keyed.select("k1", "k2", order_minhash(F.col("text")).alias("fingerprint")), "fingerprints").dropDuplicates(["k1", "k2"])
-    texts = keyed.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    prints = written(rows.select("k1", "k2", order_minhash(F.col("text")).alias("fingerprint")), "fingerprints").dropDuplicates(["k1", "k2"])
+    texts = rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     known = texts.join(prints, ["k1", "k2"])
-    # each document sends what its predecessor needs of it: a third of that one's length, and its fingerprint
-    sent = (known.join(_followers(keyed), ["k1", "k2"])
-            .select(F.col("to_1").alias("k1"), F.col("to_2").alias("k2"), F.expr("left(text, cast(floor(to_chars / 3) as int))").alias("begin"), F.col("fingerprint").alias("next_fingerprint")))
+    # Each document sends what its predecessor needs of it: a third of that one's length, and its fingerprint.
+    # Both sides use the same columns of ``known``, so that Spark shuffles the texts once for both.
+    sent = (known.join(_followers(rows), ["k1", "k2"])
+            .select(F.col("to_1").alias("k1"), F.col("to_2").alias("k2"), F.when(F.col("copies") > 0, F.expr("left(text, cast(floor(to_chars / 3) as int))")).alias("begin"),
+                    F.col("fingerprint").alias("next_fingerprint"), F.col("doc_id").alias("next_doc_id")))
     n = F.char_length("text")
     edited = known.join(sent, ["k1", "k2"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))"), "begin"))
-    out = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", order_minhash(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", "copies")
+    out = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", order_minhash(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", "next_doc_id", "copies")
     out = out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                     likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), F.explode_outer(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+                     likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id", F.explode_outer(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.drop("copy")

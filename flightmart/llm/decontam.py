@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightmart.llm.common import ascii_lower, text_of, written
+from flightmart.llm.common import ascii_lower, keyed, packed, written
 
 #: Runs of ASCII letters and digits and of all other characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,7 +124,7 @@ def contained(docs: DataFrame, item_windows: DataFrame, window: int, shingle: in
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, threshold: float = 1.0,
                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, items) of every row: its words, those inside contained windows, the items' ids as sorted strings."""
-    texts = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    texts = keyed(docs).withColumnRenamed("k2", "text_hash")
     cut = written(windows(benchmark, window), "windows")
     hits = written(contained(texts, cut, window, shingle, threshold, broadcast_rows), "hits")
     # a word counts once however many windows cover it
@@ -143,9 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, threshold: float = 1.0,
                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows that contain no window of an item, with all columns of ``docs``."""
-    texts = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    texts = keyed(docs).withColumnRenamed("k2", "text_hash")
     hits = contained(texts, written(windows(benchmark, window), "windows"), window, shingle, threshold, broadcast_rows)
-    dirty = written(hits.select(F.col("doc_id").alias("dc_id"), F.col("text_hash").alias("dc_hash")).distinct(), "contaminated")
-    rows = docs.withColumns({"dc_id_": F.col("doc_id").cast("long"), "dc_hash_": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    kept = rows.join(dirty, F.col("dc_id_").eqNullSafe(F.col("dc_id")) & (F.col("dc_hash_") == F.col("dc_hash")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    dirty = written(hits.select(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("text_hash").alias("k2")).distinct(), "contaminated")
+    return packed(docs).join(dirty, ["k1", "k2"], "left_anti").select("row.*")

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightmart.llm.common import python_batches, text_of, written
+from flightmart.llm.common import keyed, packed, python_batches, written
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -282,15 +282,17 @@ def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_key, class_id, component_id) of every row.
+    """(doc_id, text_hash, n_shingles, set_key, component, class_id, component_id) of every row.
 
     Texts are linked if the similarity (intersection by union) of their sets of
     k-word shingles is ``numerator / denominator`` or more.  class_id is the
     smallest doc_id with the same set, component_id the smallest reachable.
+    ``component`` tells components apart even where different texts bear one
+    doc_id; it is null for empty sets.
     """
     threshold = numerator / denominator
-    rows = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
-    sketches = written(rows.mapInArrow(_sketch_rows(k), _SKETCH), "sketches")
+    rows = keyed(docs).withColumnRenamed("k2", "text_hash")
+    sketches = written(rows.select("doc_id", "text_hash", "text").mapInArrow(_sketch_rows(k), _SKETCH), "sketches")
     # signature and bands are the same in all rows of a class; copies are summed before the shuffle
     classes = written(sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("source"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -322,31 +324,29 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
             break
         tried, forest_count = tried.unionByName(likely), forest_count * 4
     named = labels.join(classes.select("node", "class_id"), "node").groupBy("label").agg(F.min("class_id").alias("least"))
-    found = labels.join(named, "label").select("node", "least")
-    by_class = classes.select("node", "set_key", "class_id").join(found, "node", "left").select("set_key", "class_id", F.coalesce("least", "class_id").alias("component_id"))
+    found = labels.join(named, "label").select("node", "least", "label")
+    by_class = classes.select("node", "set_key", "class_id").join(found, "node", "left").select(
+        "set_key", "class_id", F.coalesce("least", "class_id").alias("component_id"), F.coalesce("label", "node").alias("component"))
     return sketches.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_class, "set_key", "left").select(
-        "doc_id", "text_hash", "n_shingles", "set_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "text_hash", "n_shingles", "set_key", "component", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _class_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): a text for each class that has candidates, written once."""
-    wanted = nodes.select("node", "source.*").withColumnsRenamed({"doc_id": "source_id", "text_hash": "source_hash"})
-    return written(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.source_id) & (rows.text_hash == wanted.source_hash))
-                   .select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = nodes.select("node", F.coalesce("source.doc_id", F.lit(0)).alias("k1"), "source.text_hash")
+    return written(rows.join(wanted, ["k1", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def first_of_components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """One row of each group of near duplicates, with all columns of ``docs``: that of the smallest doc_id.
 
-    Rows without words are linked with nothing and all stay.  If several rows
-    bear the smallest doc_id, one stays, that with the smallest text hash.
+    Rows without words are linked with nothing and all stay.  If several rows of
+    a group bear its smallest doc_id, one stays, that with the smallest text hash.
     """
     found = components(docs, k, numerator, denominator)
-    chosen = (found.where("set_key IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-              .withColumnsRenamed({"doc_id": "nd_id", "text_hash": "nd_hash"}))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"nd_id_": F.col("doc_id").cast("long"), "nd_hash_": F.xxhash64(text)})
-    wordless = text.rlike(r"^[\x20\x09-\x0D]*$")
-    # one of the rows that are equal in doc_id and text; only those that repeat are compared
-    one = rows.where(~wordless).join(chosen, F.col("nd_id_").eqNullSafe(F.col("nd_id")) & (F.col("nd_hash_") == F.col("nd_hash"))).drop("nd_id", "nd_hash")
-    return one.dropDuplicates(["nd_id_", "nd_hash_"]).unionByName(rows.where(wordless)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = found.where("set_key IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    chosen = chosen.select(F.coalesce("first.doc_id", F.lit(0)).alias("k1"), F.col("first.text_hash").alias("k2"))
+    rows = packed(docs)
+    wordless = F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    one = rows.where(~wordless).join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return one.select("row.*").unionByName(rows.where(wordless).select("row.*"))

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightmart.llm.common import text_of, written
+from flightmart.llm.common import keyed, packed, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "tel", "iban", "person", "likely")
@@ -100,11 +100,6 @@ def _passes() -> Column:
             .when(F.col("kind") == "phone", n.between(9, 15)).otherwise(F.lit(True)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds (k1, k2), which are never null and tell rows apart unless they are equal."""
-    return text_of(docs).withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("text", F.col("doc_id").isNull())})
-
-
 def candidates(keyed: DataFrame) -> DataFrame:
     """(k1, k2, kind, start, end, match, before, after, passes): all matches of all patterns."""
     # "outer", as the filter that Spark adds below an inner explode would match everything twice
@@ -189,7 +184,7 @@ def _probability(weights: dict[str, float]) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(k1, k2, kind, start, end): all spans of all different (doc_id, text), base ones and those the classifier adds."""
-    found = written(_votes(candidates(_keyed(docs))), "pii-candidates")
+    found = written(_votes(candidates(keyed(docs))), "pii-candidates")
     counted = found.groupBy("kind", *_LABELERS).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *_LABELERS).collect()  # kinds x 3^labelers rows at most
     patterns = [(r["kind"], tuple(r[x] for x in _LABELERS), r["n"]) for r in counted]
     weights = train(patterns, estimate(patterns)) if patterns else {}
@@ -201,7 +196,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def spans_by_row(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): every row's spans as an array of structs (kind, start, end)."""
     by_text = spans(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
-    return (_keyed(docs).select("doc_id", "k1", "k2").join(by_text, ["k1", "k2"], "left")
+    return (keyed(docs).select("doc_id", "k1", "k2").join(by_text, ["k1", "k2"], "left")
             .select("doc_id", F.coalesce("spans", F.array().cast("array<struct<kind: string, start: long, end: long>>")).alias("spans")))
 
 
@@ -217,17 +212,17 @@ def redact(docs: DataFrame, label: str = "[{}]") -> DataFrame:
     group = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = (by_text.withColumn("reach", reach).withColumn("group", group).groupBy("k1", "k2", "group")
               .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind")))
-    cuts = merged.groupBy(F.col("k1").alias("pii_k1"), F.col("k2").alias("pii_k2")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("pii_cuts"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.withColumns({"pii_k1_": F.coalesce(doc_id, F.lit(0)), "pii_k2_": F.xxhash64(text, doc_id.isNull())})
-    joined = rows.join(cuts, (F.col("pii_k1_") == F.col("pii_k1")) & (F.col("pii_k2_") == F.col("pii_k2")), "left")
-    before = lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("pii_cuts"), i - 1)["end"])
+    cuts = merged.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    text = F.col("row.text").cast("string")
+
+    def before(i: Column) -> Column:
+        return F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["end"])
+
     head, tail = label.split("{}")
-    pieces = F.transform("pii_cuts", lambda c, i: F.concat(F.col("text").substr((before(c, i) + 1).cast("int"), (c["start"] - before(c, i)).cast("int")), F.lit(head), c["kind"], F.lit(tail)))
-    last = F.element_at("pii_cuts", -1)["end"]
-    cut = F.concat(F.array_join(pieces, ""), F.col("text").substr((last + 1).cast("int"), F.char_length("text")))
-    out = joined.withColumn("text", F.when(F.col("pii_cuts").isNull(), F.col("text")).otherwise(cut))
+    pieces = F.transform("cuts", lambda c, i: F.concat(text.substr((before(i) + 1).cast("int"), (c["start"] - before(i)).cast("int")), F.lit(head), c["kind"], F.lit(tail)))
+    rest = text.substr((F.element_at("cuts", -1)["end"] + 1).cast("int"), F.char_length(text))
+    joined = packed(docs).join(cuts, ["k1", "k2"], "left").withColumn("new", F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(pieces, ""), rest)))
+    changed = {"text": F.coalesce("new", text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("pii_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.coalesce(F.char_length("new").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return joined.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

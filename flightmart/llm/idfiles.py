@@ -175,9 +175,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): each document's ids from the file set, and the number of ids before them."""
     by_rank = np.frombuffer(spark.read.schema("ids binary").parquet(f"{path}/ranks").first()["ids"], "<u4")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    # a row per shard, that is per task that wrote
+    # a row per shard, that is per task that wrote (spark.sql.shuffle.partitions at most): broadcast, so that the ids are not shuffled
     shards = blocks.groupBy("shard").agg(F.max(F.col("start") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select(F.col("shard"), F.coalesce(before, F.lit(0)).alias("before"))
     return (blocks.mapInArrow(_from_blocks(by_rank), "shard long, doc_id long, start long, n_tokens long, ids binary")
-            .join(shards, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids"))
+            .join(F.broadcast(shards), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids"))

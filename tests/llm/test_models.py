@@ -76,12 +76,11 @@ def test_class_score_edges(edge, none):
     assert brown.scores(none, F.lit(False)).collect() == []
 
 
-def test_rare_words_are_joined_alike(docs, monkeypatch):
+def test_rare_words_are_joined_alike(docs):
     """With a tiny head nearly all words go the shuffled way; known counts and base scores stay the same."""
-    want = {r["doc_id"]: r for r in brown.scores(docs, F.col("doc_id") % 5 == 0).collect()}
-    monkeypatch.setattr(brown, "HEAD", 64)
-    monkeypatch.setattr(brown, "CORE", 16)
-    for r in brown.scores(docs, F.col("doc_id") % 5 == 0).collect():
+    held = F.col("doc_id") % 5 == 0
+    want = {r["doc_id"]: r for r in brown.scores(docs, held).collect()}
+    for r in brown.scores(docs, held, head_size=64, core=16, classes=4).collect():
         assert r["n_known"] == want[r["doc_id"]]["n_known"] and math.isclose(r["base_score"], want[r["doc_id"]]["base_score"], rel_tol=1e-9)
 
 

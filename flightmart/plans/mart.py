@@ -31,12 +31,15 @@ def write_sales_mart(purchases: DataFrame, ticket: DataFrame, flight: DataFrame,
     """Materialise the sales fact, partitioned by purchase month.
 
     Rows are clustered by month before the write so each task writes few
-    files; ``files_per_month`` spreads a month over that many files (by a
-    hash of ticket_id) so one busy month does not become one huge task.
+    files.  By default Spark rebalances: small months share a task and a busy
+    month is split by size.  ``files_per_month`` spreads each month over that
+    many files (by a hash of ticket_id) instead.
     """
     sales = sales_fact(purchases, ticket, flight).withColumn("p_month", F.trunc("p_date", "MM"))
     if files_per_month:
         sales = sales.repartition("p_month", (F.xxhash64("ticket_id") % files_per_month))
+    else:
+        sales = sales.hint("rebalance", F.col("p_month"))
     sales.write.mode("overwrite").partitionBy("p_month").parquet(path)
 
 

@@ -59,14 +59,15 @@ def test_new_flights_first_valid_wins(spark):
         (2, ts("2024-01-01 00:00:01"), "N1", "A", "P1", "X", "X", dep, arr, one, "upcoming"),   # same airport
         (3, ts("2024-01-01 00:00:02"), "N1", "A", "P1", "X", "Y", arr, dep, one, "upcoming"),   # bad time
         (4, ts("2024-01-01 00:00:03"), "N1", "A", "P1", "X", "Y", dep, arr, one, "delay"),      # accepted
-        (5, ts("2024-01-01 00:00:04"), "N1", "A", "P1", "X", "X", dep, arr, one, "upcoming"),   # number now taken
+        (5, ts("2024-01-01 00:00:04"), "N1", "A", "P1", "X", "X", dep, arr, one, "upcoming"),   # number now taken, but the airports are checked first
+        (8, ts("2024-01-01 00:00:07"), "N1", "B", "P1", "X", "Q", dep, arr, one, "upcoming"),   # number now taken
         (6, ts("2024-01-01 00:00:05"), "N2", "B", "P1", "X", "Y", dep, arr, one, "upcoming"),   # plane not B's
         (7, ts("2024-01-01 00:00:06"), "N3", "A", "P1", "X", "Q", dep, arr, one, "upcoming"),   # unknown airport
     ], cols)
     out = mt.load_new_flights(reqs, t.flight, t.airplane, t.airport)
     got = {r.request_id: r.outcome for r in out.collect()}
     assert got == {1: "existing_flight_num", 2: "same_airport", 3: "bad_time", 4: "ok",
-                   5: "existing_flight_num", 6: "airplane_not_owned", 7: "unknown_airport"}
+                   5: "same_airport", 6: "airplane_not_owned", 7: "unknown_airport", 8: "existing_flight_num"}
     rows = mt.new_flight_rows(reqs, out).collect()
     assert [(r.flight_num, r.flight_status) for r in rows] == [("N1", "delayed")]
 
@@ -124,20 +125,21 @@ def test_registrations(spark):
         (1, ts("2024-01-01 00:00:00"), "customer", "c@x", "c", None, None),
         (2, ts("2024-01-01 00:00:01"), "customer", "new@x", "n", None, None),
         (3, ts("2024-01-01 00:00:02"), "customer", "new@x", "n", None, None),
-        (4, ts("2024-01-01 00:00:03"), "agent", "ag@x", "a", "Z", "7"),   # all three wrong: b_id shown
-        (5, ts("2024-01-01 00:00:04"), "agent", "ag@x", "a", "Z", "8"),   # unknown airline shown
+        (4, ts("2024-01-01 00:00:03"), "agent", "ag@x", "a", "Z", "7"),   # all three wrong: email shown
+        (5, ts("2024-01-01 00:00:04"), "agent", "ag@x", "a", "Z", "8"),   # email shown
         (6, ts("2024-01-01 00:00:05"), "agent", "a2@x", "a", "A", "9"),
         (7, ts("2024-01-01 00:00:06"), "agent", "a3@x", "a", "A", "9"),   # b_id taken in the batch
         (8, ts("2024-01-01 00:00:07"), "staff", "st", "s", "A", None),
         (9, ts("2024-01-01 00:00:08"), "staff", "st2", "s", "Z", None),
         (10, ts("2024-01-01 00:00:09"), "staff", "st3", "s", "A", None),
-        (11, ts("2024-01-01 00:00:10"), "staff", "st", "s", "Z", None),   # both: existing shown for staff
+        (11, ts("2024-01-01 00:00:10"), "staff", "st", "s", "Z", None),   # both: unknown airline shown for staff
+        (12, ts("2024-01-01 00:00:11"), "agent", "a4@x", "a", "Z", "7"),   # airline before b_id
     ], "request_id long, ts timestamp_ntz, kind string, key string, name string, airline_name string, b_id string")
     from flightmart.plans import jobs
     out = jobs.registration_outcomes(spark, regs, t.customer, t.booking_agent, t.airline_staff, t.airline)
     got = {r.request_id: r.outcome for r in out.collect()}
-    assert got == {1: "existing", 2: "ok", 3: "existing", 4: "existing_b_id", 5: "unknown_airline", 6: "ok",
-                   7: "existing_b_id", 8: "existing", 9: "unknown_airline", 10: "ok", 11: "existing"}
+    assert got == {1: "existing", 2: "ok", 3: "existing", 4: "existing", 5: "existing", 6: "ok", 7: "existing_b_id",
+                   8: "existing", 9: "unknown_airline", 10: "ok", 11: "unknown_airline", 12: "unknown_airline"}
     rows = mt.registration_rows(regs, out)
     assert [r.username for r in rows["permission"].collect()] == ["st3"]
     assert rows["permission"].collect()[0].permission == ""
@@ -171,12 +173,16 @@ def test_integrity_audit(spark):
 def test_previous_value_carries_across_chunks(spark):
     from pyspark.sql import functions as F
 
-    from flightmart.functions.ordering import id_chunk, previous_value
+    from flightmart.functions.ordering import id_chunk, previous_value, running_before
     rows = [(1, "k", "a"), (2, "k", "b"), (7, "k", "c"), (8, "j", "x"), (9, "k", "d"), (12, "j", "y")]
     df = spark.createDataFrame(rows, "request_id long, key string, v string")
-    out = previous_value(df, ["key"], "v", ["request_id"], id_chunk("request_id", 3), "prev")
-    got = {r.request_id: r.prev for r in out.collect()}
-    assert got == {1: None, 2: "a", 7: "b", 9: "c", 8: None, 12: "x"}
+    for sizes in ([], [3], [6, 3], [100, 4, 2]):
+        out = previous_value(df, ["key"], "v", ["request_id"], [id_chunk("request_id", n) for n in sizes], "prev")
+        got = {r.request_id: r.prev for r in out.collect()}
+        assert got == {1: None, 2: "a", 7: "b", 9: "c", 8: None, 12: "x"}
+    for sizes in ([], [3], [6, 3]):
+        out = running_before(df, ["key"], "request_id", ["request_id"], [id_chunk("request_id", n) for n in sizes], "before")
+        assert {r.request_id: r.before for r in out.collect()} == {1: 0, 2: 1, 7: 3, 9: 10, 8: 0, 12: 8}
     assert out.filter(F.col("prev").isNull()).count() == 2
 
 
@@ -262,6 +268,6 @@ def test_loaders_equal_sequential_loops(spark):
 def test_previous_value_keeps_null_keys(spark):
     from flightmart.functions.ordering import id_chunk, previous_value
     df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "k", "c")], "request_id long, key string, v string")
-    got = {r.request_id: r.prev for r in previous_value(df, ["key"], "v", ["request_id"], id_chunk("request_id", 10),
+    got = {r.request_id: r.prev for r in previous_value(df, ["key"], "v", ["request_id"], [id_chunk("request_id", 10)],
                                                         "prev").collect()}
     assert got == {1: None, 2: "a", 3: None}

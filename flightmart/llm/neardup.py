@@ -11,13 +11,12 @@
    unless the estimate lies ``SLACK`` standard deviations below the threshold.
 3. Pairs that stay are confirmed on the full sets, made anew from the texts.
 4. Classes linked so far get one component.  A bucket whose classes are all in
-   one component is done.  In the others, tasks compare the signatures of
-   blocks of at most ``BLOCK`` classes and emit, not all pairs that may be
-   linked, but the likeliest ones that would join the components to each other
-   (several spanning forests).  Steps 3 and 4 are repeated, with pairs that
-   were confirmed or refuted left out, until no task emits a pair.  Pairs
-   within a component need no look, as they cannot change it; so a group of
-   thousands of near copies takes about as many confirmations as it has members.
+   one component is done.  The others go to tasks in blocks of at most
+   ``BLOCK`` classes, with their texts: there, pairs of different components
+   that the signatures leave are confirmed on the full sets, and the links that
+   join components are emitted.  Pairs within a component need no look, as they
+   cannot change it; so from a group of thousands of near copies come about as
+   many links as it has members, never all its pairs.
 
 Rows of a bucket are never gathered whole in a task: pivots are maxima, found
 with partial aggregation, joins are equi-joins that can split a hot key, and a
@@ -170,64 +169,48 @@ def _estimates(threshold: float):
     return run
 
 
-def forests(nodes: np.ndarray, labels: np.ndarray, words: np.ndarray, side: np.ndarray, tried: list, least: float, rounds: int) -> list[tuple[int, int]]:
-    """Pairs of nodes in different components (labels) that may be linked, as ``rounds`` spanning forests of the components.
+def block_links(nodes: np.ndarray, labels: np.ndarray, words: np.ndarray, side: np.ndarray, sets: list[np.ndarray],
+                numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Linked pairs of nodes that join all of a block's components (labels) that its links join.
 
-    Each forest takes the likeliest pairs that are left (Kruskal's order).
+    Each node in turn is compared, on the full sets, with the later ones that
+    the signatures leave and that are in another component at that time.
     ``side``: if there are two sides, only pairs across are looked at.
     """
-    at = {int(n): i for i, n in enumerate(nodes)}
-    first, second, weight = [], [], []
-    for i in range(len(nodes) - 1):
-        equal = _equal(words[i], words[i + 1:])
-        fits = (equal >= least) & (labels[i + 1:] != labels[i])
-        if side.any() and not side.all():
-            fits &= side[i + 1:] != side[i]
-        for other in tried[i] if tried[i] is not None else ():
-            j = at.get(int(other))
-            if j is not None and j > i:
-                fits[j - i - 1] = False
-        j = np.flatnonzero(fits)
-        first.append(np.full(len(j), i)), second.append(j + i + 1), weight.append(equal[j])
-    if not first or not sum(map(len, first)):
-        return []
-    first, second, weight = map(np.concatenate, (first, second, weight))
-    order = np.lexsort((second, first, -weight))
+    least, n = _least(numerator / denominator), len(nodes)
+    sizes = np.array([len(x) for x in sets])
+    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    holds = np.zeros(len(universe), bool)
+    _, root = np.unique(labels, return_inverse=True)
+    two_sided = side.any() and not side.all()
     found: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        root = {int(x): int(x) for x in np.unique(labels)}
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        left, joins = [], len(root) - 1
-        for k, e in enumerate(order):
-            a, b = top(int(labels[first[e]])), top(int(labels[second[e]]))
-            if a == b:
-                left.append(e)
-                continue
-            root[a] = b
-            found.append((int(nodes[first[e]]), int(nodes[second[e]])))
-            joins -= 1
-            if not joins:
-                left.extend(order[k + 1:])
-                break
-        order = left
-        if not len(order):
-            break
+    for i in range(n - 1):
+        fits = (root[i + 1:] != root[i]) & (_equal(words[i], words[i + 1:]) >= least)
+        if two_sided:
+            fits &= side[i + 1:] != side[i]
+        if not fits.any():
+            continue
+        mine = flat[begin[i]:begin[i] + sizes[i]]
+        holds[mine] = True
+        for j in (np.flatnonzero(fits) + i + 1).tolist():
+            if root[j] != root[i]:
+                both = int(holds[flat[begin[j]:begin[j] + sizes[j]]].sum())
+                if denominator * both >= numerator * (sizes[i] + sizes[j] - both):
+                    found.append((int(nodes[i]), int(nodes[j])))
+                    root[root == root[j]] = root[i]
+        holds[mine] = False
     return found
 
 
-def _joining_pairs(threshold: float, rounds: int):
-    """For applyInPandas over a bucket's blocks: pairs (a, b) that would join components."""
-    least = _least(threshold)
+def _links_of_blocks(k: int, numerator: int, denominator: int):
+    """For applyInPandas over the blocks of buckets: links (a, b)."""
 
     def run(block):
         block = block.sort_values("node")
-        pairs = forests(block["node"].to_numpy(), block["label"].to_numpy(), _words(block["signature"].tolist()), block["side"].to_numpy(), block["tried"].tolist(), least, rounds)
-        return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
+        sets = [shingles(text, k) for text in block["text"]]
+        links = block_links(block["node"].to_numpy(), block["label"].to_numpy(), _words(block["signature"].tolist()), block["side"].to_numpy(), sets, numerator, denominator)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -308,21 +291,16 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     pairs = members.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("signature").alias("sig_a"), "sig_b")
     likely = written(pairs.dropDuplicates(["a", "b"]).mapInArrow(_estimates(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
     labels = nodes.select("node", F.col("node").alias("label"))
-    buckets = buckets.join(pivots.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").select("band", "node")  # compared with all
-    tried, forest_count = likely.where(F.lit(False)), 4
-    while True:
-        sets = (likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-                .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
-        links = written(sets.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, numerator, denominator), "a long, b long"), "confirmed")
-        labels = _spread(labels, links)
-        split = (buckets.join(labels, "node").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band"))
-        buckets = written(buckets.join(split, "band"), "buckets")
-        seen = tried.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))  # forests are small beside the buckets
-        blocks = (_blocks(buckets).join(labels, "node").join(nodes.select("node", "signature"), "node").join(seen, "node", "left"))
-        likely = written(blocks.groupBy("band", "block").applyInPandas(_joining_pairs(threshold, forest_count), "a long, b long").distinct(), "likely")
-        if likely.isEmpty():
-            break
-        tried, forest_count = tried.unionByName(likely), forest_count * 4
+    sets = (likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
+    labels = _spread(labels, written(sets.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, numerator, denominator), "a long, b long"), "confirmed"))
+    # buckets whose classes, without the pivot that has been compared with all, are in several components
+    others = buckets.join(pivots.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti").select("band", "node").join(labels, "node")
+    split = others.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    blocks = (_blocks(written(others.join(split, "band").select("band", "node"), "split")).join(labels, "node")
+              .join(nodes.select("node", "signature"), "node").join(texts, "node"))
+    links = written(blocks.groupBy("band", "block").applyInPandas(_links_of_blocks(k, numerator, denominator), "a long, b long"), "links")
+    labels = _spread(labels, links)
     named = labels.join(classes.select("node", "class_id"), "node").groupBy("label").agg(F.min("class_id").alias("least"))
     found = labels.join(named, "label").select("node", "least", "label")
     by_class = classes.select("node", "set_key", "class_id").join(found, "node", "left").select(

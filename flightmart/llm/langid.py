@@ -111,8 +111,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
         model.temperature = float(min(losses, key=losses.get))
         score = _softmax(logits / model.temperature).max(axis=1)
-        # one in a thousand known texts may be rejected, and none that is likelier right than wrong
-        model.reject_below = float(min(0.5, np.quantile(score, 0.001)))
+        # one in a thousand known texts may be rejected, and none whose language is half again as likely as by chance
+        model.reject_below = float(min(1.5 / len(langs), np.quantile(score, 0.001)))
     return model
 
 

@@ -264,6 +264,18 @@ def _spread(labels: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels of whole components, links (a, b) between their nodes: every node gets the least label of all that its component is joined to.
+
+    A link joins the components of its ends, not the ends alone: labels are
+    spread over labels, and then each node takes what its own has become.
+    """
+    ends = links.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    tops = labels.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node"))
+    tops = _spread(tops, ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return labels.select("node", F.col("label").alias("was")).join(tops.select(F.col("node").alias("was"), "label"), "was").select("node", "label")
+
+
 def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_key, component, class_id, component_id) of every row.
 
@@ -300,7 +312,7 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     blocks = (_blocks(written(others.join(split, "band").select("band", "node"), "split")).join(labels, "node")
               .join(nodes.select("node", "signature"), "node").join(texts, "node"))
     links = written(blocks.groupBy("band", "block").applyInPandas(_links_of_blocks(k, numerator, denominator), "a long, b long"), "links")
-    labels = _spread(labels, links)
+    labels = _merge(labels, links)
     named = labels.join(classes.select("node", "class_id"), "node").groupBy("label").agg(F.min("class_id").alias("least"))
     found = labels.join(named, "label").select("node", "least", "label")
     by_class = classes.select("node", "set_key", "class_id").join(found, "node", "left").select(

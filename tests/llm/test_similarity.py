@@ -123,6 +123,35 @@ def test_near_duplicate_family(spark, monkeypatch, block):
     assert got == want
 
 
+def roots(nodes, links):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in nodes}
+
+
+def test_block_links_join_whole_components(spark):
+    """Two stars joined through satellites, and chains of stars joined end to end in no order."""
+    rnd = random.Random(11)
+    first, second = [(0, 1), (2, 3), (2, 4)], [(1, 3)]
+    ids = rnd.sample(range(5, 1000), 160)
+    for hub in range(0, 160, 4):
+        first += [(ids[hub], ids[hub + i]) for i in (1, 2, 3)]
+        if hub:
+            second.append((ids[hub - 1], ids[hub + 1]))
+    nodes = sorted({x for pair in first for x in pair})
+    labels = spark.createDataFrame(list(roots(nodes, first).items()), "node long, label long")
+    got = {r["node"]: r["label"] for r in neardup._merge(labels, spark.createDataFrame(second, "a long, b long")).collect()}
+    assert got == roots(nodes, first + second)
+
+
 def test_near_duplicate_edges(edge, none):
     rows = neardup.components(edge, 5, 80, 100).collect()
     assert len(rows) == edge.count()

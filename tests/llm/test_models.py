@@ -40,6 +40,23 @@ def test_language_edges(edge, none):
     assert langid.predict(none, model).collect() == []
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    """Unlearned scripts and languages and random letters go; held-out texts stay, with numbers and signs between too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.col("doc_id") % 2 == 0)
+    rnd = np.random.default_rng(3)
+    unknown = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι.",
+               "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."]
+    unknown += ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (60, 100, 300, 1000) for _ in range(25)]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(unknown)), "doc_id long, text string"), model).collect()
+    assert len(rows) == len(unknown) and not any(r["accepted"] for r in rows)
+    held = docs.where("doc_id % 2 = 1")
+    kept = langid.predict(held, model)
+    assert kept.where("accepted").count() >= 0.99 * held.count()
+    signs = held.withColumn("text", F.concat(F.lit("41.244.73.125 4439606983854503 &&& "), "text", F.lit(" +1 (807) 555-5623 %%%")))
+    assert langid.predict(signs, model).where("accepted").count() == kept.where("accepted").count()
+
+
 def test_features_do_not_depend_on_pieces(monkeypatch):
     text = "The quick brown fox, über alles. " * 40
     whole = langid.features(text)

@@ -123,6 +123,25 @@ def test_exchange_finds_classes():
     assert likelihood(of) > likelihood(start)
 
 
+def test_exchange_goes_on_until_no_move_helps():
+    rnd = np.random.default_rng(4)
+    core, classes = 300, 12
+    table = np.floor(rnd.pareto(1.0, (core + 2, core + 2))).clip(0, 500)
+
+    def likelihood(of):
+        t = np.zeros((classes + 2, classes + 2))
+        np.add.at(t, (of[:, None], of[None, :]), table)
+        return brown._xlogx(t).sum() - brown._xlogx(np.bincount(of, weights=table.sum(0) + table.sum(1), minlength=classes + 2)).sum()
+
+    of = brown.exchange(table, core, classes)
+    best = likelihood(of)
+    for w in range(core):
+        for c in range(classes):
+            moved = of.copy()
+            moved[w] = c
+            assert likelihood(moved) <= best + 1e-6
+
+
 def host_path(url):
     if not url or "://" not in url:
         return "", ""

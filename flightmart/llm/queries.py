@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, pii, secret_scan, url_filter
+from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, pii, ranked, secret_scan, url_filter, variants
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -81,6 +81,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_secret_spans": op2_secret_spans,
@@ -92,9 +100,12 @@ QUERIES = {
     "op8_url_verdicts": op8_url_verdicts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -112,4 +123,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_ranked_search": f"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+        size AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS l FROM doc WHERE len(w) > 0),
+        m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w)::BIGINT * nd) // l AS m FROM doc, size WHERE len(w) > 0),
+        item AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM benchmark),
+        asked AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS t FROM item) AS i GROUP BY ALL),
+        tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) AS d WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+        wt AS (SELECT t, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY t),
+        part AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s FROM tf JOIN wt USING (t) JOIN m USING (r)),
+        scored AS (SELECT q, item_id, doc_id, r, sum(c * s)::BIGINT AS score FROM asked JOIN part USING (t) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }

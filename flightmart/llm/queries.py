@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, pii, ranked, secret_scan, url_filter, variants
+from flightmart.llm import brown, decontam, fingerprint, idfiles, langid, neardup, packing, pii, ranked, repeats, secret_scan, url_filter, variants
 from flightmart.llm.common import read_table, scratch
 from flightmart.llm.spans import base_spans, count_kind, span_text
 
@@ -89,6 +89,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_secret_spans": op2_secret_spans,
@@ -102,6 +107,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_search": op12_ranked_search,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,4 +141,17 @@ ORACLES: dict[str, str] = {
         scored AS (SELECT q, item_id, doc_id, r, sum(c * s)::BIGINT AS score FROM asked JOIN part USING (t) GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_repeated_passages": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(n - 49)) AS t(i) WHERE n >= 50),
+        first AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w JOIN first USING (s) WHERE doc_id > least),
+        numbered AS (SELECT r, i, sum(CASE WHEN i <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit),
+        run AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, g),
+        piece AS (SELECT r, a, substr(h, 2 * lo + 1, 2 * (a - lo)) AS s
+                  FROM (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo FROM (SELECT r, a, b FROM run UNION ALL SELECT r, n, n FROM d) AS e) AS x JOIN d USING (r)),
+        kept AS (SELECT r, string_agg(s, '' ORDER BY a, length(s) DESC) AS k FROM piece GROUP BY r),
+        removed AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM d JOIN kept USING (r) LEFT JOIN removed USING (r)""",
 }

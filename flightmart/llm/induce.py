@@ -158,10 +158,11 @@ class _Part(NamedTuple):
 class BucketQueue:
     """Rows (key, columns) that leave by ascending key, those of one key in the order they came."""
 
-    def __init__(self, store: Store, low: int, high: int, dtypes: tuple):
-        """Keys lie in [low, high)."""
-        self.store, self.low, self.dtypes = store, low, (np.int64, *dtypes)
+    def __init__(self, store: Store, low: int, high: int, dtypes: tuple, stable: bool = True):
+        """Keys lie in [low, high).  Not ``stable``: rows of one key may leave in any order."""
+        self.store, self.low, self.dtypes, self.stable = store, low, (np.int64, *dtypes), stable
         self.shift = max(0, int(high - low - 1).bit_length() - 9)
+        self.fresh: list[tuple[np.ndarray, ...]] | None = []  # not yet dealt to buckets
         self.parts: list[list[_Part]] = [[] for _ in range(_BUCKETS)]
         self.sizes = [0] * _BUCKETS
         self.held = 0
@@ -171,6 +172,22 @@ class BucketQueue:
     def push(self, key: np.ndarray, *columns: np.ndarray) -> None:
         if not len(key):
             return
+        if self.fresh is None:
+            self._deal(key, *columns)
+        else:
+            self.fresh.append((key, *columns))
+            self.held += len(key)
+        if self.held > self.store.rows:
+            self._deal_fresh()
+            self._spill()
+
+    def _deal_fresh(self) -> None:
+        fresh, self.fresh = self.fresh, None
+        for rows in fresh or ():
+            self.held -= len(rows[0])
+            self._deal(*rows)
+
+    def _deal(self, key: np.ndarray, *columns: np.ndarray) -> None:
         rows = (key, *columns)
         above = key.astype(np.int64).view(np.uint64) - np.uint64(self.low % (1 << 64))  # unsigned, as keys may span all 64 bits
         bucket = (above >> np.uint64(self.shift)).astype(np.uint16)
@@ -187,8 +204,6 @@ class BucketQueue:
             self.parts[b].append(_Part(part, None, 0, hi - lo))
             self.sizes[b] += hi - lo
             self.held += hi - lo
-        if self.held > self.store.rows:
-            self._spill()
 
     def _spill(self) -> None:
         """What lies in memory goes to a file for each column, bucket after bucket."""
@@ -230,7 +245,7 @@ class BucketQueue:
         rows = tuple(np.concatenate(c) for c in zip(*taken, strict=True))
         self.sizes[b] -= len(rows[0])
         if self.shift and most is None:
-            order = np.argsort(rows[0], kind="stable")
+            order = np.argsort(rows[0], kind="stable" if self.stable else None)
             rows = tuple(c[order] for c in rows)
         return rows
 
@@ -239,10 +254,11 @@ class BucketQueue:
 
         Each bucket is to be taken until it is empty.
         """
+        self._deal_fresh()
         for b in range(_BUCKETS):
             if self.shift and self.sizes[b] > self.store.rows:
                 low = self.low + (b << self.shift)
-                inner = BucketQueue(self.store, low, low + (1 << self.shift), self.dtypes[1:])
+                inner = BucketQueue(self.store, low, low + (1 << self.shift), self.dtypes[1:], self.stable)
                 while (rows := self.take(b, self.store.rows)) is not None:
                     inner.push(*rows)
                 self.inner, self.inner_at = inner, b
@@ -253,6 +269,11 @@ class BucketQueue:
 
     def drain(self) -> Iterator[tuple[np.ndarray, ...]]:
         """All rows in order, for a queue that is not pushed to any more."""
+        if self.fresh:  # all lie in memory
+            rows = tuple(np.concatenate(c) for c in zip(*self.fresh, strict=True))
+            order = np.argsort(rows[0], kind="stable" if self.stable else None)
+            yield tuple(c[order] for c in rows)
+            return
         for queue, b in self.turns():
             while (rows := queue.take(b)) is not None:
                 yield rows
@@ -318,7 +339,7 @@ def _names(text: Spool, pieces: _Pieces, wide: bool, store: Store) -> tuple[Spoo
     m = pieces.length
     per, bits = (2, 32) if wide else (8, 8)
     mark = (1 << bits) - 1
-    done = BucketQueue(store, 0, m, (np.int64,))  # (rank, piece)
+    done = BucketQueue(store, 0, m, (np.int64,), stable=False)  # (rank, piece)
     ties = Spool(store, np.int64)  # (rank, piece) of what is open, in order of rank
     ties_rank = Spool(store, np.int64)
     for lo in range(0, m, store.rows):
@@ -326,7 +347,7 @@ def _names(text: Spool, pieces: _Pieces, wide: bool, store: Store) -> tuple[Spoo
         ties_rank.append(np.zeros(min(m, lo + store.rows) - lo, np.int64))
     offset = 0
     while len(ties):
-        by_word = BucketQueue(store, -(1 << 63), 1 << 63, (np.int64, np.int64, np.bool_))
+        by_word = BucketQueue(store, -(1 << 63), 1 << 63, (np.int64, np.int64, np.bool_), stable=False)
         for piece, rank in zip(ties.close().blocks(), ties_rank.close().blocks(), strict=True):
             start, stop = pieces.at(piece), pieces.at(piece + 1)
             last = piece == m - 1
@@ -381,7 +402,7 @@ def _names(text: Spool, pieces: _Pieces, wide: bool, store: Store) -> tuple[Spoo
             settle(*waiting, ties, ties_rank, seen_count if waiting[0][0] == seen_rank else 0)
         offset += per
     ties.drop(), ties_rank.drop()
-    in_order = BucketQueue(store, 0, m, (np.int64,))
+    in_order = BucketQueue(store, 0, m, (np.int64,), stable=False)
     name, last_rank = 0, -1
     for rank, piece in done.drain():
         new = np.append(rank[0] != last_rank, rank[1:] != rank[:-1])
@@ -402,12 +423,13 @@ def _doubling(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         r = ranks[-1]
         key = r * np.int64(m + 1)
         key[:-size] += r[size:] if size < m else 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        key = key[order]
         new = np.empty(m, np.int64)
-        new[order] = np.cumsum(np.append(True, key[order][1:] != key[order][:-1]))
+        new[order] = np.cumsum(np.append(True, key[1:] != key[:-1]))
         ranks.append(new)
         size *= 2
-    order = np.argsort(ranks[-1], kind="stable")
+    order = np.argsort(ranks[-1])
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(max(0, m - 1), np.int64)
     for k in range(len(ranks) - 1, -1, -1):
@@ -449,8 +471,8 @@ class _Pass:
         # for each value the last row of the block with that much or less
         suffix = np.minimum.accumulate(lcp[::-1])[::-1]
         last_row = self.last_row.copy()
-        for value in range(int(suffix[0]), self.cap + 1):
-            last_row[value] = self.rows + np.searchsorted(suffix, value, side="right") - 1
+        values = np.arange(int(suffix[0]), self.cap + 1)
+        last_row[values] = self.rows + np.searchsorted(suffix, values.astype(np.uint8), side="right") - 1
         if not len(source):
             self.last_row, self.rows = last_row, self.rows + len(lcp)
             return np.zeros(0, np.int64)

@@ -42,9 +42,11 @@ from flightmart.llm.common import scratch
 
 LENGTH = 50
 ANCHOR = 16
-SHARD_BYTES = 8_000_000  # bytes of text for each shard
+SHARD_BYTES = 16_000_000  # bytes of text for each shard
 ROWS = 8_000_000  # rows of an array or queue that a task keeps in memory
-PIECE = 4_000_000  # bytes whose windows are looked at together
+PART = 12_000_000  # bytes of segments that are sorted together, of one anchor at least
+PIECE = 2_000_000  # bytes whose windows are looked at together
+PACK = 16_000_000  # bytes of text whose segments are packed together, a payload for each shard
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64(27)  # bits for the place of an anchor; a piece is shorter
 _FACTOR = 0x9E3779B97F4A7C15
@@ -84,6 +86,10 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return (best & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
 
 
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=5)
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All numbers of [start, start + size), range after range."""
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
@@ -102,10 +108,10 @@ class _Segments:
         arrays = [getattr(self, name) for name, _ in self.FIELDS]
         head = np.array([len(a) for a in arrays], np.int64)
         raw = b"".join(a.tobytes() for a in [head, *arrays])
-        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        return len(raw).to_bytes(8, "little") + _zstd().compress(raw, asbytes=True)
 
     @classmethod
-    def unpacked(cls, payload: bytes) -> _Segments:
+    def unpacked(cls, payload: pa.Buffer) -> _Segments:
         raw = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
         sizes = np.frombuffer(raw, np.int64, len(cls.FIELDS))
         at, arrays = 8 * len(cls.FIELDS), {}
@@ -133,36 +139,50 @@ def _segments(shards: int, length: int):
         if waiting:
             yield waiting
 
+    def cut(piece: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        """(text, place in the piece, place in the text, windows, place of the anchor, shard) of the segments."""
+        data = np.frombuffer(b"".join(p[3] for p in piece), np.uint8)
+        sizes = np.array([len(p[3]) for p in piece])
+        begin = np.cumsum(sizes) - sizes
+        hashes = gram_hashes(data, ANCHOR)
+        inside = _ranges(begin, sizes - length + 1)  # windows that do not cross the end of a text
+        place = anchors(hashes, window)[inside]
+        first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1))))
+        start, place = inside[first], place[first]
+        doc = np.searchsorted(begin, start, side="right") - 1
+        base = np.array([p[2] for p in piece], np.int64)
+        return doc, start, start - begin[doc] + base[doc], np.diff(np.append(first, len(inside))), place - start, (hashes[place] >> np.uint64(11)) % np.uint64(shards)
+
+    def packs(pieces: list[list[tuple[int, int, int, bytes]]], found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes, int]]:
+        docs = np.cumsum([0, *map(len, pieces)])
+        bytes_ = np.cumsum([0, *(sum(len(p[3]) for p in piece) for piece in pieces)])
+        doc, at, start, windows, anchor, shard = (np.concatenate(c) for c in zip(
+            *((f[0] + d, f[1] + b, *f[2:]) for f, d, b in zip(found, docs.tolist(), bytes_.tolist(), strict=False)), strict=True))
+        data = np.frombuffer(b"".join(p[3] for piece in pieces for p in piece), np.uint8)
+        orders, keys = (np.array([p[k] for piece in pieces for p in piece], np.int64) for k in range(2))
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1]))
+        for mine in np.split(order, cuts[1:]):
+            held, local = np.unique(doc[mine], return_inverse=True)
+            payload = _Segments(doc=local, start=start[mine], windows=windows[mine], anchor=anchor[mine],
+                                text=data[_ranges(at[mine], windows[mine] + length - 1)], order=orders[held], key=keys[held])
+            yield int(shard[mine[0]]), payload.packed(), len(payload.text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, found, size = [], [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for row in packs(waiting, found):
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["shard", "payload", "raw"])
+
         for piece in pieces(batches):
-            data = np.frombuffer(b"".join(p[3] for p in piece), np.uint8)
-            sizes = np.array([len(p[3]) for p in piece])
-            begin = np.cumsum(sizes) - sizes
-            hashes = gram_hashes(data, ANCHOR)
-            place = anchors(hashes, window)
-            inside = _ranges(begin, sizes - length + 1)  # windows that do not cross the end of a text
-            place = place[inside]
-            first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1))))
-            windows = np.diff(np.append(first, len(inside)))
-            start, place = inside[first], place[first]
-            shard = (hashes[place] >> np.uint64(11)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            start, place, windows, shard = start[order], place[order], windows[order], shard[order]
-            doc = np.searchsorted(begin, start, side="right") - 1
-            text = data[_ranges(start, windows + length - 1)]
-            ends = np.cumsum(windows + length - 1)
-            orders, keys, bases = (np.array([p[k] for p in piece], np.int64) for k in range(3))
-            cuts = np.concatenate((np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), [len(shard)]))
-            rows = []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                docs, local = np.unique(doc[lo:hi], return_inverse=True)
-                payload = _Segments(doc=local, start=start[lo:hi] - begin[doc[lo:hi]] + bases[doc[lo:hi]], windows=windows[lo:hi], anchor=place[lo:hi] - start[lo:hi],
-                                    text=text[(ends[lo - 1] if lo else 0):ends[hi - 1]], order=orders[docs], key=keys[docs])
-                rows.append((int(shard[lo]), payload.packed(), int(len(payload.text))))
-                if len(rows) == 64 or hi == len(shard):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)],
-                                                     names=["shard", "payload", "raw"])
-                    rows = []
+            waiting.append(piece), found.append(cut(piece))
+            size += sum(len(p[3]) for p in piece)
+            if size >= PACK:
+                yield from emit()
+                waiting, found, size = [], [], 0
+        if waiting:
+            yield from emit()
 
     return run
 
@@ -170,23 +190,23 @@ def _segments(shards: int, length: int):
 _RUNS = "ord long, key long, lo long, hi long"
 
 
-def _runs_of_shards(folder: str, length: int, memory: int):
+def _runs_of_shards(folder: str, length: int, memory: int, part_bytes: int):
     """Runs [lo, hi) of bytes that an earlier document holds; rows of a shard come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, payloads, raw = None, [], 0
         for batch in batches:
-            for shard, payload, size in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            for shard, payload, size in zip(batch.column("shard").to_pylist(), batch.column("payload"), batch.column("raw").to_pylist(), strict=True):
                 if shard != now and payloads:
                     yield from runs(payloads, raw)
                     payloads, raw = [], 0
                 now, raw = shard, raw + size
-                payloads.append(payload)
+                payloads.append(payload.as_buffer())
         if payloads:
             yield from runs(payloads, raw)
 
-    def runs(payloads: list[bytes], raw: int) -> Iterator[pa.RecordBatch]:
-        parts = -(-raw // (16 * memory))  # a shard is dealt by anchors, so that what is in memory stays small
+    def runs(payloads: list[pa.Buffer], raw: int) -> Iterator[pa.RecordBatch]:
+        parts = -(-raw // part_bytes)  # a shard is dealt by anchors, so that what is in memory stays small
         for part in range(parts):
             for found in _runs(payloads, part, parts, folder, length, memory):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["ord", "key", "lo", "hi"])
@@ -194,9 +214,9 @@ def _runs_of_shards(folder: str, length: int, memory: int):
     return run
 
 
-def _runs(payloads: list[bytes], part: int, parts: int, folder: str, length: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(payloads: list[pa.Buffer], part: int, parts: int, folder: str, length: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The runs of those segments of a shard whose anchor belongs to ``part``."""
-    def chosen(payload: bytes) -> tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]:
+    def chosen(payload: pa.Buffer) -> tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]:
         """A payload's segments, those of the part, their anchors' hashes, and where all texts begin."""
         s = _Segments.unpacked(payload)
         sizes = s.windows.astype(np.int64) + length - 1
@@ -226,9 +246,9 @@ def _runs(payloads: list[bytes], part: int, parts: int, folder: str, length: int
         yield from _shared_runs(payloads, chosen, keep, length, store)
 
 
-def _shared_runs(payloads: list[bytes], chosen, keep: np.ndarray, length: int, store: induce.Store) -> Iterator[tuple[np.ndarray, ...]]:
+def _shared_runs(payloads: list[pa.Buffer], chosen, keep: np.ndarray, length: int, store: induce.Store) -> Iterator[tuple[np.ndarray, ...]]:
     known: dict[bytes, int] = {}  # segments of equal text are sorted once
-    text, starts, total = induce.Spool(store, np.uint8), [], 0
+    text, owner, starts, total = induce.Spool(store, np.uint8), induce.Spool(store, np.int32), [], 0
     held: list[list[np.ndarray]] = [[], [], [], []]  # of each segment: its text's number, the document's order and key, its start
     at = 0
     for payload in payloads:
@@ -247,6 +267,7 @@ def _shared_runs(payloads: list[bytes], chosen, keep: np.ndarray, length: int, s
         if new:
             block = np.frombuffer(b"\xff".join(new) + b"\xff", np.uint8)
             text.append(np.where(block == 0xFF, _SEPARATOR, block + np.uint8(_FIRST)))
+            owner.append(np.repeat(np.arange(len(starts) - len(new), len(starts)), [len(x) + 1 for x in new]))
         for column, values in zip(held, (ids, s.order[s.doc[mine]], s.key[s.doc[mine]], s.start[mine]), strict=True):
             column.append(values)
     known.clear()
@@ -256,11 +277,13 @@ def _shared_runs(payloads: list[bytes], chosen, keep: np.ndarray, length: int, s
     first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
     least, most = np.minimum.reduceat(order, first), np.maximum.reduceat(order, first)
     begin = np.array(starts)
+    ends = np.append(begin[1:], total) - 1
+    owner.close()
     positions, common = induce.sort(text.close(), 254, length, store)
     # the least document of each passage: of neighbours that agree in all of its bytes
     leasts, group, last = induce.Spool(store, np.int64), -1, _LAST
     for pos, lcp in zip(positions.blocks(), common.blocks(), strict=True):
-        value = least[np.searchsorted(begin, pos, side="right") - 1]
+        value = least[owner.gather(pos)]
         cuts = np.flatnonzero(lcp < length)
         if not len(cuts) or cuts[0] > 0:  # the last block's group goes on
             last = min(last, int(value[:cuts[0] if len(cuts) else None].min()))
@@ -272,21 +295,21 @@ def _shared_runs(payloads: list[bytes], chosen, keep: np.ndarray, length: int, s
             group, last = group + len(cuts), int(mins[-1])
     leasts.append(np.array([last]))
     leasts.close()
-    back = induce.BucketQueue(store, 0, total, (np.int64,))
+    back = induce.BucketQueue(store, 0, total, (np.int64,), stable=False)
     group = -1
     for pos, lcp in zip(positions.blocks(), common.blocks(), strict=True):
         ids = group + np.cumsum(lcp < length)
         value = leasts.read(max(0, int(ids[0])), int(ids[-1]) + 1)[ids - max(0, int(ids[0]))]
         group = int(ids[-1])
-        segment = np.searchsorted(begin, pos, side="right") - 1
-        end = np.append(begin[1:], total)[segment] - 1
+        segment = owner.gather(pos)
+        end = ends[segment]
         wanted = (pos + length <= end) & (value < most[segment])
         back.push(pos[wanted], value[wanted])
-    for s in (positions, common, leasts, text):
+    for s in (positions, common, leasts):
         s.drop()
     copies = np.diff(np.append(first, len(number)))
     for pos, value in back.drain():
-        segment = np.searchsorted(begin, pos, side="right") - 1
+        segment = owner.gather(pos)
         head = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
         size = np.diff(np.append(head, len(segment)))
         here = segment[head]
@@ -295,19 +318,19 @@ def _shared_runs(payloads: list[bytes], chosen, keep: np.ndarray, length: int, s
         lo = 0
         for hi in [*np.unique(np.minimum(cuts, len(here))).tolist()]:
             # each segment's windows, once for each document that holds the segment
-            owner = _ranges(first[here[lo:hi]], copies[here[lo:hi]])
+            holder = _ranges(first[here[lo:hi]], copies[here[lo:hi]])
             turn = np.repeat(np.arange(lo, hi), copies[here[lo:hi]])
             row = _ranges(head[turn], size[turn])
-            owner = np.repeat(owner, size[turn])
-            flagged = np.flatnonzero(value[row] < order[owner])
+            holder = np.repeat(holder, size[turn])
+            flagged = np.flatnonzero(value[row] < order[holder])
             lo = hi
             if not len(flagged):
                 continue
-            row, owner = row[flagged], owner[flagged]
-            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pos[row][1:] != pos[row][:-1] + 1)))
+            row, holder = row[flagged], holder[flagged]
+            new = np.flatnonzero(np.append(True, (holder[1:] != holder[:-1]) | (pos[row][1:] != pos[row][:-1] + 1)))
             stop = np.append(new[1:], len(row)) - 1
-            from_ = start[owner[new]] + pos[row[new]] - begin[segment[row[new]]]
-            yield order[owner[new]], key[owner[new]], from_, from_ + (stop - new) + length
+            from_ = start[holder[new]] + pos[row[new]] - begin[segment[row[new]]]
+            yield order[holder[new]], key[holder[new]], from_, from_ + (stop - new) + length
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,23 +355,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.as_buffer() for t in batch.column("text")]
-        packed = [t.size.to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+        packed = [t.size.to_bytes(8, "little") + _zstd().compress(t, asbytes=True) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), batch.column("key"), pa.array([t.size for t in texts], pa.int64()), pa.array(packed, pa.binary())],
                                          names=["doc_id", "ord", "key", "n_bytes", "text"])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, memory: int = ROWS) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, memory: int = ROWS, part_bytes: int = PART) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of all rows: the removed runs [start, end) of bytes, and the bytes that stay.
 
     ``length`` is from 17 to 200 bytes.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("ord"), F.xxhash64(text, doc_id.isNull()).alias("key"), text.cast("binary").alias("text"))
+    # (ord, key) tells rows apart; of rows with an id few share it, and half the bits do
+    key = F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.crc32(text.cast("binary")))
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("ord"), key.alias("key"), text.cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     segments = rows.where(F.octet_length("text") >= length).select("ord", "key", "text").mapInArrow(_segments(shards, length), "shard long, payload binary, raw long")
     dealt = segments.repartition(shards, "shard").sortWithinPartitions("shard")
-    runs = dealt.mapInArrow(_runs_of_shards(scratch(docs.sparkSession, "repeats"), length, memory), _RUNS)
+    runs = dealt.mapInArrow(_runs_of_shards(scratch(docs.sparkSession, "repeats"), length, memory, part_bytes), _RUNS)
     by_doc = runs.groupBy("ord", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     packed = rows.mapInArrow(_compressed, "doc_id long, ord long, key long, n_bytes long, text binary")
     return packed.join(by_doc, ["ord", "key"], "left").select("doc_id", "n_bytes", "text", "runs").mapInArrow(

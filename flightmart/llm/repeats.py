@@ -34,17 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightmart.llm import induce
-from flightmart.llm.common import scratch
+from flightmart.llm.common import python_batches, scratch
 
 LENGTH = 50
 ANCHOR = 16
 SHARD_BYTES = 16_000_000  # bytes of text for each shard
 ROWS = 8_000_000  # rows of an array or queue that a task keeps in memory
 PART = 12_000_000  # bytes of segments that are sorted together, of one anchor at least
+HELD = 100_000_000  # bytes of segments of a shard that stay unpacked
 PIECE = 2_000_000  # bytes whose windows are looked at together
 PACK = 16_000_000  # bytes of text whose segments are packed together, a payload for each shard
 _LAST = np.iinfo(np.int64).max
@@ -207,29 +209,40 @@ def _runs_of_shards(folder: str, length: int, memory: int, part_bytes: int):
 
     def runs(payloads: list[pa.Buffer], raw: int) -> Iterator[pa.RecordBatch]:
         parts = -(-raw // part_bytes)  # a shard is dealt by anchors, so that what is in memory stays small
+        shard = _Shard(payloads, raw <= HELD, length)
         for part in range(parts):
-            for found in _runs(payloads, part, parts, folder, length, memory):
+            for found in _runs(shard, part, parts, folder, length, memory):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["ord", "key", "lo", "hi"])
 
     return run
 
 
-def _runs(payloads: list[pa.Buffer], part: int, parts: int, folder: str, length: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The runs of those segments of a shard whose anchor belongs to ``part``."""
-    def chosen(payload: pa.Buffer) -> tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]:
-        """A payload's segments, those of the part, their anchors' hashes, and where all texts begin."""
+class _Shard:
+    """A shard's payloads; unless it is small, they are unpacked anew for each part."""
+
+    def __init__(self, payloads: list[pa.Buffer], hold: bool, length: int):
+        self.payloads, self.length = payloads, length
+        self.held = [self._opened(p) for p in payloads] if hold else None
+
+    def _opened(self, payload: pa.Buffer) -> tuple[_Segments, np.ndarray, np.ndarray]:
+        """A payload's segments, their anchors' hashes, and where their texts begin."""
         s = _Segments.unpacked(payload)
-        sizes = s.windows.astype(np.int64) + length - 1
+        sizes = s.windows.astype(np.int64) + self.length - 1
         begin = np.cumsum(sizes) - sizes
-        at = (begin + s.anchor)[:, None] + np.arange(ANCHOR)
-        words = np.ascontiguousarray(s.text[at]).view(np.uint64)
-        h = _mixed(_mixed(words[:, 0] * np.uint64(_FACTOR)) + words[:, 1])
-        mine = np.flatnonzero(h % np.uint64(parts) == part)
-        return s, mine, h[mine], begin
+        words = np.ascontiguousarray(s.text[(begin + s.anchor)[:, None] + np.arange(ANCHOR)]).view(np.uint64)
+        return s, _mixed(_mixed(words[:, 0] * np.uint64(_FACTOR)) + words[:, 1]), begin
+
+    def chosen(self, part: int, parts: int) -> Iterator[tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]]:
+        """(segments, those of the part, their anchors' hashes, where texts begin) of each payload."""
+        for s, h, begin in self.held if self.held is not None else map(self._opened, self.payloads):
+            mine = np.flatnonzero(h % np.uint64(parts) == part)
+            yield s, mine, h[mine], begin
+
 
+def _runs(shard: _Shard, part: int, parts: int, folder: str, length: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of those segments of a shard whose anchor belongs to ``part``."""
     hashes, orders = [], []
-    for payload in payloads:
-        s, mine, h, _ = chosen(payload)
+    for s, mine, h, _ in shard.chosen(part, parts):
         hashes.append(h), orders.append(s.order[s.doc[mine]])
     h, order = np.concatenate(hashes), np.concatenate(orders)
     if not len(h):
@@ -243,16 +256,15 @@ def _runs(payloads: list[pa.Buffer], part: int, parts: int, folder: str, length:
         return
     del h, order, by, hashes, orders
     with induce.Store(folder, memory) as store:
-        yield from _shared_runs(payloads, chosen, keep, length, store)
+        yield from _shared_runs(shard.chosen(part, parts), keep, length, store)
 
 
-def _shared_runs(payloads: list[pa.Buffer], chosen, keep: np.ndarray, length: int, store: induce.Store) -> Iterator[tuple[np.ndarray, ...]]:
+def _shared_runs(chosen: Iterator[tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]], keep: np.ndarray, length: int, store: induce.Store) -> Iterator[tuple[np.ndarray, ...]]:
     known: dict[bytes, int] = {}  # segments of equal text are sorted once
     text, owner, starts, total = induce.Spool(store, np.uint8), induce.Spool(store, np.int32), [], 0
     held: list[list[np.ndarray]] = [[], [], [], []]  # of each segment: its text's number, the document's order and key, its start
     at = 0
-    for payload in payloads:
-        s, mine, _, begin = chosen(payload)
+    for s, mine, _, begin in chosen:
         at, mine = at + len(mine), mine[keep[at:at + len(mine)]]
         raw = s.text.tobytes()
         ids, new = np.empty(len(mine), np.int64), []
@@ -333,23 +345,33 @@ def _shared_runs(payloads: list[pa.Buffer], chosen, keep: np.ndarray, length: in
             yield order[holder[new]], key[holder[new]], from_, from_ + (stop - new) + length
 
 
+def _joined(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs [lo, hi) of each row that touch or overlap become one."""
+    order = np.lexsort((lo, rows))
+    rows, lo, hi = rows[order], lo[order], hi[order]
+    wide = int(hi.max()) + 1 if len(hi) else 1
+    reach = np.maximum.accumulate(rows * wide + hi)  # of an earlier row: below this row's first byte
+    new = np.flatnonzero(np.append(True, rows[1:] * wide + lo[1:] > reach[:-1])) if len(rows) else rows
+    last = np.append(new[1:], len(rows))[:len(new)] - 1
+    return rows[new], lo[new], reach[last] - rows[new] * wide
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the runs of each document and cuts them from its text."""
-    for batch in batches:
-        spans, kept = [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+    for batch in python_batches(batches, 2048):
+        runs = batch.column("runs")
+        fields = runs.flatten()
+        size = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, lo, hi = _joined(np.repeat(np.arange(batch.num_rows), size), *(fields.field(k).to_numpy(zero_copy_only=False) for k in range(2)))
+        first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["start", "end"]))
+        kept = []
+        for i, text in enumerate(batch.column("text")):
+            text = text.as_buffer()
             data = pa.decompress(text[8:], decompressed_size=int.from_bytes(text[:8], "little"), codec="zstd", asbytes=True)
-            joined: list[list[int]] = []
-            for run in sorted((r["lo"], r["hi"]) for r in runs or ()):
-                if joined and run[0] <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], run[1])
-                else:
-                    joined.append(list(run))
-            spans.append([{"start": a, "end": b} for a, b in joined])
-            edges = [0, *(x for s in joined for x in s), len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                                         names=["doc_id", "n_bytes", "spans", "kept"])
+            a, b = first[i], first[i + 1]
+            kept.append(b"".join(data[x:y] for x, y in zip([0, *hi[a:b].tolist()], [*lo[a:b].tolist(), len(data)], strict=True)) if a < b else data)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -283,6 +283,42 @@ WHERE depart_name IN (SELECT name FROM fm_airport WHERE city = 'ASIA')
 SELECT {FLIGHT_COLS} FROM fm_flight
 WHERE TIMESTAMP '2000-11-29 00:00:00' <= depart_time AND depart_time <= TIMESTAMP '2000-11-30 00:00:00'""")
 
+    # the criteria of fixtures.saved_searches; matched by the plain rule "not named or equal"
+    saved = """WITH search AS (
+  SELECT e.event_id AS search_id, c.c_name AS customer_email, e.event_id % 8 AS k,
+         CASE WHEN e.event_id % 8 IN (0, 7) THEN f.flight_num END AS num,
+         CASE WHEN e.event_id % 8 IN (1, 5) THEN f.depart_name END AS dep,
+         CASE WHEN e.event_id % 8 IN (2, 5) THEN f.arrive_name END AS arr,
+         CASE WHEN e.event_id % 8 = 6 THEN f.airline_name END AS al,
+         CASE WHEN e.event_id % 8 IN (3, 7) THEN da.city END AS dep_city,
+         CASE WHEN e.event_id % 8 IN (3, 6) THEN aa.city END AS arr_city,
+         CASE WHEN e.event_id % 8 IN (1, 3, 4, 5) THEN CAST(f.depart_time AS DATE) + CAST(CASE WHEN e.event_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) END AS dep_day,
+         CASE WHEN e.event_id % 8 IN (2, 6) THEN CAST(f.arrive_time AS DATE) END AS arr_day,
+         CASE WHEN e.event_id % 8 IN (1, 3, 4, 5) THEN CAST(f.depart_time AS DATE) - CAST(e.event_id % 4 AS INTEGER) END AS from_day,
+         CASE WHEN e.event_id % 8 IN (2, 3, 4, 6) THEN CAST(f.depart_time AS DATE) + CAST(e.event_id % 4 + 1 AS INTEGER) END AS until_day
+  FROM fm_event e JOIN fm_flight f ON f.flight_num = CAST(e.flight_key AS VARCHAR)
+  JOIN fm_airport da ON da.name = f.depart_name JOIN fm_airport aa ON aa.name = f.arrive_name
+  LEFT JOIN customer c ON c.c_custkey = e.user_id
+  WHERE e.event_type = 'error')"""
+    plain = """(num IS NULL OR num = f.flight_num) AND (dep IS NULL OR dep = f.depart_name) AND (arr IS NULL OR arr = f.arrive_name)
+  AND (al IS NULL OR al = f.airline_name)
+  AND (dep_city IS NULL OR f.depart_name IN (SELECT name FROM fm_airport WHERE city = dep_city))
+  AND (arr_city IS NULL OR f.arrive_name IN (SELECT name FROM fm_airport WHERE city = arr_city))"""
+    bounds = """(from_day IS NULL OR f.depart_time >= CAST(from_day AS TIMESTAMP)) AND (until_day IS NULL OR f.arrive_time <= CAST(until_day AS TIMESTAMP))"""
+    flight_cols = ", ".join(f"f.{c.strip()}" for c in FLIGHT_COLS.split(","))
+
+    q["searches_matched"] = _q(f"""{saved}
+SELECT search_id, {flight_cols} FROM search JOIN fm_flight f ON {plain}
+  AND (dep_day IS NULL OR f.depart_time BETWEEN CAST(dep_day AS TIMESTAMP) AND CAST(dep_day + 1 AS TIMESTAMP))
+  AND (arr_day IS NULL OR f.arrive_time BETWEEN CAST(arr_day AS TIMESTAMP) AND CAST(arr_day + 1 AS TIMESTAMP))""")
+
+    q["searches_matched_by_bounds"] = _q(f"""{saved}
+SELECT search_id, {flight_cols} FROM search JOIN fm_flight f ON {plain} AND {bounds}""")
+
+    q["customer_searches_matched"] = _q(f"""{saved},
+held AS (SELECT DISTINCT customer_email, {FLIGHT_COLS} FROM fm_sales WHERE flight_status = 'upcoming')
+SELECT search_id, search.customer_email, {flight_cols} FROM search JOIN held f ON f.customer_email = search.customer_email AND {plain} AND {bounds}""")
+
     q["customer_upcoming_flights"] = _q(up_pairs)
 
     q["customer_upcoming_search"] = _q(f"""

@@ -17,6 +17,7 @@ from flightmart.operators import booking as bk
 from flightmart.operators import customer as cu
 from flightmart.operators import maintain as mt
 from flightmart.operators import quality as qa
+from flightmart.operators import saved_search as ss
 from flightmart.operators import search as se
 from flightmart.operators import facts
 from flightmart.plans import jobs
@@ -73,6 +74,11 @@ QUERIES: dict[str, Query] = {
         _t(s, d).flight, _t(s, d).airport, {"departure_city": "ASIA", "arrival_city": "EUROPE"}),
     "flight_search_by_day": lambda s, d: se.flight_search(
         _t(s, d).flight, _t(s, d).airport, {"departure_date": "2000-11-29"}),
+    "searches_matched": lambda s, d: ss.searches_matched(fixtures.saved_searches(s, d), _t(s, d).flight, _t(s, d).airport),
+    "searches_matched_by_bounds": lambda s, d: ss.searches_matched(
+        fixtures.bounded_searches(s, d), _t(s, d).flight, _t(s, d).airport, "bound"),
+    "customer_searches_matched": lambda s, d: ss.customer_searches_matched(
+        fixtures.bounded_searches(s, d), _sales(s, d), _t(s, d).airport),
     "customer_upcoming_flights": lambda s, d: cu.customer_upcoming_flights(_sales(s, d)),
     "customer_upcoming_search": lambda s, d: cu.customer_upcoming_search(
         _sales(s, d), _t(s, d).airport, {"departure_date": "2001-08-01", "arrival_city": "AMERICA"}),
@@ -147,16 +153,25 @@ QUERIES: dict[str, Query] = {
 
 
 def _book_direct(spark: SparkSession, sf_dir: str, require_upcoming: bool = False) -> DataFrame:
+    return _ranked(spark, sf_dir, fixtures.booking_requests(spark, sf_dir), require_upcoming).select(
+        "request_id", "customer_email", "flight_num", "status")
+
+
+def _ranked(spark: SparkSession, sf_dir: str, requests: DataFrame, require_upcoming: bool = False, agent: bool = False) -> DataFrame:
+    """Decided requests; the requests, and then the annotated requests, are written once (reliable checkpoints),
+    as a booking job does: each is read several times by what follows."""
+    ensure_checkpoint_dir(spark)
     t = _t(spark, sf_dir)
-    return bk.book_tickets_direct(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket,
-                                  t.purchases, require_upcoming=require_upcoming)
+    requests = requests.checkpoint()
+    if agent:
+        requests = bk.agent_prechecks(requests, t.flight, t.booking_agent, t.customer)
+    return bk.rank_requests(bk.annotate_requests(requests, t.flight, t.airplane, t.ticket, t.purchases, require_upcoming).checkpoint())
 
 
 def _book_agent(spark: SparkSession, sf_dir: str, same_airline: bool = False) -> DataFrame:
-    t = _t(spark, sf_dir)
     reqs = (fixtures.agent_booking_requests_same_airline(spark, sf_dir) if same_airline
             else fixtures.agent_booking_requests(spark, sf_dir))
-    return bk.book_tickets_agent(reqs, t.flight, t.airplane, t.ticket, t.purchases, t.booking_agent, t.customer)
+    return _ranked(spark, sf_dir, reqs, agent=True).select("request_id", bk.AGENT, "customer_email", "flight_num", "status")
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +179,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     the decisions are checkpointed first (reliable checkpoint in the session's
     ``spark.checkpoint.dir``): the id plan then scans the checkpoint instead
     of re-deriving every decision for each pass."""
-    ensure_checkpoint_dir(spark)
-    t = _t(spark, sf_dir)
-    return bk.decide(fixtures.booking_requests(spark, sf_dir), t.flight, t.airplane, t.ticket, t.purchases).checkpoint(eager=True)
+    return _ranked(spark, sf_dir, fixtures.booking_requests(spark, sf_dir)).checkpoint()
 
 
 def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,13 +47,12 @@ def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _ticket_id(part: DataFrame, supplier: DataFrame) -> Column:
+def _ticket_id(parts: int, suppliers: int) -> Column:
     """One decimal number from a line's four keys; the radices follow the tables, so ids never collide."""
     def wide(c: Column) -> Column:
         return c.cast("decimal(38,0)")
 
-    parts = wide(part.agg(F.max("p_partkey") + 1).scalar())
-    suppliers = wide(supplier.agg(F.max("s_suppkey") + 1).scalar())
+    parts, suppliers = wide(F.lit(parts)), wide(F.lit(suppliers))
     line = wide(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return wide(wide(wide(line * parts) + wide(F.col("l_partkey"))) * suppliers + wide(F.col("l_suppkey"))).cast("string")
 
@@ -75,6 +74,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     orders = _read(spark, sf_dir, "orders")
     customer = _read(spark, sf_dir, "customer")
     supplier = _read(spark, sf_dir, "supplier")
+    # two numbers, read once as the tables are loaded, instead of subqueries in every plan
+    ticket_id = _ticket_id((part.agg(F.max("p_partkey")).first()[0] or 0) + 1, (supplier.agg(F.max("s_suppkey")).first()[0] or 0) + 1)
 
     airline = part.select(F.col("p_brand").alias("name")).distinct()
 
@@ -114,7 +115,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     ticket = lineitem.select(
-        _ticket_id(part, supplier).alias("ticket_id"),
+        ticket_id.alias("ticket_id"),
         F.col("l_partkey").cast("string").alias("flight_num"),
     )
 
@@ -125,7 +126,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         .join(customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            _ticket_id(part, supplier).alias("ticket_id"),
+            ticket_id.alias("ticket_id"),
             F.col("c_name").alias("customer_email"),
             F.when(F.col("l_returnflag") == "R", F.lit(None).cast("string"))
             .otherwise(F.col("s_name")).alias("booking_agent_email"),
@@ -321,6 +322,44 @@ def new_flights_with_requester(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(*reqs.columns, F.concat(F.lit("staff-"), F.col("s_name")).alias("requester")))
 
 
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved searches from error events, by the event's flight: event_id % 8 says which criteria are named.
+
+    ``departure_date`` is the flight's day, every fifth time the next one;
+    ``from_date`` and ``until_date`` are bounds up to two weeks apart.
+    """
+    t = load(spark, sf_dir)
+    city = t.airport
+    events = _requests(spark, sf_dir, "error").withColumn("_num", F.col("flight_key").cast("string"))
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    f = (t.flight.join(city.select(F.col("name").alias("depart_name"), F.col("city").alias("_dep_city")), "depart_name")
+         .join(city.select(F.col("name").alias("arrive_name"), F.col("city").alias("_arr_city")), "arrive_name"))
+    e, k = F.col("event_id"), F.col("event_id") % 8
+    day = F.col("depart_time").cast("date")
+
+    def named(value: Column, *kinds: int) -> Column:
+        return F.when(k.isin(*kinds), value)
+
+    return (events.join(f, events["_num"] == f["flight_num"]).join(customer, F.col("user_id") == F.col("c_custkey"), "left").select(
+        e.alias("search_id"), F.col("c_name").alias("customer_email"),
+        named(F.col("flight_num"), 0, 7).alias("flight_num"),
+        F.when(k == 4, F.lit("")).otherwise(named(F.col("depart_name"), 1, 5)).alias("departure_airport"),
+        named(F.col("arrive_name"), 2, 5).alias("arrival_airport"),
+        named(F.col("airline_name"), 6).alias("airline_name"),
+        named(F.col("_dep_city"), 3, 7).alias("departure_city"),
+        named(F.col("_arr_city"), 3, 6).alias("arrival_city"),
+        named(F.date_add(day, F.when(e % 5 == 0, F.lit(1)).otherwise(F.lit(0))), 1, 3, 4, 5).alias("departure_date"),
+        named(F.col("arrive_time").cast("date"), 2, 6).alias("arrival_date"),
+        named(F.date_sub(day, (e % 4).cast("int")), 1, 3, 4, 5).alias("from_date"),
+        named(F.date_add(day, (e % 4 + 1).cast("int")), 2, 3, 4, 6).alias("until_date")))
+
+
+def bounded_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``saved_searches`` with the bounds as dates; a flight's route is added where the search would be open."""
+    s = saved_searches(spark, sf_dir)
+    return s.withColumns({"departure_date": F.col("from_date"), "arrival_date": F.col("until_date")})
+
+
 def new_airplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-airplane requests from suppliers; every 7th id is not an integer."""
     s = _read(spark, sf_dir, "supplier")

@@ -190,7 +190,12 @@ def book_tickets_agent(requests: DataFrame, flight: DataFrame, airplane: DataFra
         "request_id", AGENT, "customer_email", "flight_num", "status")
 
 
-def assign_ticket_ids(decided: DataFrame, ticket: DataFrame) -> DataFrame:
+def last_ticket_id(ticket: DataFrame) -> DataFrame:
+    """One row, ``m``: the largest numeric ticket id, 0 without any."""
+    return ticket.select(F.coalesce(F.max(F.expr("try_cast(ticket_id AS DECIMAL(38,0))")), F.lit(0).cast("decimal(38,0)")).alias("m"))
+
+
+def assign_ticket_ids(decided: DataFrame, ticket: DataFrame, after: int | None = None) -> DataFrame:
     """Contiguous new ticket ids for the booked requests.
 
     id = largest numeric existing id (0 on an empty table; Q8 corrected:
@@ -200,9 +205,9 @@ def assign_ticket_ids(decided: DataFrame, ticket: DataFrame) -> DataFrame:
     inside 4096 buckets, the first three hexadecimal digits of
     md5(flight_num), which spread flights evenly however they are spelled (a
     window per bucket); the bucket totals, 4096 rows, are prefix-summed last.
+    ``after``: the largest id, where it is known (booking jobs keep it).
     """
-    max_id = ticket.select(F.coalesce(F.max(F.expr("try_cast(ticket_id AS DECIMAL(38,0))")),
-                                      F.lit(0).cast("decimal(38,0)")).alias("m")).scalar()
+    max_id = last_ticket_id(ticket).scalar() if after is None else F.lit(str(after)).cast("decimal(38,0)")
     booked = decided.filter(F.col("status") == BOOKED).withColumn(
         "_bucket", F.substring(F.md5("flight_num"), 1, 3))
     per_flight = booked.groupBy("_bucket", "flight_num").agg(F.count(F.lit(1)).alias("_n"))

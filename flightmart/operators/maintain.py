@@ -135,8 +135,9 @@ def new_flight_rows(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O36 status changes
 
-def _status_decisions(changes: DataFrame, flight: DataFrame, permission, airline_staff,
-                      chunk_units: Sequence[str]) -> DataFrame:
+def status_decisions(changes: DataFrame, flight: DataFrame, permission: DataFrame | None = None,
+                     airline_staff: DataFrame | None = None, chunk_units: Sequence[str] = ("day", "second")) -> DataFrame:
+    """O36 core: (request_id, flight_num, ts, flight_status, outcome); a job writes it once for both results."""
     r = _with_permission(changes, permission, airline_staff, PERMISSION_OPERATOR, "airline_name")
     base = flight.select("flight_num", F.col("airline_name").alias("_flight_airline"),
                          F.col("flight_status").alias("_base_status"))
@@ -167,7 +168,7 @@ def flight_status_outcomes(changes: DataFrame, flight: DataFrame, permission: Da
     "unchanged" means the requested status equals the flight's status at that
     moment (after the earlier changes of the batch).
     """
-    return _status_decisions(changes, flight, permission, airline_staff, chunk_units).select(
+    return status_decisions(changes, flight, permission, airline_staff, chunk_units).select(
         "request_id", "flight_num", "outcome")
 
 
@@ -177,8 +178,12 @@ def apply_flight_status(changes: DataFrame, flight: DataFrame, permission: DataF
 
     P03 as a snapshot: flight left join (latest status per flight), coalesce.
     """
-    d = _status_decisions(changes, flight, permission, airline_staff, chunk_units)
-    latest = (d.filter(F.col("outcome").isin(UPDATED, UNCHANGED))
+    return flights_after(status_decisions(changes, flight, permission, airline_staff, chunk_units), flight)
+
+
+def flights_after(decisions: DataFrame, flight: DataFrame) -> DataFrame:
+    """The flight table after decided status changes."""
+    latest = (decisions.filter(F.col("outcome").isin(UPDATED, UNCHANGED))
               .groupBy("flight_num")
               .agg(F.max_by("flight_status", F.struct("ts", "request_id")).alias("_new_status")))
     cols = [F.coalesce(F.col("_new_status"), F.col("flight_status")).alias("flight_status")
@@ -270,8 +275,12 @@ def apply_permission_grants(grants: DataFrame, permission: DataFrame, airline_st
     Accepted grants are appended; the ``''`` placeholder of every user who
     received a grant is dropped (P04 as an anti join).
     """
-    out = permission_grant_outcomes(grants, permission, airline_staff)
-    added = out.filter(F.col("outcome") == OK).select("username", "permission")
+    return permissions_after(permission_grant_outcomes(grants, permission, airline_staff), permission)
+
+
+def permissions_after(outcomes: DataFrame, permission: DataFrame) -> DataFrame:
+    """The permission table after decided grants."""
+    added = outcomes.filter(F.col("outcome") == OK).select("username", "permission")
     granted_users = added.select("username").distinct()
     placeholders = permission.filter(F.col("permission") == F.lit(PERMISSION_PLACEHOLDER))
     kept_placeholders = placeholders.join(granted_users, "username", "left_anti")
@@ -281,9 +290,10 @@ def apply_permission_grants(grants: DataFrame, permission: DataFrame, airline_st
 
 # ---------------------------------------------------------------- O40 agents
 
-def _agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
-                     permission: DataFrame | None = None, airline_staff: DataFrame | None = None,
-                     chunk_rows: Sequence[int] = (1_000_000, 10_000)) -> DataFrame:
+def agent_decisions(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
+                    permission: DataFrame | None = None, airline_staff: DataFrame | None = None,
+                    chunk_rows: Sequence[int] = (1_000_000, 10_000)) -> DataFrame:
+    """O40 core: (request_id, email, airline_name, ts if given, outcome)."""
     base = booking_agent.select("email", F.col("airline_name").alias("_base_airline"), F.lit(True).alias("_known"))
     names = airline.select(F.col("name").alias("airline_name")).distinct().withColumn("_airline_ok", F.lit(True))
     r = _with_permission(moves, permission, airline_staff, PERMISSION_ADMIN, "airline_name")
@@ -309,16 +319,20 @@ def agent_move_outcomes(moves: DataFrame, booking_agent: DataFrame, airline: Dat
     """O40 outcomes: request_id, email, airline_name, outcome (unknown agent / airline, unchanged, updated).
 
     With a ``requester`` column the requester must be an Admin of the target airline."""
-    return _agent_decisions(moves, booking_agent, airline, permission, airline_staff).select(
+    return agent_decisions(moves, booking_agent, airline, permission, airline_staff).select(
         "request_id", "email", "airline_name", "outcome")
 
 
 def assign_agents_to_airline(moves: DataFrame, booking_agent: DataFrame, airline: DataFrame,
                              permission: DataFrame | None = None, airline_staff: DataFrame | None = None) -> DataFrame:
     """The booking_agent table after the moves; the latest valid move per agent wins."""
-    d = _agent_decisions(moves, booking_agent, airline, permission, airline_staff)
-    order = _order_cols(moves)
-    latest = (d.filter(F.col("outcome").isin(UPDATED, UNCHANGED)).groupBy("email")
+    return agents_after(agent_decisions(moves, booking_agent, airline, permission, airline_staff), booking_agent)
+
+
+def agents_after(decisions: DataFrame, booking_agent: DataFrame) -> DataFrame:
+    """The booking_agent table after decided moves."""
+    order = _order_cols(decisions)
+    latest = (decisions.filter(F.col("outcome").isin(UPDATED, UNCHANGED)).groupBy("email")
               .agg(F.max_by("airline_name", F.struct(*order)).alias("_new_airline")))
     cols = [F.coalesce(F.col("_new_airline"), F.col("airline_name")).alias("airline_name")
             if c == "airline_name" else F.col(c) for c in booking_agent.columns]
@@ -412,6 +426,41 @@ def registration_round(state: DataFrame) -> DataFrame:
                     "_can_accept", decided.alias("outcome"))
 
 
+def open_registrations(state: DataFrame) -> DataFrame:
+    """The open records, with what settled records of the batch have taken before them."""
+    order, accepted = F.struct("ts", "request_id"), F.col("outcome") == F.lit(OK)
+    by_key = state.filter(accepted).groupBy("kind", "key").agg(F.min(order).alias("_acc_k"))
+    by_bid = (state.filter(accepted & (F.col("kind") == "agent")).groupBy("b_id").agg(F.min(order).alias("_acc_b")).withColumn("kind", F.lit("agent")))
+    s = state.filter(F.col("outcome").isNull()).join(by_key, ["kind", "key"], "left").join(by_bid, ["kind", "b_id"], "left")
+    before = lambda c: F.coalesce(F.col(c) < F.struct("ts", "request_id"), F.lit(False))
+    return s.select("request_id", "ts", "kind", "key", "b_id", (F.col("_table_key") | before("_acc_k")).alias("_key_taken"),
+                    (F.col("_table_bid") | before("_acc_b")).alias("_bid_taken"), "_bad_airline")
+
+
+def settle_in_order(records):
+    """For applyInPandas: the outcomes of one component's open records, one after the other."""
+    records = records.sort_values(["ts", "request_id"])
+    keys, b_ids, outcomes = set(), set(), []
+    for kind, key, b_id, key_taken, bid_taken, bad_airline in zip(
+            *(records[c] for c in ("kind", "key", "b_id", "_key_taken", "_bid_taken", "_bad_airline")), strict=True):
+        key_taken = key_taken or (kind, key) in keys
+        if kind == "staff" and bad_airline:
+            outcome = UNKNOWN_AIRLINE
+        elif key_taken:
+            outcome = EXISTING
+        elif kind == "agent" and bad_airline:
+            outcome = UNKNOWN_AIRLINE
+        elif kind == "agent" and (bid_taken or b_id is not None and b_id in b_ids):
+            outcome = EXISTING_B_ID
+        else:
+            outcome = OK
+            keys.add((kind, key))
+            if kind == "agent":
+                b_ids.add(b_id)
+        outcomes.append(outcome)
+    return records[["request_id"]].assign(_settled=outcomes)
+
+
 def registration_rows(regs: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     """Rows to append per table for accepted registrations (staff also get a '' permission).
 

@@ -1,10 +1,10 @@
 """The ten tables as one bundle, plus Parquet readers and writers.
 
-P01 (scan) reads with the declared schema, never inferring it.  P02 (append
-sink) appends rows.  P03/P04 (keyed update / delete) are expressed as new
+P01 (scan) reads with the declared schema, never inferring it.  P03/P04 (keyed update / delete) are expressed as new
 snapshots: the batch operators return the full new table and
 ``write_snapshot`` writes it to a fresh folder, since plain Parquet has no
-MERGE.  Layouts for scale: purchases stored by month (``write_tables``,
+MERGE.  P02 (append sink) is ``ledger``: a job's rows, over all tables, are
+committed whole.  Layouts for scale: purchases stored by month (``write_tables``,
 pruned by ``read_tables(purchase_window=...)``) and purchases / ticket
 bucketed on ticket_id (``write_bucketed_facts``).
 """
@@ -14,12 +14,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightmart.sources import schemas
+from flightmart.sources import ledger, schemas
 
 
 @dataclass(frozen=True)
@@ -45,32 +44,10 @@ def with_batch_id(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
 
 
-def batch_numbers(spark: SparkSession, path: str) -> list:
-    """The batch numbers below ``path``, read from folder names alone."""
-    try:
-        rows = spark.read.schema("batch_id long").option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    return rows.select("batch_id").distinct().collect()  # one row per batch
-
-
-def batch_rows(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows below ``path/batch_id=N`` (of batches before ``before``); none if no batch has been written yet.
-
-    Only a missing path means that there are none: any other failure to read
-    is raised, as going on without earlier batches would sell seats twice.
-    """
-    try:
-        rows = spark.read.schema(with_batch_id(schema)).option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.filter(F.col("batch_id") < F.lit(before))
-    return rows.drop("batch_id")
+def batch_rows(spark: SparkSession, path: str, schema: T.StructType, batches: list[int]) -> DataFrame:
+    """Rows below ``path/batch_id=N`` of the given batches; only their folders are listed and read."""
+    rows = spark.read.schema(with_batch_id(schema)).option("basePath", path).parquet(path)
+    return rows.filter(F.col("batch_id").isin(batches)).drop("batch_id")
 
 
 def read_tables(spark: SparkSession, root: str,
@@ -79,9 +56,11 @@ def read_tables(spark: SparkSession, root: str,
                 snapshots: dict[str, str] | None = None) -> Tables:
     """Scan ``root/<table>`` Parquet folders with the fixed schemas.
 
-    With ``bookings`` (the history folder of the booking jobs) ticket and
-    purchases also hold what those jobs sold.  ``snapshots`` names, per table,
-    the folder of a newer snapshot to read in place of ``root/<table>``.
+    Tables also hold the rows of committed load batches (``ledger``).  With
+    ``bookings`` (the history folder of the booking jobs) ticket and purchases
+    also hold what the committed batches of those jobs sold.  ``snapshots``
+    names, per table, the folder of a newer snapshot to read in place of
+    ``root/<table>``; of the load batches it adds those that came after it.
 
     purchases is stored partitioned by purchase month (``write_tables``);
     with ``purchase_window=(start, end)`` only the month folders that can
@@ -89,6 +68,8 @@ def read_tables(spark: SparkSession, root: str,
     whose reports all fall inside one date window.
     """
     frames = {}
+    done = ledger.committed(spark, root)
+    booked = [n for n in ledger.committed(spark, bookings) if before_batch is None or n < before_batch] if bookings else []
     for name, schema in schemas.SCHEMAS.items():
         path = (snapshots or {}).get(name, f"{root}/{name}")
         if name == "purchases":
@@ -102,8 +83,12 @@ def read_tables(spark: SparkSession, root: str,
             df = spark.read.schema(schema).parquet(path)
         # the declared columns only, so every table has its fixed schema
         frames[name] = df.select(*schema.fieldNames())
-        if bookings and name in ("ticket", "purchases"):
-            frames[name] = frames[name].unionByName(batch_rows(spark, f"{bookings}/{name}", schema, before_batch))
+        after = ledger.snapshot_holds(spark, path, done) if name in (snapshots or {}) and done else -1
+        more = ledger.rows_of(spark, root, name, schema, done, after)
+        if more is not None:
+            frames[name] = frames[name].unionByName(more)
+        if booked and name in ("ticket", "purchases"):
+            frames[name] = frames[name].unionByName(batch_rows(spark, f"{bookings}/{name}", schema, booked))
     if bookings and purchase_window is not None:
         start, end = purchase_window
         frames["purchases"] = frames["purchases"].filter(F.col("p_date").between(F.lit(start.replace(day=1)), F.last_day(F.lit(end))))
@@ -120,11 +105,6 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
         writer.parquet(f"{root}/{f.name}")
 
 
-def append(df: DataFrame, path: str) -> None:
-    """INSERT as an append of new Parquet files."""
-    df.write.mode("append").parquet(path)
-
-
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Write the new state of a table to a fresh folder.
 

@@ -6,9 +6,11 @@ micro-batches, so the outcome equals the sequential order across batches.
 
 Exactly-once without a transactional table format: everything a batch
 writes goes to folders keyed by its batch id (``.../batch_id=N``), written
-in overwrite mode, and a batch reads only the rows of batches before it.
-A batch replayed after a failure therefore rewrites the same folders and
-sees the same inputs.  The annotated requests, then the decided requests, are
+in overwrite mode, its commit row last (``sources.ledger``), and a batch reads
+only the rows of committed batches before it.  A batch replayed after a failure
+therefore rewrites the same folders and sees the same inputs, and readers never
+see its tickets without its purchases.  The commit row keeps the largest ticket
+id, so later batches number on from it and do not search the ticket table.  The annotated requests, then the decided requests, are
 written and read back (a written table cuts the lineage) before the ranking,
 the ids and the new rows are derived from them.
 """
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flightmart.operators import booking as bk
+from flightmart.sources import ledger
+from flightmart.sources.schemas import TICKET
 from flightmart.sources.tables import read_tables, with_batch_id
 
 DECIDED = T.StructType([
@@ -49,10 +53,14 @@ def process_batch(spark: SparkSession, requests: DataFrame, batch_id: int, root:
         decided = decided.withColumn("booking_agent_email", F.lit(None).cast("string"))
     decided.select(*DECIDED.fieldNames()).write.mode("overwrite").parquet(f"{out}/decided/batch_id={batch_id}")
     decided = spark.read.schema(DECIDED).parquet(f"{out}/decided/batch_id={batch_id}")
-    ids = bk.assign_ticket_ids(decided, ticket)
+    earlier = [r["last_id"] for n, r in ledger.committed(spark, out).items() if n < batch_id]
+    last = max(map(int, earlier)) if earlier else bk.last_ticket_id(ticket).first()["m"]
+    ids = bk.assign_ticket_ids(decided, ticket, after=last)
     new_tickets, new_purchases = bk.booking_rows(decided, ids)
     new_tickets.write.mode("overwrite").parquet(f"{out}/ticket/batch_id={batch_id}")
     new_purchases.write.mode("overwrite").parquet(f"{out}/purchases/batch_id={batch_id}")
+    new = bk.last_ticket_id(spark.read.schema(TICKET).parquet(f"{out}/ticket/batch_id={batch_id}")).first()["m"]
+    ledger.commit(spark, out, batch_id, "book", ["ticket", "purchases"], last_id=str(max(int(last), int(new))))
 
 
 def start_booking_stream(spark: SparkSession, requests: DataFrame, root: str, out: str, checkpoint: str,

@@ -49,7 +49,15 @@ def seat_availability(flight: DataFrame, airplane: DataFrame, ticket: DataFrame)
     below 0.  A flight whose airplane is not the airline's (or unknown) has
     NULL seats and 0 remaining: it cannot be booked.
     """
-    sold = ticket.groupBy("flight_num").agg(F.count(F.lit(1)).alias("sold"))
+    return availability(flight, airplane, sold_tickets(ticket))
+
+
+def sold_tickets(ticket: DataFrame) -> DataFrame:
+    return ticket.groupBy("flight_num").agg(F.count(F.lit(1)).alias("sold"))
+
+
+def availability(flight: DataFrame, airplane: DataFrame, sold: DataFrame) -> DataFrame:
+    """O30 from tickets sold per flight (flight_num, sold)."""
     planes = airplane.select(F.col("airline_name").alias("_al"), F.col("id").alias("_id"), "seats")
     f = flight.select("flight_num", "airline_name", "airplane_id")
     with_seats = f.join(planes, (f["airplane_id"] == planes["_id"]) & (f["airline_name"] == planes["_al"]), "left")
@@ -103,9 +111,13 @@ def decide(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket:
 
 def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFrame, ticket: DataFrame,
                       purchases: DataFrame, require_upcoming: bool = False,
-                      sales: DataFrame | None = None) -> DataFrame:
+                      sales: DataFrame | None = None, sold: DataFrame | None = None) -> DataFrame:
     """Each request with its flight's remaining seats and its ``_cand`` flag.
 
+    ``sales`` (customer_email, flight_num) and ``sold`` (flight_num, sold), if
+    given, take the place of purchases and tickets; they may cover only the
+    flights that are asked for.
+
     ``requests`` has request_id, ts, customer_email, flight_num and an
     optional ``pre_status`` (a non-null value is a precheck rejection that
     passes through unchanged and takes no seat).
@@ -130,8 +142,9 @@ def annotate_requests(requests: DataFrame, flight: DataFrame, airplane: DataFram
     req = req.join(firsts, ["customer_email", "flight_num"], "left")
 
     req_flights = requests.select("flight_num").distinct()
-    cap = seat_availability(flight.join(req_flights, "flight_num", "left_semi"), airplane,
-                            ticket.join(req_flights, "flight_num", "left_semi"))
+    if sold is None:
+        sold = sold_tickets(ticket.join(req_flights, "flight_num", "left_semi"))
+    cap = availability(flight.join(req_flights, "flight_num", "left_semi"), airplane, sold)
     held = existing_pairs(purchases, ticket, requests, sales).withColumn("_held", F.lit(True))
     r = (req
          .join(cap.select("flight_num", "remaining"), "flight_num", "left")

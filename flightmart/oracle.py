@@ -756,6 +756,30 @@ FROM (SELECT c.email AS customer_email,
       FROM fm_customer c) m
 LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.month_start""")
 
+    for name in ("apply_flight_status", "apply_permission_grants"):
+        q[f"{name}_by_buckets"] = q[name]
+    q["assign_agents_by_buckets"] = q["assign_agents_to_airline"]
+
+    q["sales_mart_after_batches"] = f"""
+WITH all_purchases AS (SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["customer_purchase_history"]}) h
+                       UNION ALL SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["booking_rows_purchases"]}) n),
+all_tickets AS (SELECT ticket_id, flight_num FROM ({q["customer_purchase_history"]}) h UNION ALL SELECT ticket_id, flight_num FROM ({q["booking_rows_ticket"]}) n)
+SELECT p.ticket_id, p.customer_email, p.booking_agent_email, p.p_date, {", ".join(f"f.{c.strip()}" for c in FLIGHT_COLS.split(","))}
+FROM all_purchases p JOIN all_tickets t ON t.ticket_id = p.ticket_id JOIN ({q["apply_flight_status"]}) f ON f.flight_num = t.flight_num"""
+
+    spans = [(f"{d(n)}", d()) for n in (30, 31, 365)] + [
+        ("DATE '2000-12-01'", "DATE '2000-12-31'"), ("DATE '2001-01-01'", "DATE '2001-03-31'"), ("DATE '1995-03-15'", "DATE '2000-02-29'")]
+    for name, key in (("airline", "airline_name"), ("agent", "booking_agent_email"), ("customer", "customer_email")):
+        # keys whose first sale is after the last window have no row
+        q[f"{name}_windows_from_index"] = _q(f"""WITH span AS ({" UNION ALL ".join(f"SELECT {a} AS window_start, {b} AS window_end" for a, b in spans)}),
+keys AS (SELECT {key} FROM fm_sales WHERE {key} IS NOT NULL GROUP BY {key} HAVING MIN(date_trunc('month', p_date)) <= {d()})
+SELECT k.{key}, window_start, window_end, COUNT(s.ticket_id) AS tickets,
+       CAST(COALESCE(SUM(s.price) FILTER (WHERE s.booking_agent_email IS NULL AND s.ticket_id IS NOT NULL), 0) AS DECIMAL(18,2)) AS revenue_direct,
+       CAST(COALESCE(SUM(s.price) FILTER (WHERE s.booking_agent_email IS NOT NULL), 0) AS DECIMAL(18,2)) AS revenue_agent
+FROM keys k CROSS JOIN span
+LEFT JOIN fm_sales s ON s.{key} = k.{key} AND s.p_date BETWEEN window_start AND window_end
+GROUP BY k.{key}, window_start, window_end""")
+
     return q
 
 

@@ -7,6 +7,7 @@ Each query derives the airline tables from the test Parquet in ``sf_dir``
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,9 @@ from flightmart.operators import quality as qa
 from flightmart.operators import saved_search as ss
 from flightmart.operators import search as se
 from flightmart.operators import facts
-from flightmart.plans import jobs
+from flightmart.plans import day_index, jobs, mart
 from flightmart.session import ensure_checkpoint_dir
-from flightmart.sources import fixtures
+from flightmart.sources import bucketed, fixtures, schemas
 
 AS_OF = fixtures.AS_OF
 
@@ -125,6 +126,22 @@ QUERIES: dict[str, Query] = {
         s, fixtures.registrations(s, d), _t(s, d).customer, _t(s, d).booking_agent, _t(s, d).airline_staff,
         _t(s, d).airline),
     "integrity_audit": lambda s, d: qa.integrity_audit(_t(s, d)),
+    # the same changes on tables in hash buckets: only the buckets of changed keys are rewritten
+    "apply_flight_status_by_buckets": lambda s, d: _by_buckets(
+        s, "flight", "flight_num", _t(s, d).flight, fixtures.status_changes(s, d),
+        lambda changes, rows: mt.flights_after(mt.status_decisions(changes, rows), rows)),
+    "assign_agents_by_buckets": lambda s, d: _by_buckets(
+        s, "booking_agent", "email", _t(s, d).booking_agent, fixtures.agent_moves(s, d),
+        lambda moves, rows: mt.agents_after(mt.agent_decisions(moves, rows, _t(s, d).airline), rows)),
+    "apply_permission_grants_by_buckets": lambda s, d: _by_buckets(
+        s, "permission", "username", _t(s, d).permission, fixtures.grants(s, d),
+        lambda grants, rows: mt.permissions_after(mt.permission_grant_outcomes(grants, rows, _t(s, d).airline_staff), rows)),
+    # the sales mart, kept up to date through a booking batch and a status batch
+    "sales_mart_after_batches": lambda s, d: _mart_after_batches(s, d),
+    # several windows at once from the cumulative day index
+    "airline_windows_from_index": lambda s, d: _windows(s, d, "airline_name"),
+    "agent_windows_from_index": lambda s, d: _windows(s, d, "booking_agent_email"),
+    "customer_windows_from_index": lambda s, d: _windows(s, d, "customer_email"),
     # option variants on the same data
     "top_destinations_by_airline": lambda s, d: al.top_destinations(
         _t(s, d).flight, _t(s, d).airport, AS_OF, per_airline=True),
@@ -152,6 +169,46 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+BUCKETS = 64
+
+
+def _by_buckets(spark: SparkSession, table: str, key: str, rows: DataFrame, changes: DataFrame,
+                change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Store the table in buckets, change it by a batch, and read it back."""
+    path, schema = _folder(spark, f"bucketed-{table}"), schemas.SCHEMAS[table]
+    bucketed.write(rows, path, key, BUCKETS)
+    changes = changes.checkpoint()
+    bucketed.update(spark, path, schema, key, changes, lambda held: change(changes, held))
+    return bucketed.read(spark, path, schema)
+
+
+def _mart_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, t = _folder(spark, "sales-mart"), _t(spark, sf_dir)
+    mart.start_mart(t.purchases, t.ticket, t.flight, path)
+    tickets, purchases = (df.checkpoint() for df in _booking_rows(spark, sf_dir))
+    mart.update_mart(spark, path, purchases, tickets, t.flight, t.flight.limit(0))
+    after = QUERIES["apply_flight_status"](spark, sf_dir).checkpoint()
+    changed = after.select("flight_num", "flight_status").exceptAll(t.flight.select("flight_num", "flight_status"))
+    mart.update_mart(spark, path, purchases.limit(0), tickets.limit(0), after, changed)
+    return mart.read_mart(spark, path)
+
+
+#: The windows of O14, O21 and O22, a calendar month, a quarter, and a long one.
+SPANS = [(AS_OF - dt.timedelta(days=n), AS_OF) for n in (30, 31, 365)] + [
+    (dt.date(2000, 12, 1), dt.date(2000, 12, 31)), (dt.date(2001, 1, 1), dt.date(2001, 3, 31)), (dt.date(1995, 3, 15), dt.date(2000, 2, 29))]
+
+
+def _windows(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    path = _folder(spark, f"day-index-{key}")
+    day_index.write_day_index(_sales(spark, sf_dir), key, path)
+    return day_index.windows(spark, path, SPANS).withColumnRenamed("key", key)
+
+
 def _book_direct(spark: SparkSession, sf_dir: str, require_upcoming: bool = False) -> DataFrame:
     return _ranked(spark, sf_dir, fixtures.booking_requests(spark, sf_dir), require_upcoming).select(
         "request_id", "customer_email", "flight_num", "status")

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightmart.functions.dates import as_date, days_before, month_start
 from flightmart.operators.facts import SALES_COLUMNS, sales_fact
+from flightmart.sources import bucketed
 from flightmart.sources.schemas import FLIGHT, PURCHASES
 
 def _sales_schema() -> T.StructType:
@@ -57,3 +58,56 @@ def read_sales_mart(spark: SparkSession, path: str, start: dt.date | None = None
 def read_sales_window(spark: SparkSession, path: str, as_of: dt.date, days: int) -> DataFrame:
     """The mart restricted to the months a ``days``-day window ending at as_of can touch."""
     return read_sales_mart(spark, path, days_before(as_of, days), as_of)
+
+
+# ---------------------------------------------------------------- the mart kept up to date
+# Months are the buckets of a versioned table (``sources.bucketed``): a batch
+# rewrites the months it touches, the others stay the files they were.
+
+def _month_number(day: Column) -> Column:
+    return (F.year(day) * 12 + F.month(day) - 1).cast("int")
+
+
+def _sales_only() -> T.StructType:
+    return T.StructType(_sales_schema().fields[:-1])
+
+
+def _by_month(sales: DataFrame) -> DataFrame:
+    return sales.select(*SALES_COLUMNS).withColumn("bucket", F.coalesce(_month_number(F.col("p_date")), F.lit(-1)))
+
+
+def start_mart(purchases: DataFrame, ticket: DataFrame, flight: DataFrame, path: str) -> None:
+    """Materialise the sales fact once, by month of purchase; ``update_mart`` keeps it up to date."""
+    bucketed.write_parts(_by_month(sales_fact(purchases, ticket, flight)), path)
+
+
+def read_mart(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """The mart; with bounds only the months that can hold such dates are read."""
+    lo = start.year * 12 + start.month - 1 if start else None
+    hi = end.year * 12 + end.month - 1 if end else None
+    return bucketed.read(spark, path, _sales_only(), lambda b: (lo is None or b >= lo) and (hi is None or b <= hi))
+
+
+def update_mart(spark: SparkSession, path: str, new_purchases: DataFrame, new_tickets: DataFrame, flight: DataFrame, changed: DataFrame) -> set[int]:
+    """Bring the mart up to date after a batch; returns the numbers of the months that were rewritten.
+
+    ``new_purchases`` and ``new_tickets`` are the rows that the batch added,
+    ``flight`` the table after it, ``changed`` the flight_num of flights whose
+    row it changed or added.  The delta of the three-way join has two parts: new
+    purchases with the flights as they are now, and sold tickets of changed
+    flights, whose old rows leave and whose new rows enter.  Purchases and
+    tickets of earlier batches are not joined again.
+    """
+    now = flight.join(changed.select("flight_num").distinct(), "flight_num", "left_semi")
+    old = bucketed.read(spark, path, _sales_only())
+    months = old.join(now.select("flight_num"), "flight_num", "left_semi").select("p_date").unionByName(new_purchases.select("p_date"))
+    touched = {r["bucket"] for r in months.select(F.coalesce(_month_number(F.col("p_date")), F.lit(-1)).alias("bucket")).distinct().collect()}  # one row for each month
+    if not touched:
+        return touched
+    held = bucketed.read(spark, path, _sales_only(), lambda b: b in touched)
+    own = [c for c in SALES_COLUMNS if c not in flight.columns] + ["flight_num"]
+    rejoined = held.join(now.select("flight_num"), "flight_num", "left_semi").select(*own).join(now, "flight_num").select(*SALES_COLUMNS)
+    rows = (held.join(now.select("flight_num"), "flight_num", "left_anti").select(*SALES_COLUMNS)
+            .unionByName(rejoined).unionByName(sales_fact(new_purchases, new_tickets, flight).select(*SALES_COLUMNS)))
+    bucketed.replace(spark, path, _by_month(rows), touched)
+    return touched

@@ -138,3 +138,42 @@ def test_a_killed_booking_batch_is_not_seen(spark, monkeypatch):
     assert ledger.committed(spark, f"{root}/book")[1]["last_id"] == "9"
     with pytest.raises(ValueError, match="not after the last one"):
         jobs.book(spark, f"{root}/tables", second, f"{root}/book", 1)
+
+
+def test_bookings_keep_state_instead_of_searching_the_history(spark, monkeypatch):
+    """Later batches read the state of the flights they ask for, of the version their predecessor committed."""
+    from flightmart.sources import bucketed, tables
+    from flightmart.streaming import bookings
+    root = world(spark)
+    schema = "request_id long, ts timestamp_ntz, customer_email string, flight_num string"
+    start = ts("2001-07-01 10:00:00")
+    batches = [[("c1", "1"), ("c0", "2")], [("c1", "1"), ("c1", "2")], [("c2", "2"), ("c2", "1")], [("c3", "1"), ("c0", "1")]]
+    # sequentially: flight 1 has 3 seats and c0 holds one; flight 2 has 2
+    seats, sold, held, expected = {"1": 3, "2": 2}, {"1": 1, "2": 0}, {("c0", "1")}, {}
+    for k, (c, f) in enumerate(x for b in batches for x in b):
+        full = sold[f] >= seats[f]
+        expected[k] = 3 if full else 2 if (c, f) in held else 1
+        if expected[k] == 1:
+            sold[f] += 1
+            held.add((c, f))
+    reads = []
+    real = bucketed.read_for
+    monkeypatch.setattr(bookings.bucketed, "read_for", lambda *a, **kw: reads.append(real(*a, **kw)) or reads[-1])
+    request = 0
+    for n, pairs in enumerate(batches):
+        rows = [(request + i, start, c, f) for i, (c, f) in enumerate(pairs)]
+        request += len(rows)
+        if n:  # the rows of earlier batches are not read any more
+            monkeypatch.setattr(tables, "batch_rows", lambda *a, **kw: pytest.fail("the history was read"))
+        if n == 2:  # killed after its state was written, before its commit
+            commit = ledger.commit
+            monkeypatch.setattr(ledger, "commit", lambda *a, **kw: (_ for _ in ()).throw(Killed()))
+            with pytest.raises(Killed):
+                jobs.book(spark, f"{root}/tables", spark.createDataFrame(rows, schema), f"{root}/book", n)
+            monkeypatch.setattr(ledger, "commit", commit)
+        jobs.book(spark, f"{root}/tables", spark.createDataFrame(rows, schema), f"{root}/book", n)
+    got = {r["request_id"]: r["status"] for r in bookings.read_outcomes(spark, f"{root}/book").collect()}
+    assert got == expected
+    assert {r["flight_num"]: r["sold"] for r in bucketed.read(spark, f"{root}/book/state/sold", bookings.SOLD).collect()} == {f: n for f, n in sold.items()}
+    assert {tuple(r) for r in bucketed.read(spark, f"{root}/book/state/held", bookings.HELD).collect()} == held
+    assert all(len(touched) <= 2 for _, touched in reads)  # two flights are asked for

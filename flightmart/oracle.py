@@ -449,7 +449,7 @@ FROM nf4""")
 req_by AS (
   SELECT nf4.*, 'staff-' || s.s_name AS requester
   FROM nf4 LEFT JOIN supplier s
-    ON s.s_suppkey = CAST(regexp_extract(nf4.airline_name, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (nf4.request_id % 4)),
+    ON s.s_suppkey = CAST(regexp_extract(nf4.airline_name, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (nf4.request_id % (SELECT GREATEST(4, (MAX(s_suppkey) + 1) // 25) FROM supplier))),
 permitted AS (
   SELECT req_by.*, EXISTS (SELECT 1 FROM fm_permission pm JOIN fm_staff st ON st.username = pm.username
                            WHERE pm.username = req_by.requester AND pm.permission = 'Admin'
@@ -484,7 +484,7 @@ WITH sc AS (
   FROM fm_event e
   LEFT JOIN part p ON p.p_partkey = e.flight_key
   LEFT JOIN supplier s
-    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
+    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % (SELECT GREATEST(4, (MAX(s_suppkey) + 1) // 25) FROM supplier))
   WHERE e.event_type = 'view'),
 sc2 AS (
   SELECT sc.*, f.flight_status AS base_status,
@@ -539,7 +539,7 @@ FROM na4""")
 WITH ap AS (
   SELECT CAST(c.c_custkey AS BIGINT) AS request_id,
          UPPER(CASE WHEN c.c_custkey % 2 = 0 THEN lower(n.n_name)
-                    ELSE 'Port ' || CAST(c.c_custkey % 97 AS VARCHAR) END) AS name,
+                    ELSE 'Port ' || CAST(c.c_custkey % (SELECT GREATEST(97, COUNT(*) // 10) FROM customer) AS VARCHAR) END) AS name,
          UPPER(lower(r.r_name)) AS city
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
 ap2 AS (SELECT ap.*, COALESCE(name IN (SELECT name FROM fm_airport), FALSE) AS ex FROM ap)
@@ -767,6 +767,11 @@ all_tickets AS (SELECT ticket_id, flight_num FROM ({q["customer_purchase_history
 SELECT p.ticket_id, p.customer_email, p.booking_agent_email, p.p_date, {", ".join(f"f.{c.strip()}" for c in FLIGHT_COLS.split(","))}
 FROM all_purchases p JOIN all_tickets t ON t.ticket_id = p.ticket_id JOIN ({q["apply_flight_status"]}) f ON f.flight_num = t.flight_num"""
 
+    q["airline_monthly_chart"] = f"""
+SELECT airline_name, month_start, year(month_start) || '-' || month(month_start) AS month_key,
+       ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'June', 'July', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month(month_start)] AS month_label, tickets
+FROM ({q["airline_monthly_tickets_12m"]}) m"""
+
     spans = [(f"{d(n)}", d()) for n in (30, 31, 365)] + [
         ("DATE '2000-12-01'", "DATE '2000-12-31'"), ("DATE '2001-01-01'", "DATE '2001-03-31'"), ("DATE '1995-03-15'", "DATE '2000-02-29'")]
     for name, key in (("airline", "airline_name"), ("agent", "booking_agent_email"), ("customer", "customer_email")):
@@ -899,13 +904,13 @@ gr4 AS (
 """
 
 _MOVES = """mv AS (
-  SELECT s_suppkey AS request_id,
+  SELECT 2 * s_suppkey AS request_id,
          CASE WHEN s_suppkey % 9 = 4 THEN 'Unknown#' || CAST(s_suppkey AS VARCHAR) ELSE s_name END AS email,
          CASE WHEN s_suppkey % 17 = 3 THEN 'Brand#99'
               ELSE 'Brand#' || CAST((s_suppkey + s_suppkey % 2) % 25 + 1 AS VARCHAR) END AS airline_name
   FROM supplier
   UNION ALL
-  SELECT s_suppkey + 1000000,
+  SELECT 2 * s_suppkey + 1,
          CASE WHEN s_suppkey % 9 = 4 THEN 'Unknown#' || CAST(s_suppkey AS VARCHAR) ELSE s_name END,
          'Brand#' || CAST((s_suppkey + 1) % 25 + 1 AS VARCHAR)
   FROM supplier),
@@ -932,7 +937,7 @@ def _booking_sql(agent: bool, require_upcoming: bool = False, same_airline: bool
   LEFT JOIN part p ON p.p_partkey = e.flight_key
   LEFT JOIN supplier s
     ON s.s_suppkey = CASE WHEN e.event_id % 5 = 0 THEN e.line_supplier
-                          ELSE CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4) END
+                          ELSE CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % (SELECT GREATEST(4, (MAX(s_suppkey) + 1) // 25) FROM supplier)) END
   WHERE e.event_type = 'click'),"""
         if same_airline:
             req = """req AS (
@@ -943,7 +948,7 @@ def _booking_sql(agent: bool, require_upcoming: bool = False, same_airline: bool
   JOIN customer c ON e.user_id = c.c_custkey
   LEFT JOIN part p ON p.p_partkey = e.flight_key
   LEFT JOIN supplier s
-    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % 4)
+    ON s.s_suppkey = CAST(regexp_extract(p.p_brand, '(\\d+)$', 1) AS BIGINT) - 1 + 25 * (e.event_id % (SELECT GREATEST(4, (MAX(s_suppkey) + 1) // 25) FROM supplier))
   WHERE e.event_type = 'click'),"""
         req += """
 pre AS (

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flightmart.functions.dates import month_key, month_label
 from flightmart.operators import agent as ag
 from flightmart.operators import airline as al
 from flightmart.operators import booking as bk
@@ -64,6 +65,9 @@ QUERIES: dict[str, Query] = {
     "airline_top_customers": lambda s, d: al.airline_top_customers(_sales(s, d), AS_OF),
     "top_destinations": lambda s, d: al.top_destinations(_t(s, d).flight, _t(s, d).airport, AS_OF),
     "airline_monthly_tickets_12m": lambda s, d: al.airline_monthly_tickets_12m(_sales(s, d), _t(s, d).airline, AS_OF),
+    # with the chart's month key and label
+    "airline_monthly_chart": lambda s, d: QUERIES["airline_monthly_tickets_12m"](s, d).select(
+        "airline_name", "month_start", month_key("month_start").alias("month_key"), month_label("month_start").alias("month_label"), "tickets"),
     "airline_monthly_tickets_range": lambda s, d: al.airline_monthly_tickets_range(
         _sales(s, d), _t(s, d).airline, dt.date(1999, 11, 15), dt.date(2001, 2, 10), AS_OF),
     "customer_purchase_history": lambda s, d: al.customer_purchase_history(_sales(s, d)),

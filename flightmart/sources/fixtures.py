@@ -217,9 +217,14 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _staff_key(brand: str, event_id: str) -> Column:
-    """Key of a supplier whose airline is ``brand``: (brand number - 1) + 25 * (event_id % 4)."""
-    return F.regexp_extract(F.col(brand), r"(\d+)$", 1).cast("bigint") - 1 + 25 * (F.col(event_id) % 4)
+def _per_airline(spark: SparkSession, sf_dir: str) -> int:
+    """Suppliers of an airline (4 at least), so that requesters grow with the table."""
+    return max(4, ((_read(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 0) + 1) // N_AIRLINES)
+
+
+def _staff_key(spark: SparkSession, sf_dir: str, brand: str, request: str) -> Column:
+    """Key of a supplier whose airline is ``brand``: (brand number - 1) + 25 * (request % suppliers of an airline)."""
+    return F.regexp_extract(F.col(brand), r"(\d+)$", 1).cast("bigint") - 1 + N_AIRLINES * (F.col(request) % _per_airline(spark, sf_dir))
 
 
 def _agent_requests(spark: SparkSession, sf_dir: str, agent_key: Column) -> DataFrame:
@@ -245,13 +250,13 @@ def _agent_requests(spark: SparkSession, sf_dir: str, agent_key: Column) -> Data
 def agent_booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent booking requests: every fifth by the supplier of the event's order (mostly of another
     airline; NULL without an order), the others by an agent of the flight's airline."""
-    own = _staff_key("p_brand", "event_id")
+    own = _staff_key(spark, sf_dir, "p_brand", "event_id")
     return _agent_requests(spark, sf_dir, F.when(F.col("event_id") % 5 == 0, F.col("line_supplier")).otherwise(own))
 
 
 def agent_booking_requests_same_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent booking requests whose agent works for the flight's airline (NULL when that supplier does not exist)."""
-    return _agent_requests(spark, sf_dir, _staff_key("p_brand", "event_id"))
+    return _agent_requests(spark, sf_dir, _staff_key(spark, sf_dir, "p_brand", "event_id"))
 
 
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,13 +279,12 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_changes_with_requester(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``status_changes`` plus a requester: a staff member of the flight's airline
-    (supplier key (brand number - 1) + 25 * (event_id % 4); NULL when missing)."""
+    (``_staff_key``; NULL when missing)."""
     changes = status_changes(spark, sf_dir)
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    brand_num = F.regexp_extract(F.col("p_brand"), r"(\d+)$", 1).cast("bigint")
     keyed = (changes.join(part, changes.flight_num.cast("bigint") == part.p_partkey, "left")
-             .withColumn("_staff_key", brand_num - 1 + 25 * (F.col("request_id") % 4)))
+             .withColumn("_staff_key", _staff_key(spark, sf_dir, "p_brand", "request_id")))
     return (keyed.join(supplier, keyed._staff_key == supplier.s_suppkey, "left")
             .select(*changes.columns, F.concat(F.lit("staff-"), F.col("s_name")).alias("requester")))
 
@@ -313,11 +317,10 @@ def new_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_flights_with_requester(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``new_flights`` plus a requester: a staff member of the request's airline
-    (supplier key (brand number - 1) + 25 * (order key % 4); NULL when missing)."""
+    (``_staff_key``; NULL when missing)."""
     reqs = new_flights(spark, sf_dir)
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    brand_num = F.regexp_extract(F.col("airline_name"), r"(\d+)$", 1).cast("bigint")
-    keyed = reqs.withColumn("_staff_key", brand_num - 1 + 25 * (F.col("request_id") % 4))
+    keyed = reqs.withColumn("_staff_key", _staff_key(spark, sf_dir, "airline_name", "request_id"))
     return (keyed.join(supplier, keyed._staff_key == supplier.s_suppkey, "left")
             .select(*reqs.columns, F.concat(F.lit("staff-"), F.col("s_name")).alias("requester")))
 
@@ -374,18 +377,18 @@ def new_airplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-airport requests, one per customer: the lower-cased name of the
-    customer's nation (already an airport) for even keys, ``Port <k % 97>``
-    (new, repeated across customers) for odd keys; city = lower-cased region."""
+    customer's nation (already an airport) for even keys, ``Port <k % n>``
+    (new, repeated across customers; n a tenth of the customers, 97 at least) for odd keys; city = lower-cased region."""
     customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
-    k = F.col("c_custkey")
+    k, ports = F.col("c_custkey"), max(97, customer.count() // 10)
     return (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
             .join(region, nation.n_regionkey == region.r_regionkey)
             .select(
                 k.cast("long").alias("request_id"),
                 F.when(k % 2 == 0, F.lower("n_name"))
-                .otherwise(F.concat(F.lit("Port "), (k % 97).cast("string"))).alias("name"),
+                .otherwise(F.concat(F.lit("Port "), (k % ports).cast("string"))).alias("name"),
                 F.lower("r_name").alias("city"),
             ))
 
@@ -410,11 +413,11 @@ def agent_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     email = F.when(k % 9 == 4, F.concat(F.lit("Unknown#"), k.cast("string"))).otherwise(F.col("s_name"))
     first = s.select(
-        k.alias("request_id"), email.alias("email"),
+        (2 * k).alias("request_id"), email.alias("email"),
         F.when(k % 17 == 3, F.lit("Brand#99"))
         .otherwise(F.concat(F.lit("Brand#"), ((k + k % 2) % N_AIRLINES + 1).cast("string"))).alias("airline_name"))
     second = s.select(
-        (k + 1_000_000).alias("request_id"), email.alias("email"),
+        (2 * k + 1).alias("request_id"), email.alias("email"),
         F.concat(F.lit("Brand#"), ((k + 1) % N_AIRLINES + 1).cast("string")).alias("airline_name"))
     return first.unionByName(second)
 

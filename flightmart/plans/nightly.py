@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flightmart.operators import agent as ag
 from flightmart.operators import airline as al
+from flightmart.operators import booking as bk
 from flightmart.operators import customer as cu
+from flightmart.operators import quality as qa
 from flightmart.operators import search as se
 from flightmart.plans import dashboard, mart
 from flightmart.sources.tables import read_bucketed_facts, read_tables
@@ -30,14 +32,19 @@ def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def run_reports(spark: SparkSession, root: str, out: str, as_of: dt.date,
-                bucketed_prefix: str | None = None) -> list[str]:
+                bucketed_prefix: str | None = None, bookings: str | None = None,
+                snapshots: dict[str, str] | None = None) -> list[str]:
     """Write all reports for ``as_of``; returns the report names written.
 
-    With ``bucketed_prefix`` purchases and ticket come from the bucketed
+    ``bookings`` (the history of the booking jobs) and ``snapshots`` (tables
+    after status, permission and agent changes) are read as ``read_tables``
+    reads them, so the reports see what the batch jobs sold and changed.
+
+    With ``bucketed_prefix`` (and no ``bookings``, which those tables do not hold) purchases and ticket come from the bucketed
     catalog tables (``tables.write_bucketed_facts``), so building the mart
     joins them without a shuffle.
     """
-    t = read_tables(spark, root)
+    t = read_tables(spark, root, bookings=bookings, snapshots=snapshots)
     if bucketed_prefix is not None:
         t = read_bucketed_facts(spark, t, bucketed_prefix)
     mart_path = f"{out}/_sales_mart"
@@ -60,6 +67,13 @@ def run_reports(spark: SparkSession, root: str, out: str, as_of: dt.date,
         "agent_top_customers_by_spend": (ag.agent_top_customers_by_spend(year, as_of), None),
         "top_destinations": (al.top_destinations(t.flight, t.airport, as_of), None),
         "airline_monthly_tickets_12m": (al.airline_monthly_tickets_12m(year, t.airline, as_of), "airline_name"),
+        "top_destinations_by_airline": (al.top_destinations(t.flight, t.airport, as_of, per_airline=True), None),
+        "customer_purchase_history": (al.customer_purchase_history(everything), None),
+        "flight_passenger_list": (al.flight_passenger_list(everything), None),
+        "staff_permissions": (al.staff_permissions(t.airline_staff, t.permission), None),
+        "seat_availability": (bk.seat_availability(t.flight, t.airplane, t.ticket), None),
+        "duplicate_bookings": (bk.duplicate_bookings(t.purchases, t.ticket), None),
+        "integrity_audit": (qa.integrity_audit(t), None),
     }
     staff = dashboard.staff_dashboard(year, t.airline, as_of)
     try:

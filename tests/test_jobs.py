@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import pytest
@@ -75,6 +76,22 @@ def test_nightly_reports(spark):
         assert sorted(map(tuple, a)) == sorted(map(tuple, b)), name
 
 
+def test_nightly_reports_see_what_the_jobs_sold_and_changed(spark):
+    from flightmart.operators.facts import sales_of
+    from flightmart.plans import nightly
+    work = tempfile.mkdtemp(prefix="flightmart-nightly-")
+    root = f"{work}/tables"
+    write_tables(fixtures.load(spark, SF_SMALL), root)
+    jobs.book(spark, root, fixtures.booking_requests(spark, SF_SMALL), f"{work}/book", 0)
+    jobs.change_statuses(spark, root, fixtures.status_changes(spark, SF_SMALL), f"{work}/flight_v2", f"{work}/o36")
+    nightly.run_reports(spark, root, f"{work}/out", fixtures.AS_OF, bookings=f"{work}/book", snapshots={"flight": f"{work}/flight_v2"})
+    sold = spark.read.parquet(f"{work}/book/ticket").count()
+    assert sold > 0 and spark.read.parquet(f"{work}/out/customer_purchase_history").count() == sales_of(read_tables(spark, root)).count() + sold
+    upcoming = spark.read.parquet(f"{work}/flight_v2").filter("flight_status = 'upcoming'").count()
+    assert spark.read.parquet(f"{work}/out/public_upcoming_flights").count() == upcoming
+    assert {"integrity_audit", "seat_availability", "staff_permissions"} <= set(os.listdir(f"{work}/out"))
+
+
 def _sequential_registrations(regs, cust, agents, bids, staff, airlines):
     cust, agents, bids, staff = set(cust), set(agents), set(bids), set(staff)
     out = {}

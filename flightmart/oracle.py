@@ -760,12 +760,11 @@ LEFT JOIN spend s ON s.customer_email = m.customer_email AND s.month_start = m.m
         q[f"{name}_by_buckets"] = q[name]
     q["assign_agents_by_buckets"] = q["assign_agents_to_airline"]
 
-    q["sales_mart_after_batches"] = f"""
-WITH all_purchases AS (SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["customer_purchase_history"]}) h
-                       UNION ALL SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["booking_rows_purchases"]}) n),
-all_tickets AS (SELECT ticket_id, flight_num FROM ({q["customer_purchase_history"]}) h UNION ALL SELECT ticket_id, flight_num FROM ({q["booking_rows_ticket"]}) n)
+    q["sales_mart_after_batches"] = _q(f"""WITH all_purchases AS (SELECT * FROM fm_purchases
+                  UNION ALL SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["booking_rows_purchases"]}) n),
+all_tickets AS (SELECT * FROM fm_ticket UNION ALL SELECT ticket_id, flight_num FROM ({q["booking_rows_ticket"]}) n)
 SELECT p.ticket_id, p.customer_email, p.booking_agent_email, p.p_date, {", ".join(f"f.{c.strip()}" for c in FLIGHT_COLS.split(","))}
-FROM all_purchases p JOIN all_tickets t ON t.ticket_id = p.ticket_id JOIN ({q["apply_flight_status"]}) f ON f.flight_num = t.flight_num"""
+FROM all_purchases p JOIN all_tickets t ON t.ticket_id = p.ticket_id JOIN ({q["apply_flight_status"]}) f ON f.flight_num = t.flight_num""")
 
     q["airline_monthly_chart"] = f"""
 SELECT airline_name, month_start, year(month_start) || '-' || month(month_start) AS month_key,

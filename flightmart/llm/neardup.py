@@ -297,13 +297,15 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
     buckets = written(banded.join(shared, "band").select("band", "node", "n"), "buckets")  # buckets with two classes or more
     nodes = written(buckets.groupBy("node").agg(F.sum("n").alias("degree")).join(classes.select("node", "set_key", "signature", "source"), "node"), "nodes")
     texts = _class_texts(rows, nodes)
-    # the pivot of a bucket: the class with the most company
-    members = buckets.select("band", "node").join(nodes.select("node", "degree", "signature"), "node")
-    pivots = members.groupBy("band").agg(F.max(F.struct("degree", "node", "signature")).alias("top")).select("band", F.col("top.node").alias("pivot"), F.col("top.signature").alias("sig_b"))
-    pairs = members.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("signature").alias("sig_a"), "sig_b")
-    likely = written(pairs.dropDuplicates(["a", "b"]).mapInArrow(_estimates(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+    # the pivot of a bucket: the class with the most company; a pair of many bands is one pair before signatures join it
+    members = buckets.select("band", "node").join(nodes.select("node", "degree"), "node")
+    pivots = members.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("pivot"))
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    signed = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
+              .join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b"))
+    likely = written(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates(threshold), "a long, b long"), "likely")
     labels = nodes.select("node", F.col("node").alias("label"))
-    sets = (likely.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    sets = (likely.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").hint("merge")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
     labels = _spread(labels, written(sets.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, numerator, denominator), "a long, b long"), "confirmed"))
     # buckets whose classes, without the pivot that has been compared with all, are in several components
@@ -323,7 +325,8 @@ def components(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: in
 
 def _class_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): a text for each class that has candidates, written once."""
-    wanted = nodes.select("node", F.coalesce("source.doc_id", F.lit(0)).alias("k1"), "source.text_hash")
+    # nodes grow with the rows: the same join at every size, also where they would be few enough to broadcast
+    wanted = nodes.select("node", F.coalesce("source.doc_id", F.lit(0)).alias("k1"), "source.text_hash").hint("merge")
     return written(rows.join(wanted, ["k1", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
@@ -338,5 +341,5 @@ def first_of_components(docs: DataFrame, k: int = 5, numerator: int = 80, denomi
     chosen = chosen.select(F.coalesce("first.doc_id", F.lit(0)).alias("k1"), F.col("first.text_hash").alias("k2"))
     rows = packed(docs)
     wordless = F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    one = rows.where(~wordless).join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    one = rows.where(~wordless).join(chosen.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     return one.select("row.*").unionByName(rows.where(wordless).select("row.*"))

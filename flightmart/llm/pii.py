@@ -221,7 +221,8 @@ def redact(docs: DataFrame, label: str = "[{}]") -> DataFrame:
     head, tail = label.split("{}")
     pieces = F.transform("cuts", lambda c, i: F.concat(text.substr((before(i) + 1).cast("int"), (c["start"] - before(i)).cast("int")), F.lit(head), c["kind"], F.lit(tail)))
     rest = text.substr((F.element_at("cuts", -1)["end"] + 1).cast("int"), F.char_length(text))
-    joined = packed(docs).join(cuts, ["k1", "k2"], "left").withColumn("new", F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(pieces, ""), rest)))
+    # cuts grow with the rows: the same join at every size, also where they would be few enough to broadcast
+    joined = packed(docs).join(cuts.hint("merge"), ["k1", "k2"], "left").withColumn("new", F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(pieces, ""), rest)))
     changed = {"text": F.coalesce("new", text)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(F.char_length("new").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))

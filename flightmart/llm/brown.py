@@ -1,30 +1,31 @@
 """Class-based n-gram scores of documents, after Brown et al.
 
 1. Words are counted over all training texts, one row per word.
-2. The ``HEAD`` most frequent words that occur twice (a fixed bound) are known
-   to every task; of these the ``CORE`` most frequent are clustered, the others
-   form one class for each power of two of their rank, and all rarer words, the
-   unknown included, one class more.
-3. Bigrams of core words and of those classes are counted over all training
-   texts (at most the square of their number) and the core words are exchanged
-   between ``CLASSES`` classes until no move raises the likelihood.  Words beyond
-   the core are not exchanged: this is less than the whole method, see README.
+2. The most frequent words (``HEAD`` at most, a fixed bound, none of them seen
+   once) get numbers that every task knows; texts are written once as numbers.
+   All rarer words stay in tables and are joined by shuffle: none of them is hot.
+3. Exchange clustering into ``CLASSES`` classes, by the likelihood of the bigrams:
+   the ``CORE`` most frequent words one by one until no move raises it; then all
+   head words in batches, each word to the class that its neighbours' classes,
+   counted in Spark, make likeliest, for as long as the likelihood rises; then
+   every rarer word that occurs twice or more, likewise, in one batch.  Words
+   seen once share a class with the unknown ones, so that it tells where these occur.
 4. A text's probability is the product, over its tokens and an end, of the
    transition from class to class and the emission of the word by its class,
-   both smoothed.  The counts of rare words are joined by shuffle: each is
-   rare, so none is hot, and the table of all words is nowhere held whole.
+   both smoothed.
 
 Defined results.  Null or empty text: the end alone.  Null doc_id: held out, as
 the checksum of the empty string is 0.  Repeated rows: each counts and is
 scored.  Very long texts: read whole.  Words of equal frequency: ranked by
-their bytes.  No training texts: nothing is known, all probabilities come from
-smoothing.  Empty table: no rows.  Other columns are ignored.
+their bytes; those that share the frequency at which the head is full are all
+left to the tables.  No training texts: nothing is known, all probabilities
+come from smoothing.  Empty table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,10 +38,14 @@ from flightmart.llm.common import python_batches, written
 
 HEAD = 1 << 18
 CORE = 1 << 11
-CLASSES = 64
+CLASSES = 64  # 127 at most: a neighbour's side and class share a byte
+LEAST_RISE = 2e-3  # batches end when one raises the log-likelihood by less than this per token
 ADD = 0.1  # smoothing of word counts
 CLASS_MIX = 5.0  # weight of a class's overall share in a transition
 END = b""  # no word is empty
+_PENDING = 1_000_000  # tokens that a task counts at once
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -48,7 +53,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Batches) -> Batches:
     seen: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
@@ -67,73 +72,115 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Vocabulary:
-    """The head words, most frequent first, their counts, and the corpus's numbers of tokens and of different tokens."""
+class Head:
+    """The numbered words: the end first, then the most frequent ones; any other word has the number ``len(words)``."""
 
-    head: list[bytes]
+    words: list[bytes]
     counts: np.ndarray
-    n_tokens: int
+    n_tokens: int  # of the whole training corpus
     n_words: int
-    core: int = CORE
-    limit: int = HEAD
     number: dict[bytes, int] = field(default_factory=dict)
 
-    def numbers(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of the text's words and the end; ``len(head)`` for rarer words, which are returned too."""
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
         if not self.number:
-            self.number = {w: i for i, w in enumerate(self.head)}
-        tokens = words(text)
-        tokens.append(END)
-        rare = len(self.head)
-        got = np.fromiter((self.number.get(w, rare) for w in tokens), np.int64, len(tokens))
-        return got, [tokens[i] for i in np.flatnonzero(got == rare)]
-
-    def symbols(self) -> np.ndarray:
-        """Symbol of each number: core words stand for themselves, the rest for their class."""
-        n = np.arange(len(self.head) + 1)
-        bands = self.core + np.log2(np.maximum(n, self.core) // self.core).astype(np.int64)
-        out = np.where(n < self.core, n, bands)
-        out[-1] = self.n_symbols() - 1
-        return out
-
-    def n_symbols(self) -> int:
-        return self.core + int(np.log2(self.limit // self.core)) + 1
-
-
-def _bigrams(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, size = shared.value, shared.value.n_symbols()
-        symbol, total, held, pending = vocabulary.symbols(), None, [], 0
-        end = symbol[vocabulary.head.index(END)] if END in vocabulary.head else size - 1
-
-        def add() -> None:
-            nonlocal total, held, pending
-            got = np.bincount(np.concatenate(held), minlength=size * size)
-            total = got if total is None else total + got
-            held, pending = [], 0
+            self.number = {w: i for i, w in enumerate(self.words)}
+        return np.fromiter((self.number.get(w, len(self.words)) for w in tokens), np.int32, len(tokens))
+
+
+def head_of(counts: DataFrame, size: int) -> Head:
+    """The words of the greatest frequencies, as many frequencies as ``size`` words allow."""
+    totals = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("word") == END, F.col("n")))).first()
+    # a row per different frequency: fewer than the square root of twice the tokens
+    steps = counts.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().sort_by([("n", "descending")])
+    fits = np.cumsum(steps.column("words").to_numpy()) <= size
+    least = int(steps.column("n").to_numpy()[fits][-1]) if fits.any() else None
+    rest = counts.where((F.col("n") >= least) & (F.col("word") != END)) if least else counts.where("false")
+    found = rest.toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # ``size`` rows at most
+    return Head([END, *found.column("word").to_pylist()], np.concatenate([[totals[2] or 0], found.column("n").to_numpy()]).astype(np.int64), totals[0] or 0, totals[1])
+
 
+_CODED = ("key long, doc_id long, held_out boolean, n_tokens long, n_known long, log_n double, numbers binary, rare array<struct<pos: int, word: binary>>")
+
+
+def _encode(shared: Broadcast):
+    def run(batches: Batches) -> Batches:
+        head: Head = shared.value
+        log_n, known, beyond = np.append(np.log10(head.counts + ADD), 0.0), np.append(head.counts > 0, False), len(head.words)
+        first = TaskContext.get().partitionId() << 40
         for batch in python_batches(batches):
+            held, at, rare, upto = [], [], [], [0]
             for text in batch.column("text").to_pylist():
-                s = symbol[vocabulary.numbers(text)[0]]
-                held.append(np.concatenate([[end], s[:-1]]) * size + s)
-                pending += len(s)
-            if pending > 2_000_000:
-                add()
-        if held:
-            add()
-        if total is not None:
-            at = np.flatnonzero(total)
-            for k in range(0, len(at), 1 << 18):
-                part = at[k:k + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
+                tokens = words(text)
+                tokens.append(END)
+                got = head.numbers(tokens)
+                places = np.flatnonzero(got == beyond)
+                held.append(got), at.append(places), rare.extend(tokens[i] for i in places)
+                upto.append(len(rare))
+            struct = pa.StructArray.from_arrays([pa.array(np.concatenate(at).astype(np.int32)) if at else pa.array([], pa.int32()), pa.array(rare, pa.binary())], names=["pos", "word"])
+            keys = pa.array(range(first, first + batch.num_rows), pa.int64())
+            first += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [keys, batch.column("doc_id"), batch.column("held_out"), pa.array(map(len, held), pa.int64()), pa.array([int(known[x].sum()) for x in held], pa.int64()),
+                 pa.array([float(log_n[x].sum()) for x in held], pa.float64()), pa.array([x.astype("<i4").tobytes() for x in held], pa.binary()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), struct)],
+                names=["key", "doc_id", "held_out", "n_tokens", "n_known", "log_n", "numbers", "rare"])
+
+    return run
+
+
+def _streams(batches: Batches, column: str, kind: str) -> Iterator[np.ndarray]:
+    """The values of whole texts one after another.  Each text ends with the end, which is also what comes before its first word."""
+    held, pending = [], 0
+    for batch in python_batches(batches):
+        for raw in batch.column(column):
+            held.append(np.frombuffer(raw.as_buffer(), kind))
+            pending += len(held[-1])
+        if pending > _PENDING:
+            yield np.concatenate(held)
+            held, pending = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _pair_rows(total: np.ndarray) -> Batches:
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 1 << 18):
+        part = at[k:k + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
+
+
+def _pairs(shared: Broadcast, size: int, column: str, kind: str):
+    """Counts of neighbours under a map of the values to 0..size-1, as ``left * size + right``."""
+
+    def run(batches: Batches) -> Batches:
+        of, total, end = shared.value, np.zeros(size * size, np.int64), None
+        for s in _streams(batches, column, kind):
+            c = of[s].astype(np.int64)
+            end = c[-1]
+            total += np.bincount(np.concatenate([[end], c[:-1]]) * size + c, minlength=size * size)
+        if end is not None:
+            yield from _pair_rows(total)
 
     return run
 
 
+def _pair_table(rows: DataFrame, of: np.ndarray, size: int, column: str = "numbers", kind: str = "<i4") -> np.ndarray:
+    """Counts of neighbours as a matrix; a row per pair, ``size`` squared at most, comes to the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(of)
+    found = rows.select(column).mapInArrow(_pairs(shared, size, column, kind), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * size)
+    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(size, size)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the bigrams under the class model, but for the words' own counts, which no move changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
 def exchange(bigrams: np.ndarray, core: int, classes: int) -> np.ndarray:
     """Class of each symbol.  The first ``core`` symbols are moved between ``classes`` classes; the others keep one each.
 
@@ -183,58 +230,193 @@ def exchange(bigrams: np.ndarray, core: int, classes: int) -> np.ndarray:
     return of
 
 
+def _preference(table: np.ndarray) -> np.ndarray:
+    """What one more bigram of two classes adds to the log-likelihood, to first order."""
+    return np.log(table + ADD) - np.log(table.sum(1) + ADD)[:, None] - np.log(table.sum(0) + ADD)[None, :]
+
+
+def best_class(neighbours: np.ndarray, preference: np.ndarray) -> np.ndarray:
+    """The likeliest class of each word (row), by how often each class stands before and after it; never the last class."""
+    k = len(preference)
+    return np.argmax(neighbours[:, :k] @ preference[:, :k - 1] + neighbours[:, k:] @ preference[:k - 1].T, axis=1)
+
+
+def _neighbours(shared: Broadcast):
+    """Rows (number, code, n) for the words that may move; code: the class before, or k + the class after."""
+
+    def run(batches: Batches) -> Batches:
+        of, moving, k = shared.value
+        for s in _streams(batches, "numbers", "<i4"):
+            right, left = s.astype(np.int64), np.concatenate([[0], s[:-1]]).astype(np.int64)
+            a, b = moving[right], moving[left]
+            keys, n = np.unique(np.concatenate([right[a] * 2 * k + of[left[a]], left[b] * 2 * k + k + of[right[b]]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((keys // (2 * k)).astype(np.int32)), pa.array((keys % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["number", "code", "n"])
+
+    return run
+
+
+def _choose(preference: np.ndarray):
+    """Rows (number, class) from all rows of a number; a task holds its share of the head words' neighbour counts."""
+
+    def run(batches: Batches) -> Batches:
+        row: dict[int, int] = {}
+        counts = np.zeros((1024, 2 * len(preference)))
+        for batch in batches:
+            number, code, n = (batch.column(c).to_numpy() for c in ("number", "code", "n"))
+            different, where = np.unique(number, return_inverse=True)
+            at = np.array([row.setdefault(int(x), len(row)) for x in different], np.int64)
+            while len(row) > len(counts):
+                counts = np.concatenate([counts, np.zeros_like(counts)])
+            np.add.at(counts, (at[where], code), n)
+        if row:
+            yield pa.RecordBatch.from_arrays([pa.array(list(row), pa.int32()), pa.array(best_class(counts[:len(row)], preference).astype(np.int32))], names=["number", "class"])
+
+    return run
+
+
+def exchange_in_batches(training: DataFrame, of: np.ndarray, classes: int, core: int, least_rise: float = LEAST_RISE) -> tuple[np.ndarray, np.ndarray]:
+    """(class by number, counts of neighbouring classes): head words are moved in batches while the likelihood rises.
+
+    The first batch places the words beyond the core; after that, each is one half
+    of all words in turn, so that neighbours do not change places at once.
+    """
+    spark, k, turn = training.sparkSession, classes + 1, 0
+    numbers = np.arange(len(of))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = _pair_table(training, of, k)
+    idle = 0
+    while table.any() and idle < 2:
+        moving = numbers >= core if turn == 0 else (numbers * 2654435761 >> 16) % 2 == turn % 2
+        moving[-1] = False  # all rarer words
+        shared = spark.sparkContext.broadcast((of.astype(np.int64), moving, k))
+        chosen = (training.select("numbers").mapInArrow(_neighbours(shared), "number int, code int, n long")
+                  .repartition(parts, "number").mapInArrow(_choose(_preference(table)), "number int, class int").toArrow())  # a row per head word at most
+        moved = of.copy()
+        moved[chosen.column("number").to_numpy()] = chosen.column("class").to_numpy()
+        after = _pair_table(training, moved, k)
+        rise = likelihood(after) - likelihood(table)
+        if rise > 0:
+            of, table = moved, after
+        idle = 0 if rise >= least_rise * table.sum() else idle + 1
+        turn += 1
+    return of, table
+
+
+def _rare_neighbours(shared: Broadcast):
+    """Rows (word, codes): a byte for each neighbour of the rarer words, as in ``_neighbours``."""
+
+    def run(batches: Batches) -> Batches:
+        of, k = shared.value
+        seen: dict[bytes, bytearray] = {}
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(map(bytes, seen.values())), pa.binary())], names=["word", "codes"])
+            seen.clear()
+            return batch
+
+        for batch in python_batches(batches):
+            for raw, rare in zip(batch.column("numbers"), batch.column("rare"), strict=True):
+                if len(rare.values):
+                    c = of[np.frombuffer(raw.as_buffer(), "<i4")]
+                    at = rare.values.field("pos").to_numpy()
+                    codes = np.stack([c[at - 1], k + c[at + 1]], axis=1).astype(np.uint8).tobytes()  # the last is the end, which also stands before the first
+                    for i, word in enumerate(rare.values.field("word").to_pylist()):
+                        if (found := seen.get(word)) is None:
+                            found = seen[word] = bytearray()
+                        found += codes[2 * i:2 * i + 2]
+            if len(seen) > 200_000:
+                yield rows()
+        if seen:
+            yield rows()
+
+    return run
+
+
+def _place(preference: np.ndarray):
+    def run(batches: Batches) -> Batches:
+        width = 2 * len(preference)
+        for batch in python_batches(batches, 2048):
+            lists = batch.column("codes")
+            codes = [b"".join(x) for x in lists.to_pylist()]
+            sizes = np.array([len(x) for x in codes], np.int64)
+            counts = np.bincount(np.repeat(np.arange(len(codes)), sizes) * width + np.frombuffer(b"".join(codes), np.uint8), minlength=len(codes) * width)
+            often = np.flatnonzero(sizes > 2)  # two neighbours for each occurrence
+            chosen = best_class(counts.reshape(-1, width)[often].astype(float), preference).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(often)), pa.array(chosen)], names=["word", "class"])
+
+    return run
+
+
 @dataclass
-class Model:
-    vocabulary: Vocabulary
-    of: np.ndarray  # class by word number; the last is that of all rarer words
-    transition: np.ndarray  # log10 P(class | class before)
-    log_base: np.ndarray  # by word number: log10 of the unigram probability; 0 for rarer words
-    log_emit: np.ndarray  # by word number: log10 P(word | class); 0 for rarer words
-    end_class: int
-    rare_total: float  # count of rarer words, smoothed: the divisor of their emission
-    base_total: float
-
-
-def _model(vocabulary: Vocabulary, bigrams: np.ndarray, classes: int) -> Model:
-    size, symbol = vocabulary.n_symbols(), vocabulary.symbols()
-    of_symbol = exchange(bigrams, vocabulary.core, classes)
-    k = classes + size - vocabulary.core
-    table = np.zeros((k, k))
-    np.add.at(table, (of_symbol[:, None], of_symbol[None, :]), bigrams)
-    of = of_symbol[symbol]
-    rare_n = vocabulary.n_tokens - int(vocabulary.counts.sum())
-    count = np.bincount(of[:-1], weights=vocabulary.counts, minlength=k)
-    different = np.bincount(of[:-1], minlength=k)
-    count[-1] += rare_n
-    different[-1] += vocabulary.n_words - len(vocabulary.head)
-    share = (count + ADD) / (count.sum() + ADD * k)
+class Clustering:
+    """Class of each head word by its number (the last: of all that have no other) and, as a table (word, class), of rarer words."""
+
+    head: Head
+    counts: DataFrame
+    coded: DataFrame
+    of: np.ndarray
+    rarer: DataFrame
+    classes: int
+
+
+def cluster(docs: DataFrame, held_out: Column, head_size: int = HEAD, core: int = CORE, classes: int = CLASSES) -> Clustering:
+    """Cluster the words of the rows for which ``held_out`` is false; ``coded`` holds all rows, ready to be scored."""
+    if not 1 <= classes <= 127:
+        raise ValueError("classes must be 1 to 127")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
+    counts = written(rows.where("NOT held_out").select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    head = head_of(counts, head_size)
+    coded = written(rows.mapInArrow(_encode(spark.sparkContext.broadcast(head)), _CODED), "coded")
+    training = coded.where("NOT held_out")
+    core, rest = min(core, len(head.words)), classes
+    symbols = np.minimum(np.arange(len(head.words) + 1), core)
+    of = np.full(len(symbols), rest)
+    of[:core] = exchange(_pair_table(training, symbols, core + 1), core, classes)[:core]
+    of, table = exchange_in_batches(training, of, classes, core)
+    codes = training.select("numbers", "rare").where("size(rare) > 0").mapInArrow(_rare_neighbours(spark.sparkContext.broadcast((of, classes + 1))), "word binary, codes binary")
+    # a rarer word's neighbours: two bytes for each of its occurrences
+    rarer = written(codes.groupBy("word").agg(F.collect_list("codes").alias("codes")).mapInArrow(_place(_preference(table)), "word binary, class int"), "rarer")
+    return Clustering(head, counts, coded, of, rarer, classes)
+
+
+_FILLED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_n double, classes binary"
+
+
+def _fill(shared: Broadcast):
+    """The class of every token: of the head words by number, of the rarer ones from ``filled``."""
+
+    def run(batches: Batches) -> Batches:
+        of = shared.value.astype(np.uint8)
+        for batch in python_batches(batches):
+            out = []
+            for raw, found in zip(batch.column("numbers"), batch.column("filled"), strict=True):
+                c = of[np.frombuffer(raw.as_buffer(), "<i4")]
+                if found.is_valid:
+                    c[found.values.field("pos").to_numpy()] = found.values.field("class").to_numpy()
+                out.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "log_n")), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "log_n", "classes"])
+
+    return run
+
+
+def model(table: np.ndarray, different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P(class | class before), log10 of the divisor of a word's smoothed count in its class)."""
+    count = table.sum(0)
+    share = (count + ADD) / (count.sum() + ADD * len(count))
     transition = np.log10((table + CLASS_MIX * share) / (table.sum(axis=1, keepdims=True) + CLASS_MIX))
-    emit_total = count + ADD * (different + 1)
-    base_total = vocabulary.n_tokens + ADD * (vocabulary.n_words + 1)
-    known = vocabulary.counts + ADD
-    end = vocabulary.head.index(END) if END in vocabulary.head else -1
-    return Model(vocabulary, of, transition, np.append(np.log10(known / base_total), 0.0), np.append(np.log10(known / emit_total[of[:-1]]), 0.0),
-                 int(of[end]), float(emit_total[-1]), float(base_total))
-
-
-def _score(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        rare_number, first = len(model.vocabulary.head), TaskContext.get().partitionId() << 40
-        rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    return transition, np.log10(count + ADD * (different + 1))
+
+
+def _score(shared: Broadcast) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        transition, divisor = shared.value
         for batch in python_batches(batches):
-            n, known, base, score, rare = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                got, beyond = model.vocabulary.numbers(text)
-                c = model.of[got]
-                n.append(len(got)), known.append(len(got) - len(beyond)), base.append(float(model.log_base[got].sum()))
-                score.append(float(model.log_emit[got].sum() + model.transition[np.concatenate([[model.end_class], c[:-1]]), c].sum()))
-                rare.append([{"word": w, "times": t} for w, t in Counter(beyond).items()])
-            keys = pa.array(range(first, first + batch.num_rows), pa.int64())
-            first += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [keys, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, rare_kind)],
-                names=["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            out = []
+            for raw, log_n in zip(batch.column("classes"), batch.column("log_n").to_pylist(), strict=True):
+                c = np.frombuffer(raw.as_buffer(), np.uint8)
+                out.append(float(transition[np.concatenate([c[-1:], c[:-1]]), c].sum() - divisor[c].sum()) + log_n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "log_n")), pa.array(out, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "log_n", "score"])
 
     return run
 
@@ -247,25 +429,21 @@ def scores(docs: DataFrame, held_out: Column, head_size: int = HEAD, core: int =
     words, score by the class model.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    training = rows.where("NOT held_out").select("text")
-    counts = written(training.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    # words seen once stand with the rare ones, so that their class tells where unknown words occur
-    head = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(head_size).toArrow()  # a fixed number of rows
-    vocabulary = Vocabulary(head.column("word").to_pylist(), head.column("n").to_numpy(), totals[0] or 0, totals[1], core, head_size)
-    pairs = training.mapInArrow(_bigrams(spark.sparkContext.broadcast(vocabulary)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(vocabulary.n_symbols() ** 2)
-    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    model = _model(vocabulary, bigrams.reshape(vocabulary.n_symbols(), -1), classes)
-    scored = written(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)),
-                                     "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, times: long>>"), "scored")
-    beyond = scored.select("key", F.inline("rare")).join(counts, "word", "left")
-    smoothed = F.coalesce("n", F.lit(0)) + ADD
-    rare = beyond.groupBy("key").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known"), F.sum(F.col("times") * F.log10(smoothed / model.base_total)).alias("base"),
-        F.sum(F.col("times") * F.log10(smoothed / model.rare_total)).alias("emit"))
-    zero = F.lit(0)
-    return scored.drop("rare").join(rare, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"), F.lit(vocabulary.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"), (F.col("score") + F.coalesce("emit", zero)).alias("score"))
+    found = cluster(docs, held_out, head_size, core, classes)
+    head, rest, k, zero = found.head, found.classes, found.classes + 1, F.lit(0)
+    # the same joins at every size: both sides grow with the rows
+    rare = (found.coded.select("key", F.inline("rare")).join(found.counts.hint("merge"), "word", "left").join(found.rarer.hint("merge"), "word", "left")
+            .groupBy("key").agg(F.count_if(F.col("n") > 0).alias("rare_known"), F.sum(F.log10(F.coalesce("n", zero) + ADD)).alias("rare_log_n"),
+                                F.collect_list(F.struct("pos", F.coalesce("class", F.lit(rest)).cast("int").alias("class"))).alias("filled")))
+    joined = found.coded.drop("rare").join(rare.hint("merge"), "key", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", zero)).alias("n_known"), (F.col("log_n") + F.coalesce("rare_log_n", zero)).alias("log_n"), "numbers", "filled")
+    filled = written(joined.mapInArrow(_fill(spark.sparkContext.broadcast(found.of)), _FILLED), "filled")
+    table = _pair_table(filled.where("NOT held_out"), np.arange(k), k, "classes", "u1")
+    different = np.bincount(found.of[:-1], minlength=k)
+    for row in found.rarer.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per class
+        different[row["class"]] += row["n"]
+    different[rest] += max(head.n_words - int(different.sum()), 0)
+    base_total = float(np.log10(head.n_tokens + ADD * (head.n_words + 1)))
+    scored = filled.mapInArrow(_score(spark.sparkContext.broadcast(model(table, different))), "doc_id long, held_out boolean, n_tokens long, n_known long, log_n double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(head.n_tokens).cast("long").alias("train_tokens"),
+                         (F.col("log_n") - F.col("n_tokens") * base_total).alias("base_score"), "score")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flightmart.llm import brown, langid, url_filter
@@ -93,6 +94,63 @@ def test_class_score_edges(edge, none):
     assert brown.scores(none, F.lit(False)).collect() == []
 
 
+def test_class_scores_by_plain_model(docs):
+    """Every word seen twice has a class; rarer words stand where their neighbours' classes put them; scores follow from the classes."""
+    k, add, mix = 6, brown.ADD, brown.CLASS_MIX
+    held = F.col("doc_id") % 4 == 0
+    found = brown.cluster(docs, held, head_size=400, core=40, classes=k)
+    texts = [(r["doc_id"], [w.encode() if w is not None else b"" for w in tokens(r["text"])]) for r in docs.select("doc_id", "text").collect()]
+    train = [t for i, t in texts if i % 4]
+    counts = Counter(w for t in train for w in t)
+    head = dict(zip(found.head.words, found.of.tolist(), strict=False))
+    rarer = {bytes(r["word"]): r["class"] for r in found.rarer.collect()}
+    assert 300 < len(head) <= 401 and not head.keys() & rarer.keys() and all(counts[w] == n for w, n in zip(found.head.words, found.head.counts, strict=True))
+    assert head.keys() | rarer.keys() == {w for w, n in counts.items() if n > 1} and max(*head.values(), *rarer.values()) < k
+
+    def table_of(of):
+        table = np.zeros((k + 1, k + 1))
+        for t in train:
+            for a, b in zip([b"", *t], t, strict=False):
+                table[of(a), of(b)] += 1
+        return table
+
+    by_head = table_of(lambda w: head.get(w, k))
+    gain = np.log(by_head + add) - np.log(by_head.sum(1) + add)[:, None] - np.log(by_head.sum(0) + add)[None, :]
+    worth = {w: np.zeros(k) for w in rarer}
+    for t in train:
+        for a, w, b in zip([b"", *t], t, [*t[1:], None], strict=False):
+            if w in rarer:
+                worth[w] += gain[head.get(a, k), :k] + gain[:k, head.get(b, k)]
+    assert all(worth[w][c] >= worth[w].max() - 1e-9 for w, c in rarer.items())
+
+    def of(w):
+        return head.get(w, rarer.get(w, k))
+
+    table = table_of(of)
+    count, different = table.sum(0), np.bincount([of(w) for w in counts], minlength=k + 1)
+    share = (count + add) / (count.sum() + add * (k + 1))
+    plain = {}
+    for i, t in texts:
+        total = 0.0
+        for a, w in zip([b"", *t], t, strict=False):
+            c = of(w)
+            total += math.log10((table[of(a), c] + mix * share[c]) / (table[of(a)].sum() + mix)) + math.log10((counts[w] + add) / (count[c] + add * (different[c] + 1)))
+        plain[i] = total
+    for r in brown.scores(docs, held, head_size=400, core=40, classes=k).collect():
+        assert math.isclose(r["score"], plain[r["doc_id"]], rel_tol=1e-9)
+
+
+def test_batches_raise_the_likelihood(docs):
+    found = brown.cluster(docs, F.lit(False), head_size=400, core=40, classes=6)
+    symbols = np.minimum(np.arange(len(found.of)), 40)
+    start = np.full(len(found.of), 6)
+    start[:40] = brown.exchange(brown._pair_table(found.coded, symbols, 41), 40, 6)[:40]
+    first, last = (brown.likelihood(brown._pair_table(found.coded, of, 7)) for of in (start, found.of))
+    assert last > first
+    with pytest.raises(ValueError):
+        brown.cluster(docs, F.lit(False), classes=128)
+
+
 def test_rare_words_are_joined_alike(docs):
     """With a tiny head nearly all words go the shuffled way; known counts and base scores stay the same."""
     held = F.col("doc_id") % 5 == 0

@@ -27,9 +27,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ LEAST_RISE = 2e-3  # batches end when one raises the log-likelihood by less than
 ADD = 0.1  # smoothing of word counts
 CLASS_MIX = 5.0  # weight of a class's overall share in a transition
 END = b""  # no word is empty
-_PENDING = 1_000_000  # tokens that a task counts at once
+_PENDING = 2_000_000  # tokens that a task counts at once
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -84,7 +86,7 @@ class Head:
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         if not self.number:
             self.number = {w: i for i, w in enumerate(self.words)}
-        return np.fromiter((self.number.get(w, len(self.words)) for w in tokens), np.int32, len(tokens))
+        return np.fromiter(map(self.number.get, tokens, repeat(len(self.words))), np.int32, len(tokens))
 
 
 def head_of(counts: DataFrame, size: int) -> Head:
@@ -127,12 +129,25 @@ def _encode(shared: Broadcast):
     return run
 
 
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array, and where each row's begin."""
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind), (at[:-1] - at[0]) // np.dtype(kind).itemsize
+
+
+def _places(starts: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Places in the flat values of all structs of a list column by their ``pos``, and the structs."""
+    sizes, found = pc.fill_null(lists.value_lengths(), 0).to_numpy(), lists.flatten()
+    return np.repeat(starts, sizes) + found.field("pos").to_numpy(), found
+
+
 def _streams(batches: Batches, column: str, kind: str) -> Iterator[np.ndarray]:
     """The values of whole texts one after another.  Each text ends with the end, which is also what comes before its first word."""
     held, pending = [], 0
-    for batch in python_batches(batches):
-        for raw in batch.column(column):
-            held.append(np.frombuffer(raw.as_buffer(), kind))
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_flat(batch.column(column), kind)[0])
             pending += len(held[-1])
         if pending > _PENDING:
             yield np.concatenate(held)
@@ -241,35 +256,53 @@ def best_class(neighbours: np.ndarray, preference: np.ndarray) -> np.ndarray:
     return np.argmax(neighbours[:, :k] @ preference[:, :k - 1] + neighbours[:, k:] @ preference[:k - 1].T, axis=1)
 
 
-def _neighbours(shared: Broadcast):
-    """Rows (number, code, n) for the words that may move; code: the class before, or k + the class after."""
+def _neighbours(shared: Broadcast, parts: int):
+    """Rows (part, keys, counts) for the words that may move, a part of the words in each.
+
+    Key: number // parts * 2k + code; code: the class before, or k + the class after.
+    """
 
     def run(batches: Batches) -> Batches:
         of, moving, k = shared.value
+        width = 2 * k
+        room = (len(of) // parts + 1) * width  # keys of a part
+        base = np.arange(len(of)) % parts * room + np.arange(len(of)) // parts * width
+        kind = np.int32 if parts * room < 1 << 31 else np.int64
+        base, of = base.astype(kind), of.astype(kind)
         for s in _streams(batches, "numbers", "<i4"):
-            right, left = s.astype(np.int64), np.concatenate([[0], s[:-1]]).astype(np.int64)
-            a, b = moving[right], moving[left]
-            keys, n = np.unique(np.concatenate([right[a] * 2 * k + of[left[a]], left[b] * 2 * k + k + of[right[b]]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((keys // (2 * k)).astype(np.int32)), pa.array((keys % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["number", "code", "n"])
+            left = np.concatenate([s[:1] * 0, s[:-1]])
+            a, b = moving[s], moving[left]
+            keys, n = np.unique(np.concatenate([base[s[a]] + of[left[a]], base[left[b]] + (of[s[b]] + kind(k))]), return_counts=True)
+            edge = np.searchsorted(keys, np.arange(parts + 1, dtype=np.int64) * room)
+            keys = (keys % room).astype("<u4")
+            rows = [p for p in range(parts) if edge[p] < edge[p + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int32()), *(pa.array([x[edge[p]:edge[p + 1]].tobytes() for p in rows], pa.binary()) for x in (keys, n.astype("<u4")))], names=["part", "keys", "counts"])
 
     return run
 
 
-def _choose(preference: np.ndarray):
-    """Rows (number, class) from all rows of a number; a task holds its share of the head words' neighbour counts."""
+def _choose(preference: np.ndarray, parts: int, words: int):
+    """Rows (number, class) from all rows of a part; a task holds the neighbour counts of one part at a time."""
 
     def run(batches: Batches) -> Batches:
-        row: dict[int, int] = {}
-        counts = np.zeros((1024, 2 * len(preference)))
+        width = 2 * len(preference)
+        counts, part = None, None
+
+        def rows() -> pa.RecordBatch:
+            table = counts.reshape(-1, width)
+            local = np.flatnonzero(table.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array((local * parts + part).astype(np.int32)), pa.array(best_class(table[local], preference).astype(np.int32))], names=["number", "class"])
+
         for batch in batches:
-            number, code, n = (batch.column(c).to_numpy() for c in ("number", "code", "n"))
-            different, where = np.unique(number, return_inverse=True)
-            at = np.array([row.setdefault(int(x), len(row)) for x in different], np.int64)
-            while len(row) > len(counts):
-                counts = np.concatenate([counts, np.zeros_like(counts)])
-            np.add.at(counts, (at[where], code), n)
-        if row:
-            yield pa.RecordBatch.from_arrays([pa.array(list(row), pa.int32()), pa.array(best_class(counts[:len(row)], preference).astype(np.int32))], names=["number", "class"])
+            for at, keys, n in zip(*(batch.column(c) for c in ("part", "keys", "counts")), strict=True):
+                if at.as_py() != part:
+                    if part is not None:
+                        yield rows()
+                    part, counts = at.as_py(), np.zeros((words // parts + 1) * width)
+                counts[np.frombuffer(keys.as_buffer(), "<u4")] += np.frombuffer(n.as_buffer(), "<u4")  # no key twice in a row
+        if part is not None:
+            yield rows()
 
     return run
 
@@ -289,8 +322,8 @@ def exchange_in_batches(training: DataFrame, of: np.ndarray, classes: int, core:
         moving = numbers >= core if turn == 0 else (numbers * 2654435761 >> 16) % 2 == turn % 2
         moving[-1] = False  # all rarer words
         shared = spark.sparkContext.broadcast((of.astype(np.int64), moving, k))
-        chosen = (training.select("numbers").mapInArrow(_neighbours(shared), "number int, code int, n long")
-                  .repartition(parts, "number").mapInArrow(_choose(_preference(table)), "number int, class int").toArrow())  # a row per head word at most
+        chosen = (training.select("numbers").mapInArrow(_neighbours(shared, parts), "part int, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+                  .mapInArrow(_choose(_preference(table), parts, len(of)), "number int, class int").toArrow())  # a row per head word at most
         moved = of.copy()
         moved[chosen.column("number").to_numpy()] = chosen.column("class").to_numpy()
         after = _pair_table(training, moved, k)
@@ -307,23 +340,20 @@ def _rare_neighbours(shared: Broadcast):
 
     def run(batches: Batches) -> Batches:
         of, k = shared.value
-        seen: dict[bytes, bytearray] = {}
+        seen: dict[bytes, bytes] = {}
 
         def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(map(bytes, seen.values())), pa.binary())], names=["word", "codes"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["word", "codes"])
             seen.clear()
             return batch
 
         for batch in python_batches(batches):
-            for raw, rare in zip(batch.column("numbers"), batch.column("rare"), strict=True):
-                if len(rare.values):
-                    c = of[np.frombuffer(raw.as_buffer(), "<i4")]
-                    at = rare.values.field("pos").to_numpy()
-                    codes = np.stack([c[at - 1], k + c[at + 1]], axis=1).astype(np.uint8).tobytes()  # the last is the end, which also stands before the first
-                    for i, word in enumerate(rare.values.field("word").to_pylist()):
-                        if (found := seen.get(word)) is None:
-                            found = seen[word] = bytearray()
-                        found += codes[2 * i:2 * i + 2]
+            numbers, starts = _flat(batch.column("numbers"), "<i4")
+            c = of[numbers]
+            at, found = _places(starts, batch.column("rare"))
+            codes = np.stack([c[at - 1], k + c[at + 1]], axis=1).astype(np.uint8).tobytes()  # the last is the end, which also stands before the first
+            for i, word in enumerate(found.field("word").to_pylist()):
+                seen[word] = seen.get(word, b"") + codes[2 * i:2 * i + 2]
             if len(seen) > 200_000:
                 yield rows()
         if seen:
@@ -389,12 +419,11 @@ def _fill(shared: Broadcast):
     def run(batches: Batches) -> Batches:
         of = shared.value.astype(np.uint8)
         for batch in python_batches(batches):
-            out = []
-            for raw, found in zip(batch.column("numbers"), batch.column("filled"), strict=True):
-                c = of[np.frombuffer(raw.as_buffer(), "<i4")]
-                if found.is_valid:
-                    c[found.values.field("pos").to_numpy()] = found.values.field("class").to_numpy()
-                out.append(c.tobytes())
+            numbers, starts = _flat(batch.column("numbers"), "<i4")
+            c = of[numbers]
+            at, found = _places(starts, batch.column("filled"))
+            c[at] = found.field("class").to_numpy()
+            out = [c[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(c)], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "log_n")), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "log_n", "classes"])
 
     return run

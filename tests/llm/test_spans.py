@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -91,6 +93,56 @@ def test_guess_costs_order_values():
         assert cost(value) <= sum(map(secret_scan._brute, value)) + 1e-9
 
 
+def least_over_all(value, guesser):
+    """Least cost by trying every segmentation, each span by the definitions alone."""
+    low, ranks = value.lower(), guesser.rank
+    plain = low.translate(secret_scan._PLAIN)
+
+    def cost(i, j):
+        part, ways = value[i:j], [sum(map(secret_scan._brute, value[i:j]))]
+        for spelt, extra in ((low[i:j], 0), (plain[i:j], math.log10(2))):
+            if j - i >= 3 and spelt in ranks:
+                ways.append(math.log10(ranks[spelt] + 1) + extra + math.log10(2) * (part != low[i:j]))
+        if secret_scan._DATE.fullmatch(part):
+            ways.append(math.log10(120 * (1 if j - i == 4 else 365)))
+        if j - i >= 3 and all(p in secret_scan._NEXT for p in zip(low[i:j], low[i + 1:j], strict=False)):
+            ways.append(math.log10(47 * 4 * (j - i)))
+        for u in range(1, (j - i) // 2 + 1):
+            if j - i >= 3 and part == part[:u] * ((j - i) // u):
+                ways.append(sum(map(secret_scan._brute, part[:u])) + math.log10((j - i) // u))
+        return min(ways)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + (math.log10(2) if i else 0) + cost(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rnd, guesser = random.Random(7), secret_scan.Guesser(["haus", "maison", "aab"])
+    pieces = ["aab", "aab", "Haus", "m4ison", "1987", "1987-04-23", "qwert", "fdsa", "x", "!", "Q", "7", "11", "zzz", "password", "P@ss", "ab", "ab"]
+    for _ in range(400):
+        value = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 7)))
+        assert guesser.log10(value) == pytest.approx(least_over_all(value, guesser)), value
+    for _ in range(200):
+        value = "".join(rnd.choice("ab1") for _ in range(rnd.randint(1, 14)))
+        assert guesser.log10(value) == pytest.approx(least_over_all(value, guesser)), value
+    assert secret_scan.log10_guesses("aabaabaabaab") < 5
+    unit = "k7Q!vLp0zR2m#xW9sT4b"  # a unit of more than 16 characters
+    assert secret_scan.log10_guesses(unit * 3) < secret_scan.log10_guesses(unit) + 1
+    assert secret_scan.log10_guesses("1" * 5_000) < 6
+
+
+def test_words_of_the_table_are_no_secrets(spark):
+    prose = [(i, "das gesamte Kennwort und die Bestellung wurden gestern abgeschlossen") for i in range(6)]
+    rows = [*prose, (6, "token: abgeschlossen"), (7, "token: Aa1!x9Z"), (8, "token: zqvbkxjwpfhgy"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "abgeschlossen" in secret_scan.common_words(docs) and "zqvbkxjwpfhgy" not in secret_scan.common_words(docs)
+    assert secret_scan.common_words(docs, most=5) == ["abgeschlossen"]  # in seven rows; the others share six, all in or all out
+    found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in secret_scan.scan(docs).collect()}
+    assert {i for i in found if any(s[0] == "guess" for s in found[i])} == {7, 8} and ("guess", 7, 14) in found[7]
+
+
 def test_guess_spans_are_added():
     text = 'login with pwd: x9$kQ2!vLp0z and password=changeme123, then postgres://app:Zk3!pQ9wLm2@db'
     added = {text[a:b] for kind, a, b in secret_scan.find(text) if kind == "guess"}

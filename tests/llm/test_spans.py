@@ -135,7 +135,7 @@ def test_guess_cost_is_the_least_of_all_segmentations():
 
 def test_words_of_the_table_are_no_secrets(spark):
     prose = [(i, "das gesamte Kennwort und die Bestellung wurden gestern abgeschlossen") for i in range(6)]
-    rows = [*prose, (6, "token: abgeschlossen"), (7, "token: Aa1!x9Z"), (8, "token: zqvbkxjwpfhgy"), (9, None)]
+    rows = [*prose, (6, "token: abgeschlossen"), (7, "token: #k!%X&@"), (8, "token: zqvbkxjwpfhgy"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert "abgeschlossen" in secret_scan.common_words(docs) and "zqvbkxjwpfhgy" not in secret_scan.common_words(docs)
     assert secret_scan.common_words(docs, most=5) == ["abgeschlossen"]  # in seven rows; the others share six, all in or all out

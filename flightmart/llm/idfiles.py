@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from flightmart.llm.common import python_batches, scratch, text_of
 from flightmart.llm.tokens import encoder, slices
 
+#: units whose ids a worker remembers; about 200 MB where all are taken
+MEMO = 1_000_000
+
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # control byte -> its four lengths
 _BLOCK = "shard long, block long, doc_ids array<long>, sizes array<long>, start long, control binary, data binary"
 
@@ -48,7 +51,12 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     code[:len(v)] = size - 1
     quads = code.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    upto = np.cumsum(size)
+    data, first = np.empty(int(upto[-1]) if len(v) else 0, np.uint8), upto - size
+    data[first] = v & 0xFF
+    for k in (1, 2, 3):
+        more = size > k
+        data[first[more] + k] = v[more] >> np.uint32(8 * k) & 0xFF
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -67,7 +75,7 @@ def _tokenize(path: str, end_id: int):
     """Rows (shard, seq, doc_id, start, ids): start counts the ids before in this task; last a row of the ids' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, shard = encoder(path), TaskContext.get().partitionId()
+        code, shard = encoder(path, MEMO), TaskContext.get().partitionId()
         kind = "<u2" if max(code.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         counts, seq, start = np.zeros(max(code.vocab_size, end_id + 1), np.int64), 0, 0
         for batch in python_batches(batches):

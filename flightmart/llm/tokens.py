@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -24,6 +25,13 @@ _STOP, _COMMA = "\x02", "\x01"
 #: what a unit may be: begins with white space, so that the cut before it is not safe; begins with
 #: a mark; ends with neither letter nor digit, so that a cut before a following mark is not safe
 _UNSAFE, _MARK, _OPEN = 1, 2, 4
+# The character that byte-level BPE has for each byte: printable ones stand for themselves, the others are numbered from 256.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTE_CHARS = "".join(chr(b) if b in _PRINTED else chr(0x100 + _OTHERS.index(b)) for b in range(256))
+_FEED = _BYTE_CHARS[0x0A]
+#: words that are encoded as one string
+_LINES = 2_000
 
 
 class _Units(dict):
@@ -49,11 +57,11 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.max_units, self.max_ids = max_units, max_ids
-        # the same model over many words at once, told apart by line feeds
+        # the same model over many words at once, told apart by line feeds; they are put into
+        # byte-level characters before, which is cheaper than to have them mapped one by one
         self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        feed = self.words.encode("\n", add_special_tokens=False).ids
+        self.words.pre_tokenizer = pre_tokenizers.Split(_FEED, "isolated")
+        feed = self.words.encode(_FEED, add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
         self._keep(np.zeros(0, bool))
 
@@ -104,11 +112,13 @@ class TextEncoder:
         first, count, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), self.ids.size
         found = [self.ids]
         if single.any():
-            text = "\n".join(f" {u}" for u in new if u.isalpha())
-            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            feeds = np.concatenate([[-1], np.flatnonzero(ids == self.feed), [len(ids)]])
-            count[single] = np.diff(feeds) - 1
-            first[single] = at + feeds[:-1] + 1
+            words = [u for u in new if u.isalpha()]
+            lines = [charmap_decode("".join(f" {u}\n" for u in words[i:i + _LINES]).encode(), "strict", _BYTE_CHARS)[0] for i in range(0, len(words), _LINES)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(lines, add_special_tokens=False)])
+            feeds = np.flatnonzero(ids == self.feed)  # one after each word
+            begin = np.concatenate([[0], feeds[:-1] + 1])
+            count[single] = feeds - begin
+            first[single] = at + begin
             found.append(ids)
             at += len(ids)
         rest = np.flatnonzero(~single)
@@ -170,14 +180,14 @@ class TextEncoder:
         return ids.astype(np.uint32, copy=False), lengths
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder per Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, max_units: int = 400_000) -> TextEncoder:
+    """One encoder per Python worker, vocabulary file and size of the memo."""
+    if (path, max_units) not in _ENCODERS:
+        _ENCODERS[path, max_units] = TextEncoder(path, max_units, 10 * max_units)
+    return _ENCODERS[path, max_units]
 
 
 def slices(texts: list[str | None], max_chars: int = 1_000_000):

@@ -766,6 +766,15 @@ all_tickets AS (SELECT * FROM fm_ticket UNION ALL SELECT ticket_id, flight_num F
 SELECT p.ticket_id, p.customer_email, p.booking_agent_email, p.p_date, {", ".join(f"f.{c.strip()}" for c in FLIGHT_COLS.split(","))}
 FROM all_purchases p JOIN all_tickets t ON t.ticket_id = p.ticket_id JOIN ({q["apply_flight_status"]}) f ON f.flight_num = t.flight_num""")
 
+    after = _audit_sql()
+    for base, name in (("fm_purchases", "all_purchases"), ("fm_ticket", "all_tickets"), ("fm_flight", "flights_left")):
+        after = after.replace(base, name)
+    q["audit_after_batches"] = _q(f"""WITH all_purchases AS (SELECT ticket_id, customer_email, booking_agent_email, p_date FROM fm_purchases
+                  UNION ALL SELECT ticket_id, customer_email, booking_agent_email, p_date FROM ({q["booking_rows_purchases"]}) n),
+all_tickets AS (SELECT ticket_id, flight_num FROM fm_ticket UNION ALL SELECT ticket_id, flight_num FROM ({q["booking_rows_ticket"]}) n),
+flights_left AS (SELECT * FROM fm_flight WHERE flight_status IS DISTINCT FROM 'delayed')
+{after}""")
+
     q["airline_monthly_chart"] = f"""
 SELECT airline_name, month_start, year(month_start) || '-' || month(month_start) AS month_key,
        ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'June', 'July', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month(month_start)] AS month_label, tickets

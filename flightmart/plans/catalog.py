@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flightmart.functions.dates import month_key, month_label
 from flightmart.operators import agent as ag
@@ -22,7 +23,7 @@ from flightmart.operators import quality as qa
 from flightmart.operators import saved_search as ss
 from flightmart.operators import search as se
 from flightmart.operators import facts
-from flightmart.plans import day_index, jobs, mart
+from flightmart.plans import audit, day_index, jobs, mart
 from flightmart.session import ensure_checkpoint_dir
 from flightmart.sources import bucketed, fixtures, schemas
 
@@ -140,6 +141,8 @@ QUERIES: dict[str, Query] = {
     "apply_permission_grants_by_buckets": lambda s, d: _by_buckets(
         s, "permission", "username", _t(s, d).permission, fixtures.grants(s, d),
         lambda grants, rows: mt.permissions_after(mt.permission_grant_outcomes(grants, rows, _t(s, d).airline_staff), rows)),
+    # the audit, kept up to date through a booking batch and a delete of flights
+    "audit_after_batches": lambda s, d: _audit_after_batches(s, d),
     # the sales mart, kept up to date through a booking batch and a status batch
     "sales_mart_after_batches": lambda s, d: _mart_after_batches(s, d),
     # several windows at once from the cumulative day index
@@ -179,6 +182,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 BUCKETS = 64
+AUDIT_BUCKETS = 16
 
 
 def _by_buckets(spark: SparkSession, table: str, key: str, rows: DataFrame, changes: DataFrame,
@@ -191,6 +195,15 @@ def _by_buckets(spark: SparkSession, table: str, key: str, rows: DataFrame, chan
     return bucketed.read(spark, path, schema)
 
 
+def _audit_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, t = _folder(spark, "audit"), _t(spark, sf_dir)
+    audit.start_audit(t, path, AUDIT_BUCKETS)
+    ticket, purchases = (df.checkpoint() for df in _booking_rows(spark, sf_dir))
+    audit.update_audit(spark, path, {"ticket": ticket, "purchases": purchases}, {}, 1)
+    audit.update_audit(spark, path, {}, {"flight": t.flight.filter(F.col("flight_status") == "delayed")}, 2)
+    return audit.read_violations(spark, path)
+
+
 def _mart_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, t = _folder(spark, "sales-mart"), _t(spark, sf_dir)
     mart.start_mart(t.purchases, t.ticket, t.flight, path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightmart.functions.aggregates import money, zero_filled_sum
-from flightmart.functions.dates import in_range, in_window, last_months, month_spine
+from flightmart.functions.dates import in_range, in_window, last_months, month_start
 from flightmart.functions.predicates import apply_criteria
 from flightmart.operators.airline import check_range
 from flightmart.sources.schemas import FLIGHT_COLUMNS, STATUS_UPCOMING
@@ -47,10 +47,21 @@ def customer_year_spend(sales: DataFrame, customer: DataFrame, as_of: dt.date, d
 
 def _monthly_spend(sales: DataFrame, customer: DataFrame, lo: dt.date, hi: dt.date,
                    first: dt.date, last: dt.date, hi_inclusive: bool) -> DataFrame:
+    """Sums of the months that have sales meet one row of each customer; the months are written out last.
+
+    What is summed for the zeros is a row for each customer, however many months there are.
+    A customer missing from ``customer`` has the months of its sales only.
+    """
     facts = (sales.filter(in_range("p_date", lo, hi, end_inclusive=hi_inclusive))
-             .select("customer_email", F.trunc("p_date", "MM").alias("month_start"), "price"))
-    spine = month_spine(customer.select(F.col("email").alias("customer_email")), first, last)
-    out = zero_filled_sum(facts, spine, ["customer_email", "month_start"], {"spend": "price"})
+             .groupBy("customer_email", F.trunc("p_date", "MM").alias("month_start")).agg(F.sum("price").alias("spend")))
+    sold = facts.select("customer_email", F.struct("month_start", "spend").alias("_sold"))
+    known = customer.select(F.col("email").alias("customer_email"), F.lit(None).cast(sold.schema["_sold"].dataType).alias("_sold"))
+    by_customer = sold.unionByName(known).groupBy("customer_email").agg(
+        F.collect_list("_sold").alias("_sold"), F.max(F.col("_sold").isNull()).alias("_known"))  # one entry for each month
+    spine = F.sequence(F.lit(month_start(first)), F.lit(month_start(last)), F.expr("INTERVAL 1 MONTH"))
+    spend = F.map_from_entries("_sold")
+    every = F.transform(spine, lambda m: F.struct(m.alias("month_start"), F.coalesce(spend[m], F.lit(0)).alias("spend")))
+    out = by_customer.select("customer_email", F.inline(F.when(F.col("_known"), every).otherwise(F.col("_sold"))))
     return out.select("customer_email", "month_start", money("spend").alias("spend"))
 
 

@@ -255,3 +255,17 @@ def test_next_30_days_bounds(spark):
     t = make_tables(spark, flight=flights)
     got = {r.flight_num for r in al.airline_flights_next_30_days(t.flight, d("2001-07-01")).collect()}
     assert got == {"1", "3"}
+
+
+def test_months_of_customers_are_written_out_after_the_sums(spark):
+    """The zeros cost one row for each customer in the sums, not one for each month; keys may be NULL, unknown or repeated."""
+    sold = [("a", "2001-06-03", 5), ("a", "2001-06-09", 7), ("x", "2001-05-02", 3), (None, "2001-07-01", 2), ("a", "1999-01-01", 9), ("x", "2001-07-01", None)]
+    sales = spark.createDataFrame([(c, d(p), None if v is None else money(v)) for c, p, v in sold], "customer_email string, p_date date, price decimal(10,2)")
+    customer = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "email string")
+    found = cu.customer_monthly_spend_6m(sales, customer, d("2001-07-01"), months=3)
+    months = [d("2001-05-01"), d("2001-06-01"), d("2001-07-01")]
+    spend = {("a", months[1]): money(12), (None, months[2]): money(2)}
+    wanted = [(c, m, spend.get((c, m), money(0))) for c in ("a", "b", None) for m in months] + [("x", months[0], money(3)), ("x", months[2], None)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate") < text.index("Aggregate") and "Generate" not in text[text.index("Aggregate"):]

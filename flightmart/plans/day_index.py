@@ -1,14 +1,14 @@
 """Cumulative sales by key and day: any date window is a difference of two rows.
 
 For a key (airline, agent or customer) the index holds, for each day with
-sales, tickets and money from the first sale up to that day, in levels: days
-are summed up within a month, months within a key.  Each month of a key begins
-with an opening row, the sums before it, so a date is looked up in its month's
-folder alone; a window reads two folders, however long it is and however many
-purchases lie in it (O13-O15, O21, O22, O25, O26).
-
-A hot airline is spread over its months: no task sums more than a month's days,
-or one row for each month, of a key.
+sales, tickets and money from the first sale up to that day.  Each month of a
+key begins with an opening row, the sums before it, so a date is looked up in
+its month's folder alone; a window reads two folders, however long it is and
+however many purchases lie in it (O13-O15, O21, O22, O25, O26).
+
+Sales are joined and summed by day once, and written; all else reads these rows.
+A hot airline has one of them for each day, which are summed up in one pass; the
+opening rows of the months after a day are written out from that day's sums.
 """
 
 from __future__ import annotations
@@ -43,27 +43,34 @@ def cumulative(daily: DataFrame, last_month: Column) -> DataFrame:
     Opening rows are there for every month from a key's first one to the one
     after ``last_month``, so that also a month without sales can be looked up.
     """
-    month = F.trunc("p_date", "MM").alias("p_month")
-    daily = daily.withColumn("p_month", month)
-    monthly = daily.groupBy("key", "p_month").agg(*[F.sum(m).alias(m) for m in MEASURES])
-    spans = monthly.groupBy("key").agg(F.min("p_month").alias("first"))
-    months = spans.select("key", F.explode(F.sequence("first", F.add_months(last_month, 1), F.expr("INTERVAL 1 MONTH"))).alias("p_month"))
-    before = Window.partitionBy("key").orderBy("p_month").rowsBetween(Window.unboundedPreceding, -1)  # a row for each month
-    opening = months.join(monthly, ["key", "p_month"], "left").select(
-        "key", "p_month", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(m) for m in MEASURES])
-    within = Window.partitionBy("key", "p_month").orderBy("p_date").rowsBetween(Window.unboundedPreceding, 0)  # at most 31 rows
-    so_far = daily.select("key", "p_month", "p_date", *[F.sum(m).over(within).alias(f"_{m}") for m in MEASURES])
-    days = so_far.join(opening, ["key", "p_month"]).select("key", "p_month", "p_date", *[(F.col(m) + F.col(f"_{m}")).alias(m) for m in MEASURES])
-    every = days.unionByName(opening.withColumn("p_date", F.lit(None).cast("date")))
-    return every.select("key", "p_month", "p_date", F.col("tickets").cast("long").alias("tickets"), *[F.col(m).cast(_MONEY).alias(m) for m in MEASURES[1:]])
+    ordered = Window.partitionBy("key").orderBy("p_date")  # a row for each day
+    so_far = daily.select(
+        "key", "p_date", F.lag("p_date").over(ordered).isNull().alias("_first"),
+        F.trunc("p_date", "MM").alias("_month"), F.trunc(F.lead("p_date").over(ordered), "MM").alias("_next"),
+        *[F.sum(m).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias(m) for m in MEASURES])
+
+    def row(month: Column, day: Column, measures: Sequence[Column]) -> Column:
+        types = ("long", _MONEY, _MONEY)
+        return F.struct(month.alias("p_month"), day.alias("p_date"), *[v.cast(t).alias(m) for v, m, t in zip(measures, MEASURES, types, strict=True)])
+
+    none, sums = F.lit(None).cast("date"), [F.col(m) for m in MEASURES]
+    own = row(F.col("_month"), F.col("p_date"), sums)
+    until = F.coalesce("_next", F.add_months(last_month, 1))  # months up to the key's next sale open with these sums
+    later = F.transform(F.sequence(F.add_months("_month", 1), until, F.expr("INTERVAL 1 MONTH")), lambda m: row(m, none, sums))
+    rows = F.concat(F.when(F.col("_first"), F.array(row(F.col("_month"), none, [F.lit(0)] * 3), own)).otherwise(F.array(own)),
+                    F.when(until > F.col("_month"), later).otherwise(F.array().cast(T.ArrayType(so_far.select(own.alias("r")).schema["r"].dataType))))
+    return so_far.select("key", F.inline(rows)).select("key", "p_month", "p_date", *MEASURES)
 
 
 def write_day_index(sales: DataFrame, key: str, path: str) -> None:
     """Build the index of ``key`` anew, stored by month, and note its last month."""
+    spark = sales.sparkSession
     daily = daily_sales(sales, key)
+    daily.write.mode("overwrite").parquet(f"{path}.daily")
+    daily = spark.read.schema(daily.schema).parquet(f"{path}.daily")
     last = daily.agg(F.max(F.trunc("p_date", "MM")).alias("last_month"))
     last.write.mode("overwrite").parquet(f"{path}.last_month")
-    last = sales.sparkSession.read.schema("last_month date").parquet(f"{path}.last_month").first()["last_month"]
+    last = spark.read.schema("last_month date").parquet(f"{path}.last_month").first()["last_month"]
     index = cumulative(daily, F.lit(last).cast("date"))
     index.hint("rebalance", F.col("p_month")).write.mode("overwrite").partitionBy("p_month").parquet(path)
 

@@ -119,11 +119,12 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("l_partkey").cast("string").alias("flight_num"),
     )
 
+    # an order's customer is found once for the order, not for each of its lines
+    buyer = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(
+        customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     purchases = (
         lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-        .join(orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-              F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(buyer.select("o_orderkey", "c_name", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             ticket_id.alias("ticket_id"),

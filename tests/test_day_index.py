@@ -83,3 +83,24 @@ def test_windows_equal_plain_sums(spark):
             mine = [s for s in sales if s[0] == key and s[2] and a <= s[2] <= b]
             assert got[key, a, b] == (len(mine), sum((s[3] or 0 for s in mine if s[1] is None), Decimal(0)), sum((s[3] or 0 for s in mine if s[1]), Decimal(0))), (key, a, b)
     assert {k for k, _, _ in got} == {"A", "B", "hot", "D"}
+
+
+def test_sales_are_read_once(spark):
+    """The joined sales are summed by day in one pass; all that follows reads the days."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = [(f"k{i % 3}", None, dt.date(2000, 1, 1) + dt.timedelta(days=17 * i), Decimal(i)) for i in range(50)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "airline_name string, booking_agent_email string, p_date date, price decimal(10,2)")
+    path = tempfile.mkdtemp(prefix="flightmart-index-")
+    day_index.write_day_index(df, "airline_name", path)
+    assert seen.value == len(rows)
+    index = [tuple(r) for r in day_index.read_day_index(spark, path).select("key", "p_month", "p_date", "tickets").collect()]
+    assert len(index) == len(set(index))
+    months = {k: sorted({m for key, m, day, _ in index if key == k and day is None}) for k in ("k0", "k1", "k2")}
+    for found in months.values():  # an opening row for each month, to the one after the last
+        assert found[0] == dt.date(2000, 1, 1) or found[0] == dt.date(2000, 2, 1)
+        assert found[-1] == dt.date(2002, 5, 1) and all((b - a).days in (28, 29, 30, 31) for a, b in zip(found, found[1:]))

@@ -105,9 +105,10 @@ def update_mart(spark: SparkSession, path: str, new_purchases: DataFrame, new_ti
     if not touched:
         return touched
     held = bucketed.read(spark, path, _sales_only(), lambda b: b in touched)
-    own = [c for c in SALES_COLUMNS if c not in flight.columns] + ["flight_num"]
-    rejoined = held.join(now.select("flight_num"), "flight_num", "left_semi").select(*own).join(now, "flight_num").select(*SALES_COLUMNS)
-    rows = (held.join(now.select("flight_num"), "flight_num", "left_anti").select(*SALES_COLUMNS)
-            .unionByName(rejoined).unionByName(sales_fact(new_purchases, new_tickets, flight).select(*SALES_COLUMNS)))
+    # each held row meets the flights as they are now once; it keeps its own columns where its flight did not change
+    fresh = now.select(F.col("flight_num").alias("_num"), F.struct(*[c for c in SALES_COLUMNS if c in flight.columns]).alias("_now"))
+    rows = (held.join(fresh, F.col("flight_num") == F.col("_num"), "left")
+            .select(*[F.when(F.col("_num").isNotNull(), F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c) if c in flight.columns else F.col(c) for c in SALES_COLUMNS])
+            .unionByName(sales_fact(new_purchases, new_tickets, flight).select(*SALES_COLUMNS)))
     bucketed.replace(spark, path, _by_month(rows), touched)
     return touched

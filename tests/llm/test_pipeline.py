@@ -54,5 +54,5 @@ def test_edges(spark, edge, none):
 def test_registered():
     queries = entry.queries()
     names = sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op"))
-    assert names == list(range(1, 11)) and queries["pipeline"] is corpus_pipeline.run
+    assert names == list(range(1, 14)) and queries["pipeline"] is corpus_pipeline.run
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from flightmart.operators.facts import SALES_COLUMNS, sales_fact
 from flightmart.plans import mart
-from tests.conftest import flight_row, make_tables
+from flightmart.sources import fixtures
+from tests.conftest import SF_SMALL, flight_row, make_tables
 
 
 def files(path):
@@ -56,3 +57,20 @@ def test_updates_equal_a_rebuild(spark):
     assert mart.update_mart(spark, path, more.purchases.limit(0), more.ticket.limit(0), changed, changed.limit(0)) == set()
     window = mart.read_mart(spark, path, dt.date(2000, 2, 1), dt.date(2000, 3, 31))
     assert {r["p_date"].month for r in window.collect()} == {2, 3}
+
+
+def test_held_rows_are_joined_once(spark, monkeypatch):
+    """A status batch reads the months it touches once for their new rows."""
+    t = fixtures.load(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="flightmart-mart-")
+    mart.start_mart(t.purchases, t.ticket, t.flight, path)
+    plans, replace = [], mart.bucketed.replace
+
+    def kept(spark_, path_, rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        replace(spark_, path_, rows, *rest)
+
+    monkeypatch.setattr(mart.bucketed, "replace", kept)
+    mart.update_mart(spark, path, t.purchases.limit(0), t.ticket.limit(0), t.flight, t.flight.filter("CAST(flight_num AS INT) % 3 = 0"))
+    assert sum("Relation" in line and "bucket#" in line for line in plans[0].splitlines()) == 1
+    assert sorted(map(str, mart.read_mart(spark, path).collect())) == sorted(map(str, sales_fact(t.purchases, t.ticket, t.flight).collect()))

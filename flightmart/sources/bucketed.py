@@ -1,10 +1,11 @@
 """Keyed tables in hash buckets, updated bucket by bucket.
 
 A table lies below its path as ``versions/version=N/bucket=K``; a manifest
-(one row for each bucket: the version that holds it) is committed last and says
-which folders are the table.  An update reads the buckets of the keys that
+(a row for each bucket and version that holds rows of it) is committed last and
+says which folders are the table.  An update reads the buckets of the keys that
 change, found by partition pruning, and writes just these into a fresh version;
-all others stay the files they were.  Until the new manifest is committed
+all others stay the files they were.  ``append`` leaves the files of these
+buckets too and puts rows beside them.  Until the new manifest is committed
 readers see the old table, and an update that was killed is simply run again.
 """
 
@@ -26,8 +27,8 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def manifest(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int, dict[int, int]]:
-    """(last committed version, the version that holds each bucket); one row for each bucket is read.
+def manifest(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int, dict[int, tuple[int, ...]]]:
+    """(last committed version, the versions that hold each bucket); one row for each of these is read.
 
     ``upto``: the table as it was at that version.
     """
@@ -36,16 +37,23 @@ def manifest(spark: SparkSession, path: str, upto: int | None = None) -> tuple[i
     if upto is not None:
         rows = rows.filter(F.col("version") <= upto)
     last = rows.agg(F.max("version")).first()[0]
-    return last, {r["bucket"]: r["holds"] for r in rows.filter(F.col("version") == last).collect()}
+    holds: dict[int, tuple[int, ...]] = {}
+    for r in rows.filter(F.col("version") == last).collect():
+        holds[r["bucket"]] = (*holds.get(r["bucket"], ()), r["holds"])
+    return last, holds
 
 
-def _write_version(rows: DataFrame, path: str, version: int) -> None:
-    """Few files for each bucket, however many tasks made its rows; a large one is split by size."""
-    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/versions/version={version}")
+def _write_version(rows: DataFrame, path: str, version: int, gather: bool = True) -> None:
+    """Few files for each bucket, however many tasks made its rows; a large one is split by size.
+
+    Not ``gather``: rows stay in their tasks, each of which writes a file for each bucket.
+    """
+    rows = rows.hint("rebalance", F.col("bucket")) if gather else rows
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/versions/version={version}")
 
 
-def _commit(spark: SparkSession, path: str, version: int, holds: dict[int, int]) -> None:
-    rows = spark.createDataFrame(sorted(holds.items()), "bucket int, holds long")
+def _commit(spark: SparkSession, path: str, version: int, holds: dict[int, tuple[int, ...]]) -> None:
+    rows = spark.createDataFrame(sorted((b, v) for b, versions in holds.items() for v in versions), "bucket int, holds long")
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/version={version}")
 
 
@@ -54,9 +62,12 @@ def write_parts(rows: DataFrame, path: str) -> None:
     _store(rows, path, None)
 
 
-def write(table: DataFrame, path: str, key: str, buckets: int, version: int | None = None) -> None:
-    """Store a table anew in so many buckets (as ``version``, else the next); a few hundred MB for each are a good size."""
-    _store(table.withColumn("bucket", bucket_of(key, buckets)), path, range(buckets), version)
+def write(table: DataFrame, path: str, key: str, buckets: int, version: int | None = None, gather: bool = True) -> None:
+    """Store a table anew in so many buckets (as ``version``, else the next); a few hundred MB for each are a good size.
+
+    ``gather``: shuffle the rows, so that each bucket has few files.
+    """
+    _store(table.withColumn("bucket", bucket_of(key, buckets)), path, range(buckets), version, gather)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -68,22 +79,23 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _store(rows: DataFrame, path: str, buckets: range | None, version: int | None = None) -> None:
+def _store(rows: DataFrame, path: str, buckets: range | None, version: int | None = None, gather: bool = True) -> None:
     spark = rows.sparkSession
     if version is None:
         version = manifest(spark, path)[0] + 1 if exists(spark, path) else 0
-    _write_version(rows, path, version)
+    _write_version(rows, path, version, gather)
     if buckets is None:
         base = f"{path}/versions"
         kept = spark.read.schema("version long, bucket int").option("basePath", base).parquet(base).filter(F.col("version") == version)
         buckets = [r["bucket"] for r in kept.select("bucket").distinct().collect()]  # one row for each
-    _commit(spark, path, version, dict.fromkeys(buckets, version))
+    _commit(spark, path, version, dict.fromkeys(buckets, (version,)))
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType, holds: dict[int, int]) -> DataFrame:
+def _scan(spark: SparkSession, path: str, schema: T.StructType, holds: dict[int, tuple[int, ...]]) -> DataFrame:
     by_version: dict[int, list[int]] = {}
-    for bucket, version in holds.items():
-        by_version.setdefault(version, []).append(bucket)
+    for bucket, versions in holds.items():
+        for version in versions:
+            by_version.setdefault(version, []).append(bucket)
     full = T.StructType([*schema.fields, T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType())])
     base = f"{path}/versions"
     rows = spark.read.schema(full).option("basePath", base).parquet(base)
@@ -102,7 +114,14 @@ def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: set[int],
     last, holds = manifest(spark, path, None if version is None else version - 1)
     version = last + 1 if version is None else version
     _write_version(rows, path, version)
-    _commit(spark, path, version, holds | dict.fromkeys(buckets, version))
+    _commit(spark, path, version, holds | dict.fromkeys(buckets, (version,)))
+
+
+def append(spark: SparkSession, path: str, rows: DataFrame, buckets: set[int], version: int) -> None:
+    """Commit a version in which ``buckets`` hold ``rows`` (with their column ``bucket``) besides what they held."""
+    holds = manifest(spark, path, version - 1)[1]
+    _write_version(rows, path, version)
+    _commit(spark, path, version, holds | {b: (*holds[b], version) for b in buckets})
 
 
 def read_for(spark: SparkSession, path: str, schema: T.StructType, key: str, keys: DataFrame, upto: int | None = None) -> tuple[DataFrame, set[int]]:

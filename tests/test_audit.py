@@ -8,6 +8,7 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightmart.operators.quality import TABLE_NAMES, integrity_audit
@@ -124,3 +125,41 @@ def test_hot_parents_and_empty_tables(spark):
     assert {r[1] for r in rows(audit.read_violations(spark, path))} == {"flight.airline_name", "flight.airplane_id", "flight.depart_name", "flight.arrive_name"}
     audit.update_audit(spark, path, {}, {"flight": spark.createDataFrame([flight_row(1)], SCHEMAS["flight"])}, 3)
     assert rows(audit.read_violations(spark, path)) == [("fk", "ticket.flight_num", "1", False, 5000)]
+
+
+def test_a_batch_stores_the_counts_of_its_keys_only(spark, base):
+    path = tempfile.mkdtemp(prefix="flightmart-audit-")
+    audit.start_audit(base, path, 2)
+    touched = audit.update_audit(spark, path, {"purchases": frame(spark, "purchases", [("500", "c1", None, DAY), ("501", "c1", None, DAY)])}, {}, 1)
+    stored = spark.read.schema(audit.COUNTS).parquet(f"{path}/counts/versions/version=1").collect()
+    assert sorted((r["table_name"], r["key"], r["n"]) for r in stored) == [
+        ("purchases.customer_email", "c1", 2), ("purchases.ticket_id", "500", 1), ("purchases.ticket_id", "501", 1)]
+    last, holds = bucketed.manifest(spark, f"{path}/counts")
+    assert last == 1 and holds == {b: (0, 1) if b in touched else (0,) for b in range(2)}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_many_batches_are_summed_up(spark, base, few, monkeypatch):
+    monkeypatch.setattr(audit, "FOLD", 2)
+    monkeypatch.setattr(audit, "FEW", few)
+    path, held = tempfile.mkdtemp(prefix="flightmart-audit-"), as_rows(base)
+    audit.start_audit(base, path, 1)
+    rnd, versions = random.Random(7), []
+    for version in range(1, 4):
+        added = [(rnd.choice(["7", "07", "x" * 30, "9" * 25, None]), rnd.choice(["1", "nowhere", None])) for _ in range(3)]
+        removed = rnd.sample(held["ticket"], 3)
+        for r in removed:
+            held["ticket"].remove(r)
+        held["ticket"] += added
+        audit.update_audit(spark, path, {"ticket": frame(spark, "ticket", added)}, {"ticket": frame(spark, "ticket", removed)}, version)
+        versions.append(bucketed.manifest(spark, f"{path}/counts")[1][0])
+        assert rows(audit.read_violations(spark, path)) == rows(integrity_audit(Tables(**{name: frame(spark, name, held[name]) for name in TABLE_NAMES}))), version
+    assert versions == [(0, 1), (2,), (2, 3)]
+
+
+def test_packed_keys_come_back(spark):
+    keys = ["", "0", "00", "007", "1234567890123456789012", "12\n", "12\r", "\u2028", "1\u2028", "١٢", "a1", "-1", "1 ", "é" * 30, None]
+    df = spark.createDataFrame([(k,) for k in keys], "key string").select("key", audit._packed(F.col("key")).alias("packed"))
+    found = df.select("key", "packed", audit._unpacked(F.col("packed")).alias("back")).collect()
+    assert [r["back"] for r in found] == [r["key"] for r in found] == keys
+    assert len({bytes(r["packed"]) for r in found if r["packed"] is not None}) == len(keys) - 1

@@ -11,7 +11,7 @@ from flightmart.sources.tables import Tables
 SALES_COLUMNS = ["ticket_id", "customer_email", "booking_agent_email", "p_date"] + FLIGHT_COLUMNS
 
 
-def sales_fact(purchases: DataFrame, ticket: DataFrame, flight: DataFrame) -> DataFrame:
+def sales_fact(purchases: DataFrame, ticket: DataFrame, flight: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per purchase with its ticket's flight columns.
 
     purchases and ticket are both fact-sized, so they meet in a sort-merge
@@ -19,11 +19,13 @@ def sales_fact(purchases: DataFrame, ticket: DataFrame, flight: DataFrame) -> Da
     flight is a dimension: the planner broadcasts it when its measured size
     is under the broadcast threshold and sort-merges otherwise.  Operators
     filter this plan on p_date / airline / status, and Catalyst pushes those
-    filters below the joins into the scans.
+    filters below the joins into the scans.  ``tasks``: the rows are left in so
+    many tasks, dealt by ``hash(flight_num)``.
     """
-    return (purchases.join(ticket, "ticket_id")
-            .join(flight, "flight_num")
-            .select(*SALES_COLUMNS))
+    sold = purchases.join(ticket, "ticket_id")
+    if tasks:
+        sold, flight = sold.repartition(tasks, "flight_num"), flight.repartition(tasks, "flight_num")
+    return sold.join(flight, "flight_num").select(*SALES_COLUMNS)
 
 
 def sales_of(t: Tables) -> DataFrame:

@@ -207,7 +207,8 @@ def _audit_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mart_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, t = _folder(spark, "sales-mart"), _t(spark, sf_dir)
     mart.start_mart(t.purchases, t.ticket, t.flight, path)
-    tickets, purchases = (df.checkpoint() for df in _booking_rows(spark, sf_dir))
+    # the batch finds the pairs already sold in the mart, where purchases and tickets are joined
+    tickets, purchases = (df.checkpoint() for df in _booking_rows(spark, sf_dir, mart.read_mart(spark, path)))
     mart.update_mart(spark, path, purchases, tickets, t.flight, t.flight.limit(0))
     after = QUERIES["apply_flight_status"](spark, sf_dir).checkpoint()
     changed = after.select("flight_num", "flight_status").exceptAll(t.flight.select("flight_num", "flight_status"))
@@ -231,7 +232,8 @@ def _book_direct(spark: SparkSession, sf_dir: str, require_upcoming: bool = Fals
         "request_id", "customer_email", "flight_num", "status")
 
 
-def _ranked(spark: SparkSession, sf_dir: str, requests: DataFrame, require_upcoming: bool = False, agent: bool = False) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, requests: DataFrame, require_upcoming: bool = False, agent: bool = False,
+            sales: DataFrame | None = None) -> DataFrame:
     """Decided requests; the requests, and then the annotated requests, are written once (reliable checkpoints),
     as a booking job does: each is read several times by what follows."""
     ensure_checkpoint_dir(spark)
@@ -239,7 +241,7 @@ def _ranked(spark: SparkSession, sf_dir: str, requests: DataFrame, require_upcom
     requests = requests.checkpoint()
     if agent:
         requests = bk.agent_prechecks(requests, t.flight, t.booking_agent, t.customer)
-    return bk.rank_requests(bk.annotate_requests(requests, t.flight, t.airplane, t.ticket, t.purchases, require_upcoming).checkpoint())
+    return bk.rank_requests(bk.annotate_requests(requests, t.flight, t.airplane, t.ticket, t.purchases, require_upcoming, sales).checkpoint())
 
 
 def _book_agent(spark: SparkSession, sf_dir: str, same_airline: bool = False) -> DataFrame:
@@ -248,20 +250,20 @@ def _book_agent(spark: SparkSession, sf_dir: str, same_airline: bool = False) ->
     return _ranked(spark, sf_dir, reqs, agent=True).select("request_id", bk.AGENT, "customer_email", "flight_num", "status")
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decided(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
     """Ids need two passes over the decided requests (count, then number), so
     the decisions are checkpointed first (reliable checkpoint in the session's
     ``spark.checkpoint.dir``): the id plan then scans the checkpoint instead
     of re-deriving every decision for each pass."""
-    return _ranked(spark, sf_dir, fixtures.booking_requests(spark, sf_dir)).checkpoint()
+    return _ranked(spark, sf_dir, fixtures.booking_requests(spark, sf_dir), sales=sales).checkpoint()
 
 
 def _ticket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bk.assign_ticket_ids(_decided(spark, sf_dir), _t(spark, sf_dir).ticket)
 
 
-def _booking_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    decided = _decided(spark, sf_dir)
+def _booking_rows(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    decided = _decided(spark, sf_dir, sales)
     return bk.booking_rows(decided, bk.assign_ticket_ids(decided, _t(spark, sf_dir).ticket))
 
 

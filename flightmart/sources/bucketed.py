@@ -11,7 +11,7 @@ readers see the old table, and an update that was killed is simply run again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -43,13 +43,13 @@ def manifest(spark: SparkSession, path: str, upto: int | None = None) -> tuple[i
     return last, holds
 
 
-def _write_version(rows: DataFrame, path: str, version: int, gather: bool = True) -> None:
+def _write_version(rows: DataFrame, path: str, version: int, gather: bool = True, mode: str = "overwrite") -> None:
     """Few files for each bucket, however many tasks made its rows; a large one is split by size.
 
     Not ``gather``: rows stay in their tasks, each of which writes a file for each bucket.
     """
     rows = rows.hint("rebalance", F.col("bucket")) if gather else rows
-    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/versions/version={version}")
+    rows.write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/versions/version={version}")
 
 
 def _commit(spark: SparkSession, path: str, version: int, holds: dict[int, tuple[int, ...]]) -> None:
@@ -57,9 +57,9 @@ def _commit(spark: SparkSession, path: str, version: int, holds: dict[int, tuple
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/version={version}")
 
 
-def write_parts(rows: DataFrame, path: str) -> None:
+def write_parts(rows: DataFrame, path: str, gather: bool = True) -> None:
     """Store rows anew by their column ``bucket``, which may be any int (a month, say)."""
-    _store(rows, path, None)
+    _store(rows, path, None, gather=gather)
 
 
 def write(table: DataFrame, path: str, key: str, buckets: int, version: int | None = None, gather: bool = True) -> None:
@@ -103,17 +103,24 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, holds: dict[int,
     return rows.filter(held)
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, only: Callable[[int], bool] | None = None) -> DataFrame:
-    """The table, or those of its buckets whose numbers ``only`` wants."""
+def read(spark: SparkSession, path: str, schema: T.StructType, only: Callable[[int], bool] | None = None, numbered: bool = False) -> DataFrame:
+    """The table, or those of its buckets whose numbers ``only`` wants; ``numbered``: with the column ``bucket``."""
     holds = manifest(spark, path)[1]
-    return _scan(spark, path, schema, {b: v for b, v in holds.items() if only is None or only(b)}).select(*schema.fieldNames())
+    rows = _scan(spark, path, schema, {b: v for b, v in holds.items() if only is None or only(b)})
+    return rows.select(*schema.fieldNames(), *["bucket"] * numbered)
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: set[int], version: int | None = None) -> None:
-    """Commit a version in which ``buckets`` hold ``rows`` (with their column ``bucket``) and all others what they held."""
+def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: set[int], version: int | None = None,
+            gather: bool = True, more: Iterable[DataFrame] = ()) -> None:
+    """Commit a version in which ``buckets`` hold ``rows`` (with their column ``bucket``) and all others what they held.
+
+    ``more``: further rows of them, each written when the one before is; ``gather`` as in ``write``.
+    """
     last, holds = manifest(spark, path, None if version is None else version - 1)
     version = last + 1 if version is None else version
-    _write_version(rows, path, version)
+    _write_version(rows, path, version, gather)
+    for further in more:
+        _write_version(further, path, version, gather, "append")
     _commit(spark, path, version, holds | dict.fromkeys(buckets, (version,)))
 
 

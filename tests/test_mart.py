@@ -74,3 +74,59 @@ def test_held_rows_are_joined_once(spark, monkeypatch):
     mart.update_mart(spark, path, t.purchases.limit(0), t.ticket.limit(0), t.flight, t.flight.filter("CAST(flight_num AS INT) % 3 = 0"))
     assert sum("Relation" in line and "bucket#" in line for line in plans[0].splitlines()) == 1
     assert sorted(map(str, mart.read_mart(spark, path).collect())) == sorted(map(str, sales_fact(t.purchases, t.ticket, t.flight).collect()))
+
+
+def test_many_flights_are_cut_into_parts(spark, monkeypatch):
+    """Sales are moved to their flights once; a batch brings a part's changed flights to the files of that part."""
+    monkeypatch.setattr(mart, "FLIGHTS", 10)
+    flights = [flight_row(n, "A" if n % 2 else "B") for n in range(40)]
+    flights.append(flight_row(7, "C"))  # a number that comes twice
+    sold = [(str(i), f"c{i % 7}", "a1" if i % 3 else None, dt.date(2000, 1 + i % 4, 1 + i % 20), str(i % 40)) for i in range(400)]
+    sold += [(str(900 + i), "c1", None, None, str(i)) for i in range(40)]  # purchases without a date
+    sold.append(("990", "c1", None, dt.date(2000, 9, 9), None))  # and one without a flight
+    t = make_tables(spark, flight=flights, ticket=[(i, f) for i, _, _, _, f in sold], purchases=[x[:4] for x in sold])
+    path = tempfile.mkdtemp(prefix="flightmart-mart-")
+    written, write = [], mart.bucketed._write_version
+
+    def kept(rows, path, version, gather=True, mode="overwrite"):
+        written.append((rows._jdf.queryExecution().executedPlan().toString(), gather, mode))
+        write(rows, path, version, gather, mode)
+
+    monkeypatch.setattr(mart.bucketed, "_write_version", kept)
+    mart.start_mart(t.purchases, t.ticket, t.flight, path)
+    assert rows(mart.read_mart(spark, path)) == rows(sales_fact(t.purchases, t.ticket, t.flight))
+    month_and_parts = {mart._month_and_parts(int(b)) for b in files(path).values()}
+    assert month_and_parts == {(m, 8) for m in (-1, *range(24000, 24004))}
+    assert [g for _, g, _ in written] == [False] and len(files(path)) == len(set(files(path).values()))  # a task holds one part
+    old = files(path)
+
+    new = [("1000", "c9", None, dt.date(2000, 3, 3), "2"), ("1001", "c9", "a1", dt.date(2001, 2, 2), "50")]
+    more = make_tables(spark, flight=[flight_row(50)], ticket=[(i, f) for i, _, _, _, f in new], purchases=[x[:4] for x in new])
+    flight = t.flight.unionByName(more.flight)
+    assert mart.update_mart(spark, path, more.purchases, more.ticket, flight, more.flight) == {24002, 24013}
+    purchases, ticket = t.purchases.unionByName(more.purchases), t.ticket.unionByName(more.ticket)
+    assert rows(mart.read_mart(spark, path)) == rows(sales_fact(purchases, ticket, flight))
+    assert old.items() <= files(path).items() and {mart._month_and_parts(int(b))[0] for f, b in files(path).items() if f not in old} == {24002, 24013}
+
+    # flights of several parts change; one is no longer there, so its sales stay what they were
+    new_status = F.when(F.col("flight_num").isin("1", "2", "3", "4", "50"), F.lit("delayed")).otherwise(F.col("flight_status"))
+    changed, written[:] = flight.withColumn("flight_status", new_status).filter("flight_num <> '9'"), []
+    before, wanted = files(path), rows(sales_fact(purchases, ticket, flight.withColumn("flight_status", new_status)))
+    assert mart.update_mart(spark, path, more.purchases.limit(0), more.ticket.limit(0), changed, changed.filter("flight_num IN ('1', '2', '3', '4', '9', '50')")) == {-1, 24000, 24001, 24002, 24003, 24013}
+    assert rows(mart.read_mart(spark, path)) == wanted and before.items() <= files(path).items()
+    assert len(written) == 8 and [mode for _, _, mode in written] == ["overwrite"] + ["append"] * 7
+    for p, gather, _ in written:  # the rows that are held are not shuffled, but written where they are read
+        assert not gather and "hashpartitioning" not in p and "Rebalance" not in p, p
+    march = mart.read_mart(spark, path, dt.date(2000, 2, 1), dt.date(2000, 3, 31))
+    assert {r["p_date"].month for r in march.collect()} == {2, 3}
+
+
+def test_bookings_find_sold_pairs_in_the_mart(spark):
+    """Pairs already sold are read from the mart, where purchases and tickets are joined; the batch is the same."""
+    from flightmart.plans import catalog
+    plain = catalog._booking_rows(spark, SF_SMALL)
+    t = fixtures.load(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="flightmart-mart-")
+    mart.start_mart(t.purchases, t.ticket, t.flight, path)
+    for a, b in zip(plain, catalog._booking_rows(spark, SF_SMALL, mart.read_mart(spark, path)), strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
